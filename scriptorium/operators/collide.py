@@ -1,0 +1,129 @@
+"""Which keys are held by more than one owner, at a few bytes a key.
+
+Similarity and overlap operators emit many 64-bit keys a row, nearly all of which meet no other.
+Here the keys travel as packed binary blocks instead of rows: a map task sorts its keys, splits
+them by leading bits and sends one block per partition; the receiving task sorts what it gets and
+passes on only the members of keys with two owners or more. Those few become ordinary rows, which
+Spark joins with its own handling of skew.
+
+A key that many rows hold never gathers in one task: owners that meet inside one map task are
+passed on there, and only one of them travels on, marked, to tell the other tasks.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import shuffle_partitions
+
+#: Keys that a map task gathers before it sends its blocks: 24 bytes each.
+CHUNK_KEYS = 3_000_000
+
+PACKED = "bucket int, keys binary, owners binary, extras binary, marks binary, key bigint, owner bigint, extra int"
+Emit = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the runs of equal values in sorted ``keys``, and for each key the number of its run."""
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _held_twice(keys: np.ndarray, owners: np.ndarray, marks: np.ndarray | None = None) -> np.ndarray:
+    """For sorted keys: whether the key has two owners (or a marked one), by position."""
+    starts, run = runs(keys)
+    twice = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+    if marks is not None:
+        twice |= np.maximum.reduceat(marks, starts).astype(bool)
+    return twice[run]
+
+
+def _rows(key: np.ndarray, owner: np.ndarray, extra: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    n = len(key)
+    none = pa.nulls(n, pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), none, none, none, none, pa.array(key.view(np.int64)), pa.array(owner), pa.array(extra, pa.int32())],
+        names=["bucket", "keys", "owners", "extras", "marks", "key", "owner", "extra"],
+    )
+
+
+def _send(keys: np.ndarray, owners: np.ndarray, extras: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(keys, kind="stable")
+    keys, owners, extras = keys[order], owners[order], extras[order]
+    twice = _held_twice(keys, owners)
+    if twice.any():
+        at = np.flatnonzero(twice)
+        spread = (np.arange(len(at)) * 2654435761 % parts).astype(np.int32)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield _rows(keys[part], owners[part], extras[part], spread[i : i + 100_000])
+    starts, _ = runs(keys)
+    first = np.zeros(len(keys), bool)
+    first[starts] = True
+    keep = ~twice | first
+    keys, owners, extras, marks = keys[keep], owners[keep], extras[keep], twice[keep].astype(np.uint8)
+    bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
+    present = [b for b in range(parts) if edges[b + 1] > edges[b]]
+    cut = lambda x: [x[edges[b] : edges[b + 1]].tobytes() for b in present]
+    n = len(present)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(present, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (keys, owners, extras, marks)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+        names=["bucket", "keys", "owners", "extras", "marks", "key", "owner", "extra"],
+    )
+
+
+def _pack(emit: Emit, parts: int, chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(emit(batch))
+                size += len(held[-1][0])
+            if size >= chunk:
+                yield from _send(*map(np.concatenate, zip(*held)), parts)
+                held, size = [], 0
+        if size:
+            yield from _send(*map(np.concatenate, zip(*held)), parts)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: list[list[bytes]] = [[], [], [], []]
+    for batch in batches:
+        plain = batch.filter(pc.is_valid(batch.column("key")))
+        if plain.num_rows:
+            yield pa.RecordBatch.from_arrays([plain.column(c) for c in ("key", "owner", "extra")], names=["key", "owner", "extra"])
+        packed = batch.filter(pc.is_valid(batch.column("keys")))
+        for held, name in zip(blocks, ("keys", "owners", "extras", "marks")):
+            held.extend(packed.column(name).to_pylist())
+    keys, owners, extras, marks = (np.frombuffer(b"".join(x), t) for x, t in zip(blocks, (np.uint64, np.int64, np.int32, np.uint8)))
+    if not len(keys):
+        return
+    order = np.argsort(keys, kind="stable")
+    keys, owners, marks = keys[order], owners[order], marks[order]
+    out = np.flatnonzero(_held_twice(keys, owners, marks) & (marks == 0))
+    for i in range(0, len(out), 100_000):
+        at = out[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(owners[at]), pa.array(extras[order[at]])], names=["key", "owner", "extra"])
+
+
+def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS) -> DataFrame:
+    """Rows (key, owner, extra) of every key that two or more owners hold; the other keys are left out.
+
+    ``emit`` turns a record batch of ``df`` into arrays of keys (uint64, evenly spread), owners
+    (int64) and extras (int32). Repeated (key, owner) entries count as one owner. Null texts are
+    the emitter's business; an empty input gives an empty result.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    sent = df.mapInArrow(_pack(emit, parts, chunk), PACKED)
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(_meet, "key bigint, owner bigint, extra int")
