@@ -56,3 +56,56 @@ def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     from .neardup import near_duplicate_classes
 
     return near_duplicate_classes(units(spark, d))
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    """Units and quotes as (origin, item_key, text)."""
+    return units(spark, d).select(F.lit("unit").alias("origin"), F.col("unit_id").alias("item_key"), "text").unionByName(
+        quotes(spark, d).select(F.lit("quote").alias("origin"), F.col("evidence_id").alias("item_key"), "text")
+    )
+
+
+@_register("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .spans import shared_spans
+
+    return shared_spans(_passages(spark, d))
+
+
+@_register("p3_amount")
+def p3_amount(spark: SparkSession, d: str) -> DataFrame:
+    from .spans import shared_amount
+
+    return shared_amount(_passages(spark, d))
+
+
+@_register(
+    "p3_lines",
+    """
+    WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL),
+    e AS (SELECT doc_id, parts, unnest(range(len(parts))) AS line_no FROM l),
+    x AS (SELECT doc_id, line_no, parts[line_no + 1] AS line,
+                 coalesce(list_sum(list_transform(parts[1:line_no], lambda p: length(p) + 1)), 0) AS span_start FROM e),
+    t AS (SELECT doc_id, line_no, span_start, span_start + length(line) AS span_end, trim(line, ' ') AS unit FROM x WHERE length(trim(line, ' ')) >= 12),
+    f AS (SELECT *, first_value(doc_id) OVER w AS first_doc_id, row_number() OVER w AS n FROM t WINDOW w AS (PARTITION BY unit ORDER BY doc_id, line_no))
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end, first_doc_id FROM f WHERE n > 1
+    """,
+)
+def p3_lines(spark: SparkSession, d: str) -> DataFrame:
+    from .spans import repeated_lines
+
+    return repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@_register("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .looks import same_look_pairs
+
+    return same_look_pairs(_passages(spark, d)).select("key_a", "key_b")
+
+
+@_register("p5_forms")
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    from .looks import to_one_form
+
+    return to_one_form(_passages(spark, d)).select("origin", "item_key", "one_form")
