@@ -109,3 +109,18 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     from .looks import to_one_form
 
     return to_one_form(_passages(spark, d)).select("origin", "item_key", "one_form")
+
+
+@_register("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .leaks import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+@_register("p7_coverage")
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles, covered characters and coverage of each leaked item in each document."""
+    from .leaks import leaked_items
+
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
