@@ -124,3 +124,17 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     from .leaks import leaked_items
 
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@_register("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    from .personal import personal_spans
+
+    return personal_spans(table(spark, d, "documents"))
+
+
+@_register("p9_redacted")
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .personal import redacted
+
+    return redacted(table(spark, d, "documents"))
