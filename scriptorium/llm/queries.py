@@ -138,3 +138,42 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     from .personal import redacted
 
     return redacted(table(spark, d, "documents"))
+
+
+_VISIBLE_RE2 = r"[^\s\pZ\p{Cc}\p{Cf}\x{34f}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}\x{fe00}-\x{fe0f}]"
+
+
+@_register(
+    "p1_found",
+    rf"""
+    WITH t AS (SELECT id, any_value(session) AS session, any_value(sequence) AS sequence, any_value(cancelled) AS cancelled FROM turns WHERE id IS NOT NULL GROUP BY id),
+    m AS (SELECT id, any_value(session) AS named, any_value(turn) AS turn, any_value(role) AS role, any_value(body) AS body FROM chat_messages WHERE id IS NOT NULL GROUP BY id),
+    r AS (SELECT id, named, turn, coalesce(regexp_matches(body, '{_VISIBLE_RE2}'), false) AS shown,
+        CASE WHEN lower(trim(role)) IN ('user', 'human', 'customer', 'prompter') THEN 'user'
+             WHEN lower(trim(role)) IN ('assistant', 'ai', 'model', 'bot', 'gpt', 'chatbot') THEN 'assistant' END AS kind FROM m),
+    live AS (SELECT * FROM t WHERE coalesce(cancelled, 0) = 0 AND session IS NOT NULL),
+    judged AS (SELECT l.session, l.id, l.sequence,
+        count(CASE WHEN kind = 'user' THEN 1 END) = 1 AND count(CASE WHEN kind = 'assistant' THEN 1 END) = 1
+        AND count(CASE WHEN kind = 'user' AND shown THEN 1 END) = 1 AND count(CASE WHEN kind = 'assistant' AND shown THEN 1 END) = 1
+        AND count(CASE WHEN r.id IS NOT NULL AND kind IS NULL THEN 1 END) = 0
+        AND count(CASE WHEN named <> l.session THEN 1 END) = 0 AS good
+        FROM live l LEFT JOIN r ON r.turn = l.id GROUP BY l.session, l.id, l.sequence),
+    kept AS (SELECT session FROM judged GROUP BY session HAVING bool_and(good)
+        EXCEPT SELECT named FROM r WHERE named IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.id = r.turn))
+    SELECT l.session, CAST(row_number() OVER (PARTITION BY l.session ORDER BY l.sequence, CASE WHEN kind = 'user' THEN 0 ELSE 1 END) AS INTEGER) AS ord, r.id AS message_id
+    FROM live l JOIN r ON r.turn = l.id WHERE l.session IN (SELECT session FROM kept)
+    """,
+)
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .chats import conversations
+
+    return conversations(table(spark, d, "turns"), table(spark, d, "chat_messages")).select("session", "ord", "message_id")
+
+
+@_register("p1_sessionized")
+def p1_sessionized(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions cut at calibrated pauses, where no turn table tells them."""
+    from .chats import sessionize
+
+    m = table(spark, d, "chat_messages")
+    return sessionize(m.select(F.col("session").alias("channel"), F.col("created_at").alias("ts"), "id", "role"))
