@@ -54,9 +54,24 @@ def _rows(key: np.ndarray, owner: np.ndarray, extra: np.ndarray, bucket: np.ndar
     )
 
 
-def _send(keys: np.ndarray, owners: np.ndarray, extras: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _narrow(keys: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each key; its leading bits are told by the block's number."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _widen(data: bytes, bucket: int, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    keys = out.view(np.uint64).ravel()
+    return keys | np.uint64(bucket << 8 * width) if width < 8 else keys
+
+
+def _send(keys: np.ndarray, owners: np.ndarray, extras: np.ndarray, parts: int, width: int) -> Iterator[pa.RecordBatch]:
+    bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    if width < 8:
+        keys = keys & np.uint64((1 << 8 * width) - 1) | bucket << np.uint64(8 * width)
     order = np.argsort(keys, kind="stable")
-    keys, owners, extras = keys[order], owners[order], extras[order]
+    keys, owners, extras, bucket = keys[order], owners[order], extras[order], bucket[order]
     twice = _held_twice(keys, owners)
     if twice.any():
         at = np.flatnonzero(twice)
@@ -68,19 +83,20 @@ def _send(keys: np.ndarray, owners: np.ndarray, extras: np.ndarray, parts: int)
     first = np.zeros(len(keys), bool)
     first[starts] = True
     keep = ~twice | first
-    keys, owners, extras, marks = keys[keep], owners[keep], extras[keep], twice[keep].astype(np.uint8)
-    bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    keys, owners, extras, bucket, marks = keys[keep], owners[keep], extras[keep], bucket[keep], twice[keep].astype(np.uint8)
+    order = np.lexsort((owners, bucket))  # equal owners side by side pack to almost nothing
+    keys, owners, extras, marks, bucket = (x[order] for x in (keys, owners, extras, marks, bucket))
     edges = np.searchsorted(bucket, np.arange(parts + 1, dtype=np.uint64))
     present = [b for b in range(parts) if edges[b + 1] > edges[b]]
     cut = lambda x: [x[edges[b] : edges[b + 1]].tobytes() for b in present]
     n = len(present)
     yield pa.RecordBatch.from_arrays(
-        [pa.array(present, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (keys, owners, extras, marks)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
+        [pa.array(present, pa.int32()), *(pa.array(cut(x), pa.binary()) for x in (_narrow(keys, width), owners, extras, marks)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())],
         names=["bucket", "keys", "owners", "extras", "marks", "key", "owner", "extra"],
     )
 
 
-def _pack(emit: Emit, parts: int, chunk: int):
+def _pack(emit: Emit, parts: int, chunk: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
@@ -89,41 +105,47 @@ def _pack(emit: Emit, parts: int, chunk: int):
                 held.append(emit(batch))
                 size += len(held[-1][0])
             if size >= chunk:
-                yield from _send(*map(np.concatenate, zip(*held)), parts)
+                yield from _send(*map(np.concatenate, zip(*held)), parts, width)
                 held, size = [], 0
         if size:
-            yield from _send(*map(np.concatenate, zip(*held)), parts)
+            yield from _send(*map(np.concatenate, zip(*held)), parts, width)
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks: list[list[bytes]] = [[], [], [], []]
-    for batch in batches:
-        plain = batch.filter(pc.is_valid(batch.column("key")))
-        if plain.num_rows:
-            yield pa.RecordBatch.from_arrays([plain.column(c) for c in ("key", "owner", "extra")], names=["key", "owner", "extra"])
-        packed = batch.filter(pc.is_valid(batch.column("keys")))
-        for held, name in zip(blocks, ("keys", "owners", "extras", "marks")):
-            held.extend(packed.column(name).to_pylist())
-    keys, owners, extras, marks = (np.frombuffer(b"".join(x), t) for x, t in zip(blocks, (np.uint64, np.int64, np.int32, np.uint8)))
-    if not len(keys):
-        return
-    order = np.argsort(keys, kind="stable")
-    keys, owners, marks = keys[order], owners[order], marks[order]
-    out = np.flatnonzero(_held_twice(keys, owners, marks) & (marks == 0))
-    for i in range(0, len(out), 100_000):
-        at = out[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(owners[at]), pa.array(extras[order[at]])], names=["key", "owner", "extra"])
+def _meet(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[list] = [[], [], [], []]
+        for batch in batches:
+            plain = batch.filter(pc.is_valid(batch.column("key")))
+            if plain.num_rows:
+                yield pa.RecordBatch.from_arrays([plain.column(c) for c in ("key", "owner", "extra")], names=["key", "owner", "extra"])
+            packed = batch.filter(pc.is_valid(batch.column("keys")))
+            blocks[0].extend(_widen(x, b, width) for x, b in zip(packed.column("keys").to_pylist(), packed.column("bucket").to_pylist()))
+            for held, name, kind in zip(blocks[1:], ("owners", "extras", "marks"), (np.int64, np.int32, np.uint8)):
+                held.extend(np.frombuffer(x, kind) for x in packed.column(name).to_pylist())
+        if not blocks[0]:
+            return
+        keys, owners, extras, marks = map(np.concatenate, blocks)
+        order = np.argsort(keys, kind="stable")
+        keys, owners, marks = keys[order], owners[order], marks[order]
+        out = np.flatnonzero(_held_twice(keys, owners, marks) & (marks == 0))
+        for i in range(0, len(out), 100_000):
+            at = out[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].view(np.int64)), pa.array(owners[at]), pa.array(extras[order[at]])], names=["key", "owner", "extra"])
+
+    return run
 
 
-def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS) -> DataFrame:
+def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS, width: int = 8) -> DataFrame:
     """Rows (key, owner, extra) of every key that two or more owners hold; the other keys are left out.
 
     ``emit`` turns a record batch of ``df`` into arrays of keys (uint64, evenly spread), owners
     (int64) and extras (int32). Repeated (key, owner) entries count as one owner. Null texts are
-    the emitter's business; an empty input gives an empty result.
+    the emitter's business; an empty input gives an empty result. ``width`` is the number of bytes of
+    a key that travel (the block number adds leading bits): 8 keeps keys whole, fewer are for callers
+    that verify what they get, to whom a chance meeting is one more candidate.
     """
     parts = shuffle_partitions(df.sparkSession)
-    sent = df.mapInArrow(_pack(emit, parts, chunk), PACKED)
-    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(_meet, "key bigint, owner bigint, extra int")
+    sent = df.mapInArrow(_pack(emit, parts, chunk, width), PACKED)
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(_meet(width), "key bigint, owner bigint, extra int")
