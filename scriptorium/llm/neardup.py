@@ -24,6 +24,8 @@ from ..session import cut
 
 SYMBOLS = 6
 WORDS = 13
+#: Bytes of a key that travel: pairs are verified, so a chance meeting costs a check and no more.
+KEY_BYTES = 5
 _rng = np.random.default_rng(20_240_601)
 _MULTIPLIERS = _rng.integers(1 << 62, (1 << 63) - 1, SYMBOLS * WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALTS = _rng.integers(0, (1 << 63) - 1, SYMBOLS, dtype=np.uint64)
@@ -80,7 +82,7 @@ def similar_texts(texts: DataFrame, threshold_percent: int = 80, gram: int = 3)
     allowed and add nothing. Each pair comes once, rid_a < rid_b. 100 * shared >= threshold * either
     is tested in whole numbers on the complete gram sets.
     """
-    keys = colliding(texts.select("rid", "text"), _emitter(gram)).distinct()
+    keys = colliding(texts.select("rid", "text"), _emitter(gram), width=KEY_BYTES)
     a, b = (keys.select("key", F.col("owner").alias(f"rid_{x}"), F.col("extra").alias(f"n_{x}")) for x in "ab")
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * threshold_percent
     pairs = a.join(b, "key").where((F.col("rid_a") < F.col("rid_b")) & fits("n_a", "n_b") & fits("n_b", "n_a")).select("rid_a", "rid_b").distinct()
