@@ -177,3 +177,18 @@ def p1_sessionized(spark: SparkSession, d: str) -> DataFrame:
 
     m = table(spark, d, "chat_messages")
     return sessionize(m.select(F.col("session").alias("channel"), F.col("created_at").alias("ts"), "id", "role"))
+
+
+@_register("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .pairs import main_defect
+
+    return main_defect(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage"))
+
+
+@_register("p2_labels")
+def p2_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Every label of a pair with its posterior."""
+    from .pairs import defects
+
+    return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage")).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
