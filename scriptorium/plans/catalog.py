@@ -29,3 +29,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return _QUERIES["p4_found"](spark, d)
+
+
+from . import nested  # noqa: E402, F401  the plan modules register their queries on import
