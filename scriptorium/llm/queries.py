@@ -192,3 +192,18 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     from .pairs import defects
 
     return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage")).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
+
+
+@_register("p8_mix")
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mixed_documents
+
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+@_register("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source."""
+    from .mixing import mixed_documents
+
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
