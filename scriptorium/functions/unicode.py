@@ -7,17 +7,18 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 _SPACE = re.compile(r"\s+")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc_fold(texts: pd.Series) -> pd.Series:
     """NFKC, white space collapsed and trimmed, case-folded; null stays null."""
     return texts.map(lambda t: _SPACE.sub(" ", unicodedata.normalize("NFKC", t)).strip().casefold(), na_action="ignore")
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def alnum_runs(texts: pd.Series) -> pd.Series:
     """Maximal runs of Han characters or of other alphanumeric ones, by the full Unicode definition, case-folded."""
 
