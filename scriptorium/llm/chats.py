@@ -73,7 +73,7 @@ def sessionize(messages: DataFrame, share: float = 0.95, factor: float = 4.0) ->
     Gives (channel, session_no, ord, id, role) for sessions in which both roles speak; the others
     are dropped. Null channels and timestamps take no part. Ties in ts go by id.
     """
-    m = messages.where(F.col("channel").isNotNull() & F.col("ts").isNotNull()).dropDuplicates(["channel", "id"])
+    m = messages.select("channel", "ts", "id", "role").where(F.col("channel").isNotNull() & F.col("ts").isNotNull()).dropDuplicates(["channel", "id"])
     w = Window.partitionBy("channel").orderBy("ts", "id")
     gap = calibrated_gap(m, share=share, factor=factor)
     pause = (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6

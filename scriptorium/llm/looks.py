@@ -137,9 +137,13 @@ def _normalise(batches):
 
 
 def to_one_form(df: DataFrame) -> DataFrame:
-    """``df`` (with a column text) and the added column one_form; null stays null, empty stays empty."""
+    """``df`` (with a column text) and the column one_form; null stays null, empty stays empty.
+
+    A column one_form that ``df`` already has is replaced.
+    """
     from pyspark.sql.types import StringType, StructType
 
+    df = df.drop("one_form")
     schema = StructType([*df.schema.fields]).add("one_form", StringType())
     return df.mapInArrow(_normalise, schema)
 
