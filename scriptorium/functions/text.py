@@ -19,6 +19,11 @@ def analyze(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit(f"({HAN})"), F.lit(1)), F.regexp_extract_all(low, F.lit("([a-z0-9]+)"), F.lit(1)))
 
 
+def bag(text: Column) -> Column:
+    """The tokens of ``analyze`` in text order, found in one pass; for counting, where order is no matter."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({HAN}|[a-z0-9]+)"), F.lit(1))
+
+
 def char_ngrams(text: Column, n: int) -> Column:
     """All n-grams of characters in order; none for a shorter text."""
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))

@@ -1,15 +1,18 @@
 """Batch retrieval: BM25 and its fielded forms, dense and sparse dot products, with total orders.
 
-Queries come as a table and are answered together. Only the terms that some query uses travel:
-documents are tokenised in the scan, tokens meet the query terms before any shuffle, and document
-frequencies come from the same small postings. Scores are rounded before ranking, so that the order
+Queries come as a table and are answered together, in blocks, against all rows: a block is a matrix
+that goes to the tasks, and what comes back of a batch of documents is its k best a query. Scores are rounded before ranking, so that the order
 of summation never decides a tie; ranks end in the document id.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,45 +54,125 @@ def top_k(scored: DataFrame, k: int, by: list[str], tie: str, score: str = "scor
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, tokens=T.analyze, population: Column | None = None, role: Column | None = None) -> DataFrame:
-    """BM25 hits (query_id, doc_id, score, rank); repeated query terms weigh by their number.
+class _TermBlock:
+    """A block of queries as a term list and a (terms x queries) matrix of query frequencies."""
 
-    With ``population`` the statistics come from its rows only, and ``role`` then masks candidates:
-    the mask is not the statistic. Rows with null ids or texts take no part.
-    """
-    docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    q = query_terms(queries, tokens)
-    stats_docs = docs if population is None else docs.where(population)
-    stats = corpus_stats(stats_docs, tokens)
-    dfs = postings(stats_docs, tokens, q).groupBy("term").agg(F.count("*").alias("df"))
-    p = postings(docs if role is None else docs.where(role), tokens, q)
-    one = saturated(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)
-    scored = q.join(dfs, "term").join(p, "term").crossJoin(F.broadcast(stats))
-    scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qf") * idf(F.col("n"), F.col("df")) * one), 9).alias("score")).where("score <> 0")
-    return top_k(scored, k, ["query_id"], "doc_id")
+    def __init__(self, rows: list[tuple]):
+        self.ids = [r[0] for r in rows]
+        bags = [Counter(r[1] or ()) for r in rows]
+        self.terms = sorted(set().union(*bags)) if bags else []
+        at = {t: i for i, t in enumerate(self.terms)}
+        self.matrix = np.zeros((len(self.terms), len(rows)))
+        for q, bag in enumerate(bags):
+            for t, n in bag.items():
+                self.matrix[at[t], q] = n
+
+    def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of a column of token lists: row, term and frequency of the known terms, and the list lengths."""
+        offsets = column.offsets.to_numpy()
+        values = pc.index_in(column.values, value_set=pa.array(self.terms, pa.string()))
+        known = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        lengths = np.diff(offsets)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        keep = known >= 0
+        pair, tf = np.unique(row[keep] * max(len(self.terms), 1) + known[keep], return_counts=True)
+        return pair // max(len(self.terms), 1), pair % max(len(self.terms), 1), tf, lengths
+
+
+def _statistics(block: _TermBlock, fields: list[str]):
+    """Partial sums of a partition as rows (name, value): document frequencies, rows and field lengths."""
 
+    def run(batches):
+        df, lengths, n = np.zeros(len(block.terms), np.int64), np.zeros(len(fields), np.int64), 0
+        for b in batches:
+            inside = b.filter(pc.fill_null(b.column("in_population"), False))
+            seen = []
+            for i, f in enumerate(fields):
+                row, term, _, length = block.counts(inside.column(f))
+                seen.append(row * max(len(block.terms), 1) + term)
+                lengths[i] += length.sum()
+            n += inside.num_rows
+            df += np.bincount(np.unique(np.concatenate(seen)).astype(np.int64) % max(len(block.terms), 1), minlength=len(block.terms))[: len(block.terms)] if seen and len(block.terms) else 0
+        names = [*(f"t{i}" for i in np.flatnonzero(df)), *(f"l{i}" for i in range(len(fields))), "n"]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([*df[df > 0], *lengths, n], pa.int64())], names=["name", "value"])
+
+    return run
 
-def bm25_fields(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, k1: float = 1.2, b: float = 0.75, tokens=T.analyze) -> DataFrame:
-    """BM25F hits: field frequencies, normalised by field length and weighted, are summed before saturation.
 
-    The document frequency counts rows with the term in any field, also in one of weight 0.
-    ``docs``: doc_id and one column a field.
+def _block_bm25(block: _TermBlock, fields: list[str], weights: list[float], average: list[float], idfs: np.ndarray, k: int, k1: float, b: float, step: int = 512):
+    """Scores of all rows of a partition against the block, the k best of each batch a query."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pc.fill_null(batch.column("in_role"), False))
+            if not batch.num_rows or not len(block.terms):
+                continue
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            found = [block.counts(batch.column(f)) for f in fields]
+            scores = np.empty((len(keys), len(block.ids)))
+            for lo in range(0, len(keys), step):
+                hi = min(lo + step, len(keys))
+                x = np.zeros((hi - lo, len(block.terms)))
+                for (row, term, tf, length), w, a in zip(found, weights, average):
+                    s, e = np.searchsorted(row, [lo, hi])
+                    norm = 1 - b + b * length[row[s:e]] / (a or 1.0)
+                    x[row[s:e] - lo, term[s:e]] += w * tf[s:e] / norm
+                scores[lo:hi] = (x * (k1 + 1) / (x + k1) * idfs) @ block.matrix
+            scores = np.round(scores, 9)
+            for q, query_id in enumerate(block.ids):
+                column = scores[:, q]
+                at = np.flatnonzero(column > 0)
+                if len(at) > 4 * k:
+                    at = at[column[at] >= np.partition(column[at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort((keys[at], -column[at]))][:k]
+                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(at), pa.int64()), pa.array(keys[at], pa.int64()), pa.array(column[at])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def bm25_fields(docs: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, k1: float = 1.2, b: float = 0.75, tokens=T.bag, population: Column | None = None, role: Column | None = None, block: int = 1000) -> DataFrame:
+    """BM25F hits (query_id, doc_id, score, rank): field frequencies, normalised by field length and weighted, are summed before saturation.
+
+    The document frequency counts rows with the term in any field, also in one of weight 0. With
+    ``population`` the statistics come from its rows only, and ``role`` masks candidates: the mask is
+    not the statistic. Queries, a stated set with whole-number ids, are taken in blocks of ``block``.
+    A block takes two passes over the documents and no shuffle of postings: the first sums statistics
+    of the block's terms (a few numbers a task), the second multiplies batches of documents with the
+    block's term matrix and passes on the k best of each batch. Null ids and texts take no part.
     """
-    docs = docs.where(F.col("doc_id").isNotNull())
-    q = query_terms(queries, tokens)
-    long = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f), F.lit("")).alias("text"), F.lit(w).cast("double").alias("w")) for f, w in weights.items()))).alias("x")).select("doc_id", "x.*")
-    toks = long.select("doc_id", "field", "w", tokens(F.col("text")).alias("toks"))
-    stats = toks.groupBy("field").agg(F.avg(F.size("toks")).alias("avg_dl"))
-    n = docs.agg(F.count("*").alias("n"))
-    p = toks.select("doc_id", "field", "w", F.size("toks").alias("dl"), F.explode("toks").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    p = p.groupBy("doc_id", "field", "term").agg(F.count("*").alias("tf"), F.first("w").alias("w"), F.first("dl").alias("dl"))
-    x = F.col("w") * F.col("tf") / (1 - b + b * F.col("dl") / F.col("avg_dl"))
-    p = p.join(F.broadcast(stats), "field").groupBy("doc_id", "term").agg(F.sum(x).alias("x"))
-    dfs = p.groupBy("term").agg(F.count("*").alias("df"))
-    scored = q.join(dfs, "term").join(p, "term").crossJoin(F.broadcast(n))
-    score = F.col("qf") * idf(F.col("n"), F.col("df")) * F.col("x") * (k1 + 1) / (F.col("x") + k1)
-    scored = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(score), 9).alias("score")).where("score > 0")
-    return top_k(scored, k, ["query_id"], "doc_id")
+    fields = list(weights)
+    rows = docs.where(F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").cast("long"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)),
+        (F.lit(True) if population is None else population).alias("in_population"), (F.lit(True) if role is None else role).alias("in_role"),
+    )
+    names = [f"f{i}" for i in range(len(fields))]
+    parts = []
+    held: list[tuple] = []
+
+    def answer() -> None:
+        terms = _TermBlock(held)
+        sums = {r["name"]: r["value"] for r in rows.mapInArrow(_statistics(terms, names), "name string, value long").groupBy("name").agg(F.sum("value").alias("value")).collect()}
+        n = sums.get("n", 0)
+        df = np.array([sums.get(f"t{i}", 0) for i in range(len(terms.terms))], float)
+        idfs = np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0)
+        average = [sums.get(f"l{i}", 0) / n if n else 0.0 for i in range(len(fields))]
+        parts.append(rows.mapInArrow(_block_bm25(terms, names, [weights[f] for f in fields], average, idfs, k, k1, b), "query_id long, doc_id long, score double"))
+
+    for r in queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), tokens(F.col("text")).alias("toks")).toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            answer()
+            held = []
+    if held:
+        answer()
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "doc_id")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, tokens=T.bag, population: Column | None = None, role: Column | None = None) -> DataFrame:
+    """BM25 hits (query_id, doc_id, score, rank): BM25F over the one field text, which is the same formula."""
+    return bm25_fields(docs.where(F.col("text").isNotNull()), queries, {"text": 1.0}, k, k1, b, tokens, population, role)
 
 
 def bm25_channels(docs: DataFrame, queries: DataFrame, fields: dict[str, float], channels: dict[str, tuple[float, object]], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -120,9 +203,6 @@ def unit(v: Column) -> Column:
 
 
 def _block_search(ids, matrix, k: int, decimals: int):
-    import numpy as np
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             keys = batch.column("vec_id").to_numpy(zero_copy_only=False)
@@ -145,8 +225,6 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     size), every row of ``vectors`` is scored by one matrix product a batch, each batch passes on
     only its k best, and the final ranking sees batches x k rows a query.
     """
-    import numpy as np
-
     def blocks():
         held = []
         for r in queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").toLocalIterator():
@@ -180,6 +258,55 @@ def sparse_top_k(weights: DataFrame, query_weights: DataFrame, k: int = 10) -> D
     return top_k(scored, k, ["query_id"], "doc_id")
 
 
+def _block_sparse(block: _TermBlock, k: int, step: int = 512):
+    def run(batches):
+        width = len(block.terms)
+        for batch in batches:
+            if not batch.num_rows or not width:
+                continue
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            terms, weights = batch.column("terms"), batch.column("weights")
+            known = pc.fill_null(pc.index_in(terms.flatten(), value_set=pa.array(block.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+            w = weights.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(keys)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+            keep = known >= 0
+            row, known, w = row[keep], known[keep], w[keep]
+            scores = np.empty((len(keys), len(block.ids)))
+            for lo in range(0, len(keys), step):
+                hi = min(lo + step, len(keys))
+                s, e = np.searchsorted(row, [lo, hi])
+                x = np.bincount((row[s:e] - lo) * width + known[s:e], w[s:e], (hi - lo) * width).reshape(hi - lo, width)
+                scores[lo:hi] = x @ block.matrix
+            scores = np.round(scores, 9)
+            for q, query_id in enumerate(block.ids):
+                at = np.flatnonzero(scores[:, q] > 0)
+                at = at[np.lexsort((keys[at], -scores[at, q]))][:k]
+                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(at), pa.int64()), pa.array(keys[at], pa.int64()), pa.array(scores[at, q])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def sparse_rows_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
+    """Sparse dot hits of rows (doc_id, terms, weights: arrays of one length) against queries (query_id, terms).
+
+    The block form of ``sparse_top_k``: weights of a repeated term add up, query terms weigh by their
+    number, only positive scores count, and each batch of rows passes on its k best a query.
+    """
+    rows = rows.where("doc_id is not null and terms is not null and weights is not null").select(F.col("doc_id").cast("long"), "terms", F.col("weights").cast("array<double>"))
+    held: list[tuple] = []
+    parts = []
+    for r in queries.where("query_id is not null").select(F.col("query_id").cast("long"), "terms").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            parts.append(rows.mapInArrow(_block_sparse(_TermBlock(held), k), "query_id long, doc_id long, score double"))
+            held = []
+    if held:
+        parts.append(rows.mapInArrow(_block_sparse(_TermBlock(held), k), "query_id long, doc_id long, score double"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "doc_id")
+
+
 def strongest(encoded: DataFrame) -> DataFrame:
     """(doc_id, term, w) with the largest positive weight of a term in a document."""
     return encoded.where("w > 0").groupBy("doc_id", "term").agg(F.max("w").alias("w"))

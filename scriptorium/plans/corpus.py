@@ -14,7 +14,7 @@ from .search import _BI, D_TOK
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "title", "source", "record_key")
+    return table(spark, d, "documents", wide=True).select("doc_id", "text", "title", "source", "record_key")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:

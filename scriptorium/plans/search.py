@@ -15,7 +15,7 @@ D_TOK, Q_TOK = TOK.format("text"), TOK.format("query")
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "title", "record_key")
+    return table(spark, d, "documents", wide=True).select("doc_id", "text", "lang", "source", "title", "record_key")
 
 
 def eval_queries(spark: SparkSession, d: str) -> DataFrame:
@@ -140,9 +140,10 @@ _SPARSE = """
 
 
 def _sparse_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    q = search.query_terms(eval_queries(spark, d))
-    p = search.postings(docs(spark, d), wanted=q).select("doc_id", "term", (F.col("tf") / F.sqrt("dl")).alias("w"))
-    return search.sparse_top_k(p, q.select("query_id", "term", F.col("qf").cast("double").alias("w")), k)
+    """Documents as sparse vectors of term frequency over the root of the length."""
+    rows = docs(spark, d).select("doc_id", T.bag(F.col("text")).alias("terms"))
+    rows = rows.withColumn("weights", F.array_repeat(1 / F.sqrt(F.size("terms")), F.size("terms")))
+    return search.sparse_rows_top_k(rows, eval_queries(spark, d).select("query_id", T.bag(F.col("text")).alias("terms")), k)
 
 
 @register("r10_sparse_top_k", f"WITH {_bm25_sql()}, {_SPARSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")

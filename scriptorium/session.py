@@ -25,9 +25,15 @@ def build_session(cpus: int | str = "*", app: str = "scriptorium", **conf: str)
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data folder; columns and filters are pruned by the scan."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+    """One Parquet table of a data folder; columns and filters are pruned by the scan.
+
+    ``wide`` is for scans before heavy work on every row: a table in fewer splits than the session
+    has cores (one small file) is spread over the cores. Larger tables are read as they lie.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
 
 
 def cut(df: DataFrame) -> DataFrame:
