@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     """Story units as (unit_id, record_id, text)."""
-    return table(spark, d, "p05_story_rus").select(
+    return table(spark, d, "p05_story_rus", wide=True).select(
         "unit_id", F.col("source.canonical_address.record_id").alias("record_id"), F.col("retrieval_visible_text").alias("text")
     )
 
@@ -94,7 +94,7 @@ def p3_amount(spark: SparkSession, d: str) -> DataFrame:
 def p3_lines(spark: SparkSession, d: str) -> DataFrame:
     from .spans import repeated_lines
 
-    return repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return repeated_lines(table(spark, d, "documents", wide=True).select("doc_id", "text"))
 
 
 @_register("p5_found")
@@ -115,7 +115,7 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leaks import leaked_items
 
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaked_items(table(spark, d, "documents", wide=True), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 @_register("p7_coverage")
@@ -123,21 +123,21 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Tiles, covered characters and coverage of each leaked item in each document."""
     from .leaks import leaked_items
 
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaked_items(table(spark, d, "documents", wide=True), table(spark, d, "eval_items"))
 
 
 @_register("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from .personal import personal_spans
 
-    return personal_spans(table(spark, d, "documents"))
+    return personal_spans(table(spark, d, "documents", wide=True))
 
 
 @_register("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     from .personal import redacted
 
-    return redacted(table(spark, d, "documents"))
+    return redacted(table(spark, d, "documents", wide=True))
 
 
 _VISIBLE_RE2 = r"[^\s\pZ\p{Cc}\p{Cf}\x{34f}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}\x{fe00}-\x{fe0f}]"
@@ -183,7 +183,7 @@ def p1_sessionized(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .pairs import main_defect
 
-    return main_defect(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage"))
+    return main_defect(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage", wide=True))
 
 
 @_register("p2_labels")
@@ -191,14 +191,14 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every label of a pair with its posterior."""
     from .pairs import defects
 
-    return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage")).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
+    return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage", wide=True)).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
 
 
 @_register("p8_mix")
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     from .mixing import mixed_documents
 
-    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixed_documents(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets"))[0]
 
 
 @_register("p8_shares")
@@ -206,4 +206,4 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source."""
     from .mixing import mixed_documents
 
-    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixed_documents(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets"))[1]
