@@ -67,6 +67,7 @@ def _widen(data: bytes, bucket: int, width: int) -> np.ndarray:
 
 
 def _send(keys: np.ndarray, owners: np.ndarray, extras: np.ndarray, parts: int, width: int) -> Iterator[pa.RecordBatch]:
+    owners, extras = owners.astype(np.int64, copy=False), extras.astype(np.int32, copy=False)  # as the blocks are read
     bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     if width < 8:
         keys = keys & np.uint64((1 << 8 * width) - 1) | bucket << np.uint64(8 * width)

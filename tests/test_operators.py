@@ -176,3 +176,18 @@ def test_admission_goes_on_after_a_miss(spark):
     c = spark.createDataFrame([(1, "a", 1, 50), (1, "b", 2, 60), (1, "c", 3, 40), (1, "d", 4, 500)], "query_id int, key string, rank int, size long")
     got = {r.key: r.reason for r in assembly.admit(c, total=100, each=200).collect()}
     assert got == {"a": "admitted", "b": "no room", "c": "admitted", "d": "too large"}
+
+
+def test_colliding_keys_carry_their_extras(spark):
+    import numpy as np
+
+    from scriptorium.operators.collide import colliding
+
+    def emit(b):
+        ids = b.column("id").to_numpy()
+        return (ids // 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), ids.astype(np.int64), ids * 3  # extras as int64
+
+    for chunk, width in ((700, 8), (50_000, 5)):
+        got = {(r.owner, r.extra) for r in colliding(spark.range(0, 9001, 1, 5), emit, chunk, width).collect()}
+        assert got == {(i, 3 * i) for i in range(9000)}
+    assert colliding(spark.range(0), emit).count() == 0
