@@ -218,8 +218,8 @@ def x11_line_noise(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.forall(full, lambda x: x.rlike(r"^[\s\d.,:%/+-]+$")).alias("numeric_only"), F.size(F.filter(lines, lambda x: x.rlike(r"\d{7,}"))).alias("number_lines"))
 
 
-@register("p17_line_spans", r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM l), y AS (SELECT doc_id, p[i + 1] AS line, coalesce(list_sum(list_transform(p[1:i], lambda v: length(v) + 1)), 0) AS s FROM x) SELECT doc_id, CAST(s AS INTEGER) AS span_start, CAST(s + length(line) AS INTEGER) AS span_end FROM y WHERE length(line) >= 8 AND contains(line, '说') AND NOT regexp_matches(line, '^\s*[-*#]|https?://')")
-def p17_line_spans(spark: SparkSession, d: str) -> DataFrame:
+@register("line_spans", r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM l), y AS (SELECT doc_id, p[i + 1] AS line, coalesce(list_sum(list_transform(p[1:i], lambda v: length(v) + 1)), 0) AS s FROM x) SELECT doc_id, CAST(s AS INTEGER) AS span_start, CAST(s + length(line) AS INTEGER) AS span_end FROM y WHERE length(line) >= 8 AND contains(line, '说') AND NOT regexp_matches(line, '^\s*[-*#]|https?://')")
+def line_spans(spark: SparkSession, d: str) -> DataFrame:
     """Lines of at least eight characters with a narrative cue, with exact offsets."""
     x = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("p")).select("doc_id", "p", F.posexplode("p").alias("i", "line"))
     s = F.expr("aggregate(slice(p, 1, i), 0, (a, v) -> a + length(v) + 1)")
@@ -227,15 +227,15 @@ def p17_line_spans(spark: SparkSession, d: str) -> DataFrame:
     return x.where(keep).select("doc_id", s.alias("span_start"), (s + F.length("line")).alias("span_end"))
 
 
-@register("p11_reranker_text", "SELECT doc_id, substr(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10)), 1, 600) AS body, length(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10))) > 600 AS cut FROM documents")
-def p11_reranker_text(spark: SparkSession, d: str) -> DataFrame:
+@register("reranker_text", "SELECT doc_id, substr(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10)), 1, 600) AS body, length(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10))) > 600 AS cut FROM documents")
+def reranker_text(spark: SparkSession, d: str) -> DataFrame:
     line = lambda label, c: F.when(F.trim(c) != "", F.concat(F.lit(label), F.col(c)))
     body = F.concat_ws("\n", line("Title: ", "title"), line("Section: ", "source"), line("Text: ", "text"))
     return table(spark, d, "documents").select("doc_id", F.substring(body, 1, 600).alias("body"), (F.length(body) > 600).alias("cut"))
 
 
-@register("p19_merge_views", r"SELECT kind, regexp_replace(text, '\s+', ' ', 'g') AS view, array_to_string(list_sort(list(DISTINCT evidence_id)), ' ') AS evidence FROM (SELECT unnest(quotes, recursive := true) FROM card_semantic_cases) WHERE text IS NOT NULL GROUP BY 1, 2")
-def p19_merge_views(spark: SparkSession, d: str) -> DataFrame:
+@register("merge_views", r"SELECT kind, regexp_replace(text, '\s+', ' ', 'g') AS view, array_to_string(list_sort(list(DISTINCT evidence_id)), ' ') AS evidence FROM (SELECT unnest(quotes, recursive := true) FROM card_semantic_cases) WHERE text IS NOT NULL GROUP BY 1, 2")
+def merge_views(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "card_semantic_cases").select(F.explode("quotes").alias("q")).select("q.*").where("text is not null")
     return q.groupBy("kind", F.regexp_replace("text", r"\s+", " ").alias("view")).agg(F.array_join(F.sort_array(F.collect_set("evidence_id")), " ").alias("evidence"))
 
