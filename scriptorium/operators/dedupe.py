@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from ..functions import text as T
@@ -131,21 +129,149 @@ def literal_matches(rows: DataFrame, key: str, patterns: list[tuple[int, str]])
     return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, pattern_id long, start int")
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks of two texts (Ratcliff and Obershelp)."""
-    from difflib import SequenceMatcher
+def paragraphs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, start, text): the lines of the column text with visible characters, and where each begins."""
 
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+    def run(batches):
+        for b in batches:
+            at, starts, texts = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                offset = 0
+                for line in (t or "").splitlines(keepends=True):
+                    if not line.isspace():
+                        at.append(i)
+                        starts.append(offset)
+                        texts.append(line.rstrip("\r\n"))
+                    offset += len(line)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(texts, pa.string())], names=[key, "start", "text"])
+
+    return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, start int, text string")
 
 
-def near_paragraphs(rows: DataFrame, tests: DataFrame, n: int = 5, best: int = 12, least: float = 0.8, chars: int = 40) -> DataFrame:
-    """(key, test_id, ratio): paragraphs close to a test paragraph, found by shared n-grams and confirmed in full.
+class _Subsequences:
+    """Lengths of the longest common subsequences of a text and several short ones at once, bit by bit in one long integer.
+
+    Every text has a stretch of bits with a free one behind it, which takes the carry.
+    """
 
-    ``rows``: key, text; ``tests``: test_id, text. The ``best`` candidates by shared grams of each test are compared.
+    def __init__(self, texts: list[str]):
+        self.places, self.masks, self.full = [], {}, 0
+        at = 0
+        for t in texts:
+            for i, c in enumerate(t):
+                self.masks[c] = self.masks.get(c, 0) | 1 << at + i
+            self.places.append((at, len(t)))
+            self.full |= (1 << len(t)) - 1 << at
+            at += len(t) + 1
+
+    def lengths(self, text: str) -> list[int]:
+        v, full, masks = self.full, self.full, self.masks
+        for c in text:
+            if u := v & masks.get(c, 0):
+                v = (v + u | v - u) & full
+        return [n - (v >> at & (1 << n) - 1).bit_count() for at, n in self.places]
+
+
+def _counted(points: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Every character with how often it stood before in its row, in the order of the input; rows share as many of these as the matching of two texts can have at most."""
+    order = np.lexsort((points, rows))
+    p, r = points[order].astype(np.int64), rows[order]
+    first = np.concatenate([np.ones(1, bool), (p[1:] != p[:-1]) | (r[1:] != r[:-1])])
+    at = np.arange(len(p))
+    out = np.empty(len(p), np.int64)
+    out[order] = p << 32 | at - np.maximum.accumulate(np.where(first, at, 0))
+    return out
+
+
+def near_paragraphs(rows: DataFrame, tests: list[tuple[int, str]], least: float = 0.8, chars: int = 60, block: int = 90) -> DataFrame:
+    """(*columns of rows without text, test_id, ratio, longest): all paragraphs close to a test paragraph, white space ignored.
+
+    Close are two paragraphs of at least ``chars`` characters with a matching-block ratio (Ratcliff and
+    Obershelp, the test first) of at least ``least``, or any two that share a run of ``block`` characters.
+    The reference compares only the 12 paragraphs that share most 5-grams with a test; here every pair
+    is decided, equal ones too. No pair is passed over but by bounds that the ratio can't exceed: of
+    lengths, then of common characters, then of the longest common subsequence. Shared runs are found by hashes
+    of all runs of the tests. ``tests`` is a bounded list that the caller holds; rows take one pass without
+    a shuffle, and equal texts of a batch are worked on once.
     """
-    grams = lambda df, k, name: df.where(F.length("text") >= chars).select(F.col(k).alias(name), F.explode(F.transform(T.distinct_ngrams(F.col("text"), n), lambda g: F.xxhash64(g))).alias("g"))
-    shared = grams(rows, "key", "key").join(grams(tests, "test_id", "test_id"), "g").groupBy("test_id", "key").agg(F.count("*").alias("n"))
-    top = shared.withColumn("r", F.row_number().over(Window.partitionBy("test_id").orderBy(F.desc("n"), "key"))).where(F.col("r") <= best)
-    both = top.join(rows.select("key", F.col("text").alias("ta")), "key").join(tests.select("test_id", F.col("text").alias("tb")), "test_id")
-    return both.select("key", "test_id", F.round(sequence_ratio("ta", "tb"), 6).alias("ratio")).where(F.col("ratio") >= least)
+    clean = [(i, c) for i, t in tests if t and len(c := "".join(t.split())) >= min(chars, block)]
+    names = [c for c in rows.columns if c != "text"]
+
+    def run(batches):
+        from difflib import SequenceMatcher
+
+        points, offsets = code_points(pa.array([t for _, t in clean], pa.string()))
+        sizes = np.diff(offsets)
+        marks = np.repeat(np.arange(len(clean)), sizes)
+        words, at = np.unique(_counted(points, marks) if len(points) else np.zeros(0, np.int64), return_inverse=True)
+        has = np.zeros((len(words) + 1, len(clean)), np.uint8)  # the last row is that of all other words
+        has[at, marks] = 1
+        places, owners = gram_positions(offsets, block)
+        runs = gram_hashes(points, block)[places] if len(places) else np.zeros(0, np.uint64)
+        order = np.argsort(runs, kind="stable")
+        runs, owners = runs[order], owners[order]
+        alike = sorted(range(len(clean)), key=lambda j: (len(set(clean[j][1])) * 4 > len(clean[j][1]), len(clean[j][1])))  # tests that are met together
+        groups = [alike[i : i + 16] for i in range(0, len(alike), 16)]
+        group_of = {j: (g, i) for g, own in enumerate(groups) for i, j in enumerate(own)}
+        together = [_Subsequences([clean[j][1] for j in own]) for own in groups]
+
+        def compared(text: str, pairs: list[tuple[int, bool]]) -> list[tuple[int, float, int]]:
+            """Those of the pairs (place of a test, whether a run is shared) that are close to the text."""
+            out, lengths = [], {}
+            for j, shares in pairs:
+                a = clean[j][1]
+                if not shares:
+                    g, i = group_of[j]
+                    if g not in lengths:
+                        lengths[g] = together[g].lengths(text)
+                    if 2 * lengths[g][i] < least * (len(a) + len(text)) - 1e-9:
+                        continue
+                m = SequenceMatcher(None, a, text, autojunk=False)
+                ratio, longest = m.ratio(), m.find_longest_match().size
+                if min(len(a), len(text)) >= chars and ratio >= least or longest >= block:
+                    out.append((clean[j][0], ratio, longest))
+            return out
+
+        def close(texts: list[str]) -> list[list[tuple[int, float, int]]]:
+            """What each of some texts is close to."""
+            points, offsets = code_points(pa.array(texts, pa.string()))
+            lengths = np.diff(offsets)
+            fits = (np.minimum(lengths[:, None], sizes) >= chars) & (2 * np.minimum(lengths[:, None], sizes) >= least * (lengths[:, None] + sizes) - 1e-9)
+            some = np.flatnonzero(fits.any(1))
+            if len(some):
+                inside = np.repeat(fits.any(1), lengths)
+                tokens = _counted(points[inside], np.repeat(np.arange(len(some)), lengths[some]))
+                spot = np.minimum(np.searchsorted(words, tokens), len(words) - 1)
+                spot = np.where(words[spot] == tokens, spot, len(words))
+                edges = np.cumsum(lengths[some]) - lengths[some]
+                common = np.add.reduceat(has[spot], edges, axis=0, dtype=np.int32)
+                fits[some] &= 2 * common >= least * (lengths[some][:, None] + sizes) - 1e-9
+            pairs: list[dict[int, bool]] = [{} for _ in texts]
+            for i, j in zip(*np.nonzero(fits)):
+                pairs[i][int(j)] = False
+            places, inside = gram_positions(offsets, block)
+            if len(places) and len(runs):
+                h = gram_hashes(points, block)[places]
+                low, high = np.searchsorted(runs, h), np.searchsorted(runs, h, "right")
+                for k in np.flatnonzero(high > low):
+                    pairs[inside[k]] |= {int(j): True for j in owners[low[k] : high[k]]}
+            return [compared(t, list(p.items())) if p else [] for t, p in zip(texts, pairs)]
+
+        for b in batches:
+            whole = ["".join(t.split()) if t else "" for t in b.column(len(names)).to_pylist()]
+            texts = list(dict.fromkeys(t for t in whole if len(t) >= min(chars, block))) if clean else []
+            known = {}
+            start = 0
+            while start < len(texts):  # so many texts that their characters by tests are some 16 million
+                end, room = start + 1, (1 << 24) // len(clean) - len(texts[start])
+                while end < len(texts) and len(texts[end]) <= room:
+                    room -= len(texts[end])
+                    end += 1
+                known |= {t: f for t, f in zip(texts[start:end], close(texts[start:end])) if f}
+                start = end
+            out = [(i, *f) for i, t in enumerate(whole) if t in known for f in known[t]]
+            at = pa.array([x[0] for x in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(names))), pa.array([x[1] for x in out], pa.int64()), pa.array([round(x[2], 6) for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int32())], names=[*names, "test_id", "ratio", "longest"])
+
+    kinds = dict(rows.dtypes)
+    return rows.select(*names, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", test_id long, ratio double, longest int")

@@ -169,8 +169,17 @@ def u5_literal_matches(spark: SparkSession, d: str) -> DataFrame:
 
 @register("u6_near_paragraphs")
 def u6_near_paragraphs(spark: SparkSession, d: str) -> DataFrame:
-    q = questions(spark, d).select(F.col("id").alias("key"), "text")
-    return dedupe.near_paragraphs(q, table(spark, d, "eval_items").select(F.col("item_id").alias("test_id"), F.col("query").alias("text")), n=5, least=0.6, chars=12)
+    """Questions close to a query of the evaluation items (a fixed set of 200)."""
+    tests = [(r[0], r[1]) for r in table(spark, d, "eval_items").select("item_id", "query").collect()]
+    rows = table(spark, d, "turns", wide=True).select(F.col("id").alias("key"), F.col("question").alias("text")).distinct()
+    return dedupe.near_paragraphs(rows, tests, least=0.6, chars=12)
+
+
+@register("u6_item_paragraphs")
+def u6_item_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of documents close to one of an evaluation item, with the limits of the reference."""
+    tests = [(r[0], p) for r in table(spark, d, "eval_items").select("item_id", "text").collect() for p in (r[1] or "").splitlines()]
+    return dedupe.near_paragraphs(dedupe.paragraphs(docs(spark, d), "doc_id"), tests)
 
 
 @register("u8_repeats", "SELECT question, count(*) AS n, count(DISTINCT session) AS sessions FROM turns GROUP BY question HAVING count(*) > 1")

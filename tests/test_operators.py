@@ -191,3 +191,31 @@ def test_colliding_keys_carry_their_extras(spark):
         got = {(r.owner, r.extra) for r in colliding(spark.range(0, 9001, 1, 5), emit, chunk, width).collect()}
         assert got == {(i, 3 * i) for i in range(9000)}
     assert colliding(spark.range(0), emit).count() == 0
+
+
+def test_near_paragraphs_are_all_found(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    tests = [(i, word(150)) for i in range(4)] + [(9, None), (10, ""), (11, "short")]
+    change = lambda t, step: "".join("#" if i % step == 3 else c for i, c in enumerate("".join(t.split())))
+    near = [change(tests[i % 4][1], rng.choice((3, 5, 7, 40))) for i in range(60)] + [tests[0][1]] * 30
+    blocks = [word(400) + tests[1][1][:n] + word(400) for n in (80, 130, 150)]
+    lines = [*near, *blocks, word(150), tests[2][1][:50], "", None]
+    rows = spark.createDataFrame(list(enumerate(lines)), "key int, text string").repartition(3)
+    want = set()
+    for k, t in enumerate(lines):
+        for i, p in tests:
+            a, b = "".join((p or "").split()), "".join((t or "").split())
+            m = SequenceMatcher(None, a, b, autojunk=False)
+            if min(len(a), len(b)) >= 60 and m.ratio() >= 0.8 or m.find_longest_match().size >= 90:
+                want.add((k, i, round(m.ratio(), 6), m.find_longest_match().size))
+    assert sum(i == 0 for _, i, _, _ in want) > 40 and any(r < 0.8 for _, _, r, _ in want)
+    assert {tuple(r) for r in dedupe.near_paragraphs(rows, tests).collect()} == want
+    assert dedupe.near_paragraphs(rows, []).count() == 0
+
+
+def test_paragraphs_keep_their_offsets(spark):
+    df = spark.createDataFrame([(1, "一\r\n\n  \nzwei "), (2, None)], "k int, text string")
+    assert [tuple(r) for r in dedupe.paragraphs(df, "k").collect()] == [(1, 0, "一"), (1, 7, "zwei ")]
