@@ -162,9 +162,10 @@ def u4_contaminated(spark: SparkSession, d: str) -> DataFrame:
 
 @register("u5_literal_matches")
 def u5_literal_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Opening words of the evaluation items (a fixed set of 200) found literally in documents."""
-    patterns = [(r[0], r[1]) for r in table(spark, d, "eval_items").select("item_id", F.substring("text", 1, 40)).collect()]
-    return dedupe.literal_matches(docs(spark, d), "doc_id", patterns)
+    """Whole paragraphs of at least 12 visible characters of the evaluation items (a fixed set of 200) found literally in documents."""
+    items = table(spark, d, "eval_items").select("item_id", "text").collect()
+    patterns = dict.fromkeys((r[0], c) for r in items for p in (r[1] or "").splitlines() if len(c := "".join(p.split())) >= 12)
+    return dedupe.literal_matches(docs(spark, d), "doc_id", list(patterns))
 
 
 @register("u6_near_paragraphs")

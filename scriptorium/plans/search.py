@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -51,9 +51,23 @@ def r2_bm25(spark: SparkSession, d: str) -> DataFrame:
 )
 def m7_witness_rank(spark: SparkSession, d: str) -> DataFrame:
     """Best rank of a hit that holds the item's opening words literally."""
+    return _witness_rank(spark, d, F.substring("text", 1, 60))
+
+
+_WITNESS = f"""WITH {_bm25_sql(q=D_TOK)} SELECT e.item_id AS query_id, CAST(min(rank) AS INTEGER) AS witness_rank FROM top JOIN documents d USING (doc_id) JOIN eval_items e ON e.item_id = top.query_id
+    WHERE rank <= 50 AND e.text <> '' AND contains(d.text, e.text) GROUP BY e.item_id"""
+
+
+@register("m7_whole_quote", _WITNESS)
+def m7_whole_quote(spark: SparkSession, d: str) -> DataFrame:
+    """Best rank of a hit that holds the whole text of the item literally, as in the reference."""
+    return _witness_rank(spark, d, F.col("text"))
+
+
+def _witness_rank(spark: SparkSession, d: str, quote: Column) -> DataFrame:
     passages = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
     hits = search.bm25(docs(spark, d), passages, 50)
-    items = passages.select("query_id", F.substring("text", 1, 60).alias("quote"))
+    items = passages.select("query_id", quote.alias("quote")).where("quote <> ''")
     both = hits.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(items, "query_id")
     return both.where(F.col("text").contains(F.col("quote"))).groupBy("query_id").agg(F.min("rank").alias("witness_rank"))
 
