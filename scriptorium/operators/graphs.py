@@ -191,17 +191,22 @@ def per_graph(groups: DataFrame, what: Callable[[list[str], list[tuple[str, str]
     return groups.mapInArrow(run, schema)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 20) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, hops: int | None = None, most_rounds: int = 10_000) -> DataFrame:
     """(node, hops) reachable from starts (node) over edges (a, b), as joins in rounds; each node with its least hops.
 
-    Rounds end when nothing new is found; ``most_rounds`` bounds the depth of the answer.
+    Rounds end when nothing new is found, or after ``hops`` steps if a depth is asked for. ``most_rounds``
+    only guards against endless work: a walk that isn't over by then raises.
     """
     from ..session import cut
 
     seen = cut(starts.select("node").distinct().withColumn("hops", F.lit(0)))
     front = seen
-    for i in range(1, most_rounds + 1):
-        nxt = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(i))
+    i = 0
+    while hops is None or i < hops:
+        i += 1
+        if i > most_rounds:
+            raise ValueError(f"the walk isn't over after {most_rounds} rounds")
+        nxt = front.join(edges, front["node"] == edges["a"]).select(F.col("b").alias("node")).where("node is not null").distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(i))
         front = cut(nxt)
         if front.isEmpty():
             break
@@ -209,6 +214,33 @@ def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 20) -> Dat
     return seen
 
 
+def chain_places(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """(node, hops) of all nodes that the heads of chains reach, by doubling pointers; ``links``: node, back (null at a head).
+
+    A node has one link at most, back to another node of the table. Each round doubles the reach of every
+    pointer, so that a chain of n nodes takes log2(n) rounds whatever the number of chains. Nodes whose links
+    lead to no head (a cycle) are not reached; a chain longer than 2 ** ``most_rounds`` raises, and so do two
+    links of one node.
+    """
+    from ..session import cut
+
+    if not links.groupBy("node").count().where("count > 1").isEmpty():
+        raise ValueError("a node has several links")
+    state = cut(links.select("node", "back", F.when(F.col("back").isNull(), 0).otherwise(1).alias("hops")))
+    left = None
+    for _ in range(most_rounds):
+        # each round ends some pointer unless only cycles are left
+        open_now = state.where("back is not null").count()
+        if not open_now or open_now == left:
+            break
+        left = open_now
+        to = state.select(F.col("node").alias("back"), F.col("back").alias("further"), F.col("hops").alias("more"))
+        state = cut(state.join(to, "back", "left").select("node", F.col("further").alias("back"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")))
+    else:
+        raise ValueError(f"chains are longer than 2 ** {most_rounds}")
+    return state.where("back is null").select("node", "hops")
+
+
 def arrivals(ranks: DataFrame, order: DataFrame, k: int = 20) -> DataFrame:
     """Links (low, high) made when documents arrive one by one and each takes its best ``k`` among those already there.
 

@@ -219,3 +219,21 @@ def test_near_paragraphs_are_all_found(spark):
 def test_paragraphs_keep_their_offsets(spark):
     df = spark.createDataFrame([(1, "一\r\n\n  \nzwei "), (2, None)], "k int, text string")
     assert [tuple(r) for r in dedupe.paragraphs(df, "k").collect()] == [(1, 0, "一"), (1, 7, "zwei ")]
+
+
+def test_walks_go_on_to_their_end(spark):
+    import pytest
+
+    e = spark.createDataFrame([(i, i + 1) for i in range(22)], "a int, b int").coalesce(1)
+    start = spark.createDataFrame([(0,)], "node int")
+    assert {(r.node, r.hops) for r in graphs.reachable(e, start).collect()} == {(i, i) for i in range(23)}
+    assert graphs.reachable(e, start, 2).count() == 3
+    with pytest.raises(ValueError):
+        graphs.reachable(e, start, most_rounds=3)
+    links = [(i, i - 1 if i % 100 else None) for i in range(250)] + [(900, 901), (901, 900), (902, 901)]
+    df = spark.createDataFrame(links, "node int, back int")
+    assert {(r.node, r.hops) for r in graphs.chain_places(df).collect()} == {(i, i % 100) for i in range(250)}
+    with pytest.raises(ValueError):
+        graphs.chain_places(df, 3)
+    with pytest.raises(ValueError):
+        graphs.chain_places(df.union(df.limit(1)))
