@@ -202,7 +202,7 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def _block_search(ids, matrix, k: int, decimals: int):
+def _block_search(ids, matrix, k: int, decimals: int, earlier: bool = False):
     def run(batches):
         for batch in batches:
             keys = batch.column("vec_id").to_numpy(zero_copy_only=False)
@@ -212,18 +212,19 @@ def _block_search(ids, matrix, k: int, decimals: int):
             scores = np.round(flat.reshape(len(keys), -1) @ matrix.T, decimals)
             for j in range(len(ids)):
                 at = np.lexsort((keys, -scores[:, j]))
-                at = at[keys[at] != ids[j]][:k]
+                at = at[keys[at] < ids[j] if earlier else keys[at] != ids[j]][:k]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j])), pa.array(keys[at]), pa.array(scores[at, j])], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, decimals: int = 6) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, decimals: int = 6, earlier: bool = False) -> DataFrame:
     """Exact cosine hits (query_id, vec_id, score, rank) of unit vectors against all rows, own id left out.
 
     ``queries`` is a stated set; it goes to the executors in blocks of ``block`` vectors (a bounded
     size), every row of ``vectors`` is scored by one matrix product a batch, each batch passes on
-    only its k best, and the final ranking sees batches x k rows a query.
+    only its k best, and the final ranking sees batches x k rows a query. With ``earlier`` only ids
+    below the query's own count, before any cut at k.
     """
     def blocks():
         held = []
@@ -239,7 +240,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
     for held in blocks():
         ids, matrix = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-        parts.append(rows.mapInArrow(_block_search(ids, matrix, k, decimals), "query_id long, vec_id long, score double"))
+        parts.append(rows.mapInArrow(_block_search(ids, matrix, k, decimals, earlier), "query_id long, vec_id long, score double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "vec_id")

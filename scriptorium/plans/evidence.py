@@ -177,6 +177,14 @@ def x1_arrivals(spark: SparkSession, d: str) -> DataFrame:
     return graphs.arrivals(ranks, v.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("place")))
 
 
+@register("x1_all_arrivals", f"WITH {_DENSE}, b AS (SELECT query_id AS source, vec_id AS target, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM dense WHERE vec_id < query_id) SELECT DISTINCT least(source, target) AS low, greatest(source, target) AS high FROM b WHERE n <= 20")
+def x1_all_arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """As x1_arrivals, but ranked among the earlier vectors only, however far down the whole ranking they stand."""
+    v = table(spark, d, "embeddings")
+    ranks = search.dense_top_k(v, v.where("vec_id % 100 = 0"), 20, earlier=True).select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), "rank")
+    return graphs.arrivals(ranks, v.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("place")))
+
+
 # ---- assembly ----------------------------------------------------------------------------------
 
 
