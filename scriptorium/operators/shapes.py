@@ -2,12 +2,14 @@
 
 Objects of varying presence are classified bottom-up by a tree automaton: leaves have the state of
 their JSON type, an array the states of its elements, an object the states of its keys. An object's
-state is its structural variant; each variant can be routed to its own typed table, with the keys
-all variants share kept as common columns and the parent pointer as the link.
+state is its structural variant. Variants are counted; ``subtype_table`` takes one of them if asked,
+with text columns (arrays of scalars as JSON) and the parent pointer as the link. Keys that variants
+share, and their types, are left to the caller.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -25,19 +27,43 @@ def token(key: str) -> str:
     return key.replace("~", "~0").replace("/", "~1")
 
 
-def state(value) -> str:
-    """State of a parsed JSON value: of the leaf's type, of the elements, or of the keys."""
+def states(value) -> dict[int, str]:
+    """States of all objects and arrays of a parsed JSON value by their id(), bottom-up and without recursion.
+
+    An object inside another one stands in the outer state by a hash of its own state, so that states stay short.
+    """
+    order, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, (dict, list)):
+            order.append(v)
+            stack.extend(v.values() if isinstance(v, dict) else v)
+    known: dict[int, str] = {}
+
+    def inner(v) -> str:
+        if isinstance(v, dict):
+            return "{#" + hashlib.sha256(known[id(v)].encode("utf-8", "surrogatepass")).hexdigest()[:16] + "}"
+        return known[id(v)] if isinstance(v, list) else _leaf(v)
+
+    for v in reversed(order):  # children stand behind their parents
+        if isinstance(v, list):
+            known[id(v)] = "[" + "|".join(sorted({inner(x) for x in v})) + "]"
+        else:
+            known[id(v)] = "{" + ",".join(f"{k}:{inner(x)}" for k, x in sorted(v.items())) + "}"
+    return known
+
+
+def _leaf(value) -> str:
     if value is None:
         return "null"
     if isinstance(value, bool):
         return "bool"
-    if isinstance(value, (int, float)):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    if isinstance(value, list):
-        return "[" + "|".join(sorted({"object" if isinstance(x, dict) else state(x) for x in value})) + "]"
-    return "{" + ",".join(f"{k}:{'object' if isinstance(v, dict) else state(v)}" for k, v in sorted(value.items())) + "}"
+    return "number" if isinstance(value, (int, float)) else "string"
+
+
+def state(value) -> str:
+    """State of a parsed JSON value: of the leaf's type, of the elements, or of the keys."""
+    return states(value)[id(value)] if isinstance(value, (dict, list)) else _leaf(value)
 
 
 def _text(value) -> str:
@@ -47,13 +73,14 @@ def _text(value) -> str:
 def nodes_of(value, arrays: frozenset[str]) -> list[dict]:
     """A row for each object that lies in an array of one of the names, without recursion."""
     out: list[dict] = []
+    known = states(value)
     stack = [(value, "", "", None, 0)]
     while stack:
         node, pointer, parent, name, position = stack.pop()
         if isinstance(node, dict):
             if name in arrays:
-                flat = {k: _text(v) for k, v in node.items() if v is not None and not isinstance(v, (dict, list))}
-                out.append({"array_name": name, "position": position, "pointer": pointer, "parent_pointer": parent, "shape": state(node), "fields": list(flat.items())})
+                flat = {k: _text(v) for k, v in node.items() if v is not None and not isinstance(v, dict) and not (isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v))}
+                out.append({"array_name": name, "position": position, "pointer": pointer, "parent_pointer": parent, "shape": known[id(node)], "fields": list(flat.items())})
             for k, v in node.items():
                 if isinstance(v, (dict, list)):
                     stack.append((v, f"{pointer}/{token(k)}", pointer, k if isinstance(v, list) else None, 0))

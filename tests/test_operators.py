@@ -237,3 +237,15 @@ def test_walks_go_on_to_their_end(spark):
         graphs.chain_places(df, 3)
     with pytest.raises(ValueError):
         graphs.chain_places(df.union(df.limit(1)))
+
+
+def test_variants_are_told_apart_at_any_depth():
+    a, b = ({"k": {"x": {"y": v}}, "n": 1} for v in (1, "1"))
+    assert shapes.state(a) != shapes.state(b) and shapes.state([a]) != shapes.state([b])
+    assert shapes.state(a) == shapes.state({"n": 2.5, "k": {"x": {"y": 7}}})
+    deep = {}
+    for _ in range(5000):
+        deep = {"d": [deep]}
+    assert shapes.state(deep).startswith("{d:[{#")
+    (node,) = shapes.nodes_of({"modules": [{"tags": ["a", 1], "empty": [], "rows": [{}], "t": "x"}]}, frozenset(["modules"]))
+    assert dict(node["fields"]) == {"tags": '["a",1]', "empty": "[]", "t": "x"}
