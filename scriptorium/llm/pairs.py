@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ("empty", "echo", "refusal", "wrong_language", "truncated")
-#: Cutoffs of the posteriors, validated on the labelled pairs that the tests write.
+#: Cutoffs of the posteriors: even odds. They were not validated on labelled pairs.
 CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 YES, NO, ABSTAIN = "+", "-", "0"
 
