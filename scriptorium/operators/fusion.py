@@ -81,6 +81,23 @@ def yes_probability(yes: Column, no: Column) -> Column:
     return 1 / (1 + F.exp(no - yes))
 
 
+def containment(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(by, key): hits of one query of which the text of ``key`` stands whole in that of ``by``; equal texts cover each other.
+
+    ``hits``: query_id, key; ``texts``: key, text. Only the hits of a query meet, so that the work is
+    bounded by the depth of retrieval. Null and empty texts neither cover nor are covered.
+    """
+
+    def run(group):
+        rows = list(zip(group["key"], group["text"]))
+        found = [(a, b) for a, outer in rows for b, inner in rows if a != b and len(inner) <= len(outer) and inner in outer]
+        return pd.DataFrame({"by": [x[0] for x in found], "key": [x[1] for x in found]}, dtype=group["key"].dtype)
+
+    kind = dict(hits.dtypes)["key"]
+    held = hits.select("query_id", "key").distinct().join(texts.where("text <> ''"), "key")
+    return held.groupBy("query_id").applyInPandas(run, f"by {kind}, key {kind}").distinct()
+
+
 def defer_covered(ranked: DataFrame, covers: DataFrame, limit: int = 100) -> DataFrame:
     """Candidates covered by one earlier main candidate moved behind all main ones.
 

@@ -308,6 +308,5 @@ def f9_mmr(spark: SparkSession, d: str) -> DataFrame:
 def f5_defer_covered(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text stands whole in another one are moved behind the uncovered ones."""
     h = two_lists(spark, d).where("route = 'bm25'").select("query_id", "key", "rank")
-    t = docs(spark, d).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("h"))
-    covers = t.select("h", F.col("key").alias("by")).join(t, "h").where("by <> key").select("by", "key")
+    covers = fusion.containment(h, docs(spark, d).select(F.col("doc_id").alias("key"), "text"))
     return fusion.defer_covered(h, covers, 30)

@@ -249,3 +249,10 @@ def test_variants_are_told_apart_at_any_depth():
     assert shapes.state(deep).startswith("{d:[{#")
     (node,) = shapes.nodes_of({"modules": [{"tags": ["a", 1], "empty": [], "rows": [{}], "t": "x"}]}, frozenset(["modules"]))
     assert dict(node["fields"]) == {"tags": '["a",1]', "empty": "[]", "t": "x"}
+
+
+def test_contained_hits_are_covered(spark):
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (1, "e"), (2, "b"), (2, "d")], "query_id int, key string")
+    texts = spark.createDataFrame([("a", "one two three"), ("b", "two"), ("c", "two"), ("d", "two three"), ("e", None)], "key string, text string")
+    got = {(r.by, r.key) for r in fusion.containment(hits, texts).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "b"), ("d", "b")}
