@@ -73,13 +73,18 @@ def gram_positions(offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]
     return np.arange(len(rows)) - first[rows] + offsets[:-1][rows], rows
 
 
-def text_hashes(points: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
-    """One 64-bit hash for each text of the batch."""
+def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One 64-bit hash for each of the runs points[start:end]."""
     up, down = _power_table(len(points))
     sums = np.zeros(len(points) + 1, np.uint64)
     np.cumsum(mix64(points + np.uint64(seed * 0x10001 + 0x5851F42D)) * up[: len(points)], out=sums[1:])
-    body = (sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]]
-    return mix64(body + mix64(np.diff(offsets).astype(np.uint64) + np.uint64(seed + 1)))
+    body = (sums[ends] - sums[starts]) * down[starts]
+    return mix64(body + mix64((ends - starts).astype(np.uint64) + np.uint64(seed + 1)))
+
+
+def text_hashes(points: np.ndarray, offsets: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One 64-bit hash for each text of the batch."""
+    return span_hashes(points, offsets[:-1], offsets[1:], seed)
 
 
 def batch(*columns: np.ndarray | pa.Array, names: list[str]) -> pa.RecordBatch:
