@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codepoints import batch, code_points, text_hashes
 from ..session import cut
+from .compose import compose, expand
 
 # Letters of the same shape, look-alike first, Latin letter second.
 LOOKALIKES = {
@@ -62,8 +63,8 @@ def _expand(cp: int) -> tuple[int, ...]:
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expansions (offsets and flat values) and mark classes by code point; sorted pairs and what they compose to."""
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """Expansions of all code points: offsets and flat values."""
     flat: list[int] = []
     edges = np.zeros(sys.maxunicode + 2, np.int64)
     for cp in range(sys.maxunicode + 1):
@@ -72,52 +73,12 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray
         else:
             flat.extend(_expand(cp))
         edges[cp + 1] = len(flat)
-    classes = np.zeros(sys.maxunicode + 1, np.uint8)
-    pairs: dict[int, int] = {}
-    for cp in range(0x20000):
-        classes[cp] = unicodedata.combining(chr(cp))
-        parts = unicodedata.decomposition(chr(cp)).split()
-        if len(parts) == 2 and parts[0][0] != "<" and unicodedata.normalize("NFC", chr(cp)) == chr(cp):
-            pairs[int(parts[0], 16) << 32 | int(parts[1], 16)] = cp
-    left = np.array(sorted(pairs), np.uint64)
-    return edges, np.array(flat, np.uint32), classes, left, np.array([pairs[int(x)] for x in left], np.uint32), np.diff(edges)
+    return edges, np.array(flat, np.uint32)
 
 
 def one_form(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The code points and offsets of the texts in their one form."""
-    edges, flat, classes, left, composed, widths = tables()
-    width = widths[points]
-    ends = np.cumsum(width)
-    total = int(ends[-1]) if len(ends) else 0
-    source = np.repeat(np.arange(len(points)), width)
-    out = flat[np.arange(total) - (ends - width)[source] + edges[points[source]]]
-    bounds = np.concatenate([np.zeros(1, np.int64), ends])[offsets]
-    marks = classes[out]
-    if marks.any():
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        start = (marks == 0) | np.diff(row, prepend=-1).astype(bool)
-        cluster = np.cumsum(start)
-        order = np.lexsort((np.arange(total), marks, cluster))
-        out, marks = out[order], classes[out[order]]
-        alive = np.ones(total, bool)
-        base = np.flatnonzero(start)
-        step = 1
-        while True:  # the step-th mark of every cluster, all clusters at once
-            at = base + step
-            ok = at < total
-            ok[ok] = ~start[at[ok]]
-            base, at = base[ok], at[ok]
-            if not len(base):
-                break
-            pair = out[base].astype(np.uint64) << np.uint64(32) | out[at].astype(np.uint64)
-            found = np.minimum(np.searchsorted(left, pair), len(left) - 1)
-            joins = left[found] == pair
-            out[base[joins]] = composed[found[joins]]
-            alive[at[joins]] = False
-            step += 1
-        kept = np.concatenate([np.zeros(1, np.int64), np.cumsum(alive)])
-        out, bounds = out[alive], kept[bounds]
-    return out, bounds
+    return compose(*expand(points, offsets, *tables()))
 
 
 def _encode(points: np.ndarray, bounds: np.ndarray) -> pa.Array:
