@@ -1,11 +1,11 @@
 """Near-duplicate records by meet-in-the-middle ball hashing.
 
-A fingerprint is a word of six min-hash symbols of the text's set of character n-grams. In the metric
+A fingerprint is a word of five min-hash symbols of the text's set of character n-grams. In the metric
 that counts erased symbols (one symbol changed = distance 2), the ball of radius 2 around a
 fingerprint is searched from both ends: every fingerprint emits its variants within half the
-radius, which are its six words with one symbol erased, and two records meet on a variant exactly
-if their words differ in at most one symbol. Thirteen independent words make a pair of similarity
-0.8 meet with probability 1 - 1e-6 (0.655 a word), and more surely above; unrelated texts, whose
+radius, which are its five words with one symbol erased, and two records meet on a variant exactly
+if their words differ in at most one symbol. Eleven independent words make a pair of similarity
+0.8 meet with probability 1 - 4e-7 (0.737 a word), and more surely above; unrelated texts, whose
 similarity is near 0.01, practically never do. The variants travel packed, only colliding ones
 become rows, the pairs are deduplicated, and each pair is verified on the whole texts.
 """
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codepoints import batch, code_points, gram_hashes, gram_positions, mix64
-from ..operators.collide import colliding
 from ..session import cut
+from .collide import colliding
 
-SYMBOLS = 6
-WORDS = 13
+SYMBOLS = 5
+WORDS = 11
 #: Bytes of a key that travel: pairs are verified, so a chance meeting costs a check and no more.
 KEY_BYTES = 5
 _rng = np.random.default_rng(20_240_601)

@@ -1,27 +1,35 @@
 """Long exact spans shared between records, and repeated lines.
 
-Lines alone cannot give the spans asked for (a shared passage may start and end anywhere), so the
-hashed unit is a window of ``least`` code points at every offset; its digests are grouped globally
-and offsets are kept. Windows are not sent wholesale: each is first represented by the smallest
-hash of the half-length runs inside it (winnowing). A window that occurs in two records has the
-same representative in both, so only windows whose representative is held by two records are
-hashed in full. Representatives are few, and runs of windows share one.
+Units are lines, trimmed of white space: their digests are grouped globally, every copy is shared
+as a whole, and of a line held by many records only the first and the last owner (in the order of
+their numbers) go on to the next step; the rest is removed there, with its offsets kept for the
+result. A shared passage may also start and end inside lines, so that line digests alone can't give
+all spans; the exact check behind them hashes windows of ``least`` code points at every offset of
+what is left. Windows are not sent wholesale: each is first represented by the smallest hash of the
+half-length runs inside it (winnowing). A window that occurs in two records has the same
+representative in both, so only windows whose representative is held by two records are hashed in
+full, with 96 bits. Two kept owners suffice: whoever else holds part of such a line meets at least
+one of them that is another record.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.codepoints import code_points, gram_hashes, gram_positions
-from ..operators.collide import colliding
+from ..functions.codepoints import code_points, gram_hashes, gram_positions, span_hashes
+from ..functions.lines import numbered_lines
 from ..session import cut
+from .collide import colliding
 
+_BLANKS = np.array([9, 10, 11, 12, 13, 32, 0x3000], np.uint32)
 
-def _representatives(points: np.ndarray, least: int) -> np.ndarray:
+
+def representatives(points: np.ndarray, least: int) -> np.ndarray:
     """For every start of a window of ``least`` code points, the least hash of the runs of half that length."""
     k = least // 2
     low = gram_hashes(points, k)
@@ -41,7 +49,7 @@ def _emit_representatives(least: int):
         at, rows = gram_positions(offsets, least)
         if not len(at):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        low = _representatives(points, least)[at]
+        low = representatives(points, least)[at]
         new = np.ones(len(at), bool)
         new[1:] = (low[1:] != low[:-1]) | (rows[1:] != rows[:-1])
         space = b.column("space").to_numpy(zero_copy_only=False)[rows[new]].astype(np.uint64)
@@ -50,19 +58,61 @@ def _emit_representatives(least: int):
     return emit
 
 
+def _lines(points: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of all lines of ``least`` code points or more, white space at their ends left out."""
+    n = len(points)
+    breaks = points == 0x0A
+    cuts = np.unique(np.concatenate([offsets, np.flatnonzero(breaks), np.flatnonzero(breaks) + 1]))
+    starts, ends = cuts[:-1], cuts[1:]
+    shown = ~np.isin(points, _BLANKS)
+    after = np.minimum.accumulate(np.where(shown, np.arange(n), n)[::-1])[::-1] if n else np.zeros(0, np.int64)
+    before = np.maximum.accumulate(np.where(shown, np.arange(n), -1)) if n else np.zeros(0, np.int64)
+    starts, ends = after[starts], before[ends - 1] + 1
+    rows = np.searchsorted(offsets, starts, "right") - 1
+    keep = ends - starts >= least
+    return starts[keep], ends[keep], rows[keep]
+
+
+def _emit_lines(least: int):
+    def emit(b: pa.RecordBatch):
+        points, offsets = code_points(b.column("text"))
+        starts, ends, rows = _lines(points, offsets, least)
+        space = b.column("space").to_numpy(zero_copy_only=False)[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        first, second = (span_hashes(points, starts, ends, seed) for seed in (0, 1))
+        return first + space, b.column("rid").to_numpy(zero_copy_only=False)[rows], _placed(starts - offsets[:-1][rows], second)
+
+    return emit
+
+
+def _placed(offset: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """An offset in the lower and 32 bits of a second hash in the upper half of one number."""
+    return (second & np.uint64(0xFFFFFFFF00000000)).view(np.int64) | offset.astype(np.int64)
+
+
 def _emit_windows(least: int):
     def emit(b: pa.RecordBatch):
         points, offsets = code_points(b.column("text"))
         at, rows = gram_positions(offsets, least)
         if not len(at):
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         space = b.column("space").to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        low = _representatives(points, least)[at] + space[rows]
+        low = representatives(points, least)[at] + space[rows]
         wanted = b.column("keys")
         held = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         keep = np.isin(low, held)  # a key wanted by another text of the batch only adds work, never a wrong row
+        removed = b.column("removed")
+        if len(removed.flatten()):
+            gone = np.zeros(len(points) + 1, np.int64)  # windows that start and end inside a removed line
+            counts = pc.fill_null(pc.list_value_length(removed), 0).to_numpy(zero_copy_only=False)
+            first = removed.flatten().to_numpy(zero_copy_only=False) + offsets[:-1][np.repeat(np.arange(len(counts)), counts)]
+            starts, ends, _ = _lines(points, offsets, least)
+            ends = ends[np.searchsorted(starts, first)]
+            np.add.at(gone, first, 1)
+            np.add.at(gone, ends - least + 1, -1)
+            keep &= np.cumsum(gone)[at] == 0
         at, rows = at[keep], rows[keep]
-        return gram_hashes(points, least)[at] + space[rows], b.column("rid").to_numpy(zero_copy_only=False)[rows], (at - offsets[:-1][rows]).astype(np.int32)
+        first, second = (gram_hashes(points, least, seed)[at] for seed in (0, 1))
+        return first + space[rows], b.column("rid").to_numpy(zero_copy_only=False)[rows], _placed(at - offsets[:-1][rows], second)
 
     return emit
 
@@ -72,12 +122,18 @@ def _merge(least: int):
 
     def run(batches):
         for b in batches:
+            points, offsets = code_points(b.column("text"))
+            lines, line_ends, _ = _lines(points, offsets, least)
             spans = []
-            for starts in b.column("starts").to_pylist():
-                s = np.unique(np.asarray(starts, np.int64))
-                gap = np.flatnonzero(np.diff(s) > least)
-                first, last = s[np.r_[0, gap + 1]], s[np.r_[gap, len(s) - 1]] + least
-                spans.append([{"span_start": int(x), "span_end": int(y)} for x, y in zip(first, last)])
+            for i, (starts, whole) in enumerate(zip(b.column("starts").to_pylist(), b.column("lines").to_pylist())):
+                starts = np.asarray(starts or [], np.int64)
+                first = np.asarray(whole or [], np.int64)
+                ends = line_ends[np.searchsorted(lines, first + offsets[i])] - offsets[i]
+                pairs = np.stack([np.concatenate([starts, first]), np.concatenate([starts + least, ends])])
+                pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+                reach = np.maximum.accumulate(pairs[1])
+                new = np.flatnonzero(pairs[0][1:] > reach[:-1]) + 1
+                spans.append([{"span_start": int(x), "span_end": int(y)} for x, y in zip(pairs[0][np.r_[0, new]], reach[np.r_[new - 1, len(reach) - 1]])])
             yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(spans, kind)], names=["rid", "spans"])
 
     return run
@@ -90,16 +146,24 @@ def shared_spans(records: DataFrame, least: int = 40) -> DataFrame:
     if it lies in a run of at least ``least`` code points that also occurs in another record; runs
     that touch or overlap are one. Rows of one key count once; null keys, null texts and texts under
     ``least`` give no rows. Offsets are 0-based and half-open. Texts held by several records are
-    compared once, as the 64-bit hash of (origin, text), and are shared as a whole.
+    compared once, named by the 64-bit hash of (origin, text), and are shared as a whole.
     """
     rows = records.select("origin", "item_key", "text").where(F.col("item_key").isNotNull() & (F.length("text") >= least))
     rows = rows.withColumn("rid", F.xxhash64("origin", "text")).withColumn("space", F.xxhash64("origin"))
     items = cut(rows.select("origin", "item_key", "rid", F.length("text").alias("n")).distinct())
-    seeds = colliding(rows.select("rid", "space", "text"), _emit_representatives(least))
-    hits = seeds.groupBy("owner").agg(F.collect_set("key").alias("keys")).withColumnRenamed("owner", "rid")
-    texts = rows.select("rid", "space", "text").join(hits, "rid")
-    windows = colliding(texts, _emit_windows(least))
-    found = windows.groupBy("owner").agg(F.collect_set("extra").alias("starts")).select(F.col("owner").alias("rid"), "starts")
+    texts = rows.groupBy("rid", "space").agg(F.first("text").alias("text"))
+    place, tell = F.col("extra").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("extra", 32)
+    lines = cut(colliding(texts, _emit_lines(least), wide=True).select("key", tell.alias("tell"), "owner", place.alias("at")))
+    ends = lines.groupBy("key", "tell").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
+    marked = lines.join(ends, ["key", "tell"])
+    kept = F.col("owner").isin(F.col("first"), F.col("last"))
+    lines = marked.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("at").alias("lines"), F.collect_set(F.when(~kept, F.col("at"))).alias("removed"))
+    seeds = colliding(texts, _emit_representatives(least))
+    hits = seeds.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("key").alias("keys"))
+    touched = cut(texts.join(hits, "rid").join(lines, "rid", "left"))
+    windows = colliding(touched, _emit_windows(least), wide=True)
+    found = windows.groupBy(F.col("owner").alias("rid")).agg(F.collect_set(place).alias("starts"))
+    found = touched.select("rid", "text", "lines").join(found, "rid", "left").where("starts is not null or lines is not null")
     found = found.mapInArrow(_merge(least), "rid long, spans array<struct<span_start:int, span_end:int>>")
     copies = items.groupBy("rid").agg(F.min("item_key").alias("lo"), F.max("item_key").alias("hi")).where("lo < hi").select("rid", F.lit(True).alias("copied"))
     whole = F.array(F.struct(F.lit(0).alias("span_start"), F.col("n").alias("span_end")))
@@ -122,10 +186,9 @@ def repeated_lines(docs: DataFrame, least: int = 12) -> DataFrame:
     other is reported with its offsets in the stored text, ready for removal. Digests are
     pre-aggregated before the shuffle, so that a line held by a third of all rows is one row there.
     """
-    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"), F.split("text", "\n", -1).alias("all"))
-    before = F.expr("aggregate(slice(all, 1, line_no), 0, (s, x) -> s + length(x) + 1)")
-    lines = lines.select("doc_id", "line_no", before.alias("span_start"), F.length("line").alias("n"), F.trim("line").alias("unit")).where(F.length("unit") >= least)
-    lines = lines.select("doc_id", "line_no", "span_start", (F.col("span_start") + F.col("n")).alias("span_end"), F.sha2("unit", 256).alias("digest"))
+    lines = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.explode(numbered_lines("text")).alias("l")).select("doc_id", "l.*")
+    lines = lines.withColumn("unit", F.trim("line")).where(F.length("unit") >= least)
+    lines = lines.select("doc_id", "line_no", "span_start", (F.col("span_start") + F.length("line")).alias("span_end"), F.sha2("unit", 256).alias("digest"))
     first = lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     out = lines.join(first.select("digest", "first"), "digest").where(F.struct("doc_id", "line_no") > F.col("first"))
     return out.select("doc_id", "line_no", "span_start", "span_end", F.col("first.doc_id").alias("first_doc_id"))
