@@ -1,186 +1,231 @@
 """Evaluation passages inside training text, by greedy string tiling over Karp-Rabin seeds.
 
-Both sides are reduced to letters and digits of one case and width. Every window of ``least``
-characters of the evaluation texts is hashed; a pass over the documents hashes all their windows
-and keeps those that meet one (shared seeds). Each touched pair of document and item is then tiled:
-the longest match not yet covered is marked again and again, until no match of ``least`` characters
-is left, so that passages moved about are still found. The tiles give the item's coverage.
-
-The evaluation set is held against the documents in blocks of at most ``block_chars`` characters,
-the stated bound of what is sent to the executors; a larger set takes further passes.
+Both sides are reduced to letters and digits of one case and width (compatibility decomposition,
+composition of marks, lower case), every text by the same vectorised rule. A window of ``least``
+characters is represented by its seed, the least hash of the half-length runs inside it, so that
+equal windows have equal seeds. The seeds of the items make a bit filter of bounded size; one pass
+over the documents keeps the regions whose windows have a seed in the filter. Regions meet items by
+a join on seeds, and each touched pair of document and item is tiled: the longest match not yet
+covered is marked again and again, until no match of ``least`` characters is left, so that passages
+moved about are still found. The tiles give the item's coverage.
+
+Neither side is ever drawn to the driver; only the filter is, whose size has a stated bound. A
+filter that is too small for the items lets more regions through, which the join then drops.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache, reduce
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codepoints import code_points, gram_hashes, gram_positions
+from ..functions.codepoints import _power_table, code_points, gram_hashes, gram_positions, mix64
+from ..session import cut
+from .compose import compose, expand
+from .spans import representatives
 
-BLOCK_CHARS = 4_000_000
+#: Largest filter, in bits: 32 MB.
+FILTER_BITS = 1 << 28
 RESULT = "doc_id long, item_id long, tiles int, covered int, longest int, coverage double"
+_BETWEEN = 0xFFFFF  # a code point of no text, between two regions
 
 
 @cache
-def _table() -> np.ndarray:
-    """For each code point: its lower-case letter or digit of ordinary width, or 0 if it is dropped."""
-    out = np.zeros(0x110000, np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compatibility expansions (offsets and values), and the lower-case letter or digit of each code point, 0 if dropped."""
+    flat: list[int] = []
+    edges = np.zeros(0x110001, np.int64)
+    kept = np.zeros(0x110000, np.uint32)
     for cp in range(0x110000):
-        if 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp < 0x323B0:
-            out[cp] = cp if chr(cp).isalnum() else 0
-            continue
-        if cp >= 0x1FBFA:
-            continue
-        c = unicodedata.normalize("NFKC", chr(cp))
-        c = c.lower() if len(c) == 1 else chr(cp).lower()
-        out[cp] = ord(c) if len(c) == 1 and c.isalnum() else ord(chr(cp)) if len(c) > 1 and chr(cp).isalnum() else 0
-    return out
+        plain = 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0x20000 <= cp < 0x2F800 or cp >= 0x2FA20
+        c = chr(cp)
+        flat.extend([cp] if plain or 0xD800 <= cp < 0xE000 else map(ord, unicodedata.normalize("NFKD", c)))
+        edges[cp + 1] = len(flat)
+        if c.isalnum():
+            low = c.lower()
+            kept[cp] = ord(low[0]) if low[0].isalnum() else cp
+    return edges, np.array(flat, np.uint32), kept
 
 
 def kept_characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Letters and digits of a column of texts, in one case and width, with the offsets of the texts.
-
-    Separate accents are composed with their letters first, so that both spellings agree.
-    """
-    points, offsets = code_points(column)
-    if ((points >= 0x300) & (points < 0x370) | (points >= 0x3099) & (points <= 0x309A) | (points >= 0xFF9E) & (points <= 0xFF9F)).any():
-        points, offsets = code_points(pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in column.to_pylist()], pa.string()))
-    out = _table()[points]
+    """Letters and digits of a column of texts, in one case and width, with the offsets of the texts."""
+    edges, flat, kept = _tables()
+    points, bounds = compose(*expand(*code_points(column), edges, flat))
+    out = kept[points]
     keep = out > 0
-    return out[keep], np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[offsets]
+    return out[keep], np.concatenate([np.zeros(1, np.int64), np.cumsum(keep)])[bounds]
+
+
+class _Windows:
+    """Karp-Rabin hashes of the windows of any length of one text, from one prefix sum."""
+
+    def __init__(self, points: np.ndarray):
+        up, self.down = _power_table(len(points))
+        self.sums = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum(mix64(points + np.uint64(0x5851F42D)) * up[: len(points)], out=self.sums[1:])
+
+    def hashes(self, n: int, at: np.ndarray) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def _free(used: np.ndarray) -> np.ndarray:
+    """For every position the number of unmarked ones from there on."""
+    at = np.where(used, np.arange(len(used)), len(used))
+    return np.minimum.accumulate(at[::-1])[::-1] - np.arange(len(used))
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two code-point arrays: (start in doc, start in item, length), longest first.
 
-    Candidates are maximal matches that grow from shared seeds; after each mark the rest of a match
-    that was cut by a mark is taken up again if it still has ``least`` characters.
+    Each round finds, by bisection over window hashes, the greatest length at which unmarked
+    windows of both meet, and marks the meeting ones from left to right (the leftmost free partner
+    of the item each). Work grows with the lengths and the number of different tile lengths, never
+    with the number of equal windows, so that repetitive texts cost no more than others.
     """
     if min(len(doc), len(item)) < least:
         return []
-    a, b = gram_hashes(doc, least), gram_hashes(item, least)
-    order = np.argsort(b, kind="stable")
-    lo, hi = (np.searchsorted(b[order], a, side) for side in ("left", "right"))
-    at = np.repeat(np.arange(len(a)), hi - lo)
-    if not len(at):
-        return []
-    first = np.cumsum(hi - lo) - (hi - lo)
-    on = order[np.arange(len(at)) - first[at] + lo[at]]
-    by = np.lexsort((at, at - on))
-    at, on = at[by], on[by]
-    new = np.ones(len(at), bool)
-    new[1:] = (np.diff(at) != 1) | (np.diff(at - on) != 0)
-    starts = np.flatnonzero(new)
-    lengths = np.diff(np.append(starts, len(at))) + least - 1
-    matches = [(int(n), int(at[s]), int(on[s])) for s, n in zip(starts, lengths)]
-    used_doc, used_item = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    a, b = _Windows(doc), _Windows(item)
+    used_a, used_b = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     tiles = []
-    import heapq
-
-    heap = [(-n, i, j) for n, i, j in matches]
-    heapq.heapify(heap)
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        taken = used_doc[i : i + n] | used_item[j : j + n]
-        if not taken.any():
-            if (doc[i : i + n] == item[j : j + n]).all():
-                used_doc[i : i + n] = used_item[j : j + n] = True
-                tiles.append((i, j, n))
-            continue
-        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
-        for s, e in zip(edges[::2], edges[1::2]):
-            if e - s >= least:
-                heapq.heappush(heap, (-int(e - s), i + int(s), j + int(s)))
-    return tiles
-
-
-class _Block:
-    """Evaluation texts of one block: reduced characters, and window hashes sorted with their items."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], least: int):
-        self.ids = np.array(ids, np.int64)
-        self.least = least
-        self.points, self.offsets = kept_characters(pa.array(texts, pa.string()))
-        at, rows = gram_positions(self.offsets, least)
-        hashes = gram_hashes(self.points, least)[at] if len(at) else np.zeros(0, np.uint64)
-        pairs = np.unique(np.stack([hashes, rows.astype(np.uint64)]), axis=1)
-        self.hashes, self.rows = pairs[0], pairs[1].astype(np.int64)
-        self.filter = np.zeros(1 << 24, bool)
-        self.filter[(self.hashes >> np.uint64(40)).astype(np.int64)] = True
-
-    def search(self, ids: np.ndarray, column: pa.Array) -> list[tuple]:
-        points, offsets = kept_characters(column)
-        hashes = gram_hashes(points, self.least)
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(40)).astype(np.int64)]) if len(self.hashes) else np.zeros(0, np.int64)
-        if not len(maybe):
-            return []
-        row = np.searchsorted(offsets, maybe, "right") - 1
-        inside = maybe + self.least <= offsets[row + 1]
-        maybe, row = maybe[inside], row[inside]
-        lo, hi = (np.searchsorted(self.hashes, hashes[maybe], side) for side in ("left", "right"))
-        n = hi - lo
-        doc = np.repeat(row, n)
-        if not len(doc):
-            return []
-        item = self.rows[np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        out = []
-        for d, i in np.unique(np.stack([doc, item]), axis=1).T:
-            text = self.points[self.offsets[i] : self.offsets[i + 1]]
-            tiles = tile(points[offsets[d] : offsets[d + 1]], text, self.least)
-            if tiles:
-                covered = sum(t[2] for t in tiles)
-                out.append((int(ids[d]), int(self.ids[i]), len(tiles), covered, max(t[2] for t in tiles), covered / len(text)))
-        return out
-
-
-def _searcher(ids: list[int], texts: list[str], least: int):
-    held: list[_Block] = []
+    top = min(len(doc), len(item))
+    while True:
+        free_a, free_b = _free(used_a), _free(used_b)
+
+        def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            at_a, at_b = np.flatnonzero(free_a >= n), np.flatnonzero(free_b >= n)  # noqa: B023
+            h_a, h_b = a.hashes(n, at_a), b.hashes(n, at_b)
+            meet_a = np.isin(h_a, h_b)
+            return at_a[meet_a], h_a[meet_a], at_b, h_b
+
+        if not len(shared(least)[0]):
+            return tiles
+        lo, hi = least, min(top, int(free_a.max()), int(free_b.max()))
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if len(shared(mid)[0]) else (lo, mid - 1)
+        at_a, h_a, at_b, h_b = shared(lo)
+        order = np.lexsort((at_b, h_b))
+        at_b, h_b = at_b[order], h_b[order]
+        first, end = np.searchsorted(h_b, h_a), np.searchsorted(h_b, h_a, "right")
+        next_of: dict[int, int] = {}
+        stop = -1
+        for i, h, f, e in zip(at_a.tolist(), h_a.tolist(), first.tolist(), end.tolist()):
+            if i < stop:
+                continue
+            k = next_of.get(h, f)
+            while k < e and used_b[at_b[k] : at_b[k] + lo].any():
+                k += 1  # marks are never taken back, so that a passed partner stays passed
+            next_of[h] = k
+            if k < e:
+                j = int(at_b[k])
+                if (doc[i : i + lo] == item[j : j + lo]).all():
+                    used_a[i : i + lo] = used_b[j : j + lo] = True
+                    tiles.append((i, j, lo))
+                    stop = i + lo
+        top = lo if tiles and tiles[-1][2] == lo else lo - 1  # lo - 1 only if all that met were unequal texts of one hash
+        if top < least:
+            return tiles
+
+
+def _seeds(least: int, name: str):
+    """Distinct seeds (id, seed) of the items' windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not held:
-            held.append(_Block(ids, texts, least))
         for b in batches:
-            found = held[0].search(b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text"))
-            columns = zip(*found) if found else [[]] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "tiles", "covered", "longest", "coverage"])
+            points, offsets = kept_characters(b.column("text"))
+            at, rows = gram_positions(offsets, least)
+            low = representatives(points, least)[at] if len(at) else np.zeros(0, np.uint64)
+            pairs = np.unique(np.stack([rows.astype(np.uint64), low]), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(name).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], names=[name, "seed"])
+
+    return run
+
+
+def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """A bit array in which the slot of each seed is set, built from at most bits / 64 words."""
+    shift = 64 - int(np.log2(bits))
+    slots = seeds.select(F.shiftrightunsigned("seed", shift).alias("slot"))
+    words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    got = words.toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+
+
+def _regions(bitmap, bits: int, least: int):
+    """Regions (doc_id, region, body, seeds) of the documents under windows with a seed in the filter."""
+    shift = np.uint64(64 - int(np.log2(bits)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bitmap.value
+        for b in batches:
+            ids, at, body, seeds = [], [], [], []
+            points, offsets = kept_characters(b.column("text"))
+            starts, rows = gram_positions(offsets, least)
+            low = representatives(points, least)[starts] if len(starts) else np.zeros(0, np.uint64)
+            hit = np.flatnonzero(known[(low >> shift).astype(np.int64)])
+            starts, rows, low = starts[hit], rows[hit], low[hit]
+            new = np.ones(len(starts), bool)
+            new[1:] = (np.diff(starts) > least) | (np.diff(rows) != 0)
+            edges = np.append(np.flatnonzero(new), len(starts))
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                ids.append(int(rows[s]))
+                at.append(int(starts[s] - offsets[rows[s]]))
+                body.append(points[starts[s] : starts[e - 1] + least].tobytes())
+                seeds.append(np.unique(low[s:e]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(at, pa.int32()), pa.array(body, pa.binary()), pa.array(seeds, pa.list_(pa.int64()))],
+                names=["doc_id", "region", "body", "seeds"],
+            )
 
     return run
 
 
-def _blocks(items: DataFrame, block_chars: int) -> Iterator[tuple[list[int], list[str]]]:
-    ids: list[int] = []
-    texts: list[str] = []
-    size = 0
-    for item_id, text in items.toLocalIterator():
-        if ids and size + len(text) > block_chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item_id)
-        texts.append(text)
-        size += len(text)
-    if ids:
-        yield ids, texts
+def _tiled(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            texts, offsets = kept_characters(b.column("text"))
+            for i, (doc_id, item_id, regions) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), b.column("regions").to_pylist())):
+                item = texts[offsets[i] : offsets[i + 1]]
+                parts = [x for r in regions for x in (np.frombuffer(r["body"], np.uint32), np.array([_BETWEEN], np.uint32))]
+                tiles = tile(np.concatenate(parts), item, least)
+                if tiles:
+                    covered = sum(t[2] for t in tiles)
+                    out.append((doc_id, item_id, len(tiles), covered, max(t[2] for t in tiles), covered / len(item)))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            columns = zip(*out) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "tiles", "covered", "longest", "coverage"])
+
+    return run
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, least: int = 40, least_coverage: float = 0.0, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_items(docs: DataFrame, items: DataFrame, least: int = 40, least_coverage: float = 0.0, filter_bits: int | None = None) -> DataFrame:
     """Pairs (doc_id, item_id, tiles, covered, longest, coverage) of documents and the items found in them.
 
     ``docs``: doc_id, text; ``items``: item_id, text. Null ids and texts and items with fewer than
-    ``least`` letters and digits are never found. Rows of one id count once. ``coverage`` is the
-    share of the item's characters under tiles; pairs below ``least_coverage`` are left out.
+    ``least`` letters and digits are never found. Several rows of one doc_id are one document of
+    several regions; of several rows of one item_id the greatest text counts. ``coverage`` is the
+    share of the item's characters under tiles; pairs below ``least_coverage`` are left out. Passages
+    of fewer than ``least`` characters are no leak. The order and the batches of the rows don't
+    matter. ``filter_bits`` (a power of two, at least 64) sets the size of the filter, which else has
+    32 bits a seed up to FILTER_BITS; no size changes the result.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    items = items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["item_id"])
-    passes = [docs.mapInArrow(_searcher(ids, texts, least), RESULT) for ids, texts in _blocks(items, block_chars)]
-    if not passes:
-        return spark.createDataFrame([], RESULT)
-    return reduce(DataFrame.unionByName, passes).where(F.col("coverage") >= least_coverage).dropDuplicates(["doc_id", "item_id"])
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
+    seeds = cut(items.mapInArrow(_seeds(least, "item_id"), "item_id long, seed long"))
+    if filter_bits is None:
+        filter_bits = 1 << max(16, min(int(np.log2(FILTER_BITS)), int(np.ceil(np.log2(32 * max(seeds.count(), 1))))))
+    bitmap = spark.sparkContext.broadcast(_filter(seeds, filter_bits))
+    regions = cut(docs.mapInArrow(_regions(bitmap, filter_bits, least), "doc_id long, region int, body binary, seeds array<long>"))
+    touched = regions.select("doc_id", "region", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "region", "item_id").distinct()
+    held = touched.join(regions.select("doc_id", "region", "body"), ["doc_id", "region"])
+    pairs = held.groupBy("doc_id", "item_id").agg(F.sort_array(F.collect_set(F.struct("region", "body"))).alias("regions")).join(items, "item_id")
+    found = pairs.select("doc_id", "item_id", "regions", "text").mapInArrow(_tiled(least), RESULT)
+    return found.where(F.col("coverage") >= least_coverage)
