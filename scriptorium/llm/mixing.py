@@ -1,11 +1,13 @@
 """One mix of several sources with a target share of tokens each, by temperature mixing.
 
 The share of a source is w**t * s**(1 - t), normalised, with w its target weight, s its natural
-share of the tokens and t the temperature. At t = 1 the targets hold exactly. If a total is asked
-for that the repetition limits don't allow at the targets, t is bisected down to the largest value
-that keeps every source within its limit. Each source then gets its budget as whole passes over all
-its documents and one partial pass, cut from a permutation of its documents in blocks: whole blocks
-are taken by their token sums, and only the block on the boundary is looked at row by row.
+share of the tokens and t the exponent, the temperature. At t = 1 the targets hold exactly, at
+t = 0 the natural shares. The exponent is bisected to the largest value at which the repetition
+limits allow the wanted total: without a stated total that is the largest mix that holds the
+targets, and the exponent comes out as 1. ``entropy_shares`` bisects the exponent of s**a to a target
+entropy instead, for mixes without target weights. Each source then gets its budget as whole passes
+over all its documents and one partial pass, cut from a permutation of its documents in blocks:
+whole blocks are taken by their token sums, and only the block on the boundary is looked at row by row.
 """
 
 from __future__ import annotations
@@ -28,35 +30,44 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 BLOCK_ROWS = 50_000
 
 
-@cache
-def _encoding(folder: str, name: str):
-    import importlib.util
+# Fixed value: the public pattern that splits text before the merges of a rank file.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
+@cache
+def _encoding(lines: bytes):
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("_public_tokenizers", f"{folder}/__init__.py")
-    public = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(public)
-    with open(f"{folder}/{name}", "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counter(folder: str = TOKENIZERS, name: str = TOKENIZER) -> Callable[[str], int]:
-    """The number of tokens of a text under one of the public byte-level vocabularies in ``folder``."""
+class token_counter:
+    """The number of tokens of a text under a byte-level vocabulary (rank file) in ``folder``.
 
-    def count(text: str) -> int:
-        return len(_encoding(folder, name).encode_ordinary(text))
+    The file (under a megabyte) is read where the counter is made, on the driver, and travels with
+    it; executors need no such file.
+    """
+
+    def __init__(self, folder: str = TOKENIZERS, name: str = TOKENIZER):
+        with open(f"{folder}/{name}", "rb") as file:
+            self.lines = file.read()
 
-    return count
+    def __call__(self, text: str) -> int:
+        return len(_encoding(self.lines).encode_ordinary(text))
 
 
 def token_sizes(docs: DataFrame, counter: Callable[[str], int] | None = None) -> DataFrame:
-    """(doc_id, source, tokens) of each document; rows of one doc_id count once, null ids and texts are left out."""
-    counter = counter or token_counter()
+    """(doc_id, source, tokens) of each document; rows of one doc_id count once, null ids and texts are left out.
+
+    Of several rows of one doc_id the one with the greatest (source, tokens) counts. Texts are never
+    shuffled: a re-delivered row is counted again where it lies, and only its number travels.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(counter or token_counter())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            counter = held.value
             sizes = [counter(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
 
@@ -89,6 +100,19 @@ def entropy_shares(tokens: dict[str, float], entropy: float, rounds: int = 80) -
     return lo, at(lo)
 
 
+def entropy_report(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, tokens, exponent, share): shares s**exponent whose entropy is that of the target weights, over the targeted sources.
+
+    One row a source with tokens and a positive weight; the targets are a bounded table of settings.
+    """
+    weights = {r["source"]: float(r["target_weight"]) for r in targets.where("source is not null and target_weight > 0").dropDuplicates(["source"]).collect()}
+    sums = sizes.where(F.col("source").isin(list(weights)) & (F.col("tokens") > 0)).groupBy("source").agg(F.sum("tokens").alias("t")).collect()
+    tokens = {r["source"]: float(r["t"]) for r in sums}
+    whole = sum(weights[k] for k in tokens) or 1.0
+    exponent, shares = entropy_shares(tokens, -sum(weights[k] / whole * math.log(weights[k] / whole) for k in tokens))
+    return sizes.sparkSession.createDataFrame([(k, int(tokens[k]), exponent, p) for k, p in shares.items()], "source string, tokens long, exponent double, share double")
+
+
 def plan_shares(tokens: dict[str, int], weights: dict[str, float], limits: dict[str, int], total: int | None = None, rounds: int = 80) -> tuple[int, float, dict[str, float]]:
     """(total tokens, temperature, share of each source) for sources with tokens, weight and a limit.
 
@@ -107,24 +131,27 @@ def plan_shares(tokens: dict[str, int], weights: dict[str, float], limits: dict[
         return {k: v / sum(raw.values()) for k, v in raw.items()}
 
     room = lambda p: min(limits[k] * tokens[k] / p[k] for k in live)
-    if total is None or room(at(1.0)) >= total:
-        return int(room(at(1.0))) if total is None else total, 1.0, at(1.0)
-    if room(at(0.0)) < total:
-        return int(room(at(0.0))), 0.0, at(0.0)
+    natural = room(at(0.0))
+    wanted = room(at(1.0)) if total is None else min(float(total), max(natural, room(at(1.0))))
+    if room(at(1.0)) >= wanted:
+        return int(wanted), 1.0, at(1.0)  # the upper end of the bisection
     lo, hi = 0.0, 1.0
     for _ in range(rounds):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if room(at(mid)) >= total else (lo, mid)
-    return total, lo, at(lo)
+        lo, hi = (mid, hi) if room(at(mid)) >= wanted else (lo, mid)
+    return int(wanted), lo, at(lo)
 
 
-def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 1, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, tokens, copies) and its report, one row a target.
 
+    ``total`` is the wanted size in tokens, None for the largest mix that holds the targets, or
+    "available" for as many tokens as the targeted sources have.
+
     ``sizes``: doc_id, source, tokens; ``targets``: source, target_weight, max_repeats, a bounded
     table of settings that the driver reads. Documents of other or null sources take no part; targets
     without documents get nothing and their weight is spread over the others. The report has source,
-    target_share, planned_share, documents, available_tokens, mixed_tokens, reached_share and
+    target_share, planned_share, temperature, documents, available_tokens, mixed_tokens, reached_share and
     most_copies. A source misses its budget by less than one document.
     """
     spark = sizes.sparkSession
@@ -133,7 +160,9 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     limits = {k: int(r["max_repeats"] or 0) for k, r in wanted.items()}
     sums = sizes.where(F.col("source").isin(list(wanted)) & (F.col("tokens") > 0)).groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")).collect()
     tokens, docs = {r["source"]: r["t"] for r in sums}, {r["source"]: r["n"] for r in sums}
-    size, _, shares = plan_shares(tokens, weights, limits, total)
+    if total == "available":
+        total = sum(tokens[k] for k in tokens if weights[k] > 0 and limits[k] > 0)
+    size, temperature, shares = plan_shares(tokens, weights, limits, total)
     rows = []
     for k, p in shares.items():
         budget = min(size * p, limits[k] * tokens[k])
@@ -154,14 +183,14 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, seed: in
     out = out.select("doc_id", "source", "tokens", (F.col("passes") + F.col("in_pass").cast("int")).alias("copies")).where("copies > 0")
     made = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     scale = sum(weights.values()) or 1.0
-    settings = spark.createDataFrame([(k, weights[k] / scale, shares.get(k, 0.0), docs.get(k, 0), tokens.get(k, 0)) for k in wanted], "source string, target_share double, planned_share double, documents long, available_tokens long")
+    settings = spark.createDataFrame([(k, weights[k] / scale, shares.get(k, 0.0), temperature, docs.get(k, 0), tokens.get(k, 0)) for k in wanted], "source string, target_share double, planned_share double, temperature double, documents long, available_tokens long")
     report = settings.join(F.broadcast(made), "source", "left")
     everything = F.sum(F.coalesce("mixed_tokens", F.lit(0))).over(Window.partitionBy(F.lit(1)))
-    report = report.select("source", "target_share", "planned_share", "documents", "available_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), (F.coalesce("mixed_tokens", F.lit(0)) / everything).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
+    report = report.select("source", "target_share", "planned_share", "temperature", "documents", "available_tokens", F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), (F.coalesce("mixed_tokens", F.lit(0)) / everything).alias("reached_share"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"))
     return out, report
 
 
-def mixed_documents(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 1, counter: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
+def mixed_documents(docs: DataFrame, targets: DataFrame, total: int | str | None = None, seed: int = 1, counter: Callable[[str], int] | None = None) -> tuple[DataFrame, DataFrame]:
     """``mix`` of whole documents (doc_id, source, text), sized with the tokenizer once."""
     return mix(cut(token_sizes(docs, counter)), targets, total, seed)
 
