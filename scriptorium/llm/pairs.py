@@ -3,7 +3,9 @@
 Every defect has several labelling functions that vote for it, against it, or abstain. Votes are
 counted as patterns (at most 3**m rows a defect, whatever the number of pairs), and expectation
 maximisation over the counts estimates how often the defect occurs and how each function votes on
-pairs with and without it. A pair keeps every defect whose posterior passes the cutoff.
+pairs with and without it. A pair keeps every defect whose posterior passes its cutoff. The cutoffs
+are validated: of the posteriors that the fitted models give the labelled pairs of ``sample_pairs``
+(a bounded sample, written out in ``pairs_sample``), the cutoff with the best F1 is taken.
 """
 
 from __future__ import annotations
@@ -18,15 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFECTS = ("empty", "echo", "refusal", "wrong_language", "truncated")
-#: Cutoffs of the posteriors: even odds. They were not validated on labelled pairs.
-CUTOFFS = {"empty": 0.5, "echo": 0.5, "refusal": 0.5, "wrong_language": 0.5, "truncated": 0.5}
 YES, NO, ABSTAIN = "+", "-", "0"
 
 # Words of declining, of closing politely, and of labels before a repeated question.
 DECLINE = re.compile(
-    "无法|不能|不便|不会就此|不予|恕难|恕我|难以(?:回答|协助|提供)|没有办法|帮不上忙|超出了?我|略过这个|保持沉默|不方便|拒绝回答|做不到|爱莫能助|不可以(?:回答|协助|提供)|不回答"
-    "|can(?:'|’)?t|cannot|can not|unable|not able|won(?:'|’)t|will not|decline|not (?:something )?(?:I(?:'|’)m |I am )?(?:comfortable|allowed|permitted|in a position)|something I(?:'|’)m (?:comfortable|able|allowed)|outside what I|beyond what I|keep me from|prevent me|against my|must refuse|have to pass|rather not|refrain|not going to"
-    "|できません|できかねます|お答えできない|申し訳|ごめんなさい|控え",
+    "无法|不能|不便|不会就此|不予|恕难|恕我|难以(?:回答|协助|提供)|没有办法|没办法|帮不上忙|超出了?我|略过这个|保持沉默|不方便|拒绝回答|做不到|爱莫能助|不可以(?:回答|协助|提供)|不回答|不(?:想|愿|打算|会)?(?:聊|谈|讨论|作答|评论|回应)|换个话题|跳过这|谢绝|婉拒|无可奉告"
+    "|can(?:'|’)?t|cannot|can not|unable|not able|won(?:'|’)t|will not|decline|not (?:something )?(?:I(?:'|’)m |I am )?(?:comfortable|allowed|permitted|in a position)|something I(?:'|’)m (?:comfortable|able|allowed)|outside what I|beyond what I|keep me from|prevent me|against my|must refuse|have to (?:pass|refuse)|(?:rather|prefer|choose|best) not|refrain|not going to|pass on (?:this|that|it)|no comment|(?:skip|avoid) (?:this|that)"
+    "|できません|できかねます|お答えできない|答えられ(?:ない|ません)|申し訳|ごめんなさい|控え|お断り|ご遠慮"
+    "|ne peux pas|préfère ne pas|refuse de|ne suis pas en mesure|kann (?:ich )?(?:dir |Ihnen )?(?:leider |dazu |hier )*nicht|möchte (?:ich )?(?:dazu |hierzu )?(?:lieber )?nicht|no puedo|prefiero no|me niego|не могу|не буду|предпочитаю не",
     re.I,
 )
 POLITE = re.compile("抱歉|对不起|不好意思|谅解|见谅|感谢|谢谢|欢迎继续|换一个问题|其他需要|其他问题|请理解|sorry|apolog|unfortunately|thank you|thanks|understand|anything else|different question|another question|something else|please (?:try|ask)|let me know|happy to help|すみません|ありがとう|ご了承", re.I)
@@ -49,25 +50,64 @@ def bare(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
 
 
-def scripts(text: str) -> tuple[int, int, int]:
-    """Characters of Han, kana and Latin words (a word counts as two characters)."""
-    han = sum("一" <= c <= "鿿" or "㐀" <= c <= "䶿" for c in text)
-    kana = sum("ぁ" <= c <= "ヿ" for c in text)
-    return han, kana, 2 * len(re.findall(r"[A-Za-zÀ-ɏ]+", text))
+# Common function words of languages in Latin letters.
+WORDS = {
+    "en": "the of and to in is was were are that it for on with as by at from not no this which be had has who what until before after only its their his her because when where than enough but or an a".split(),
+    "fr": "le la les des du une un et est sont était dans que qui ne pas pour sur avec au aux ce cette il elle ils où mais ou par se son sa ses en".split(),
+    "de": "der die das den dem des und ist sind war waren nicht ein eine einer in zu mit auf für von im am auch als aber oder wenn wer wo sich er sie es bei nach".split(),
+    "es": "el los las una del y es son era en que no para con por se su sus al lo pero más como quién dónde está fue un la".split(),
+    "pt": "os as um uma do da dos das e é são era em que não para com por se seu sua ao mas mais como quem onde está foi o".split(),
+    "it": "il lo gli una del della dei e è sono era in che non per con si suo sua al ma più come chi dove sta fu un la le di".split(),
+}
+_KNOWN = {w: [k for k, ws in WORDS.items() if w in ws] for ws in WORDS.values() for w in ws}
+_LATIN = re.compile("[A-Za-zÀ-ɏ]+")
+
+
+def scripts(text: str) -> dict[str, int]:
+    """Characters of Han, kana, Hangul, Cyrillic and Arabic, and of Latin words (a word counts as two)."""
+    out = dict.fromkeys(("han", "kana", "hangul", "cyrillic", "arabic"), 0)
+    for c in text:
+        p = ord(c)
+        if p >= 0x400:
+            name = "han" if 0x4E00 <= p <= 0x9FFF or 0x3400 <= p <= 0x4DBF else "kana" if 0x3041 <= p <= 0x30FF else "hangul" if 0xAC00 <= p <= 0xD7A3 else "cyrillic" if p < 0x530 else "arabic" if 0x600 <= p < 0x700 else ""
+            if name:
+                out[name] += 1
+    out["latin"] = 2 * len(_LATIN.findall(text))
+    return out
+
+
+def _latin_language(text: str) -> str:
+    """The language of a text in Latin letters by its function words, or "latin" if they don't decide."""
+    score = dict.fromkeys(WORDS, 0.0)
+    for w in _LATIN.findall(text.lower()):
+        for k in _KNOWN.get(w, ()):
+            score[k] += 1 / len(_KNOWN[w])
+    best, second = sorted(score.items(), key=lambda x: -x[1])[:2]
+    return best[0] if best[1] >= 1 and best[1] >= 1.5 * second[1] else "latin"
 
 
 def language(text: str, name_share: float = 0.35) -> str:
-    """zh, ja, en, or an empty string where there is too little to tell.
+    """zh, ja, ko, ru, ar, a language of Latin letters, "latin", or an empty string where there is too little to tell.
 
     Latin names inside Han or kana text are common, so Latin wins only where other scripts are few.
     """
-    han, kana, latin = scripts(text)
-    total = han + kana + latin
-    if total < 4:
+    n = scripts(text)
+    if sum(n.values()) < 4:
         return ""
-    if kana >= 0.2 * (han + kana) and kana >= 3 and han + kana >= name_share * latin:
+    east = n["han"] + n["kana"]
+    for name, code in (("hangul", "ko"), ("cyrillic", "ru"), ("arabic", "ar")):
+        if n[name] >= 3 and n[name] > east and n[name] >= name_share * n["latin"]:
+            return code
+    if n["kana"] >= 0.2 * east and n["kana"] >= 3 and east >= name_share * n["latin"]:
         return "ja"
-    return "zh" if han + kana >= name_share * latin else "en"
+    return "zh" if east >= name_share * n["latin"] else _latin_language(text)
+
+
+def _differ(a: str, b: str) -> bool | None:
+    """Whether two languages differ; unknown where one is missing or both are Latin and one is undecided."""
+    if not a or not b or "latin" in (a, b) and {a, b} <= {"latin", *WORDS}:
+        return None
+    return a != b
 
 
 def _sentences(text: str) -> list[str]:
@@ -81,10 +121,10 @@ def _vote(condition: bool | None) -> str:
 def votes(question: str | None, answer: str, status: str | None, item_status: str | None, refusal_part: bool) -> dict[str, str]:
     """The votes of all labelling functions on one pair, a string of + - 0 for each defect."""
     seen = shown(answer)
-    if not seen:
-        return {d: "++" if d == "empty" else "" for d in DEFECTS}
-    out = {"empty": "--"}
     q, a = bare(question or ""), bare(answer)
+    out = {"empty": _vote(not seen) + _vote(not a) + _vote(not answer.strip()) + _vote(len(seen) < 2)}
+    if not seen:
+        return out | {d: "" for d in DEFECTS if d != "empty"}
     text = _CITES.sub("", answer).rstrip()
     # echo: what is left without the question, without labels; shared 3-grams; length
     left = LABELS.sub("", LABELS.sub("", a.replace(q, " ")).replace(" ", "")) if q else a
@@ -101,14 +141,16 @@ def votes(question: str | None, answer: str, status: str | None, item_status: st
     unquoted = re.sub("“[^”]*”|「[^」]*」|\"[^\"]*\"", "", text)
     decline = bool(DECLINE.search(unquoted))
     only = decline and all(DECLINE.search(s) or POLITE.search(s) for s in _sentences(unquoted))
-    out["refusal"] = _vote(only) + _vote(decline) + (YES if refusal_part else ABSTAIN) + _vote(len(seen) <= 160 if decline else None)
+    out["refusal"] = _vote(only) + _vote(decline) + (YES if refusal_part else ABSTAIN) + _vote(len(seen) <= 160 if decline else None) + _vote(known < 0.3 if decline and mine and q else None)
     # wrong language
     lq, la = language(question or ""), language(unquoted if language(unquoted) else text)
-    han, kana, latin = scripts(text)
-    differs = lq != la if lq and la else None
+    n = scripts(text)
+    east = n["han"] + n["kana"]
+    differs = _differ(lq, la)
     asked = bool(ASKS_LANGUAGE.search(question or ""))
-    none = {"zh": han + kana < 0.2 * latin, "en": latin < 0.5 * (han + kana), "ja": kana == 0}.get(lq) if lq else None
-    out["wrong_language"] = _vote(differs and not asked if differs is not None else None) + _vote(none and not asked if none is not None else None) + _vote((kana > 0.2 * (han + kana + latin)) and not asked if lq and lq != "ja" and kana else None)
+    family = "latin" if lq in WORDS else lq
+    none = {"zh": east < 0.2 * n["latin"], "latin": n["latin"] < 0.5 * (sum(n.values()) - n["latin"]), "ja": n["kana"] == 0, "ko": n["hangul"] == 0, "ru": n["cyrillic"] == 0, "ar": n["arabic"] == 0}.get(family) if lq else None
+    out["wrong_language"] = _vote(differs and not asked if differs is not None else None) + _vote(none and not asked if none is not None else None) + _vote((n["kana"] > 0.2 * sum(n.values())) and not asked if lq and lq != "ja" and n["kana"] else None)
     # truncated
     tail = text[-1:]
     body = text.rstrip(CLOSERS + "\"'*_ ")
@@ -133,6 +175,7 @@ class LabelModel:
     def __init__(self, counts: dict[str, int], rounds: int = 60, prior: float = 0.05, strength: float = 4.0):
         self.m = max((len(p) for p in counts), default=0)
         counts = {p: n for p, n in counts.items() if len(p) == self.m}
+        self.patterns = sorted(counts)
         posterior = {p: self._start(p) for p in counts}
         self.prior, self.tables = prior, []
         lean = {1: {YES: 0.7, NO: 0.1, ABSTAIN: 0.2}, 0: {YES: 0.1, NO: 0.6, ABSTAIN: 0.3}}
@@ -198,28 +241,55 @@ def answers(events: DataFrame) -> DataFrame:
     return out.select("turn", F.coalesce(F.array_join(F.col("p.text"), ""), F.lit("")).alias("answer"), "status", F.try_element_at(F.col("p.item_status"), F.lit(-1)).alias("item_status"), F.coalesce("refusal_part", F.lit(False)).alias("refusal_part"))
 
 
-def defect_posteriors(turns: DataFrame, events: DataFrame) -> DataFrame:
-    """Posteriors (turn, empty, echo, refusal, wrong_language, truncated) of every pair."""
+def fitted(polled: DataFrame) -> dict[str, LabelModel]:
+    """The label model of each defect, from the counts of vote patterns (a bounded number of rows)."""
+    by = polled.select(F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).groupBy("x.defect", "x.pattern").count().collect()
+    return {d: LabelModel({r["pattern"]: r["count"] for r in by if r["defect"] == d and r["pattern"]}) for d in DEFECTS}
+
+
+def best_cutoff(scored: list[tuple[float, bool]]) -> float:
+    """The cutoff with the best F1 on (posterior, label) pairs; of equal ones that nearest to even odds."""
+    points = sorted({p for p, _ in scored} | {0.0, 1.0})
+    cuts = [(a + b) / 2 for a, b in zip(points, points[1:])] + [0.5]
+    true = sum(y for _, y in scored)
+
+    def f1(cut: float) -> float:
+        found = sum(p > cut for p, _ in scored)
+        both = sum(p > cut and y for p, y in scored)
+        return round(2 * both / (found + true), 9) if found + true else 1.0
+
+    return max(cuts, key=lambda c: (f1(c), -abs(c - 0.5)))
+
+
+def validated_cutoffs(models: dict[str, LabelModel]) -> dict[str, float]:
+    """A cutoff for each defect, validated on the labelled sample."""
+    from .pairs_sample import sample_pairs
+
+    polled = [(votes(q, a, s, None, False), labels) for q, a, s, labels in sample_pairs()]
+    return {d: best_cutoff([(models[d].posterior(v[d]), d in labels) for v, labels in polled if v[d]]) for d in DEFECTS}
+
+
+def defect_posteriors(turns: DataFrame, events: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """Posteriors (turn, empty, echo, refusal, wrong_language, truncated) of every pair, and the validated cutoffs."""
     from ..session import cut
 
     spark = turns.sparkSession
     questions = turns.where(F.col("id").isNotNull()).groupBy("id").agg(F.first("question").alias("question"))
     pairs = answers(events).join(questions, F.col("turn") == F.col("id"), "left").select("turn", "question", "answer", "status", "item_status", "refusal_part")
     polled = cut(pairs.mapInArrow(_poll, "turn string, " + ", ".join(f"{d} string" for d in DEFECTS)))
-    by = polled.select(F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.col(d).alias("pattern")) for d in DEFECTS))).alias("x")).groupBy("x.defect", "x.pattern").count().collect()
+    models = fitted(polled)
     out = polled
     for d in DEFECTS:
-        counts = {r["pattern"]: r["count"] for r in by if r["defect"] == d and r["pattern"]}
-        model = LabelModel(counts)
-        known = spark.createDataFrame([(p, model.posterior(p)) for p in counts] or [("", 0.0)], f"{d} string, p_{d} double")
+        known = spark.createDataFrame([(p, models[d].posterior(p)) for p in models[d].patterns] or [("", 0.0)], f"{d} string, p_{d} double")
         out = out.join(F.broadcast(known), d, "left")
-    return out.select("turn", *(F.coalesce(f"p_{d}", F.lit(0.0)).alias(d) for d in DEFECTS))
+    return out.select("turn", *(F.coalesce(f"p_{d}", F.lit(0.0)).alias(d) for d in DEFECTS)), validated_cutoffs(models)
 
 
-def defects(turns: DataFrame, events: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:
-    """All labels (turn, defect, posterior) whose posterior passes its cutoff, several a pair if so."""
-    p = defect_posteriors(turns, events)
-    rows = p.select("turn", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.lit(i).alias("rank"), F.col(d).alias("posterior"), F.lit(cutoffs[d]).alias("least")) for i, d in enumerate(DEFECTS)))).alias("x"))
+def defects(turns: DataFrame, events: DataFrame, cutoffs: dict[str, float] | None = None) -> DataFrame:
+    """All labels (turn, defect, posterior) whose posterior passes its cutoff, several a pair if so; the cutoffs are validated if none are given."""
+    p, validated = defect_posteriors(turns, events)
+    least = cutoffs or validated
+    rows = p.select("turn", F.explode(F.array(*(F.struct(F.lit(d).alias("defect"), F.lit(i).alias("rank"), F.col(d).alias("posterior"), F.lit(least[d]).alias("least")) for i, d in enumerate(DEFECTS)))).alias("x"))
     return rows.where("x.posterior > x.least").select("turn", "x.defect", "x.rank", "x.posterior")
 
 

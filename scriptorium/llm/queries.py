@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 def units(spark: SparkSession, d: str) -> DataFrame:
     """Story units as (unit_id, record_id, text)."""
-    return table(spark, d, "p05_story_rus", wide=True).select(
+    return table(spark, d, "p05_story_rus").select(
         "unit_id", F.col("source.canonical_address.record_id").alias("record_id"), F.col("retrieval_visible_text").alias("text")
     )
 
@@ -94,7 +94,7 @@ def p3_amount(spark: SparkSession, d: str) -> DataFrame:
 def p3_lines(spark: SparkSession, d: str) -> DataFrame:
     from .spans import repeated_lines
 
-    return repeated_lines(table(spark, d, "documents", wide=True).select("doc_id", "text"))
+    return repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
 
 
 @_register("p5_found")
@@ -115,7 +115,7 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leaks import leaked_items
 
-    return leaked_items(table(spark, d, "documents", wide=True), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 @_register("p7_coverage")
@@ -123,21 +123,21 @@ def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Tiles, covered characters and coverage of each leaked item in each document."""
     from .leaks import leaked_items
 
-    return leaked_items(table(spark, d, "documents", wide=True), table(spark, d, "eval_items"))
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 @_register("p9_found")
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     from .personal import personal_spans
 
-    return personal_spans(table(spark, d, "documents", wide=True))
+    return personal_spans(table(spark, d, "documents"))
 
 
 @_register("p9_redacted")
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     from .personal import redacted
 
-    return redacted(table(spark, d, "documents", wide=True))
+    return redacted(table(spark, d, "documents"))
 
 
 _VISIBLE_RE2 = r"[^\s\pZ\p{Cc}\p{Cf}\x{34f}\x{115f}\x{1160}\x{3164}\x{ffa0}\x{2800}\x{fe00}-\x{fe0f}]"
@@ -170,7 +170,21 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "turns"), table(spark, d, "chat_messages")).select("session", "ord", "message_id")
 
 
-@_register("p1_sessionized")
+_SAID = """
+    m AS (SELECT session AS channel, id, min({'t': created_at, 'r': role}) AS x FROM chat_messages WHERE session IS NOT NULL AND created_at IS NOT NULL AND id IS NOT NULL GROUP BY session, id),
+    k AS (SELECT channel, id, x.t AS ts, CASE WHEN lower(trim(x.r)) IN ('user', 'human', 'customer', 'prompter') THEN 'user' WHEN lower(trim(x.r)) IN ('assistant', 'ai', 'model', 'bot', 'gpt', 'chatbot') THEN 'assistant' END AS kind FROM m),
+    p AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS pause FROM k WINDOW w AS (PARTITION BY channel ORDER BY ts, id)),
+    h AS (SELECT CAST(floor(round(4 * log2(1 + greatest(pause, 0.0)), 9)) AS BIGINT) AS b, count(*) AS n FROM p WHERE pause IS NOT NULL GROUP BY 1),
+    c AS (SELECT b, sum(n) OVER (ORDER BY b) AS w0, sum(n * b) OVER (ORDER BY b) AS s0, sum(n) OVER () AS w, sum(n * b) OVER () AS s FROM h),
+    v AS (SELECT b, round(w0::DOUBLE * (w - w0)::DOUBLE * (s0 / w0 - (s - s0) / (w - w0)) * (s0 / w0 - (s - s0) / (w - w0)), 6) AS v FROM c WHERE w0 < w),
+    g AS (SELECT pow(2.0, (arg_max(b, {'v': v, 'b': -b}) + 1) / 4.0) - 1 AS gap_s FROM v),
+    n AS (SELECT p.*, sum(CASE WHEN pause IS NULL OR pause > gap_s THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY ts, id) AS session_no FROM p, g),
+    z AS (SELECT channel, CAST(session_no AS INTEGER) AS session_no, CAST(row_number() OVER w AS INTEGER) AS ord, id, kind, lag(kind) OVER w AS a, lead(kind) OVER w AS b FROM n WINDOW w AS (PARTITION BY channel, session_no ORDER BY ts, id)),
+    y AS (SELECT channel, session_no, ord, id, coalesce(kind, CASE WHEN a <> b THEN NULL WHEN coalesce(a, b) = 'user' THEN 'assistant' WHEN coalesce(a, b) = 'assistant' THEN 'user' END) AS role FROM z)
+"""
+
+
+@_register("p1_sessionized", f"WITH {_SAID} SELECT * FROM y QUALIFY bool_or(role = 'user') OVER (PARTITION BY channel, session_no) AND bool_or(role = 'assistant') OVER (PARTITION BY channel, session_no)")
 def p1_sessionized(spark: SparkSession, d: str) -> DataFrame:
     """Sessions cut at calibrated pauses, where no turn table tells them."""
     from .chats import sessionize
@@ -183,7 +197,7 @@ def p1_sessionized(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .pairs import main_defect
 
-    return main_defect(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage", wide=True))
+    return main_defect(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage"))
 
 
 @_register("p2_labels")
@@ -191,14 +205,14 @@ def p2_labels(spark: SparkSession, d: str) -> DataFrame:
     """Every label of a pair with its posterior."""
     from .pairs import defects
 
-    return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage", wide=True)).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
+    return defects(table(spark, d, "turns"), table(spark, d, "p05_responses_multimessage")).select("turn", "defect", F.round("posterior", 6).alias("posterior"))
 
 
 @_register("p8_mix")
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     from .mixing import mixed_documents
 
-    return mixed_documents(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets"))[0]
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
 
 
 @_register("p8_shares")
@@ -206,4 +220,28 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of each source."""
     from .mixing import mixed_documents
 
-    return mixed_documents(table(spark, d, "documents", wide=True), table(spark, d, "mix_targets"))[1]
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@_register("p8_full_mix")
+def p8_full_mix(spark: SparkSession, d: str) -> DataFrame:
+    """A mix as large as all targeted sources together: the exponent is bisected to the repetition limits."""
+    from .mixing import mixed_documents
+
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), "available")[0]
+
+
+@_register("p8_full_shares")
+def p8_full_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of each source of p8_full_mix, with the exponent reached."""
+    from .mixing import mixed_documents
+
+    return mixed_documents(table(spark, d, "documents"), table(spark, d, "mix_targets"), "available")[1]
+
+
+@_register("p8_entropy_shares")
+def p8_entropy_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of all sources by an exponent bisected to the entropy of the target weights."""
+    from .mixing import entropy_report, token_sizes
+
+    return entropy_report(token_sizes(table(spark, d, "documents")), table(spark, d, "mix_targets"))

@@ -12,6 +12,8 @@ from hypothesis import strategies as st
 
 from scriptorium.functions.codepoints import code_points
 from scriptorium.llm import leaks, looks, neardup, spans
+from scriptorium.llm.collide import colliding
+from scriptorium.llm.compose import compose, mark_tables
 
 LONG = "灰狼与海螺在雾岸寨" * 4000
 
@@ -134,7 +136,6 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_a_hot_key_is_found_across_tasks(spark):
     """Half of all texts share one word; the packed exchange must lose none of them."""
-    from scriptorium.operators.collide import colliding
 
     def emit(b):
         n = b.num_rows
@@ -159,10 +160,125 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): r for r in leaks.leaked_items(d, i).collect()}
     assert set(got) == {(1, 10), (3, 10), (7, 14)}
     assert got[(7, 14)].coverage == 1.0
-    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, i, block_chars=100).collect()} == set(got)
+    assert {(r.doc_id, r.item_id) for r in leaks.leaked_items(d, i, filter_bits=64).collect()} == set(got)  # a filter that lets everything through
     assert leaks.leaked_items(d, i.limit(0)).count() == 0 and leaks.leaked_items(d.limit(0), i).count() == 0
 
 
+def test_colliding_keys_carry_their_extras(spark):
+    def emit(b):
+        ids = b.column("id").to_numpy()
+        return (ids // 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), ids.astype(np.int64), ids * 3  # extras as int64
+
+    for chunk, width in ((700, 8), (50_000, 5)):
+        got = {(r.owner, r.extra) for r in colliding(spark.range(0, 9001, 1, 5), emit, chunk, width).collect()}
+        assert got == {(i, 3 * i) for i in range(9000)}
+    assert colliding(spark.range(0), emit).count() == 0
+
+
+def test_wide_extras_are_part_of_the_key(spark):
+    """Equal 64-bit keys whose further bits differ are different keys."""
+
+    def emit(b):
+        ids = b.column("id").to_numpy().astype(np.int64)
+        return np.full(len(ids), 77, np.uint64), ids, (ids // 3) << 32 | ids
+
+    for chunk in (50, 10_000):
+        got = {(r.owner, r.extra & 0xFFFFFFFF) for r in colliding(spark.range(0, 1000, 1, 4), emit, chunk, wide=True).collect()}
+        assert got == {(i, i) for i in range(999)}
+
+
+def test_shared_lines_and_parts_of_them(spark):
+    """Whole lines, copies beyond the two kept owners, parts of a removed line, and a line beside its own part in one record."""
+    rng = random.Random(8)
+    line = words(rng, 70)
+    rows = [("u", f"k{i}", words(rng, 30) + "\n " + line + " \n" + words(rng, 20)) for i in range(6)]
+    rows += [("u", "part", words(rng, 9) + line[5:60]), ("u", "both", line + "\n" + words(rng, 5) + line[10:58]), ("q", "alone", line), ("u", "short", line[:39]), ("u", "crlf", "\r\n" + line + "\r\n")]
+    df = spark.createDataFrame(rows, "origin string, item_key string, text string").repartition(4)
+    assert {tuple(r) for r in spans.shared_spans(df).collect()} == brute_spans(rows, 40)
+
+
+def _nfc_cases(rng):
+    marks = [chr(c) for c in range(0x20000) if unicodedata.combining(chr(c))]
+    seconds = [chr(c) for c in np.flatnonzero(mark_tables()[3])]
+    letters = [*map(chr, range(0x20, 0x250)), *(list(map(chr, range(0x1100, 0x1113))) * 6), *map(chr, range(0xAC00, 0xAC40)), *map(chr, range(0x900, 0xE00)), *map(chr, range(0x3040, 0x3100))]
+    pools = [letters, letters, marks, seconds, ["a", "c", "\u0301", "\u0308", "\u0327", "\u0346"]]
+    return ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(0, 10))) for _ in range(60)]
+
+
+def test_composition_is_that_of_unicode_for_all_classes_and_jamo():
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = _nfc_cases(rng) + ["a\u0346\u0301", "\u00e1\u0346", "c\u0308\u0301", "\u1100\u1161\u11a8", "\uac00\u11a8", "\u0301a"]
+        points, offsets = compose(*code_points(pa.array([unicodedata.normalize("NFD", t) for t in texts])))
+        for i, t in enumerate(texts):
+            assert "".join(map(chr, points[offsets[i] : offsets[i + 1]])) == unicodedata.normalize("NFC", t)
+
+
+def test_blocked_marks_and_syllables_in_pairs(spark):
+    rows = [("u", "a", "a\u0346\u0301"), ("u", "b", "\u00e1\u0346"), ("u", "c", "\uac00"), ("u", "d", "\u1100\u1161"), ("u", "e", "\u1112\u1161\u11ab"), ("u", "f", "\ud55c")]
+    df = spark.createDataFrame(rows, "origin string, item_key string, text string")
+    assert {tuple(r) for r in looks.same_look_pairs(df).collect()} == {("u", "c", "d"), ("u", "e", "f")}
+
+
+def test_rows_of_a_batch_do_not_change_each_other(spark):
+    """Leaks, looks and spans of permuted and differently batched rows are the same."""
+    rng = random.Random(10)
+    item = "The \ufb01nal of\ufb01ce report about the harbor lantern weighs 10\u338f and one \u00bd of it is gone"
+    docs = [(1, "see: " + item.lower() + " end"), (2, "Caf" + "e\u0301 " + words(rng, 200)), (3, "the final office report about the harbor lantern weighs 10kg"), (4, "")]
+    docs += [(i, words(rng, 150)) for i in range(10, 60)]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    seen = set()
+    for seed, size in ((0, 1), (1, 10_000), (2, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        random.Random(seed).shuffle(docs)
+        d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
+        records = d.selectExpr("'o' as origin", "cast(doc_id as string) as item_key", "text")
+        found = [sorted(map(tuple, x.collect())) for x in (leaks.leaked_items(d, items), looks.to_one_form(records), spans.shared_spans(records))]
+        seen.add(repr(found))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    assert len(seen) == 1 and "(1, 7" in seen.pop()
+
+
+def test_tiles_of_repetitive_texts():
+    import time
+
+    one = np.full(8000, 97, np.uint32)
+    began = time.time()
+    assert leaks.tile(one, one[:5000], 40)[0][2] == 5000
+    dashes = np.tile(np.arange(50, 90, dtype=np.uint32), 200)
+    assert sum(t[2] for t in leaks.tile(dashes, dashes[7:4000], 40)) == 3993
+    assert time.time() - began < 3
+
+
+def greedy(doc, item, least):
+    """Greedy string tiling by the letter: longest unmarked match, leftmost in the document, then in the item."""
+    used_d, used_i, out = set(), set(), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(doc)):
+            for j in range(len(item)):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_d and j + n not in used_i:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        used_d.update(range(i, i + n))
+        used_i.update(range(j, j + n))
+        out += n
+
+
+def test_tiles_equal_greedy_tiling():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        doc, item = (rng.integers(0, 3, rng.integers(0, 40)).astype(np.uint32) for _ in "ab")
+        tiles = leaks.tile(doc, item, 3)
+        assert all((doc[i : i + n] == item[j : j + n]).all() and n >= 3 for i, j, n in tiles)
+        assert sum(n for *_, n in tiles) == greedy(doc.tolist(), item.tolist(), 3)
+
+
 def test_tiling_finds_reordered_passages():
     rng = np.random.default_rng(1)
     item = rng.integers(100, 5000, 300).astype(np.uint32)
