@@ -194,13 +194,39 @@ def test_tokenizer_counts():
     assert count("") == 0 and 1 <= count("hello world") <= 4
 
 
-def test_personal_data_on_held_out_lines(spark):
-    model = personal.trained()
-    found = hit = true = 0
-    for text, gold in personal.sample_lines(400, seed=77):
+def _quality(model, lines):
+    by = {k: [0, 0, 0] for k in personal.KINDS}
+    for text, gold in lines:
         got = set(model.find(text))
-        found, hit, true = found + len(got), hit + len(got & gold), true + len(gold)
-    assert hit / true > 0.95 and hit / found > 0.97
+        for k in personal.KINDS:
+            a, b = {x for x in got if x[0] == k}, {x for x in gold if x[0] == k}
+            by[k] = [by[k][0] + len(a), by[k][1] + len(b), by[k][2] + len(a & b)]
+    return {k: (both / max(found, 1), both / max(true, 1)) for k, (found, true, both) in by.items()}
+
+
+def test_personal_data_on_withheld_shapes():
+    """Trained without the sentence shapes of odd numbers, labelled fields and signatures aside, and measured on those."""
+    from scriptorium.llm.personal_sample import SHAPES, sample_lines
+
+    known, held = ({lang: [i for i in range(n) if i % 2 == odd] for lang, n in SHAPES.items()} for odd in (0, 1))
+    model = personal.train(sample_lines(4000, 5, known))
+    quality = _quality(model, sample_lines(800, 78, held, plain=False))
+    for kind, (precision, recall) in quality.items():
+        assert precision > 0.85 and recall > (0.6 if kind == "NAME" else 0.9), quality
+
+
+def test_names_without_any_hint():
+    model = personal.trained()
+    for text, kind, value in (
+        ("My colleague Jonathan Brightwater said hello.", "NAME", "Jonathan Brightwater"), ("昨天我和张伟一起吃饭。", "NAME", "张伟"), ("Thanks to Anna Schmidt for the review.", "NAME", "Anna Schmidt"),
+        ("名前は田中太郎です", "NAME", "田中太郎"), ("Call 020 7946 0958 today", "PHONE", "020 7946 0958"), ("He lives at 221B Baker Street, London.", "ADDRESS", "221B Baker Street, London"),
+    ):
+        assert [(k, text[s:e]) for k, s, e in model.find(text)] == [(kind, value)], text
+    for text in ("订单号 266562479706139326 已归档。", "Version 3.14.159, checksum 682cd18c06798288, Item 123456789.", "斯尔克与拉萨娅悄悄离开山谷。", "After Thornvale crossed the river, Bramonia guarded the gate."):
+        assert model.find(text) == [], text
+
+
+def test_personal_data_in_tables(spark):
     rows = [(1, "我叫温砚衡，有疑问请打 +86 13200009418 找我。", "k"), (2, None, "k"), (3, "", "k"), (None, "找 a@b.example", "k"), (4, "订单流水 266562479706139326 已归档。", "k"), (5, "😀邮箱：Tor.Bra(at)mail.example.org。" + "海" * 50_000, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
     got = {tuple(r) for r in personal.personal_spans(df).collect()}
