@@ -24,8 +24,8 @@ from ..session import shuffle_partitions
 
 #: Keys that a map task gathers before it sends its blocks: 24 bytes each.
 CHUNK_KEYS = 3_000_000
-#: Blocks that the keys are split into at least; a task takes one after the other, so that a large share of the keys needs no large memory.
-LEAST_BUCKETS = 512
+#: Keys that a receiving task is meant to hold, if their number is known.
+KEYS_A_TASK = 8_000_000
 
 PACKED = "bucket int, keys binary, owners binary, extras binary, marks binary, key bigint, owner bigint, extra bigint"
 Emit = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -132,7 +132,7 @@ def _pack(emit: Emit, buckets: int, chunk: int, width: int, wide: bool):
 
 
 def _meet(width: int, wide: bool):
-    """Members of keys with two owners; blocks arrive in the order of their buckets and are let go bucket by bucket."""
+    """Members of keys with two owners, bucket by bucket; a task has one bucket, whose keys it holds at 24 bytes each."""
 
     def met(blocks: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         keys, owners, extras, marks = map(np.concatenate, blocks)
@@ -164,7 +164,7 @@ def _meet(width: int, wide: bool):
     return run
 
 
-def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS, width: int = 8, wide: bool = False) -> DataFrame:
+def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS, width: int = 8, wide: bool = False, most_keys: int | None = None) -> DataFrame:
     """Rows (key, owner, extra) of every key that two or more owners hold; the other keys are left out.
 
     ``emit`` turns a record batch of ``df`` into arrays of keys (uint64, evenly spread), owners
@@ -172,10 +172,10 @@ def colliding(df: DataFrame, emit: Emit, chunk: int = CHUNK_KEYS, width: int = 8
     the emitter's business; an empty input gives an empty result. ``width`` is the number of bytes of
     a key that travel (the block number adds leading bits): 8 keeps keys whole, fewer are for callers
     that verify what they get, to whom a chance meeting is one more candidate. With ``wide`` extras
-    are int64 and their upper 32 bits belong to the key, which then has 96 bits.
+    are int64 and their upper 32 bits belong to the key, which then has 96 bits. A caller that can
+    bound the number of its keys states it in ``most_keys``; there are then at least so many
+    partitions that one holds KEYS_A_TASK keys.
     """
-    parts = shuffle_partitions(df.sparkSession)
-    per_part = -(-LEAST_BUCKETS // parts)
-    sent = df.mapInArrow(_pack(emit, parts * per_part, chunk, width, wide), PACKED)
-    placed = sent.repartitionById(parts, F.floor(F.col("bucket") / per_part).cast("int")).sortWithinPartitions("bucket")
-    return placed.mapInArrow(_meet(width, wide), "key bigint, owner bigint, extra bigint")
+    parts = max(shuffle_partitions(df.sparkSession), -(-(most_keys or 0) // KEYS_A_TASK))
+    sent = df.mapInArrow(_pack(emit, parts, chunk, width, wide), PACKED)
+    return sent.repartitionById(parts, F.col("bucket")).mapInArrow(_meet(width, wide), "key bigint, owner bigint, extra bigint")

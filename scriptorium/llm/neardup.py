@@ -75,14 +75,14 @@ def _jaccard(gram: int):
     return run
 
 
-def similar_texts(texts: DataFrame, threshold_percent: int = 80, gram: int = 3) -> DataFrame:
+def similar_texts(texts: DataFrame, threshold_percent: int = 80, gram: int = 3, rows: int | None = None) -> DataFrame:
     """Pairs (rid_a, rid_b, shared, either) of distinct texts with Jaccard similarity >= threshold.
 
     ``texts``: rid (a 64-bit hash of the text) and text; repeated rows, null and short texts are
-    allowed and add nothing. Each pair comes once, rid_a < rid_b. 100 * shared >= threshold * either
+    allowed and add nothing; ``rows`` is their number, if known. Each pair comes once, rid_a < rid_b. 100 * shared >= threshold * either
     is tested in whole numbers on the complete gram sets.
     """
-    keys = colliding(texts.select("rid", "text"), _emitter(gram), width=KEY_BYTES)
+    keys = colliding(texts.select("rid", "text"), _emitter(gram), width=KEY_BYTES, most_keys=rows and rows * WORDS * SYMBOLS)
     a, b = (keys.select("key", F.col("owner").alias(f"rid_{x}"), F.col("extra").alias(f"n_{x}")) for x in "ab")
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * threshold_percent
     pairs = a.join(b, "key").where((F.col("rid_a") < F.col("rid_b")) & fits("n_a", "n_b") & fits("n_b", "n_a")).select("rid_a", "rid_b").distinct()
@@ -105,7 +105,7 @@ def near_duplicate_units(units: DataFrame, threshold_percent: int = 80, gram: in
     rows = units.select("unit_id", "record_id", "text").where(F.col("unit_id").isNotNull() & F.col("record_id").isNotNull() & (F.length("text") >= max(least_chars, gram)))
     rows = rows.withColumn("rid", F.xxhash64("text"))
     members = cut(rows.select("rid", "record_id", "unit_id").distinct())
-    near = similar_texts(rows, threshold_percent, gram).select("rid_a", "rid_b")
+    near = similar_texts(rows, threshold_percent, gram, members.count()).select("rid_a", "rid_b")
     # identical texts under several records: pairs of records first, so that no dead pair is formed
     held = members.select("rid", "record_id").distinct()
     many = held.groupBy("rid").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi")).where("lo < hi").select("rid")
