@@ -153,14 +153,14 @@ def shared_spans(records: DataFrame, least: int = 40) -> DataFrame:
     items = cut(rows.select("origin", "item_key", "rid", F.length("text").alias("n")).distinct())
     texts = rows.groupBy("rid", "space").agg(F.first("text").alias("text"))
     place, tell = F.col("extra").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("extra", 32)
-    lines = cut(colliding(texts, _emit_lines(least), wide=True).select("key", tell.alias("tell"), "owner", place.alias("at")))
+    lines = cut(colliding(rows.select("rid", "space", "text"), _emit_lines(least), wide=True).select("key", tell.alias("tell"), "owner", place.alias("at")))
     ends = lines.groupBy("key", "tell").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
     marked = lines.join(ends, ["key", "tell"])
     kept = F.col("owner").isin(F.col("first"), F.col("last"))
     lines = marked.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("at").alias("lines"), F.collect_set(F.when(~kept, F.col("at"))).alias("removed"))
-    seeds = colliding(texts, _emit_representatives(least))
+    seeds = colliding(rows.select("rid", "space", "text"), _emit_representatives(least))
     hits = seeds.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("key").alias("keys"))
-    touched = cut(texts.join(hits, "rid").join(lines, "rid", "left"))
+    touched = texts.join(hits, "rid").join(lines, "rid", "left")
     windows = colliding(touched, _emit_windows(least), wide=True)
     found = windows.groupBy(F.col("owner").alias("rid")).agg(F.collect_set(place).alias("starts"))
     found = touched.select("rid", "text", "lines").join(found, "rid", "left").where("starts is not null or lines is not null")
