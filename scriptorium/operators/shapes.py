@@ -2,9 +2,11 @@
 
 Objects of varying presence are classified bottom-up by a tree automaton: leaves have the state of
 their JSON type, an array the states of its elements, an object the states of its keys. An object's
-state is its structural variant. Variants are counted; ``subtype_table`` takes one of them if asked,
-with text columns (arrays of scalars as JSON) and the parent pointer as the link. Keys that variants
-share, and their types, are left to the caller.
+state is its structural variant. ``routed`` sends each object to the folder of its array, the rows of
+a variant side by side; ``key_catalog`` tells which keys the variants have, with what types, and
+which are common to all; ``subtype_table`` reads one array, or one variant, as a table with typed
+columns beside the link to the parent, and what no column holds in a map. Structs whose type is
+known go through the same automaton as column expressions (``state_of``).
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE = "root_id string, array_name string, position int, pointer string, parent_pointer string, shape string, fields map<string,string>"
-NODES = "root_id string, nodes array<struct<array_name:string, position:int, pointer:string, parent_pointer:string, shape:string, fields:map<string,string>>>"
+from ..session import stored
+
+NODE = "root_id string, array_name string, position int, pointer string, parent_pointer string, shape string, fields map<string,string>, kinds map<string,string>"
+NODES = "root_id string, nodes array<struct<array_name:string, position:int, pointer:string, parent_pointer:string, shape:string, fields:map<string,string>, kinds:map<string,string>>>"
 ARRAYS = ("modules", "components", "tab", "module_group", "module")
 
 
@@ -66,6 +70,15 @@ def state(value) -> str:
     return states(value)[id(value)] if isinstance(value, (dict, list)) else _leaf(value)
 
 
+def _kind(value) -> str:
+    """The type a key's column needs: that of a leaf, scalars for an array of leaves, else object or array."""
+    if isinstance(value, dict):
+        return "object"
+    if isinstance(value, list):
+        return "array" if any(isinstance(x, (dict, list)) for x in value) else "scalars"
+    return _leaf(value)
+
+
 def _text(value) -> str:
     return value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
@@ -80,7 +93,7 @@ def nodes_of(value, arrays: frozenset[str]) -> list[dict]:
         if isinstance(node, dict):
             if name in arrays:
                 flat = {k: _text(v) for k, v in node.items() if v is not None and not isinstance(v, dict) and not (isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v))}
-                out.append({"array_name": name, "position": position, "pointer": pointer, "parent_pointer": parent, "shape": known[id(node)], "fields": list(flat.items())})
+                out.append({"array_name": name, "position": position, "pointer": pointer, "parent_pointer": parent, "shape": known[id(node)], "fields": list(flat.items()), "kinds": [(k, _kind(v)) for k, v in node.items()]})
             for k, v in node.items():
                 if isinstance(v, (dict, list)):
                     stack.append((v, f"{pointer}/{token(k)}", pointer, k if isinstance(v, list) else None, 0))
@@ -107,7 +120,7 @@ def _page(body: str | None) -> tuple[bool, str | None, object]:
 
 def _walk(arrays: tuple[str, ...], carried: tuple[str, ...]):
     wanted = frozenset(arrays)
-    kind = pa.list_(pa.struct([("array_name", pa.string()), ("position", pa.int32()), ("pointer", pa.string()), ("parent_pointer", pa.string()), ("shape", pa.string()), ("fields", pa.map_(pa.string(), pa.string()))]))
+    kind = pa.list_(pa.struct([("array_name", pa.string()), ("position", pa.int32()), ("pointer", pa.string()), ("parent_pointer", pa.string()), ("shape", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("kinds", pa.map_(pa.string(), pa.string()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,41 +156,107 @@ def shape_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("array_name", "shape").agg(F.count("*").alias("n"), F.countDistinct("root_id").alias("roots"))
 
 
-def subtype_table(nodes: DataFrame, array_name: str, keys: list[str], shape: str | None = None) -> DataFrame:
-    """One typed table: the nodes of an array (of one shape if given) with ``keys`` as columns beside the links.
+#: Columns that a table gets at most; further keys stay in the map ``rest``.
+MOST_COLUMNS = 500
+LINKS = ["root_id", "pointer", "parent_pointer", "position", "shape"]
+
+
+def routed(nodes: DataFrame) -> DataFrame:
+    """The nodes as a stored table with one folder an array, in which the rows of a variant lie together."""
+    return stored(nodes.sortWithinPartitions("array_name", "shape"), "array_name")
 
-    Keys that a variant lacks are null. A key that clashes with a link column gets the suffix _value.
+
+def key_catalog(nodes: DataFrame) -> DataFrame:
+    """(array_name, key, kind, n, variants, common) of all keys: objects and variants with the key, and whether all variants have it.
+
+    ``kind`` is null, bool, number, string, scalars, array or object; mixed if a key has several (null aside).
+    """
+    one = nodes.groupBy("array_name", "shape").agg(F.count("*").alias("n"), F.first("kinds").alias("kinds"))
+    total = one.groupBy("array_name").agg(F.count("*").alias("all_variants"))
+    keys = one.select("array_name", "n", F.explode("kinds").alias("key", "kind"))
+    typed = F.collect_set(F.when(F.col("kind") != "null", F.col("kind")))
+    kind = F.when(F.size(typed) == 0, "null").when(F.size(typed) == 1, F.element_at(typed, 1)).otherwise("mixed")
+    out = keys.groupBy("array_name", "key").agg(kind.alias("kind"), F.sum("n").alias("n"), F.count("*").alias("variants")).join(total, "array_name")
+    return out.select("array_name", "key", "kind", "n", "variants", (F.col("variants") == F.col("all_variants")).alias("common"))
+
+
+def _typed(value: Column, kind: str) -> Column:
+    if kind == "number":
+        return value.cast("double")
+    if kind == "bool":
+        return value.cast("boolean")
+    return F.from_json(value, "array<string>") if kind == "scalars" else value
+
+
+def subtype_table(nodes: DataFrame, array_name: str, shape: str | None = None, common: bool = False) -> DataFrame:
+    """The objects of an array, or of one of its variants, with a typed column a key beside the links.
+
+    With ``common`` only the keys that all variants share get a column (the supertype). Columns come in
+    the order of the keys; keys that an object lacks are null; numbers are doubles, arrays of scalars
+    arrays of strings, keys of mixed kind text. Keys beyond MOST_COLUMNS (the rarest) and those without a
+    column are in ``rest``; nested objects are tables of their own. A key that clashes with a link or with
+    ``rest``, or with another key but for letter case, gets the suffix _value and its number.
     """
-    links = ["root_id", "pointer", "parent_pointer", "position", "shape"]
     rows = nodes.where(F.col("array_name") == array_name)
     if shape is not None:
         rows = rows.where(F.col("shape") == shape)
-    return rows.select(*links, *(F.col("fields")[k].alias(f"{k}_value" if k in links else k) for k in keys))
-
-
-def _refs(rows: DataFrame, lineage: Column) -> DataFrame:
-    rows = rows.select("record_id", "built_at", lineage["parsed_json_pointer"].alias("parent_pointer"), F.explode(lineage["raw_refs"]["json_pointer"]).alias("child_pointer"))
-    return rows.where(F.col("parent_pointer").isNotNull() & F.col("child_pointer").isNotNull())
+    keys = key_catalog(rows).where(~F.col("kind").isin("object", "array"))
+    if common:
+        keys = keys.where("common")
+    known = sorted((r["key"], r["kind"]) for r in keys.orderBy(F.desc("n"), "key").limit(MOST_COLUMNS).collect())
+    taken = {c.lower() for c in [*LINKS, "rest"]}
+    columns = []
+    for i, (key, kind) in enumerate(known):
+        name = key if key and key.lower() not in taken else f"{key}_value{'' if key.lower() + '_value' not in taken and key else i}"
+        taken.add(name.lower())
+        columns.append(_typed(F.col("fields")[key], kind).alias(name))
+    rest = F.map_filter("fields", lambda k, _: ~k.isin(*(k for k, _ in known))) if known else F.col("fields")
+    return rows.select(*LINKS, *columns, rest.alias("rest"))
+
+
+def state_of(value: Column, kind) -> Column:
+    """The automaton's state of a column of a known type, as an expression: null, a leaf's type, [states] or {key:state}."""
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.StructType):
+        inner = F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f"{f.name}:"), state_of(value[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name))), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        inner = F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct(F.transform(value, lambda x: state_of(x, kind.elementType)))), "|"), F.lit("]"))
+    else:
+        inner = F.lit("bool" if isinstance(kind, T.BooleanType) else "string" if isinstance(kind, T.StringType) else "number")
+    return F.when(value.isNull(), "null").otherwise(inner)
+
+
+def lineage_nodes(records: DataFrame) -> DataFrame:
+    """(record_id, built_at, level, parent_pointer, refs, shape) of every lineage at four levels: record, section, component and unit.
+
+    Each level is its own scan of only the pointer columns, so that the texts of the units are never
+    read. ``refs`` are the pointers of its raw references, ``shape`` the structural variant of the pair.
+    """
+    records = records.where(F.col("record_id").isNotNull())
+    section = lambda x: records.select("record_id", "built_at", F.explode("sections").alias("s")).select("record_id", "built_at", x)
+    levels = [
+        ("record", records.select("record_id", "built_at", F.col("lineage").alias("l"))),
+        ("section", section(F.col("s.lineage").alias("l"))),
+        ("component", section(F.explode("s.component_contexts").alias("x")).select("record_id", "built_at", F.col("x.lineage").alias("l"))),
+        ("unit", section(F.explode("s.units").alias("x")).select("record_id", "built_at", F.col("x.lineage").alias("l"))),
+    ]
+    parts = [rows.select("record_id", "built_at", F.lit(name).alias("level"), F.col("l.parsed_json_pointer").alias("parent_pointer"), F.col("l.raw_refs.json_pointer").alias("refs")) for name, rows in levels]
+    nodes = parts[0]
+    for part in parts[1:]:
+        nodes = nodes.unionByName(part)
+    pair = F.struct("parent_pointer", "refs")
+    return nodes.withColumn("shape", state_of(pair, nodes.select(pair.alias("p")).schema["p"].dataType))
 
 
 def lineage_links(records: DataFrame) -> DataFrame:
-    """Distinct links (record_id, parent_pointer, child_pointer) of the latest build of each record.
+    """Distinct links (record_id, parent_pointer, child_pointer) of the latest build of each record, from ``lineage_nodes``.
 
-    Lineage is read at four levels: record, section, component and unit. Each level is its own scan
-    of only the pointer columns, so that the texts of the units are never read. Null arrays, null
-    elements and null pointers give nothing; an empty pointer is a pointer. Null record ids are left out.
+    Only variants with a pointer and a reference with one give links; null arrays, null elements and null
+    pointers give nothing, and an empty pointer is a pointer. Null record ids are left out.
     """
-    records = records.where(F.col("record_id").isNotNull())
-    section = lambda *more: records.select("record_id", "built_at", F.explode("sections").alias("s")).select("record_id", "built_at", *more)
-    levels = [
-        _refs(records, F.col("lineage")),
-        _refs(section(F.col("s.lineage").alias("x")), F.col("x")),
-        _refs(section(F.explode("s.component_contexts").alias("x")), F.col("x.lineage")),
-        _refs(section(F.explode("s.units").alias("x")), F.col("x.lineage")),
-    ]
-    links = levels[0]
-    for level in levels[1:]:
-        links = links.unionByName(level)
-    newest = records.groupBy("record_id").agg(F.max("built_at").alias("newest"))
+    nodes = lineage_nodes(records).where(F.col("shape").rlike(r"^\{parent_pointer:string,refs:\[.*string.*\]\}$"))
+    links = nodes.select("record_id", "built_at", "parent_pointer", F.explode("refs").alias("child_pointer")).where("child_pointer is not null")
+    newest = records.where(F.col("record_id").isNotNull()).groupBy("record_id").agg(F.max("built_at").alias("newest"))
     links = links.distinct().join(newest, "record_id").where(F.col("built_at").eqNullSafe(F.col("newest")))
     return links.select("record_id", "parent_pointer", "child_pointer").distinct()

@@ -14,7 +14,7 @@ from .search import _BI, D_TOK
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", wide=True).select("doc_id", "text", "title", "source", "record_key")
+    return table(spark, d, "documents").select("doc_id", "text", "title", "source", "record_key")
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +172,7 @@ def u5_literal_matches(spark: SparkSession, d: str) -> DataFrame:
 def u6_near_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Questions close to a query of the evaluation items (a fixed set of 200)."""
     tests = [(r[0], r[1]) for r in table(spark, d, "eval_items").select("item_id", "query").collect()]
-    rows = table(spark, d, "turns", wide=True).select(F.col("id").alias("key"), F.col("question").alias("text")).distinct()
+    rows = table(spark, d, "turns").select(F.col("id").alias("key"), F.col("question").alias("text")).distinct()
     return dedupe.near_paragraphs(rows, tests, least=0.6, chars=12)
 
 

@@ -27,6 +27,11 @@ _DETAIL = """
 """  # noqa: E501
 
 
+def page_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The page objects, routed to the tables of their arrays and variants."""
+    return shapes.routed(shapes.page_nodes(table(spark, d, "obc_detail")))
+
+
 @register(
     "p4_found",
     f"""
@@ -44,25 +49,78 @@ _DETAIL = """
 )
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     links = shapes.lineage_links(table(spark, d, "canonical_records")).select(F.lit("canonical").alias("origin"), F.col("record_id").alias("root_id"), "parent_pointer", "child_pointer")
-    nodes = shapes.page_nodes(table(spark, d, "obc_detail")).select(F.lit("detail").alias("origin"), "root_id", "parent_pointer", F.col("pointer").alias("child_pointer")).distinct()
+    nodes = page_tables(spark, d).select(F.lit("detail").alias("origin"), "root_id", "parent_pointer", F.col("pointer").alias("child_pointer")).distinct()
     return links.unionByName(nodes)
 
 
 @register("p4_shapes")
 def p4_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Structural variants of the page objects."""
-    return shapes.shape_counts(shapes.page_nodes(table(spark, d, "obc_detail")))
+    return shapes.shape_counts(page_tables(spark, d))
+
+
+_KEYS = f"""
+    WITH {_DETAIL}, o AS (SELECT a, child, v, unnest(json_keys(v)) AS key FROM (SELECT DISTINCT root_id, a, child, v FROM detail)),
+    k AS (SELECT a, key, json_type(v, '$."' || key || '"') AS t, json_extract(v, '$."' || key || '"') AS x FROM o),
+    n AS (SELECT a, key, CASE WHEN t = 'NULL' THEN NULL WHEN t = 'VARCHAR' THEN 'string' WHEN t = 'BOOLEAN' THEN 'bool' WHEN t = 'OBJECT' THEN 'object'
+          WHEN t = 'ARRAY' THEN CASE WHEN len(list_filter(from_json(x, '["JSON"]'), lambda y: json_type(y) IN ('OBJECT', 'ARRAY'))) > 0 THEN 'array' ELSE 'scalars' END ELSE 'number' END AS kind FROM k)
+    SELECT a AS array_name, key, CASE count(DISTINCT kind) WHEN 0 THEN 'null' WHEN 1 THEN max(kind) ELSE 'mixed' END AS kind, count(*) AS n FROM n GROUP BY a, key
+"""
+
+
+@register("p4_keys", _KEYS)
+def p4_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Which keys the objects of each array have, with their types."""
+    return shapes.key_catalog(page_tables(spark, d)).select("array_name", "key", "kind", "n")
+
+
+def _array_sql(array: str, **columns: str) -> str:
+    return f"WITH {_DETAIL} SELECT root_id, child AS pointer, parent AS parent_pointer, {', '.join(f'{x} AS {c}' for c, x in columns.items())} FROM detail WHERE a = '{array}'"
+
+
+def _string(key: str) -> str:
+    return f"json_extract_string(v, '$.{key}')"
+
+
+def _array_table(spark: SparkSession, d: str, array: str, *columns: str) -> DataFrame:
+    found = shapes.subtype_table(page_tables(spark, d), array)
+    return found.select("root_id", "pointer", "parent_pointer", *(F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in columns))
+
+
+@register("p4_components", _array_sql("components", component_id=_string("component_id"), layout=_string("layout")))
+def p4_components(spark: SparkSession, d: str) -> DataFrame:
+    """The components as a typed table with the link to their module."""
+    return _array_table(spark, d, "components", "component_id", "layout")
+
+
+@register("p4_modules", _array_sql("modules", id=_string("id"), name=_string("name"), is_submodule="CAST(json_extract(v, '$.is_submodule') AS BOOLEAN)"))
+def p4_modules(spark: SparkSession, d: str) -> DataFrame:
+    """The modules as a typed table with the link to their page."""
+    return _array_table(spark, d, "modules", "id", "name", "is_submodule")
+
+
+@register("p4_module_groups", _array_sql("module_group", module_group_id=_string("module_group_id"), layout=_string("layout")))
+def p4_module_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of a layout as a typed table with the link to their tab."""
+    return _array_table(spark, d, "module_group", "module_group_id", "layout")
+
+
+@register("p4_placements", _array_sql("module", id=_string("id"), pos=_string("pos")))
+def p4_placements(spark: SparkSession, d: str) -> DataFrame:
+    """The placed modules of a layout as a typed table with the link to their group."""
+    return _array_table(spark, d, "module", "id", "pos")
 
 
 @register(
-    "p4_components",
-    f"""
-    WITH {_DETAIL}
-    SELECT root_id, child AS pointer, parent AS parent_pointer, json_extract_string(v, '$.component_id') AS component_id, json_extract_string(v, '$.layout') AS layout
-    FROM detail WHERE a = 'components'
+    "p4_lineages",
+    """
+    WITH r AS (SELECT DISTINCT record_id, built_at, lineage, sections FROM canonical_records WHERE record_id IS NOT NULL),
+    s AS (SELECT record_id, unnest(sections) AS s FROM r),
+    l AS (SELECT 'record' AS level, lineage AS l FROM r UNION ALL SELECT 'section', s.lineage FROM s UNION ALL SELECT 'component', z.lineage FROM (SELECT unnest(s.component_contexts) AS z FROM s) UNION ALL SELECT 'unit', z.lineage FROM (SELECT unnest(s.units) AS z FROM s))
+    SELECT level, '{parent_pointer:' || CASE WHEN l.parsed_json_pointer IS NULL THEN 'null' ELSE 'string' END || ',refs:' || CASE WHEN l.raw_refs IS NULL THEN 'null'
+        ELSE '[' || array_to_string(list_sort(list_distinct(list_transform(l.raw_refs, lambda x: CASE WHEN x.json_pointer IS NULL THEN 'null' ELSE 'string' END))), '|') || ']' END || '}' AS shape, count(*) AS n FROM l GROUP BY ALL
     """,
 )
-def p4_components(spark: SparkSession, d: str) -> DataFrame:
-    """The components as a typed table with the link to their module."""
-    nodes = shapes.page_nodes(table(spark, d, "obc_detail"))
-    return shapes.subtype_table(nodes, "components", ["component_id", "layout"]).drop("position", "shape")
+def p4_lineages(spark: SparkSession, d: str) -> DataFrame:
+    """Structural variants of the lineages of all builds, by level."""
+    return shapes.lineage_nodes(table(spark, d, "canonical_records").distinct()).groupBy("level", "shape").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,30 +26,37 @@ def build_session(cpus: int | str = "*", app: str = "scriptorium", **conf: str)
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
-    """One Parquet table of a data folder; columns and filters are pruned by the scan.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One Parquet table of a data folder, read as it lies; columns and filters are pruned by the scan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    ``wide`` is for scans before heavy work on every row: a table in fewer splits than the session
-    has cores (one small file) is spread over the cores. Larger tables are read as they lie.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if wide and df.rdd.getNumPartitions() < cores else df
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back from there.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a laptop)
-    is a temporary folder chosen. The files survive the loss of executors.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Only a local session without it (tests, a laptop) gets a temporary one."""
+    sc = spark.sparkContext
+    where = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if where is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
     if sc.getCheckpointDir() is None:
-        where = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="scriptorium-checkpoint-")
         sc.setCheckpointDir(where)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back from there; the files survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, in one folder a value of ``partition_by``, read back with pruning."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.select(*(c for c in df.columns if c not in partition_by), *partition_by).schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -178,21 +178,6 @@ def test_admission_goes_on_after_a_miss(spark):
     assert got == {"a": "admitted", "b": "no room", "c": "admitted", "d": "too large"}
 
 
-def test_colliding_keys_carry_their_extras(spark):
-    import numpy as np
-
-    from scriptorium.operators.collide import colliding
-
-    def emit(b):
-        ids = b.column("id").to_numpy()
-        return (ids // 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), ids.astype(np.int64), ids * 3  # extras as int64
-
-    for chunk, width in ((700, 8), (50_000, 5)):
-        got = {(r.owner, r.extra) for r in colliding(spark.range(0, 9001, 1, 5), emit, chunk, width).collect()}
-        assert got == {(i, 3 * i) for i in range(9000)}
-    assert colliding(spark.range(0), emit).count() == 0
-
-
 def test_near_paragraphs_are_all_found(spark):
     from difflib import SequenceMatcher
 
@@ -256,3 +241,30 @@ def test_contained_hits_are_covered(spark):
     texts = spark.createDataFrame([("a", "one two three"), ("b", "two"), ("c", "two"), ("d", "two three"), ("e", None)], "key string, text string")
     got = {(r.by, r.key) for r in fusion.containment(hits, texts).collect()}
     assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "b"), ("d", "b")}
+
+
+def test_variants_in_typed_tables(spark):
+    import datetime as dt
+    import json
+
+    page = lambda i, mods: json.dumps({"retcode": 0, "data": {"page": {"id": i, "modules": mods}}})
+    day = dt.datetime(2025, 1, 1)
+    mods = [{"id": "a", "n": 1, "flag": True, "tags": ["x", 2]}, {"id": 7, "rest": "r", "ID": "upper", "pointer": "p"}, {"id": None, "n": 2.5, "components": [{"k": 1}]}, None, {}]
+    rows = [("c", True, 200, page(5, mods), day), ("c", True, 200, page(5, []), dt.datetime(2024, 1, 1)), ("d", True, 200, page(None, mods), day), ("e", True, 200, "{", day), (None, True, 200, page(6, mods), day)]
+    nodes = shapes.routed(shapes.page_nodes(spark.createDataFrame(rows, "content_key string, ok boolean, http_status int, body string, fetched_at timestamp")))
+    catalog = {(r.array_name, r.key): (r.kind, r.n, r.common) for r in shapes.key_catalog(nodes).collect()}
+    assert catalog[("modules", "id")] == ("mixed", 3, False) and catalog[("modules", "n")] == ("number", 2, False) and catalog[("components", "k")] == ("number", 1, True)
+    t = {r.position: r.asDict() for r in shapes.subtype_table(nodes, "modules").collect()}
+    assert set(t) == {0, 1, 2, 4} and t[0]["n"] == 1.0 and t[0]["flag"] is True and t[0]["tags"] == ["x", "2"] and t[2]["n"] == 2.5 and t[2]["id"] is None
+    assert t[1]["pointer"] == "/data/page/modules/1" and t[1]["pointer_value"] == "p" and t[1]["rest_value"] == "r" and len({c.lower() for c in t[1]}) == len(t[1])
+    one = shapes.subtype_table(nodes, "modules", shape=t[0]["shape"])
+    assert one.count() == 1 and set(one.columns) == {*shapes.LINKS, "id", "n", "flag", "tags", "rest"}
+    common = shapes.subtype_table(nodes, "modules", common=True)
+    assert set(common.columns) == {*shapes.LINKS, "rest"} and common.count() == 4
+    assert shapes.subtype_table(nodes, "tab").count() == 0
+
+
+def test_states_of_typed_columns(spark):
+    df = spark.createDataFrame([((None, ["a", None]),), ((1, []),), ((2, None),), (None,)], "x struct<n:int, a:array<string>>")
+    got = [r[0] for r in df.select(shapes.state_of(df["x"], df.schema["x"].dataType)).collect()]
+    assert got == ["{a:[null|string],n:null}", "{a:[],n:number}", "{a:null,n:number}", "null"]
