@@ -31,8 +31,8 @@ def test_page_nodes_of_dirty_fetches(spark):
         ("p1", "/data/page", "/data/page/modules/0"), ("p1", "/data/page", "/data/page/modules/2"), ("p1", "/data/page/modules/0", "/data/page/modules/0/components/1"),
         ("p1", "/data/page/modules/0", "/data/page/modules/0/components/2"), ("p1", "/data/page/modules/0/components/2/a~1b", "/data/page/modules/0/components/2/a~1b/components/0"), ("77", "/data/page", "/data/page/modules/0"),
     }
-    typed = shapes.subtype_table(shapes.page_nodes(df), "components", ["component_id", "pointer"])
-    assert {r.component_id for r in typed.collect()} == {"x", "y", None} and "pointer_value" in typed.columns
+    typed = shapes.subtype_table(shapes.page_nodes(df), "components")
+    assert {r.component_id for r in typed.collect()} == {"x", "y", None} and "deep" in typed.columns
     assert shapes.page_nodes(df.limit(0)).count() == 0
 
 
