@@ -255,7 +255,7 @@ def test_variants_in_typed_tables(spark):
     catalog = {(r.array_name, r.key): (r.kind, r.n, r.common) for r in shapes.key_catalog(nodes).collect()}
     assert catalog[("modules", "id")] == ("mixed", 3, False) and catalog[("modules", "n")] == ("number", 2, False) and catalog[("components", "k")] == ("number", 1, True)
     t = {r.position: r.asDict() for r in shapes.subtype_table(nodes, "modules").collect()}
-    assert set(t) == {0, 1, 2, 4} and t[0]["n"] == 1.0 and t[0]["flag"] is True and t[0]["tags"] == ["x", "2"] and t[2]["n"] == 2.5 and t[2]["id"] is None
+    assert set(t) == {0, 1, 2, 4} and t[0]["n"] == 1.0 and t[0]["flag"] is True and t[0]["tags"] == ["x", "2"] and t[2]["n"] == 2.5 and t[1]["ID"] == "upper" and "id_value" in t[1]
     assert t[1]["pointer"] == "/data/page/modules/1" and t[1]["pointer_value"] == "p" and t[1]["rest_value"] == "r" and len({c.lower() for c in t[1]}) == len(t[1])
     one = shapes.subtype_table(nodes, "modules", shape=t[0]["shape"])
     assert one.count() == 1 and set(one.columns) == {*shapes.LINKS, "id", "n", "flag", "tags", "rest"}
