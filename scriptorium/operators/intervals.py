@@ -50,6 +50,20 @@ def overlaps(ranges: DataFrame, keys: list[str], ident: str, start: str = "start
     return both.select(*keys, "a", "b", (F.least("ea", "eb") - begin).alias("shared"))
 
 
+def shared_length(ranges: DataFrame, keys: list[str], owner: str, start: str = "start", end: str = "end", cell: int = 1000) -> DataFrame:
+    """(a, b, shared): positions that ranges of two owners share inside the keys, each counted once; a < b.
+
+    Intersections are found by cells of ``cell`` positions, as in ``overlaps``, and merged before they are
+    counted. Rows are pairs of owners that do share something.
+    """
+    rows = ranges.where(F.col(end) > F.col(start)).select(*keys, F.col(owner).alias("o"), F.col(start).alias("s"), F.col(end).alias("e")).distinct()
+    cells = rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor((F.col("e") - 1) / cell))))
+    a, b = (cells.select(*keys, "cell", F.col("o").alias(x), F.col("s").alias(f"s{x}"), F.col("e").alias(f"e{x}")) for x in "ab")
+    both = a.join(b, [*keys, "cell"]).where((F.col("a") < F.col("b")) & (F.col("sa") < F.col("eb")) & (F.col("sb") < F.col("ea")) & (F.floor(F.greatest("sa", "sb") / cell) == F.col("cell")))
+    parts = both.select(*keys, "a", "b", F.greatest("sa", "sb").alias("start"), F.least("ea", "eb").alias("end"))
+    return merged(parts, [*keys, "a", "b"]).groupBy("a", "b").agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
+
+
 def contained(ranges: DataFrame, keys: list[str], ident: str, order: str, start: str = "start", end: str = "end") -> DataFrame:
     """Ranges (keys, id, by) that lie within one earlier range of the key, with the earliest such range."""
     rows = ranges.where(F.col(end) > F.col(start)).select(*keys, F.col(ident).alias("id"), F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"))

@@ -54,6 +54,45 @@ def top_k(scored: DataFrame, k: int, by: list[str], tie: str, score: str = "scor
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best rows a query of a partition, held while its batches pass; score first, then the smaller key."""
+
+    def __init__(self, ids, k: int):
+        self.ids, self.k = np.asarray(ids, np.int64), k
+        self.least = np.full(len(self.ids), -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def offer(self, keys: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None = None) -> None:
+        """Rows by queries; what can't be among the best any more is let go at once."""
+        fits = scores >= self.least
+        if allowed is not None:
+            fits &= allowed
+        row, query = np.nonzero(fits)
+        self.held.append((query, keys[row], scores[row, query]))
+        self.size += len(row)
+        if self.size > 8 * self.k * max(len(self.ids), 1):
+            self.cut()
+
+    def cut(self) -> None:
+        query, keys, scores = map(np.concatenate, zip(*self.held))
+        order = np.lexsort((keys, -scores, query))
+        query, keys, scores = query[order], keys[order], scores[order]
+        first = np.searchsorted(query, np.arange(len(self.ids)))
+        place = np.arange(len(query)) - first[query]
+        keep = place < self.k
+        last = place == self.k - 1
+        self.least[query[last]] = scores[last]
+        self.held = [(query[keep], keys[keep], scores[keep])]
+        self.size = int(keep.sum())
+
+    def batch(self, key_name: str) -> pa.RecordBatch:
+        if self.held:
+            self.cut()
+        query, keys, scores = self.held[0] if self.held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[query], pa.int64()), pa.array(keys, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", key_name, "score"])
+
+
 class _TermBlock:
     """A block of queries as a term list and a (terms x queries) matrix of query frequencies."""
 
@@ -100,9 +139,10 @@ def _statistics(block: _TermBlock, fields: list[str]):
 
 
 def _block_bm25(block: _TermBlock, fields: list[str], weights: list[float], average: list[float], idfs: np.ndarray, k: int, k1: float, b: float, step: int = 512):
-    """Scores of all rows of a partition against the block, the k best of each batch a query."""
+    """Scores of all rows of a partition against the block, of which the k best a query leave the partition."""
 
     def run(batches):
+        best = _Best(block.ids, k)
         for batch in batches:
             batch = batch.filter(pc.fill_null(batch.column("in_role"), False))
             if not batch.num_rows or not len(block.terms):
@@ -119,13 +159,8 @@ def _block_bm25(block: _TermBlock, fields: list[str], weights: list[float], aver
                     x[row[s:e] - lo, term[s:e]] += w * tf[s:e] / norm
                 scores[lo:hi] = (x * (k1 + 1) / (x + k1) * idfs) @ block.matrix
             scores = np.round(scores, 9)
-            for q, query_id in enumerate(block.ids):
-                column = scores[:, q]
-                at = np.flatnonzero(column > 0)
-                if len(at) > 4 * k:
-                    at = at[column[at] >= np.partition(column[at], len(at) - k)[len(at) - k]]
-                at = at[np.lexsort((keys[at], -column[at]))][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(at), pa.int64()), pa.array(keys[at], pa.int64()), pa.array(column[at])], names=["query_id", "doc_id", "score"])
+            best.offer(keys, scores, scores > 0)
+        yield best.batch("doc_id")
 
     return run
 
@@ -202,33 +237,47 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / norm)
 
 
-def _block_search(ids, matrix, k: int, decimals: int, earlier: bool = False):
+def _block_search(ids, groups, matrix, k: int, decimals: int, earlier: bool = False, owner: int | None = None):
+    """Scores of a partition's vectors against the block; ``owner`` is the number of vectors of one owner, whose best counts."""
+
     def run(batches):
+        best = _Best(ids, k)
         for batch in batches:
             keys = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             if not len(keys):
                 continue
+            flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             scores = np.round(flat.reshape(len(keys), -1) @ matrix.T, decimals)
-            for j in range(len(ids)):
-                at = np.lexsort((keys, -scores[:, j]))
-                at = at[keys[at] < ids[j] if earlier else keys[at] != ids[j]][:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[j])), pa.array(keys[at]), pa.array(scores[at, j])], names=["query_id", "vec_id", "score"])
+            allowed = keys[:, None] < ids[None, :] if earlier else keys[:, None] != ids[None, :]
+            if groups is not None:
+                allowed &= batch.column("group").to_numpy(zero_copy_only=False)[:, None] != groups[None, :]
+            if owner is not None:  # the windows of an owner may lie in several batches and partitions: the rest is done by window_max
+                keys = keys // owner
+                order = np.argsort(keys, kind="stable")
+                starts = np.flatnonzero(np.diff(keys[order], prepend=keys[order[0]] - 1))
+                scores = np.maximum.reduceat(np.where(allowed, scores, -np.inf)[order], starts)
+                keys, allowed = keys[order[starts]], np.isfinite(scores)
+            best.offer(keys, scores, allowed)
+        yield best.batch("vec_id")
 
     return run
 
 
-def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, decimals: int = 6, earlier: bool = False) -> DataFrame:
+def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 2000, decimals: int = 6, earlier: bool = False, exclude: str | None = None, owner: int | None = None) -> DataFrame:
     """Exact cosine hits (query_id, vec_id, score, rank) of unit vectors against all rows, own id left out.
 
     ``queries`` is a stated set; it goes to the executors in blocks of ``block`` vectors (a bounded
-    size), every row of ``vectors`` is scored by one matrix product a batch, each batch passes on
-    only its k best, and the final ranking sees batches x k rows a query. With ``earlier`` only ids
-    below the query's own count, before any cut at k.
+    size), every row of ``vectors`` is scored by one matrix product a batch, a partition passes on
+    only its k best, and the final ranking sees partitions x k rows a query. With ``earlier`` only ids
+    below the query's own count, and with ``exclude``, a whole-number column, only rows whose value is
+    another than the query's, both before any cut at k. With ``owner`` the ids are windows of owners,
+    ``owner`` windows each: vec_id is then the owner's number and an owner scores as its best window.
     """
+    group = (F.lit(None) if exclude is None else F.col(exclude)).cast("long").alias("group")
+
     def blocks():
         held = []
-        for r in queries.select("vec_id", "embedding").where("vec_id is not null and embedding is not null").toLocalIterator():
+        for r in queries.select("vec_id", "embedding", group).where("vec_id is not null and embedding is not null").toLocalIterator():
             held.append(r)
             if len(held) == block:
                 yield held
@@ -237,13 +286,17 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
             yield held
 
     parts = []
-    rows = vectors.select("vec_id", "embedding").where("vec_id is not null and embedding is not null")
+    rows = vectors.select(F.col("vec_id").cast("long"), "embedding", group).where("vec_id is not null and embedding is not null" + ("" if exclude is None else " and group is not null"))
     for held in blocks():
         ids, matrix = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-        parts.append(rows.mapInArrow(_block_search(ids, matrix, k, decimals, earlier), "query_id long, vec_id long, score double"))
+        groups = None if exclude is None else np.array([-1 if r[2] is None else r[2] for r in held])
+        parts.append(rows.mapInArrow(_block_search(ids, groups, matrix, k, decimals, earlier, owner), "query_id long, vec_id long, score double"))
     if not parts:
         return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
-    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "vec_id")
+    hits = reduce(DataFrame.unionByName, parts)
+    if owner is not None:
+        hits = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return top_k(hits, k, ["query_id"], "vec_id")
 
 
 def window_max(hits: DataFrame, owner: str, k: int) -> DataFrame:
@@ -262,6 +315,7 @@ def sparse_top_k(weights: DataFrame, query_weights: DataFrame, k: int = 10) -> D
 def _block_sparse(block: _TermBlock, k: int, step: int = 512):
     def run(batches):
         width = len(block.terms)
+        best = _Best(block.ids, k)
         for batch in batches:
             if not batch.num_rows or not width:
                 continue
@@ -279,10 +333,8 @@ def _block_sparse(block: _TermBlock, k: int, step: int = 512):
                 x = np.bincount((row[s:e] - lo) * width + known[s:e], w[s:e], (hi - lo) * width).reshape(hi - lo, width)
                 scores[lo:hi] = x @ block.matrix
             scores = np.round(scores, 9)
-            for q, query_id in enumerate(block.ids):
-                at = np.flatnonzero(scores[:, q] > 0)
-                at = at[np.lexsort((keys[at], -scores[at, q]))][:k]
-                yield pa.RecordBatch.from_arrays([pa.array([query_id] * len(at), pa.int64()), pa.array(keys[at], pa.int64()), pa.array(scores[at, q])], names=["query_id", "doc_id", "score"])
+            best.offer(keys, scores, scores > 0)
+        yield best.batch("doc_id")
 
     return run
 
@@ -308,6 +360,14 @@ def sparse_rows_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: i
     return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "doc_id")
 
 
+def bound_rankings(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(query_id, state) of two rankings (query_id, key, rank): bound, keys differ, or ranks not 1 to n (of the second)."""
+    a = first.select("query_id", "key").withColumn("a", F.lit(1))
+    b = second.select("query_id", "key", F.col("rank").alias("r")).withColumn("b", F.lit(1))
+    n = a.join(b, ["query_id", "key"], "full").groupBy("query_id").agg(F.count("a").alias("left_n"), F.count("b").alias("right_n"), F.count_if(F.expr("a = 1 and b = 1")).alias("both"), F.min("r").alias("lo"), F.max("r").alias("hi"), F.countDistinct("r").alias("ranks"))
+    return n.select("query_id", F.when(F.expr("both <> left_n or both <> right_n"), "keys differ").when(F.expr("lo <> 1 or hi <> right_n or ranks <> right_n"), "ranks not 1 to n").otherwise("bound").alias("state"))
+
+
 def strongest(encoded: DataFrame) -> DataFrame:
     """(doc_id, term, w) with the largest positive weight of a term in a document."""
     return encoded.where("w > 0").groupBy("doc_id", "term").agg(F.max("w").alias("w"))

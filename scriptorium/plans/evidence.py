@@ -151,35 +151,17 @@ def g6_edge_documents(spark: SparkSession, d: str) -> DataFrame:
     return ends.select("record_id", "section_no", "unit_no", "group_no", "parent_id", "child_id", text.alias("text")).distinct()
 
 
-@register("g3_recursive_reach", "WITH RECURSIVE t AS (SELECT DISTINCT id, session, sequence FROM turns WHERE session IS NOT NULL), e AS (SELECT id AS a, lead(id) OVER (PARTITION BY session ORDER BY sequence) AS b FROM t), r(node, hops) AS (SELECT id, 0 FROM t QUALIFY row_number() OVER (PARTITION BY session ORDER BY sequence) = 1 UNION ALL SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE e.b IS NOT NULL AND r.hops < 5) SELECT node, hops FROM r")
+@register("g3_recursive_reach", "WITH RECURSIVE t AS (SELECT DISTINCT id, session, sequence FROM turns WHERE session IS NOT NULL), e AS (SELECT id AS a, lead(id) OVER (PARTITION BY session ORDER BY sequence) AS b FROM t), r(node, hops) AS (SELECT id, 0 FROM t QUALIFY row_number() OVER (PARTITION BY session ORDER BY sequence) = 1 UNION ALL SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE e.b IS NOT NULL) SELECT node, hops FROM r")
 def g3_recursive_reach(spark: SparkSession, d: str) -> DataFrame:
-    """Turns within five steps of their session's first turn, over the chain of turns."""
-    t = table(spark, d, "turns").where("session is not null").select("id", "session", "sequence").distinct()
-    w = Window.partitionBy("session").orderBy("sequence")
-    e = t.select(F.col("id").alias("a"), F.lead("id").over(w).alias("b")).where("b is not null")
-    starts = t.withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("id").alias("node"))
-    return graphs.reachable(e, starts, 5)
-
-
-@register("g3_whole_reach", "WITH RECURSIVE t AS (SELECT DISTINCT id, session, sequence FROM turns WHERE session IS NOT NULL), e AS (SELECT id AS a, lead(id) OVER (PARTITION BY session ORDER BY sequence) AS b FROM t), r(node, hops) AS (SELECT id, 0 FROM t QUALIFY row_number() OVER (PARTITION BY session ORDER BY sequence) = 1 UNION ALL SELECT e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE e.b IS NOT NULL) SELECT node, hops FROM r")
-def g3_whole_reach(spark: SparkSession, d: str) -> DataFrame:
     """All turns that their session's first turn reaches, over the chain of turns to its end."""
     t = table(spark, d, "turns").where("session is not null").select("id", "session", "sequence").distinct()
     w = Window.partitionBy("session").orderBy("sequence")
     return graphs.chain_places(t.select(F.col("id").alias("node"), F.lag("id").over(w).alias("back")))
 
 
-@register("x1_arrivals", f"WITH {_DENSE}, r AS (SELECT query_id AS source, vec_id AS target, rank FROM dense WHERE rank <= 200), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank, target) AS n FROM r WHERE target < source) SELECT DISTINCT least(source, target) AS low, greatest(source, target) AS high FROM b WHERE n <= 20")
+@register("x1_arrivals", f"WITH {_DENSE}, b AS (SELECT query_id AS source, vec_id AS target, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM dense WHERE vec_id < query_id) SELECT DISTINCT least(source, target) AS low, greatest(source, target) AS high FROM b WHERE n <= 20")
 def x1_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors arrive in the order of their ids; each query vector links to its best earlier ones."""
-    v = table(spark, d, "embeddings")
-    ranks = search.dense_top_k(v, v.where("vec_id % 100 = 0"), 200).select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), "rank")
-    return graphs.arrivals(ranks, v.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("place")))
-
-
-@register("x1_all_arrivals", f"WITH {_DENSE}, b AS (SELECT query_id AS source, vec_id AS target, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM dense WHERE vec_id < query_id) SELECT DISTINCT least(source, target) AS low, greatest(source, target) AS high FROM b WHERE n <= 20")
-def x1_all_arrivals(spark: SparkSession, d: str) -> DataFrame:
-    """As x1_arrivals, but ranked among the earlier vectors only, however far down the whole ranking they stand."""
+    """Vectors arrive in the order of their ids; each query vector links to the best among the earlier ones."""
     v = table(spark, d, "embeddings")
     ranks = search.dense_top_k(v, v.where("vec_id % 100 = 0"), 20, earlier=True).select(F.col("query_id").alias("source"), F.col("vec_id").alias("target"), "rank")
     return graphs.arrivals(ranks, v.select(F.col("vec_id").alias("key"), F.col("vec_id").alias("place")))

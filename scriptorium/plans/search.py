@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -44,30 +44,16 @@ def r2_bm25(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(docs(spark, d), eval_queries(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@register(
-    "m7_witness_rank",
-    f"""WITH {_bm25_sql(q=D_TOK)} SELECT e.item_id AS query_id, CAST(min(rank) AS INTEGER) AS witness_rank FROM top JOIN documents d USING (doc_id) JOIN eval_items e ON e.item_id = top.query_id
-    WHERE rank <= 50 AND contains(d.text, substr(e.text, 1, 60)) GROUP BY e.item_id""",
-)
-def m7_witness_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Best rank of a hit that holds the item's opening words literally."""
-    return _witness_rank(spark, d, F.substring("text", 1, 60))
-
-
 _WITNESS = f"""WITH {_bm25_sql(q=D_TOK)} SELECT e.item_id AS query_id, CAST(min(rank) AS INTEGER) AS witness_rank FROM top JOIN documents d USING (doc_id) JOIN eval_items e ON e.item_id = top.query_id
     WHERE rank <= 50 AND e.text <> '' AND contains(d.text, e.text) GROUP BY e.item_id"""
 
 
-@register("m7_whole_quote", _WITNESS)
-def m7_whole_quote(spark: SparkSession, d: str) -> DataFrame:
-    """Best rank of a hit that holds the whole text of the item literally, as in the reference."""
-    return _witness_rank(spark, d, F.col("text"))
-
-
-def _witness_rank(spark: SparkSession, d: str, quote: Column) -> DataFrame:
+@register("m7_witness_rank", _WITNESS)
+def m7_witness_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Best rank of a hit that holds the whole text of the item literally."""
     passages = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
     hits = search.bm25(docs(spark, d), passages, 50)
-    items = passages.select("query_id", quote.alias("quote")).where("quote <> ''")
+    items = passages.withColumnRenamed("text", "quote").where("quote <> ''")
     both = hits.join(docs(spark, d).select("doc_id", "text"), "doc_id").join(items, "query_id")
     return both.where(F.col("text").contains(F.col("quote"))).groupBy("query_id").agg(F.min("rank").alias("witness_rank"))
 
@@ -142,9 +128,7 @@ def r7_dense_top_k(spark: SparkSession, d: str) -> DataFrame:
 def r9_window_max(spark: SparkSession, d: str) -> DataFrame:
     """Vectors as windows of owners (four each): an owner scores as its best window."""
     v = table(spark, d, "embeddings")
-    pairs = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
-    hits = v.join(F.broadcast(pairs), F.col("vec_id") != F.col("query_id")).select("query_id", F.floor(F.col("vec_id") / 4).alias("owner"), F.round(search.dot(F.col("qe"), F.col("embedding")), 6).alias("score"))
-    return search.window_max(hits, "owner", 10)
+    return search.dense_top_k(v, v.where("vec_id % 100 = 0"), 10, owner=4).withColumnRenamed("vec_id", "owner")
 
 
 _SPARSE = """

@@ -25,12 +25,12 @@ def test_literal_matches_are_of_whole_paragraphs(spark, tmp_path):
 
 
 def test_witness_holds_the_whole_quote(spark, tmp_path):
-    got = {r.query_id: r.witness_rank for r in search.m7_whole_quote(spark, items_and_documents(spark, tmp_path)).collect()}
+    got = {r.query_id: r.witness_rank for r in search.m7_witness_rank(spark, items_and_documents(spark, tmp_path)).collect()}
     assert set(got) == {7, 9}
 
 
 def test_arrivals_rank_among_the_earlier_only(spark, tmp_path):
     rows = [(i, [1.0, 0.0] if i >= 100 else [0.6, 0.8]) for i in range(50, 450)]  # what comes after 100 is nearer to it
     folder = write(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>"))
-    got = {(r.low, r.high) for r in evidence.x1_all_arrivals(spark, folder).collect()}
+    got = {(r.low, r.high) for r in evidence.x1_arrivals(spark, folder).collect()}
     assert got == {(i, 100) for i in range(50, 70)} | {(100 + i, s) for s in (200, 300, 400) for i in range(20)}
