@@ -6,6 +6,8 @@ Everything here stays in the JVM; what needs full Unicode tables is in ``unicode
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,12 @@ def han_channels(text: Column) -> tuple[Column, Column]:
     return one, two
 
 
+def dictionary_words(text: Column, words: list[str]) -> Column:
+    """Lower-case words found by a dictionary, the longest first; other Han characters and runs of ASCII letters and digits stand alone."""
+    known = "|".join(sorted((re.escape(w.lower()) for w in words), key=lambda w: (-len(w), w)))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({known + '|' if known else ''}[a-z0-9]+|{HAN})"), F.lit(1))
+
+
 def without_space(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", "")
 

@@ -1,27 +1,27 @@
 """Documents cut into token-bounded pieces, with greedy packing at two sizes and exact offsets.
 
 A document is one row and is cut where it lies, in one Arrow pass without a shuffle; what is greedy
-by nature (each cut depends on the last) is the small function inside. Token counters, the sizes and
-the sentence marks are parameters. Offsets are code points and pieces cover the text exactly.
+by nature (each cut depends on the last) is the small function inside. Texts are tokenised once and
+measured on the positions of their tokens. Vocabulary and sizes are parameters. Offsets are code points and pieces cover the text exactly.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-Counter = Callable[[str], int]
-_END = re.compile("[。！？!?]+[”’」』）)\"]*|\\n+|(?<=[a-z0-9])[.]+[”\"')]*(?=\\s)")
-PROFILES = {"micro": (240, 384), "macro": (720, 1024)}
+from ..functions.tokens import Characters, Ruler, Tokens
 
+CHARACTERS = Characters()
 
-def count_characters(text: str) -> int:
-    return len(text)
+# Sentence ends, and the sizes (target, hard limit) in tokens of the two grains.
+_END = re.compile("[。！？!?]+[”’」』）)\"]*|\\n+|(?<=[a-z0-9])[.]+[”\"')]*(?=\\s)")
+PROFILES = {"micro": (240, 384), "macro": (720, 1024)}
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -32,64 +32,93 @@ def sentence_ends(text: str) -> list[int]:
     return ends
 
 
-def split_long(text: str, limit: int, count: Counter = count_characters) -> list[tuple[int, int]]:
-    """Greedy pieces (start, end): the longest prefix within ``limit`` tokens, backed off to its last sentence end.
-
-    Counters must not fall when text is added. A piece without a sentence end is cut hard; at least
-    one character is always taken.
-    """
-    ends = sentence_ends(text)
-    out, start, at = [], 0, 0
-    while start < len(text):
-        lo, hi = start + 1, len(text)
-        if count(text[start:]) > limit:
-            while lo < hi:
-                mid = (lo + hi + 1) // 2
-                lo, hi = (mid, hi) if count(text[start:mid]) <= limit else (lo, mid - 1)
-        else:
-            lo = len(text)
-        while at < len(ends) and ends[at] <= start:
-            at += 1
-        best, j = lo, at
-        while j < len(ends) and ends[j] <= lo:
-            best = ends[j]
-            j += 1
+def _split(start: int, stop: int, ends: list[int], limit: int, ruler: Ruler) -> list[tuple[int, int]]:
+    out = []
+    while start < stop:
+        far = ruler.longest(start, stop, limit)
+        best = far
+        if far < stop:
+            i = bisect_right(ends, far) - 1
+            if i >= 0 and ends[i] > start:
+                best = ends[i]
         out.append((start, best))
         start = best
     return out
 
 
-def pack(text: str, target: int, hard: int, count: Counter = count_characters) -> list[tuple[int, int]]:
+def split_long(text: str, limit: int, tokens: Tokens | Characters = CHARACTERS) -> list[tuple[int, int]]:
+    """Greedy pieces (start, end): the longest prefix within ``limit`` tokens, backed off to its last sentence end.
+
+    Tokens are those of the whole text and belong to the piece in which they start. A piece without a
+    sentence end is cut hard; at least one character is always taken.
+    """
+    return _split(0, len(text), sentence_ends(text), limit, tokens.ruler(text))
+
+
+def pack(text: str, target: int, hard: int, tokens: Tokens | Characters = CHARACTERS) -> list[tuple[int, int]]:
     """Sentences packed into pieces that close at ``target`` and never pass ``hard`` tokens.
 
-    A piece ends before a heading line and before a sentence that no longer fits; a sentence too long
-    for itself is split. A last piece under a third of the target is merged back if it fits.
+    A piece ends before a heading line (unless it is headings only so far) and before a sentence that no
+    longer fits; a sentence too long for itself is split. A last piece under a third of the target that
+    does not begin with a heading is merged back if it fits. A heading line is a scope of its own text,
+    so that pieces never join what stands before it with what stands after.
     """
+    ruler = tokens.ruler(text)
+    ends = sentence_ends(text)
     units: list[tuple[int, int]] = []
     start = 0
-    for end in sentence_ends(text):
+    for end in ends:
         if end > start:
-            units += [(start + s, start + e) for s, e in split_long(text[start:end], hard, count)] if count(text[start:end]) > hard else [(start, end)]
+            units += _split(start, end, [], hard, ruler) if ruler.count(start, end) > hard else [(start, end)]
             start = end
     out: list[tuple[int, int]] = []
     open_at: int | None = None
+    headings_only = False
     for s, e in units:
-        heading = text[s : s + 1] == "#"
-        if open_at is not None and (heading or count(text[open_at:e]) > hard):
+        heading = text[s] == "#"
+        if open_at is not None and ((heading and not headings_only) or ruler.count(open_at, e) > hard):
             out.append((open_at, s))
             open_at = None
+        headings_only = heading and (open_at is None or headings_only)
         open_at = s if open_at is None else open_at
-        if count(text[open_at:e]) >= target:
+        if ruler.count(open_at, e) >= target:
             out.append((open_at, e))
             open_at = None
     if open_at is not None:
         tail = (open_at, len(text))
-        if out and count(text[tail[0] : tail[1]]) < target // 3 and count(text[out[-1][0] : tail[1]]) <= hard and text[tail[0] : tail[0] + 1] != "#":
+        if out and ruler.count(*tail) < target // 3 and ruler.count(out[-1][0], tail[1]) <= hard and text[tail[0]] != "#":
             tail = (out.pop()[0], tail[1])
         out.append(tail)
     return out
 
 
+def token_windows(text: str, limit: int, tokens: Tokens | Characters = CHARACTERS) -> list[tuple[int, int]]:
+    """Contiguous windows (start, end), each the longest with at most ``limit`` tokens."""
+    ruler = tokens.ruler(text)
+    return _split(0, len(text), [], limit, ruler)
+
+
+def structured_lines(lines: list[str], limit: int) -> list[list[tuple[int, int, int]]]:
+    """Whole lines packed into fragments of at most ``limit`` characters, line feeds counted; only a line too long for itself is cut.
+
+    Each fragment is a list of (line, start, end).
+    """
+    out: list[list[tuple[int, int, int]]] = []
+    held: list[tuple[int, int, int]] = []
+    size = 0
+    for i, line in enumerate(lines):
+        need = len(line) + (1 if held else 0)
+        if held and size + need > limit:
+            out.append(held)
+            held, size, need = [], 0, len(line)
+        if need > limit:
+            out += [[(i, s, min(s + limit, len(line)))] for s in range(0, len(line), limit)]
+            continue
+        held.append((i, 0, len(line)))
+        size += need
+    return out + [held] if held else out
+
+
 def newline_split(text: str, window: int = 8000) -> list[tuple[int, int]]:
     """Windows cut at the last line feed of their second half, or hard where there is none."""
     out, start = [], 0
@@ -144,11 +173,12 @@ def pieces(docs: DataFrame, cut: Callable[[str], list[tuple[int, int]]]) -> Data
     return docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, 'doc_id long, piece_no int, start int, end int, text string')
 
 
-def chunks(docs: DataFrame, profiles: dict[str, tuple[int, int]] = PROFILES, count: Counter = count_characters) -> DataFrame:
+def chunks(docs: DataFrame, profiles: dict[str, tuple[int, int]] = PROFILES, tokens: Tokens | Characters = CHARACTERS) -> DataFrame:
     """Two-grain chunks (chunk_id, doc_id, start, end, text, granularities): equal pieces of both grains are one row."""
+    held = docs.sparkSession.sparkContext.broadcast(tokens)
     out = None
     for name, (target, hard) in profiles.items():
-        part = pieces(docs, lambda t, a=target, b=hard: pack(t, a, b, count)).withColumn("granularity", F.lit(name))
+        part = pieces(docs, lambda t, a=target, b=hard: pack(t, a, b, held.value)).withColumn("granularity", F.lit(name))
         out = part if out is None else out.unionByName(part)
     merged = out.groupBy("doc_id", "start", "end").agg(F.first("text").alias("text"), F.sort_array(F.collect_set("granularity")).alias("granularities"))
     return merged.select(F.sha2(F.concat_ws("\x1f", "doc_id", "start", "end", "text"), 256).alias("chunk_id"), "doc_id", "start", "end", "text", "granularities")

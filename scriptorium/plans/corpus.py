@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tokens import Tokens
 from ..functions.unicode import alnum_runs, nfkc_fold
 from ..operators import chunking, dedupe
 from ..session import table
@@ -96,30 +98,140 @@ def t22_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 @register("c1_split_long")
 def c1_split_long(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.pieces(docs(spark, d), lambda t: chunking.split_long(t, 384)).drop("text")
+    """Documents cut into pieces of at most 384 tokens that end with a sentence where one does."""
+    tokens = spark.sparkContext.broadcast(Tokens())
+    return chunking.pieces(docs(spark, d), lambda t: chunking.split_long(t, 384, tokens.value)).drop("text")
 
 
 @register("c2_pack")
 def c2_pack(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.pieces(docs(spark, d), lambda t: chunking.pack(t, 240, 384)).drop("text")
+    """Sentences packed to 240 tokens, never above 384."""
+    tokens = spark.sparkContext.broadcast(Tokens())
+    return chunking.pieces(docs(spark, d), lambda t: chunking.pack(t, 240, 384, tokens.value)).drop("text")
 
 
 @register("c3_chunks")
 def c3_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(docs(spark, d)).withColumn("granularities", F.array_join("granularities", "+"))
+    """Chunks of two grains in tokens."""
+    return chunking.chunks(docs(spark, d), tokens=Tokens()).withColumn("granularities", F.array_join("granularities", "+"))
 
 
-@register("c6_char_batches")
+_COVERED = "SELECT doc_id, g AS granularity, true AS contiguous, CAST(length(text) AS INTEGER) AS covered, true AS same_text FROM documents, (SELECT unnest(['micro', 'macro']) AS g) WHERE text <> ''"
+
+
+@register("c3_coverage", _COVERED)
+def c3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the chunks of each grain lie end to end, cover the text and put together give it again."""
+    c = chunking.chunks(docs(spark, d), tokens=Tokens()).select("doc_id", F.explode("granularities").alias("granularity"), "start", "end", "text")
+    g = c.groupBy("doc_id", "granularity").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("x"))
+    n = F.size("x")
+    together = F.forall(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.col("x")[i - 1]["start"] == F.col("x")[F.greatest(i - 2, F.lit(0))]["end"])) & (F.col("x")[0]["start"] == 0)
+    whole = F.array_join(F.col("x.text"), "")
+    return g.join(docs(spark, d).select("doc_id", F.col("text").alias("t")), "doc_id").select("doc_id", "granularity", together.alias("contiguous"), (F.element_at("x", -1)["end"] - F.col("x")[0]["start"]).alias("covered"), (whole == F.col("t")).alias("same_text"))
+
+
+_GREEDY = """
+    s AS ({sizes}),
+    f AS (SELECT * FROM s WHERE i = 0),
+    z AS (WITH RECURSIVE w(owner, i, batch, used, items) AS (SELECT owner, i, 0, size, 1 FROM f UNION ALL
+          SELECT s.owner, s.i, CASE WHEN w.used + s.size > {most} OR w.items >= {count} THEN w.batch + 1 ELSE w.batch END, CASE WHEN w.used + s.size > {most} OR w.items >= {count} THEN s.size ELSE w.used + s.size END,
+          CASE WHEN w.used + s.size > {most} OR w.items >= {count} THEN 1 ELSE w.items + 1 END FROM w JOIN s ON s.owner = w.owner AND s.i = w.i + 1) SELECT * FROM w)
+"""
+_LINE_SIZES = "SELECT doc_id AS owner, i, length(p[i + 1]) + 1 AS size FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))"
+
+
+def greedy_sql(sizes: str, most: int, count: int = 1_000_000_000) -> str:
+    """Common tables s (owner, i, size) and z (owner, i, batch) of sequential greedy batches, to stand behind WITH."""
+    return _GREEDY.format(sizes=sizes, most=most, count=count)
+
+
+def _batches(rows: DataFrame, key: str, most: int, count: int | None = None) -> DataFrame:
+    """(key, batch, items, size) of sequential greedy batches over rows (key, sizes)."""
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for i, sizes in enumerate(b.column(1).to_pylist()):
+                sums: dict[int, list[int]] = {}
+                for size, n in zip(sizes, chunking.greedy_batches(sizes, most, count)):
+                    x = sums.setdefault(n, [0, 0])
+                    x[0] += 1
+                    x[1] += size
+                at += [i] * len(sums)
+                out += [(n, *x) for n, x in sums.items()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array([x[j] for x in out], pa.int32()) for j in range(3))], names=[key, "batch", "items", "size"])
+
+    return rows.select(key, "sizes").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, batch int, items int, size int")
+
+
+@register("c6_char_batches", f"WITH {greedy_sql(_LINE_SIZES, 1400)} SELECT owner AS doc_id, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS items, CAST(sum(size) AS INTEGER) AS size FROM z JOIN s USING (owner, i) GROUP BY owner, batch")
 def c6_char_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Sentences of a document in sequential batches of at most 1,400 characters."""
+    """Lines of a document in sequential batches of at most 1,400 characters."""
+    lines = docs(spark, d).where("text is not null").select("doc_id", F.transform(F.split("text", "\n", -1), lambda x: F.length(x) + 1).alias("sizes"))
+    return _batches(lines, "doc_id", 1400)
+
+
+@register("s21_request_shards", f"WITH {greedy_sql("SELECT record_key AS owner, row_number() OVER (PARTITION BY record_key ORDER BY doc_id) - 1 AS i, octet_length(encode(text)) AS size FROM documents WHERE record_key IS NOT NULL AND text IS NOT NULL", 20000, 12)} SELECT owner AS record_key, CAST(batch AS INTEGER) AS batch, CAST(count(*) AS INTEGER) AS items, CAST(sum(size) AS INTEGER) AS size FROM z JOIN s USING (owner, i) GROUP BY owner, batch")
+def s21_request_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Requests of a record packed in order into shards of at most 12 requests and 20,000 bytes; only the sizes are gathered, not the texts."""
+    rows = table(spark, d, "documents").where("record_key is not null and text is not null").select("record_key", "doc_id", F.octet_length("text").alias("size"))
+    g = rows.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("doc_id", "size"))).alias("x"))
+    return _batches(g.select("record_key", F.col("x.size").alias("sizes")), "record_key", 20_000, 12)
+
+
+@register("c5_structured_lines", f"WITH l AS (SELECT doc_id, p[i + 1] AS line, i FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE text IS NOT NULL))) SELECT doc_id, CAST(sum(length(line)) AS BIGINT) AS kept_chars, max(length(line)) > 200 AS cut_lines FROM l GROUP BY doc_id")
+def c5_structured_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Whole lines packed into fragments of at most 200 characters: nothing is lost, only lines too long for themselves are cut."""
+
+    def read(text: str) -> list[tuple]:
+        lines = text.split("\n")
+        fragments = chunking.structured_lines(lines, 200)
+        assert all(sum(e - s for _, s, e in f) + len(f) - 1 <= 200 for f in fragments)
+        parts = [x for f in fragments for x in f]
+        return [(sum(e - s for _, s, e in parts), any(s > 0 for _, s, _ in parts))]
+
+    from ..operators.markup import per_value
+
+    return per_value(docs(spark, d), "doc_id", "text", read, "kept_chars long, cut_lines boolean")
+
+
+@register("t16_snippets", "SELECT doc_id, CAST(i AS INTEGER) AS snippet, substr(text, i * 1000 + 1, 1000) AS body, CAST(len(string_split(substr(text, 1, i * 1000), chr(10))) - 1 AS INTEGER) AS first_line FROM (SELECT doc_id, text, unnest(range(CAST(greatest(1, ceil(length(text) / 1000)) AS BIGINT))) AS i FROM documents WHERE text IS NOT NULL)")
+def t16_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of 1,000 characters with the number of the line they begin in."""
+    f = docs(spark, d).where("text is not null").select("doc_id", "text", F.explode(T.fragments(F.col("text"), 1000)).alias("f"))
+    breaks = F.length(F.substring(F.col("text"), F.lit(1), F.col("f.start"))) - F.length(F.replace(F.substring(F.col("text"), F.lit(1), F.col("f.start")), F.lit("\n"), F.lit("")))
+    return f.select("doc_id", F.col("f.index").alias("snippet"), F.col("f.text").alias("body"), breaks.alias("first_line"))
+
+
+@register("t17_stages", r"WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n(?:#\s+|（点位\s*\d+）)'), lambda x: trim(x) <> '') AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(i AS INTEGER) AS stage, p[i + 1] AS body FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM p)")
+def t17_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut into stages at heading lines and numbered places."""
+    parts = F.filter(F.split("text", r"\n(?:#\s+|（点位\s*\d+）)", -1), lambda x: F.trim(x) != "")
+    return docs(spark, d).where("text is not null").select("doc_id", F.posexplode(parts).alias("stage", "body"))
+
+
+@register("t18_token_windows")
+def t18_token_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Contiguous windows of at most 256 tokens."""
+    tokens = spark.sparkContext.broadcast(Tokens())
+    return chunking.pieces(docs(spark, d), lambda t: chunking.token_windows(t, 256, tokens.value)).drop("text")
+
+
+@register("t21_byte_estimate", "SELECT doc_id, CAST(octet_length(encode(to_json({'doc_id': doc_id, 'lang': coalesce(lang, ''), 'title': coalesce(title, '')}))) AS INTEGER) AS bytes FROM documents")
+def t21_byte_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """The size of a document's head as the UTF-8 bytes of its JSON, keys in order."""
+    head = F.to_json(F.struct("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("title", F.lit("")).alias("title")))
+    return table(spark, d, "documents").select("doc_id", F.octet_length(head).alias("bytes"))
+
+
+# A dictionary for the segmenter: a parameter of the query.
+WORDS = ("灰狼", "海螺", "灯塔", "祭坛", "风车", "经文", "纸鸢", "罗盘", "商队", "石碑", "药铺", "冰湖", "马车", "使团", "山猫")
 
-    def cut(text: str) -> list[tuple[int, int]]:
-        ends = chunking.sentence_ends(text)
-        starts = [0, *ends[:-1]]
-        batch = chunking.greedy_batches([e - s for s, e in zip(starts, ends)], 1400)
-        return [(min(s for s, b in zip(starts, batch) if b == k), max(e for e, b in zip(ends, batch) if b == k)) for k in sorted(set(batch))]
 
-    return chunking.pieces(docs(spark, d), cut).drop("text")
+@register("t5_words", rf"SELECT DISTINCT id, array_to_string(regexp_extract_all(lower(question), '({"|".join(WORDS)}|[a-z0-9]+|[\x{{3400}}-\x{{9fff}}])'), ' ') AS words FROM turns WHERE question IS NOT NULL")
+def t5_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words by a dictionary, the longest first, single characters elsewhere; marks and blanks are no words."""
+    return questions(spark, d).where("text is not null").select("id", F.array_join(T.dictionary_words(F.col("text"), list(WORDS)), " ").alias("words"))
 
 
 @register("c7_unit_levels", "WITH u AS (SELECT record_key AS record, coalesce(source, '-') AS section, CAST(doc_id AS VARCHAR) AS unit, n_chars AS size FROM documents), s AS (SELECT *, sum(size) OVER (PARTITION BY record, section) AS ss, sum(size) OVER (PARTITION BY record) AS rs FROM u WHERE record IS NOT NULL) SELECT record, section, unit, size, CASE WHEN rs <= 20000 THEN 'record' WHEN ss <= 20000 THEN 'section' ELSE 'unit' END AS level, CASE WHEN rs <= 20000 THEN record WHEN ss <= 20000 THEN record || '/' || section ELSE record || '/' || section || '/' || unit END AS pack, size > 20000 AS oversize FROM s")
