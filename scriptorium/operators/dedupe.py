@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..functions.codepoints import code_points, gram_hashes, gram_positions
 
+#: Shared grams among the rarest that make a candidate.
+DEPTH = 32
 _BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -21,25 +24,45 @@ def exact_groups(rows: DataFrame, key: str, norm: Column) -> DataFrame:
     return h.join(g, "h").select("key", "survivor", "copies").distinct()
 
 
+def _shared_counts(batches):
+    """Sizes of intersection and union of two sorted lists of numbers a row, a whole batch at a time."""
+    for b in batches:
+        la, lb = b.column("ga"), b.column("gb")
+        na, nb = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (la, lb))
+        row = np.concatenate([np.repeat(np.arange(b.num_rows), na), np.repeat(np.arange(b.num_rows), nb)])
+        gram = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (la, lb)])
+        order = np.lexsort((gram, row))
+        row, gram = row[order], gram[order]
+        same = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
+        shared = np.bincount(row[1:][same], minlength=b.num_rows)
+        yield pa.RecordBatch.from_arrays([b.column("ha"), b.column("hb"), pa.array(shared, pa.int32()), pa.array(na + nb - shared, pa.int32())], names=["ha", "hb", "shared", "either"])
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int = 80) -> DataFrame:
     """Pairs (a, b, shared, either) of keys whose n-gram sets have Jaccard similarity of at least ``percent``.
 
     Exact, by prefix filtering: grams are ordered by document frequency, rarest first, and two sets
-    that are similar enough must share a gram among their first |set| - ceil(percent * |set|) + 1.
-    Only those travel; lengths and a whole-number test on the full sets decide. Equal texts are
-    compared once and their keys attached at the end.
+    that are similar enough share at least d grams among their first |set| - ceil(percent * |set|) + d,
+    for any d up to the overlap itself; here d is DEPTH, so that sets with a few rare grams in common
+    don't become candidates. Only those grams travel; lengths and a whole-number test on the full sets
+    decide. Grams are 64-bit hashes (a set of a thousand grams loses one to a collision with probability
+    3e-14). Equal texts are compared once and their keys attached at the end.
     """
     base = rows.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.length(text) >= n).withColumn("h", F.xxhash64("t"))
     sets = base.groupBy("h").agg(F.first("t").alias("t")).select("h", T.distinct_ngrams(F.col("t"), n).alias("g")).withColumn("size", F.size("g"))
+    sets = sets.withColumn("g", F.array_sort(F.transform("g", lambda x: F.xxhash64(x))))
     grams = sets.select("h", "size", F.explode("g").alias("gram"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("h").orderBy("df", "gram")
-    prefix = grams.join(df, "gram").withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + 1).select("h", "size", "gram")
-    a, b = (prefix.select("gram", F.col("h").alias(f"h{x}"), F.col("size").alias(f"n{x}")) for x in "ab")
+    need = F.least(F.ceil(F.col("size") * percent / F.lit(100)), F.lit(DEPTH))
+    prefix = grams.join(df, "gram").withColumn("r", F.row_number().over(w)).withColumn("need", need)
+    prefix = prefix.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + F.col("need")).where("df > 1").select("h", "size", "need", "gram")
+    a, b = (prefix.select("gram", F.col("h").alias(f"h{x}"), F.col("size").alias(f"n{x}"), F.col("need").alias(f"need{x}")) for x in "ab")
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    cand = a.join(b, "gram").where((F.col("ha") < F.col("hb")) & fits).select("ha", "hb").distinct()
+    met = a.join(b, "gram").where((F.col("ha") < F.col("hb")) & fits).groupBy("ha", "hb").agg(F.count("*").alias("c"), F.min(F.least("needa", "needb")).alias("need"))
+    cand = met.where("c >= need").select("ha", "hb")
     both = cand.join(sets.select(F.col("h").alias("ha"), F.col("g").alias("ga")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("g").alias("gb")), "hb")
-    both = both.withColumn("shared", F.size(F.array_intersect("ga", "gb"))).withColumn("either", F.size("ga") + F.size("gb") - F.col("shared"))
+    both = both.mapInArrow(_shared_counts, "ha long, hb long, shared int, either int")
     close = both.where(F.col("shared") * 100 >= F.col("either") * percent).select("ha", "hb", "shared", "either")
     keys = base.select("h", "key").distinct()
     sizes = sets.select("h", "size")
@@ -49,26 +72,31 @@ def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared", "either")
 
 
-def greedy_survivors(keys: DataFrame, pairs: DataFrame, rounds: int = 30) -> DataFrame:
+def visible_aliases(rows: DataFrame, key: str, same: list[str], kind: str) -> DataFrame:
+    """(kept, alias): rows that stand exactly twice with equal values of ``same`` and of two kinds; the smaller key is kept.
+
+    Texts meet as their SHA-256, counted before the shuffle; rows with a null among ``same`` take no part.
+    """
+    clean = rows.where(" and ".join(f"{c} is not null" for c in same))
+    g = clean.groupBy(F.sha2(F.concat_ws("\x1f", *(F.sha2(c, 256) for c in same)), 256).alias("_h")).agg(F.min(key).alias("kept"), F.max(key).alias("alias"), F.count("*").alias("n"), F.countDistinct(kind).alias("kinds"))
+    return g.where("n = 2 and kinds = 2").select("kept", "alias")
+
+
+def greedy_survivors(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, kept) where keys are taken in order and one is rejected if a kept neighbour comes before it.
 
-    ``keys``: key; ``pairs``: a, b with a < b. Solved in rounds on tables: a key is kept once all its
-    smaller neighbours are rejected, rejected once one is kept. A round decides every key whose
-    smaller neighbours are decided, so chains of r steps take r rounds; ``rounds`` bounds them and
-    an undecided rest raises.
+    ``keys``: key; ``pairs``: a, b with a < b. Solved in rounds on tables until every key is decided: a key
+    is kept once all its smaller neighbours are rejected, rejected once one is kept. The least undecided
+    key of every component is decided in each round, so that a chain of r steps takes r rounds.
     """
     from ..session import cut
 
     state = cut(keys.select("key").distinct().join(pairs.select(F.col("b").alias("key")).distinct().withColumn("x", F.lit(1)), "key", "left").select("key", F.when(F.col("x").isNull(), True).alias("kept")))
-    for _ in range(rounds):
-        if state.where("kept is null").isEmpty():
-            return state
+    while not state.where("kept is null").isEmpty():
         before = pairs.join(state.withColumnRenamed("key", "a").withColumnRenamed("kept", "a_kept"), "a")
         now = before.groupBy(F.col("b").alias("key")).agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_and(F.col("a_kept").isNotNull()).alias("all_known"))
         word = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("all_known"), True)
         state = cut(state.join(now, "key", "left").select("key", word.alias("kept")))
-    if not state.where("kept is null").isEmpty():
-        raise ValueError(f"chains of neighbours are longer than {rounds}")
     return state
 
 
@@ -97,6 +125,26 @@ def contaminated(rows: DataFrame, key: str, tests: DataFrame, test_key: str, win
     return cut(rows, key).join(cut(tests, test_key), "w").select(key, test_key).distinct()
 
 
+def rejected(rows: DataFrame, key: str, tests: DataFrame, test_key: str, window: int = 8, percent: int = 50) -> DataFrame:
+    """(key, test_key, reason) of rows that must not be used beside the tests: exact, window or similar, the first that holds.
+
+    Exact are equal texts without white space; windows are runs of ``window`` characters without white
+    space; similar are 3-gram sets with a Jaccard similarity of ``percent`` or more. Similar pairs that
+    share no window are found by shared grams: those of the tests, which are few, are joined with the
+    rows' and counted, so that no pair is missed. Null texts and texts under three characters are left out.
+    """
+    squeeze = lambda df, k, name: df.select(F.col(k).alias(name), T.without_space(F.col("text")).alias(f"t_{name}")).where(F.length(f"t_{name}") >= 3)
+    a, b = squeeze(rows, key, "k"), squeeze(tests, test_key, "q")
+    grams = lambda df, name: df.select(name, F.explode(T.distinct_ngrams(F.col(f"t_{name}"), 3)).alias("g"))
+    size = lambda df, name: df.select(name, F.size(T.distinct_ngrams(F.col(f"t_{name}"), 3)).alias(f"n_{name}"))
+    shared = grams(a, "k").join(grams(b, "q"), "g").groupBy("k", "q").agg(F.count("*").alias("c")).join(size(a, "k"), "k").join(size(b, "q"), "q")
+    similar = shared.where(F.col("c") * 100 >= (F.col("n_k") + F.col("n_q") - F.col("c")) * percent).select("k", "q", F.lit(3).alias("r"))
+    exact = a.join(b, F.col("t_k") == F.col("t_q")).select("k", "q", F.lit(1).alias("r"))
+    windows = contaminated(rows.withColumnRenamed(key, "k") if key != "k" else rows, "k", tests.withColumnRenamed(test_key, "q") if test_key != "q" else tests, "q", window).select("k", "q", F.lit(2).alias("r"))
+    least = exact.unionByName(windows).unionByName(similar).groupBy("k", "q").agg(F.min("r").alias("r"))
+    return least.select(F.col("k").alias(key), F.col("q").alias(test_key), F.element_at(F.array(*map(F.lit, ("exact", "window", "similar"))), F.col("r")).alias("reason"))
+
+
 def literal_matches(rows: DataFrame, key: str, patterns: list[tuple[int, str]]) -> DataFrame:
     """(key, pattern_id, start) of all occurrences of patterns in the column text, white space ignored.
 

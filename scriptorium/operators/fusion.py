@@ -172,6 +172,23 @@ def supplement(base: DataFrame, donor: DataFrame, most: int = 20) -> DataFrame:
     return base.select("query_id", "key", "rank", F.lit("base").alias("part")).unionByName(extra)
 
 
+def within_budget(prefix: Column, content: Column, suffix: Column, budget: int) -> tuple[Column, Column]:
+    """Columns prompt and cut: token arrays joined so that ``budget`` holds; prefix and suffix stay whole, the content loses its end."""
+    room = F.greatest(F.lit(0), F.lit(budget) - F.size(prefix) - F.size(suffix))
+    return F.array_join(F.concat(prefix, F.slice(content, F.lit(1), room), suffix), " ").alias("prompt"), (F.size(content) > room).alias("cut")
+
+
+def covering_sample(rows: DataFrame, key: str, category: str, seed: str, size: int) -> DataFrame:
+    """(key, category, for_coverage): ``size`` rows in hash order, the first of every category before all others.
+
+    Only ``size`` rows of a category and then of the whole can be chosen, so that no task sorts more.
+    """
+    h = hash_order(F.lit(seed), F.col(key))
+    c = rows.withColumn("_h", h).withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy("_h"))).where(F.col("_n") <= size)
+    top = c.orderBy(F.col("_n") > 1, "_h").limit(size)
+    return top.select(key, category, (F.col("_n") == 1).alias("for_coverage"))
+
+
 def hash_order(*parts: Column) -> Column:
     """A reproducible pseudo-random order: the SHA-256 of the parts joined by colons."""
     return F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256)
@@ -184,36 +201,42 @@ def nested_quota(rows: DataFrame, queue: str, entity: str, key: str, per_entity:
     return first.withColumn("slot", F.row_number().over(Window.partitionBy(queue).orderBy(key))).where(F.col("slot") <= quota).drop("_e")
 
 
-def disjoint_selection(rows: DataFrame, stratum: str, key: str, sources: tuple[str, str], seed: str, quota: int, depth: int = 200) -> DataFrame:
-    """Per stratum, ``quota`` rows in hash order such that no source occurs twice over all strata.
+def disjoint_selection(rows: DataFrame, stratum: str, key: str, sources: tuple[str, str], seed: str, quota: int, page: int = 1000) -> DataFrame:
+    """Per stratum, ``quota`` rows in hash order such that no source occurs twice over all strata, which are taken in order.
 
-    ``depth`` candidates a stratum (the best by hash) enter the sequential part, which therefore sees
-    strata x depth rows, however many rows there are. Gives stratum, key, place, disposition.
+    Gives every row of ``rows`` as (stratum, key, place, disposition): selected, source used, or quota full.
+    The chosen rows (quota times the number of strata, a stated bound) are found on the driver: a
+    stratum's candidates are read in hash order, ``page`` at a time and without those whose sources are
+    taken already, until the quota is full or no candidate is left. Null strata take no part.
     """
-    ordered = rows.withColumn("h", hash_order(F.lit(seed), F.col(stratum), F.col(key)))
-    ordered = ordered.withColumn("n", F.row_number().over(Window.partitionBy(stratum).orderBy("h"))).where(F.col("n") <= depth)
     a, b = sources
+    ordered = rows.where(F.col(stratum).isNotNull()).select(stratum, key, a, b, hash_order(F.lit(seed), F.col(stratum), F.col(key)).alias("_h"))
+    used: set = set()
+    chosen: list[tuple] = []
+    for (s,) in ordered.select(stratum).distinct().orderBy(stratum).collect():
+        taken, after = 0, None
+        while taken < quota:
+            left = ordered.where(F.col(stratum) == s)
+            if used:
+                left = left.where(~F.coalesce(F.col(a).isin(list(used)), F.lit(False)) & ~F.coalesce(F.col(b).isin(list(used)), F.lit(False)))
+            if after is not None:
+                left = left.where(F.struct("_h", key) > F.struct(F.lit(after[0]), F.lit(after[1])))
+            found = left.orderBy("_h", key).limit(page).collect()
+            for r in found:
+                if taken < quota and not {r[a], r[b]} & used:
+                    used |= {r[a], r[b]} - {None}
+                    chosen.append((s, r[key], r["_h"]))
+                    taken += 1
+            if len(found) < page:
+                break
+            after = (found[-1]["_h"], found[-1][key])
     kind = dict(rows.dtypes)
-
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        out = []
-        for s, group in part.sort_values([stratum, "n"]).groupby(stratum, sort=True):
-            taken = 0
-            for r in group.itertuples(index=False):
-                ends = {getattr(r, a), getattr(r, b)}
-                if taken >= quota:
-                    word = "quota full"
-                elif ends & used:
-                    word = "source used"
-                else:
-                    word, taken = "selected", taken + 1
-                    used |= ends
-                out.append((s, getattr(r, key), int(r.n), word))
-        return pd.DataFrame(out, columns=[stratum, key, "place", "disposition"])
-
-    small = ordered.select(stratum, key, a, b, "n", F.lit(1).alias("_all"))
-    return small.groupBy("_all").applyInPandas(choose, f"{stratum} {kind[stratum]}, {key} {kind[key]}, place int, disposition string")
+    picked = rows.sparkSession.createDataFrame(chosen, f"_s {kind[stratum]}, _k {kind[key]}, _ph string")
+    last = picked.groupBy(F.col("_s").alias("_ls")).agg(F.count("*").alias("_n"), F.max("_ph").alias("_last"))
+    out = ordered.join(F.broadcast(picked), (F.col(stratum) == F.col("_s")) & (F.col(key) == F.col("_k")), "left").join(F.broadcast(last), F.col(stratum) == F.col("_ls"), "left")
+    word = F.when(F.col("_k").isNotNull(), "selected").when((F.col("_n") == quota) & (F.col("_h") > F.col("_last")), "quota full").otherwise("source used")
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy("_h", key))
+    return out.select(stratum, key, place.alias("place"), word.alias("disposition"))
 
 
 def spread(rows: DataFrame, source: str, key: str, most: int = 4) -> DataFrame:

@@ -64,3 +64,39 @@ def close_report(pairs: DataFrame, a: str, b: str, rtol: float, atol: float) ->
     """One row (n, max_abs_error, equal, within): bitwise equality and closeness of two number columns."""
     gap = F.abs(F.col(a) - F.col(b))
     return pairs.agg(F.count("*").alias("n"), F.max(gap).alias("max_abs_error"), F.bool_and(F.col(a) == F.col(b)).alias("equal"), F.bool_and(gap <= atol + rtol * F.abs(F.col(b))).alias("within"))
+
+
+def cost_report(rows: DataFrame, channel: str, value: str, order: list[str]) -> DataFrame:
+    """(channel, n, total, median, p95, first, later_median, share) of the values of each channel, ``first`` by ``order``.
+
+    Values are counted before they are sorted; medians are averaged, p95 is the discrete percentile.
+    """
+    key = F.struct(*order)
+    first = rows.groupBy(channel).agg(F.min_by(F.struct(F.col(value).alias("v")), key).alias("f"), F.sum(value).alias("s"))
+    c = value_counts(rows, [channel], value)
+    n = F.col("total")
+    pick = lambda i: F.max(F.when((F.col("upto") > i) & (F.col("upto") - F.col("n") <= i), F.col("value")))
+    at = lambda x: F.floor(x).cast("long")
+    a = c.groupBy(channel).agg(F.max("total").alias("n"), ((pick(at((n - 1) / 2)) + pick(at(n / 2))) / 2).alias("median"), pick(F.ceil(F.round(n * F.lit(0.95), 9)) - 1).alias("p95"))
+    # the same without the first row: one less of its value
+    less = c.join(first.select(channel, F.col("f.v").alias("fv")), channel)
+    w = Window.partitionBy(channel).orderBy("value")
+    less = less.withColumn("n", F.col("n") - (F.col("value") == F.col("fv")).cast("int")).withColumn("upto", F.sum("n").over(w)).withColumn("total", n - 1)
+    b = less.groupBy(channel).agg(((pick(at((n - 1) / 2)) + pick(at(n / 2))) / 2).alias("later_median"))
+    everything = F.sum("s").over(Window.partitionBy(F.lit(0)))
+    f = first.select(channel, F.col("f.v").alias("first"), F.round("s", 3).alias("total"), F.round(F.col("s") / everything, 6).alias("share"))
+    return a.join(b, channel).join(f, channel).select(channel, "n", "total", F.round("median", 6).alias("median"), "p95", "first", F.round("later_median", 6).alias("later_median"), "share")
+
+
+def blind_sides(run: str, key: Column) -> Column:
+    """AB or BA by the parity of the first byte of the digest of run and key."""
+    first = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{run}:"), key.cast("string")), 256), 1, 2), 16, 10).cast("int")
+    return F.when(first % 2 == 0, "AB").otherwise("BA")
+
+
+def blind_tally(verdicts: DataFrame, by: str) -> DataFrame:
+    """(by, first_better, second_better, same, open) of blind verdicts (sides, said: left, right, same or null)."""
+    left = F.col("said") == "left"
+    first = ((F.col("sides") == "AB") & left) | ((F.col("sides") == "BA") & (F.col("said") == "right"))
+    second = ((F.col("sides") == "BA") & left) | ((F.col("sides") == "AB") & (F.col("said") == "right"))
+    return verdicts.groupBy(by).agg(F.count_if(first).alias("first_better"), F.count_if(second).alias("second_better"), F.count_if(F.col("said") == "same").alias("same"), F.count_if(F.col("said").isNull()).alias("open"))

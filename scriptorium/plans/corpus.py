@@ -23,6 +23,18 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "turns").select("id", F.col("question").alias("text")).distinct()
 
 
+# Fixed value: width forms and their ordinary characters, by rule.
+_BLANKS = "\u00a0\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + _BLANKS
+_PLAIN = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " " * len(_BLANKS)
+
+
+def folded_sql(c: str) -> str:
+    """NFKC and case folding as SQL can say it: composition, width forms, lower case, blanks."""
+    wide, plain = (x.replace("'", "''") for x in (_WIDE, _PLAIN))
+    return f"trim(regexp_replace(lower(translate(replace(replace(nfc_normalize({c}), '…', '...'), '‥', '..'), '{wide}', '{plain}')), '\\s+', ' ', 'g'))"
+
+
 @register("t1_analyze", f"SELECT doc_id, array_to_string({D_TOK}, ' ') AS tokens FROM documents")
 def t1_analyze(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.array_join(T.analyze(F.col("text")), " ").alias("tokens"))
@@ -33,18 +45,32 @@ def t2_bigrams(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("id", F.array_join(T.analyze_with_bigrams(F.col("text")), " ").alias("tokens"))
 
 
-@register("t3_runs")
+# Letters and digits of the scripts in the tables, Han aside; the pattern is for an engine without subtraction of classes.
+_OTHER = r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Hiragana}\p{Katakana}\p{Hangul}\p{N}\x{30fc}]"
+_HAN_SQL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{323af}]"
+
+
+def runs_sql(c: str) -> str:
+    return f"regexp_extract_all({c}, '({_HAN_SQL}+|{_OTHER}+)')"
+
+
+def channel_sql(c: str, n: int) -> str:
+    """Overlapping n-grams of Han runs and whole other runs in lower case, as one list."""
+    return f"flatten(list_transform({runs_sql(c)}, lambda r: CASE WHEN regexp_matches(r, '^{_HAN_SQL}') THEN list_transform(range(1, greatest(length(r) - {n} + 2, 1)), lambda i: substr(r, i, {n})) ELSE [lower(r)] END))"
+
+
+@register("t3_runs", f"SELECT DISTINCT id, array_to_string(list_transform({runs_sql('question')}, lambda r: lower(r)), ' ') AS runs FROM turns")
 def t3_runs(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark, d).select("id", F.array_join(alnum_runs("text"), " ").alias("runs"))
 
 
-@register("t4_channels")
+@register("t4_channels", f"SELECT DISTINCT id, array_to_string({channel_sql('question', 1)}, ' ') AS unigrams, array_to_string({channel_sql('question', 2)}, ' ') AS bigrams FROM turns")
 def t4_channels(spark: SparkSession, d: str) -> DataFrame:
     one, two = T.han_channels(F.col("text"))
     return questions(spark, d).select("id", F.array_join(one, " ").alias("unigrams"), F.array_join(two, " ").alias("bigrams"))
 
 
-@register("t6_nfkc_fold")
+@register("t6_nfkc_fold", f"SELECT doc_id, {folded_sql('text')} AS norm FROM documents")
 def t6_nfkc_fold(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", nfkc_fold("text").alias("norm"))
 
@@ -70,7 +96,14 @@ def t14_fragments(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).where("text is not null").select("doc_id", F.explode(T.fragments(F.col("text"))).alias("f")).select("doc_id", "f.*")
 
 
-@register("t15_newline_split")
+_SPLIT = """WITH RECURSIVE w(doc_id, piece_no, s, e) AS (
+    SELECT doc_id, -1, 0, 0 FROM documents WHERE text <> '' UNION ALL
+    SELECT w.doc_id, w.piece_no + 1, w.e, CASE WHEN length(d.text) - w.e <= 2000 THEN length(d.text) ELSE w.e + coalesce(nullif(1000 + length(regexp_extract(substr(d.text, w.e + 1001, 1000), '(?s)^.*\\n')), 1000), 2000) END
+    FROM w JOIN documents d ON d.doc_id = w.doc_id WHERE w.e < length(d.text))
+    SELECT doc_id, piece_no, CAST(s AS INTEGER) AS "start", CAST(e AS INTEGER) AS "end" FROM w WHERE piece_no >= 0"""
+
+
+@register("t15_newline_split", _SPLIT)
 def t15_newline_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.pieces(docs(spark, d), lambda t: chunking.newline_split(t, 2000)).drop("text")
 
@@ -248,31 +281,63 @@ def c11_aliases(spark: SparkSession, d: str) -> DataFrame:
 # ---- duplicates --------------------------------------------------------------------------------
 
 
-@register("u1_exact_groups", r"WITH n AS (SELECT doc_id AS key, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents) SELECT key, min(key) OVER (PARTITION BY t) AS survivor, count(*) OVER (PARTITION BY t) AS copies FROM n")
+@register("u1_exact_groups", f"WITH n AS (SELECT doc_id AS key, {folded_sql('text')} AS t FROM documents) SELECT key, min(key) OVER (PARTITION BY t) AS survivor, count(*) OVER (PARTITION BY t) AS copies FROM n")
 def u1_exact_groups(spark: SparkSession, d: str) -> DataFrame:
-    return dedupe.exact_groups(docs(spark, d), "doc_id", T.collapsed(F.col("text")))
+    return dedupe.exact_groups(docs(spark, d), "doc_id", nfkc_fold("text"))
 
 
-_GRAMS = "g AS (SELECT DISTINCT id, unnest(list_distinct(list_transform(range(1, length(question) - 1), lambda i: substr(question, i, 3)))) AS g FROM turns WHERE length(question) >= 3), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL), s AS (SELECT a, b, shared, p.n + q.n - shared AS either FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b)"
+_GRAMS = "g AS (SELECT DISTINCT key, unnest(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS g FROM b WHERE length(t) >= 3), n AS (SELECT key, count(*) AS n FROM g GROUP BY key), c AS (SELECT x.key AS a, y.key AS b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.key < y.key GROUP BY ALL), s AS (SELECT a, b, shared, p.n + q.n - shared AS either FROM c JOIN n p ON p.key = a JOIN n q ON q.key = b)"
+_Q_BASE = "b AS (SELECT DISTINCT id AS key, question AS t FROM turns)"
 
 
-@register("u2_near_pairs", f"WITH {_GRAMS} SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(either AS INTEGER) AS either FROM s WHERE shared * 100 >= either * 50")
+@register("u2_near_pairs", f"WITH b AS (SELECT doc_id AS key, text AS t FROM documents), {_GRAMS} SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(either AS INTEGER) AS either FROM s WHERE shared * 100 >= either * 80")
 def u2_near_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose 3-gram sets have a Jaccard similarity of 0.80 or more."""
+    return dedupe.similar_pairs(docs(spark, d), "doc_id", "text", 3, 80)
+
+
+@register("u2_near_questions", f"WITH {_Q_BASE}, {_GRAMS} SELECT a, b, CAST(shared AS INTEGER) AS shared, CAST(either AS INTEGER) AS either FROM s WHERE shared * 100 >= either * 50")
+def u2_near_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose 3-gram sets have a Jaccard similarity of 0.50 or more."""
     return dedupe.similar_pairs(questions(spark, d), "id", "text", 3, 50)
 
 
-@register("u3_survivors")
+@register("u3_survivors", f"""WITH RECURSIVE b AS (SELECT DISTINCT id AS key, question AS t FROM turns), {_GRAMS}, e AS (SELECT a, b FROM s WHERE shared * 100 >= either * 50), o AS (SELECT key, row_number() OVER (ORDER BY key) AS i FROM (SELECT DISTINCT key FROM b)),
+    near AS (SELECT o.i, list(p.i) AS before FROM e JOIN o ON o.key = e.b JOIN o p ON p.key = e.a GROUP BY o.i), w(i, kept) AS (SELECT 0::BIGINT, CAST([] AS BIGINT[]) UNION ALL SELECT w.i + 1, CASE WHEN n.before IS NOT NULL AND list_has_any(n.before, w.kept) THEN w.kept ELSE list_append(w.kept, w.i + 1) END FROM w JOIN o ON o.i = w.i + 1 LEFT JOIN near n ON n.i = o.i)
+    SELECT o.key, list_contains((SELECT arg_max(kept, i) FROM w), o.i) AS kept FROM o""")
 def u3_survivors(spark: SparkSession, d: str) -> DataFrame:
+    """Questions in order of their keys, a later one rejected if it is close to a kept one."""
     q = questions(spark, d)
     return dedupe.greedy_survivors(q.select(F.col("id").alias("key")), dedupe.similar_pairs(q, "id", "text", 3, 50).select("a", "b"))
 
 
-@register("u4_contaminated", r"WITH w AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, length(t) - 18), lambda i: substr(t, i, 20))) AS w FROM (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents) WHERE length(t) >= 20), v AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 18), lambda i: substr(t, i, 20))) AS w FROM (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS t FROM eval_items) WHERE length(t) >= 20) SELECT DISTINCT doc_id, item_id FROM w JOIN v USING (w)")
+_SQUEEZED = r"a AS (SELECT doc_id AS k, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), i AS (SELECT item_id AS q, regexp_replace({c}, '\s+', '', 'g') AS t FROM eval_items)"
+_WINDOWS = "w AS (SELECT DISTINCT k, unnest(list_transform(range(1, length(t) - {n} + 2), lambda j: substr(t, j, {n}))) AS w FROM a WHERE length(t) >= {n}), v AS (SELECT DISTINCT q, unnest(list_transform(range(1, length(t) - {n} + 2), lambda j: substr(t, j, {n}))) AS w FROM i WHERE length(t) >= {n})"
+
+
+@register("u4_contaminated", f"WITH {_SQUEEZED.format(c='text')}, {_WINDOWS.format(n=20)} SELECT DISTINCT k AS doc_id, q AS item_id FROM w JOIN v USING (w)")
 def u4_contaminated(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that share a run of 20 characters with an item."""
     return dedupe.contaminated(docs(spark, d), "doc_id", table(spark, d, "eval_items"), "item_id", 20)
 
 
-@register("u5_literal_matches")
+@register("u4_rejected", f"WITH a AS (SELECT DISTINCT id AS k, regexp_replace(question, '\\s+', '', 'g') AS t FROM turns WHERE question IS NOT NULL), i AS (SELECT item_id AS q, regexp_replace(query, '\\s+', '', 'g') AS t FROM eval_items), {_WINDOWS.format(n=8)}, ga AS (SELECT DISTINCT k, unnest(list_distinct(list_transform(range(1, length(t) - 1), lambda j: substr(t, j, 3)))) AS g FROM a WHERE length(t) >= 3), gi AS (SELECT DISTINCT q, unnest(list_distinct(list_transform(range(1, length(t) - 1), lambda j: substr(t, j, 3)))) AS g FROM i WHERE length(t) >= 3), na AS (SELECT k, count(*) AS n FROM ga GROUP BY k), ni AS (SELECT q, count(*) AS n FROM gi GROUP BY q), c AS (SELECT k, q, count(*) AS c FROM ga JOIN gi USING (g) GROUP BY ALL), al AS (SELECT k, q, 1 AS r FROM a JOIN i ON a.t = i.t WHERE length(a.t) >= 3 UNION ALL SELECT DISTINCT k, q, 2 FROM w JOIN v USING (w) UNION ALL SELECT c.k, c.q, 3 FROM c JOIN na ON na.k = c.k JOIN ni ON ni.q = c.q WHERE c.c * 100 >= (na.n + ni.n - c.c) * 50) SELECT k AS id, q AS item_id, ['exact', 'window', 'similar'][min(r)] AS reason FROM al GROUP BY k, q")
+def u4_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Questions rejected beside the items' queries: equal, sharing eight characters, or similar by half of their 3-grams."""
+    rows = table(spark, d, "turns").where("question is not null").select("id", F.col("question").alias("text")).distinct()
+    return dedupe.rejected(rows, "id", table(spark, d, "eval_items").select("item_id", F.col("query").alias("text")), "item_id")
+
+
+@register("u7_visible_aliases", "WITH g AS (SELECT text, coalesce(title, '') AS title, min(doc_id) AS kept, max(doc_id) AS alias, count(*) AS n, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY 1, 2) SELECT kept, alias FROM g WHERE n = 2 AND sources = 2")
+def u7_visible_aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that stand exactly twice under equal titles and from two sources: the later one is an alias."""
+    return dedupe.visible_aliases(docs(spark, d).withColumn("title", F.coalesce("title", F.lit(""))), "doc_id", ["text", "title"], "source")
+
+
+_LITERAL = r"WITH p AS (SELECT item_id, unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g')), lambda x: length(x) >= 12))) AS pat FROM eval_items), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS t FROM documents), h AS (SELECT doc_id, item_id, t, pat FROM d JOIN p ON contains(t, pat)), n AS (SELECT doc_id, item_id, pat, t, unnest(range(length(t) - length(pat) + 1)) AS i FROM h) SELECT doc_id, item_id AS pattern_id, CAST(i AS INTEGER) AS start FROM n WHERE substr(t, i + 1, length(pat)) = pat"
+
+
+@register("u5_literal_matches", _LITERAL)
 def u5_literal_matches(spark: SparkSession, d: str) -> DataFrame:
     """Whole paragraphs of at least 12 visible characters of the evaluation items (a fixed set of 200) found literally in documents."""
     items = table(spark, d, "eval_items").select("item_id", "text").collect()

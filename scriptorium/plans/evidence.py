@@ -78,12 +78,6 @@ def a7_set_overlap(spark: SparkSession, d: str) -> DataFrame:
     return statistics.set_overlap(two_lists(spark, d).where("rank <= 20"), ["query_id"], "route", "bm25", "sparse", "key")
 
 
-@register("a9_profile_matrix", f"{_TWO} SELECT route, c.cutoff, count(*) AS hits, count(DISTINCT key) AS documents FROM h, (SELECT unnest([10, 30, 50]) AS cutoff) c WHERE rank <= c.cutoff GROUP BY ALL")
-def a9_profile_matrix(spark: SparkSession, d: str) -> DataFrame:
-    cutoffs = F.explode(F.filter(F.array(*map(F.lit, (10, 30, 50))), lambda x: F.col("rank") <= x))
-    return two_lists(spark, d).select("route", "key", cutoffs.alias("cutoff")).groupBy("route", "cutoff").agg(F.count("*").alias("hits"), F.countDistinct("key").alias("documents"))
-
-
 @register("a14_increments", f"{_TWO}, x AS (SELECT h.query_id, route, key, coalesce(e.split, '-') AS split FROM h JOIN eval_items e ON e.item_id = h.query_id WHERE rank <= 20), n AS (SELECT split, query_id, key FROM x WHERE route = 'sparse' EXCEPT SELECT split, query_id, key FROM x WHERE route = 'bm25') SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(*) AS added, count(DISTINCT query_id) AS queries FROM n GROUP BY ROLLUP (split)")
 def a14_increments(spark: SparkSession, d: str) -> DataFrame:
     """What the second method adds, by split and over all."""
