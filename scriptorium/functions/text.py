@@ -27,7 +27,7 @@ def bag(text: Column) -> Column:
 
 
 def char_ngrams(text: Column, n: int) -> Column:
-    """All n-grams of characters in order; none for a shorter text."""
+    """All n-grams of characters in order; none for a shorter text. For short texts: a substring costs its offset (whole texts: ``grams``)."""
     return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 

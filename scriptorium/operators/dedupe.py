@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.grams import with_gram_sets
 from ..functions.codepoints import code_points, gram_hashes, gram_positions
 
 #: Shared grams among the rarest that make a candidate.
@@ -49,8 +50,7 @@ def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int
     3e-14). Equal texts are compared once and their keys attached at the end.
     """
     base = rows.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.length(text) >= n).withColumn("h", F.xxhash64("t"))
-    sets = base.groupBy("h").agg(F.first("t").alias("t")).select("h", T.distinct_ngrams(F.col("t"), n).alias("g")).withColumn("size", F.size("g"))
-    sets = sets.withColumn("g", F.array_sort(F.transform("g", lambda x: F.xxhash64(x))))
+    sets = with_gram_sets(base.groupBy("h").agg(F.first("t").alias("t")), "t", n).withColumn("size", F.size("g"))
     grams = sets.select("h", "size", F.explode("g").alias("gram"))
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     w = Window.partitionBy("h").orderBy("df", "gram")
@@ -135,8 +135,9 @@ def rejected(rows: DataFrame, key: str, tests: DataFrame, test_key: str, window:
     """
     squeeze = lambda df, k, name: df.select(F.col(k).alias(name), T.without_space(F.col("text")).alias(f"t_{name}")).where(F.length(f"t_{name}") >= 3)
     a, b = squeeze(rows, key, "k"), squeeze(tests, test_key, "q")
-    grams = lambda df, name: df.select(name, F.explode(T.distinct_ngrams(F.col(f"t_{name}"), 3)).alias("g"))
-    size = lambda df, name: df.select(name, F.size(T.distinct_ngrams(F.col(f"t_{name}"), 3)).alias(f"n_{name}"))
+    sets = lambda df, name: with_gram_sets(df, f"t_{name}", 3)
+    grams = lambda df, name: sets(df, name).select(name, F.explode("g").alias("g"))
+    size = lambda df, name: sets(df, name).select(name, F.size("g").alias(f"n_{name}"))
     shared = grams(a, "k").join(grams(b, "q"), "g").groupBy("k", "q").agg(F.count("*").alias("c")).join(size(a, "k"), "k").join(size(b, "q"), "q")
     similar = shared.where(F.col("c") * 100 >= (F.col("n_k") + F.col("n_q") - F.col("c")) * percent).select("k", "q", F.lit(3).alias("r"))
     exact = a.join(b, F.col("t_k") == F.col("t_q")).select("k", "q", F.lit(1).alias("r"))

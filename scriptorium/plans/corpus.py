@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.grams import with_gram_sets
 from ..functions.tokens import Tokens
 from ..functions.unicode import alnum_runs, nfkc_fold
 from ..operators import chunking, dedupe
@@ -82,7 +83,7 @@ def t7_without_space(spark: SparkSession, d: str) -> DataFrame:
 
 @register("t8_ngram_sets", "SELECT doc_id, CAST(count(DISTINCT g) AS INTEGER) AS n3 FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3))) AS g FROM documents WHERE length(text) >= 3) GROUP BY doc_id")
 def t8_ngram_sets(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(F.length("text") >= 3).select("doc_id", F.size(T.distinct_ngrams(F.col("text"), 3)).alias("n3"))
+    return with_gram_sets(docs(spark, d).where(F.length("text") >= 3).select("doc_id", "text"), "text", 3).select("doc_id", F.size("g").alias("n3"))
 
 
 @register("t13_sentences", r"""WITH s AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[^。！？!?\n]*(?:[。！？!?]+[”’」』）)"]*|\n|$)'), lambda x: x <> '') AS p FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS i, p[i + 1] AS sentence FROM (SELECT doc_id, p, unnest(range(len(p))) AS i FROM s)""")
