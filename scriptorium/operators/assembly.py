@@ -40,6 +40,47 @@ def admit(candidates: DataFrame, total: int, each: int, most: int | None = None)
     return candidates.select("query_id", "key", "rank", "size").groupBy("query_id").applyInPandas(run, f"query_id {kind['query_id']}, key {kind['key']}, rank int, size long, admitted boolean, reason string")
 
 
+def expanded(direct: DataFrame, rows: DataFrame, group: str) -> DataFrame:
+    """Direct candidates (query_id, key, rank) and the rows beside them in their group, as (query_id, key, reason, anchor_rank).
+
+    ``rows``: key, group. Only direct candidates bring neighbours (the row before and after by key); a row
+    found several times keeps its best reason and anchor.
+    """
+    w = Window.partitionBy(group).orderBy("key")
+    sides = rows.where(F.col(group).isNotNull()).select("key", F.lag("key").over(w).alias("a"), F.lead("key").over(w).alias("b"))
+    beside = sides.select("key", F.explode(F.array_compact(F.array("a", "b"))).alias("other"))
+    near = direct.select("query_id", "key", "rank").join(beside, "key").select("query_id", F.col("other").alias("key"), F.lit(1).alias("ord"), "rank")
+    both = direct.select("query_id", "key", F.lit(0).alias("ord"), "rank").unionByName(near)
+    best = both.groupBy("query_id", "key").agg(F.min("ord").alias("ord"), F.min("rank").alias("anchor_rank"))
+    return best.select("query_id", "key", F.when(F.col("ord") == 0, "direct").otherwise("neighbour").alias("reason"), "anchor_rank")
+
+
+def packed(rows: DataFrame, owner: str, order: list[str], size: str, most: int, count: int | None) -> DataFrame:
+    """``rows`` with batch: sequential greedy batches of each owner, closed when the next row would pass ``most`` (or ``count`` rows).
+
+    Only keys and sizes are gathered, one list an owner; an owner's rows must fit one task.
+    """
+    import pyarrow as pa
+
+    from .chunking import greedy_batches
+
+    g = rows.groupBy(owner).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("x"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches):
+        for b in batches:
+            at, parts, numbers = [], [], []
+            for i, x in enumerate(b.column("x").to_pylist()):
+                at += [i] * len(x)
+                parts += x
+                numbers += greedy_batches([r[size] for r in x], most, count)
+            kind = b.schema.field("x").type.value_type
+            columns = [pa.array([r[c] for r in parts], kind.field(c).type) for c in (*order, size)]
+            yield pa.RecordBatch.from_arrays([b.column(owner).take(pa.array(at, pa.int64())), *columns, pa.array(numbers, pa.int32())], names=[owner, *order, size, "batch"])
+
+    return g.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in (owner, *order, size)) + ", batch int")
+
+
 def blocks(rows: DataFrame, group: list[str], order: str, text: str, step: int = 1, sep: str = "\n") -> DataFrame:
     """Neighbouring rows (order differs by at most ``step``) of a group joined: (group, first, last, rows, text)."""
     w = Window.partitionBy(*group).orderBy(order)

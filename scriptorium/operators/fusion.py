@@ -245,3 +245,44 @@ def spread(rows: DataFrame, source: str, key: str, most: int = 4) -> DataFrame:
     r = rows.withColumn("_i", F.row_number().over(w.orderBy(key)) - 1).withColumn("_n", F.count("*").over(w))
     slots = F.when(F.col("_n") <= most, F.sequence(F.lit(0), F.col("_n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / F.lit(float(most - 1)), 0).cast("long")))
     return r.where(F.array_contains(slots.cast("array<long>"), F.col("_i").cast("long"))).drop("_i", "_n")
+
+
+def round_robin(hits: DataFrame, query: str, lane: str, key: str, rank: str, most: int) -> DataFrame:
+    """(query, key, place): lanes read in turn, each in its own order; a key read before in another lane is passed over."""
+    first = hits.withColumn("_again", F.row_number().over(Window.partitionBy(query, key).orderBy(rank, lane))).where("_again = 1")
+    return first.select(query, key, F.row_number().over(Window.partitionBy(query).orderBy(rank, lane)).alias("place")).where(F.col("place") <= most)
+
+
+def matched(anchors: DataFrame, controls: DataFrame, stratum: str, anchor: str, control: str, size: str) -> DataFrame:
+    """(stratum, anchor, control, distance): for each anchor in order the unused control of the nearest size, ties to the smaller key.
+
+    Anchors, a chosen few, are held by the driver's plan per stratum: an anchor can only take one of the
+    nearest controls, as many as there are anchors of its stratum on either side of its size, and only
+    those candidates (a number that does not grow with the controls) reach the sequential step.
+    """
+    kind = dict(anchors.dtypes) | dict(controls.dtypes)
+    a = anchors.select(stratum, F.col(anchor).alias("anchor"), F.col(size).alias("size"))
+    n = a.groupBy(stratum).agg(F.count("*").alias("n"))
+    c = controls.select(stratum, F.col(control).alias("control"), F.col(size).alias("csize")).join(F.broadcast(n), stratum)
+    # n controls of one size are enough: more of them can never all be used
+    c = c.withColumn("_k", F.row_number().over(Window.partitionBy(stratum, "csize").orderBy("control"))).where(F.col("_k") <= F.col("n"))
+    side = a.select(stratum, F.col("size").alias("at"), F.lit(None).cast(kind[control]).alias("control"), F.col("anchor")).unionByName(c.select(stratum, F.col("csize").alias("at"), "control", F.lit(None).cast(kind[anchor]).alias("anchor")))
+    up = Window.partitionBy(stratum).orderBy("at", F.col("anchor").isNotNull())
+    marks = side.withColumn("_u", F.count("control").over(up)).join(F.broadcast(n), stratum)
+    edges = marks.where("anchor is not null").select(F.col(stratum).alias("_s"), (F.col("_u") - F.col("n")).alias("_lo"), (F.col("_u") + F.col("n")).alias("_hi")).distinct()
+    near = marks.where("control is not null").join(F.broadcast(edges), (F.col(stratum) == F.col("_s")) & (F.col("_u") > F.col("_lo")) & (F.col("_u") <= F.col("_hi")), "left_semi").select(stratum, "control", F.col("at").alias("csize"))
+    both = a.select(stratum, F.lit(0).alias("kind"), F.col("anchor").cast("string").alias("key"), "size").unionByName(near.select(stratum, F.lit(1).alias("kind"), F.col("control").cast("string").alias("key"), F.col("csize").alias("size")))
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        left = [(int(s), k) for k, s in part[part["kind"] == 1][["key", "size"]].itertuples(index=False)]
+        out = []
+        for k, s in sorted(part[part["kind"] == 0][["key", "size"]].itertuples(index=False), key=lambda x: (len(x[0]), x[0])):
+            if not left:
+                break
+            best = min(left, key=lambda x: (abs(x[0] - s), len(x[1]), x[1]))
+            left.remove(best)
+            out.append((part[stratum].iloc[0], k, best[1], abs(best[0] - int(s))))
+        return pd.DataFrame(out, columns=[stratum, anchor, control, "distance"])
+
+    found = both.groupBy(stratum).applyInPandas(choose, f"{stratum} {kind[stratum]}, {anchor} string, {control} string, distance long")
+    return found.select(stratum, F.col(anchor).cast(kind[anchor]).alias(anchor), F.col(control).cast(kind[control]).alias(control), "distance")

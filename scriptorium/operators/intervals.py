@@ -64,11 +64,15 @@ def shared_length(ranges: DataFrame, keys: list[str], owner: str, start: str = "
     return merged(parts, [*keys, "a", "b"]).groupBy("a", "b").agg(F.sum(F.col("end") - F.col("start")).alias("shared"))
 
 
-def contained(ranges: DataFrame, keys: list[str], ident: str, order: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Ranges (keys, id, by) that lie within one earlier range of the key, with the earliest such range."""
+def contained(ranges: DataFrame, keys: list[str], ident: str, order: str, start: str = "start", end: str = "end", cell: int = 1000) -> DataFrame:
+    """Ranges (keys, id, by) that lie within one earlier range of the key, with the earliest such range.
+
+    A range that holds another one holds its first position: the outer ranges are cut into cells of
+    ``cell`` positions, the inner ones meet only those of the cell in which they start.
+    """
     rows = ranges.where(F.col(end) > F.col(start)).select(*keys, F.col(ident).alias("id"), F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"))
-    b = rows.select(*keys, F.col("id").alias("by"), F.col("o").alias("bo"), F.col("s").alias("bs"), F.col("e").alias("be"))
-    hit = rows.join(b, keys).where("bo < o and bs <= s and be >= e")
+    outer = rows.select(*keys, F.col("id").alias("by"), F.col("o").alias("bo"), F.col("s").alias("bs"), F.col("e").alias("be"), F.explode(F.sequence(F.floor(F.col("s") / cell), F.floor((F.col("e") - 1) / cell))).alias("_cell"))
+    hit = rows.withColumn("_cell", F.floor(F.col("s") / cell)).join(outer, [*keys, "_cell"]).where("bo < o and bs <= s and be >= e")
     return hit.groupBy(*keys, "id").agg(F.min_by("by", "bo").alias("by"))
 
 

@@ -104,6 +104,17 @@ def nodes_of(value, arrays: frozenset[str]) -> list[dict]:
     return out
 
 
+def objects(value) -> Iterator[dict]:
+    """All objects of a parsed JSON value, without recursion."""
+    stack = [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, dict):
+            yield v
+        if isinstance(v, (dict, list)):
+            stack.extend(v.values() if isinstance(v, dict) else v)
+
+
 def _page(body: str | None) -> tuple[bool, str | None, object]:
     """Whether a response body is whole and good, the page's id as a string, and the parsed body."""
     try:

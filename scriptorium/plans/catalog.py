@@ -35,4 +35,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return _QUERIES["r2_bm25"](spark, d)
 
 
-from . import corpus, evidence, flows, links, markup, nested, ranges, routes, search, views  # noqa: E402, F401  the plan modules register their queries on import
+from . import corpus, evidence, flows, links, markup, nested, packets, ranges, routes, search, stores, views, walks  # noqa: E402, F401  the plan modules register their queries on import

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lines import numbered_lines
 from ..operators import assembly, graphs, search, statistics
 from ..session import table
 from .catalog import register
@@ -73,9 +74,17 @@ def m9_depth_ladder(spark: SparkSession, d: str) -> DataFrame:
     return low.unionByName(none)
 
 
-@register("a7_set_overlap", f"{_TWO} SELECT query_id, CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS common, CAST(sum(CASE WHEN n = 1 AND r = 'bm25' THEN 1 ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN n = 1 AND r = 'sparse' THEN 1 ELSE 0 END) AS BIGINT) AS only_b, round(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) / count(*), 9) AS jaccard FROM (SELECT query_id, key, count(*) AS n, min(route) AS r FROM h WHERE rank <= 20 GROUP BY ALL) GROUP BY query_id")
+@register("a7_set_overlap", f"{_TWO}, x AS (SELECT query_id, key, count(*) AS n, min(route) AS r, any_value(n_chars) AS size, any_value(md5(text)) AS t FROM h JOIN documents ON doc_id = key WHERE rank <= 20 GROUP BY ALL), tx AS (SELECT query_id, t, max(CASE WHEN n = 2 OR r = 'bm25' THEN 1 ELSE 0 END) AS in_a FROM x GROUP BY ALL) SELECT query_id, CAST(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) AS BIGINT) AS common, CAST(sum(CASE WHEN n = 1 AND r = 'bm25' THEN 1 ELSE 0 END) AS BIGINT) AS only_a, CAST(sum(CASE WHEN n = 1 AND r = 'sparse' THEN 1 ELSE 0 END) AS BIGINT) AS only_b, round(sum(CASE WHEN n = 2 THEN 1 ELSE 0 END) / count(*), 9) AS jaccard, CAST(sum(CASE WHEN n = 1 AND r = 'sparse' AND in_a = 1 THEN 1 ELSE 0 END) AS BIGINT) AS contained_b, CAST(sum(CASE WHEN n = 1 AND r = 'sparse' AND in_a = 0 THEN size ELSE 0 END) AS BIGINT) AS chars_outside FROM x JOIN tx USING (query_id, t) GROUP BY query_id")
 def a7_set_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.set_overlap(two_lists(spark, d).where("rank <= 20"), ["query_id"], "route", "bm25", "sparse", "key")
+    """What two lists share, what one has alone, how much of that stands word for word in the other, and the characters that do not."""
+    h = two_lists(spark, d).where("rank <= 20")
+    counts = statistics.set_overlap(h, ["query_id"], "route", "bm25", "sparse", "key")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("size"), F.md5("text").alias("t"))
+    x = h.join(docs, "key").groupBy("query_id", "key", "t", "size").agg(F.max((F.col("route") == "bm25").cast("int")).alias("a"))
+    in_a = F.max("a").over(Window.partitionBy("query_id", "t"))
+    only = x.withColumn("in_a", in_a).where("a = 0").groupBy("query_id").agg(F.count_if(F.col("in_a") == 1).alias("contained_b"), F.sum(F.when(F.col("in_a") == 0, F.col("size")).otherwise(0)).alias("chars_outside"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return counts.join(only, "query_id", "left").select(*counts.columns, zero("contained_b"), zero("chars_outside"))
 
 
 @register("a14_increments", f"{_TWO}, x AS (SELECT h.query_id, route, key, coalesce(e.split, '-') AS split FROM h JOIN eval_items e ON e.item_id = h.query_id WHERE rank <= 20), n AS (SELECT split, query_id, key FROM x WHERE route = 'sparse' EXCEPT SELECT split, query_id, key FROM x WHERE route = 'bm25') SELECT CASE WHEN grouping(split) = 1 THEN 'all' ELSE split END AS split, count(*) AS added, count(DISTINCT query_id) AS queries FROM n GROUP BY ROLLUP (split)")
@@ -109,20 +118,6 @@ def g2_display_order(spark: SparkSession, d: str) -> DataFrame:
     return graphs.per_graph(_groups(spark, d), rows, "node_id string, place int, cyclic boolean")
 
 
-@register("g3_reachable_nodes")
-def g3_reachable_nodes(spark: SparkSession, d: str) -> DataFrame:
-    def rows(n, e, r):
-        seen = graphs.reach(n, e, r)
-        return [(x, x in seen) for x in n]
-
-    return graphs.per_graph(_groups(spark, d), rows, "node_id string, reached boolean")
-
-
-@register("g4_components")
-def g4_components(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.per_graph(_groups(spark, d), lambda n, e, r: list(graphs.components(n, e).items()), "node_id string, component string")
-
-
 _G = """r AS (SELECT record_id, sections FROM canonical_records QUALIFY built_at = max(built_at) OVER (PARTITION BY record_id)),
     u AS (SELECT record_id, unnest(sections) AS s, unnest(range(len(sections))) AS section_no FROM r), v AS (SELECT record_id, section_no, unnest(s.units) AS u, unnest(range(len(s.units))) AS unit_no FROM u),
     g AS (SELECT record_id, section_no, unit_no, unnest(u.value.groups) AS g, unnest(range(len(u.value.groups))) AS group_no FROM v), h AS (SELECT DISTINCT ON (record_id, section_no, unit_no, group_no) * FROM g WHERE g IS NOT NULL),
@@ -175,13 +170,6 @@ def e3_blocks(spark: SparkSession, d: str) -> DataFrame:
     return assembly.blocks(t, ["session"], "sequence", "question", step=20)
 
 
-@register("e4_admission")
-def e4_admission(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("n_chars").alias("size"))
-    c = two_lists(spark, d).where("route = 'bm25'").join(n, "key")
-    return assembly.admit(c, total=12_000, each=3_000, most=8)
-
-
 @register("e12_conversation_window", "WITH t AS (SELECT DISTINCT id, session AS conversation, sequence AS turn, question AS text FROM turns WHERE session IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY conversation ORDER BY turn DESC) AS age FROM t), s AS (SELECT *, CASE WHEN age <= 2 THEN 'full' ELSE 'index' END AS kind, CASE WHEN age <= 2 THEN text ELSE substr(text, 1, 8) END AS shown FROM a), u AS (SELECT *, sum(octet_length(encode(shown))) OVER (PARTITION BY conversation ORDER BY age) AS upto FROM s) SELECT conversation, turn, kind, shown AS text, CAST(length(text) - length(shown) AS INTEGER) AS omitted_chars FROM u WHERE upto <= 300 OR age = 1")
 def e12_conversation_window(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "turns").where("session is not null").select("id", F.col("session").alias("conversation"), F.col("sequence").alias("turn"), F.col("question").alias("text")).distinct()
@@ -203,20 +191,31 @@ def x22_blind_sides(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.when(first % 2 == 0, "AB").otherwise("BA").alias("sides"))
 
 
-@register("x11_line_noise", r"SELECT doc_id, list_bool_and(list_transform(list_filter(string_split(text, chr(10)), lambda l: trim(l) <> ''), lambda l: regexp_matches(l, '^[\s\d.,:%/+-]+$'))) AS numeric_only, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\d{7,}'))) AS INTEGER) AS number_lines FROM documents")
+# Patterns by which all lines of a text make it noise, in order.
+_NOISE = (("placeholder", r"[\s\-—_.…/]*"), ("numeric", r"[\s\d.,:%/+-]+"), ("technical", r"[\w\-]+[:：]\s*[\w.\-]+"), ("rule", r"(?:规则|注意|Rule|Note)\s*\d*[:：.].*"), ("walkthrough", r"(?:步骤|第\s*\d+\s*步|Step\s*\d+).*"))
+
+
+@register("x11_line_noise", "SELECT doc_id, CASE WHEN source = 'voice_lines' OR text IS NULL THEN NULL " + " ".join(f"WHEN len(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_full_match(l, '{p}'))) = 0 THEN '{word}'" for word, p in _NOISE) + r" END AS noise, CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\d{7,}'))) AS INTEGER) AS number_lines FROM documents")
 def x11_line_noise(spark: SparkSession, d: str) -> DataFrame:
+    """The first noise of which all lines of a text are (dialogue is exempt), and how many lines hold long numbers."""
     lines = F.split("text", "\n", -1)
-    full = F.filter(lines, lambda x: F.trim(x) != "")
-    return table(spark, d, "documents").select("doc_id", F.forall(full, lambda x: x.rlike(r"^[\s\d.,:%/+-]+$")).alias("numeric_only"), F.size(F.filter(lines, lambda x: x.rlike(r"\d{7,}"))).alias("number_lines"))
+    noise = F.when((F.col("source") == "voice_lines") | F.col("text").isNull(), F.lit(None))
+    every = lambda pattern: F.forall(lines, lambda x: x.rlike(f"^(?:{pattern})$"))
+    for word, pattern in _NOISE:
+        noise = noise.when(every(pattern), word)
+    return table(spark, d, "documents").select("doc_id", noise.alias("noise"), F.size(F.filter(lines, lambda x: x.rlike(r"\d{7,}"))).alias("number_lines"))
+
+
+_CUE, _STAT, _BULLET = "说|问|答|曾|said|asked", r"\d+(?:\.\d+)?%|\d{3,}", r"^\s*[-*#]|https?://"
 
 
-@register("line_spans", r"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM l), y AS (SELECT doc_id, p[i + 1] AS line, coalesce(list_sum(list_transform(p[1:i], lambda v: length(v) + 1)), 0) AS s FROM x) SELECT doc_id, CAST(s AS INTEGER) AS span_start, CAST(s + length(line) AS INTEGER) AS span_end FROM y WHERE length(line) >= 8 AND contains(line, '说') AND NOT regexp_matches(line, '^\s*[-*#]|https?://')")
+@register("line_spans", rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, p, unnest(range(len(p))) AS i FROM l), y AS (SELECT doc_id, p[i + 1] AS line, coalesce(list_sum(list_transform(p[1:i], lambda v: length(v) + 1)), 0) AS s FROM x) SELECT doc_id, CAST(s AS INTEGER) AS span_start, CAST(s + length(line) AS INTEGER) AS span_end FROM y WHERE length(line) >= 8 AND regexp_matches(line, '{_CUE}') AND NOT regexp_matches(line, '{_STAT}') AND NOT regexp_matches(line, '{_BULLET}')")
 def line_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of at least eight characters with a narrative cue, with exact offsets."""
-    x = table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("p")).select("doc_id", "p", F.posexplode("p").alias("i", "line"))
-    s = F.expr("aggregate(slice(p, 1, i), 0, (a, v) -> a + length(v) + 1)")
-    keep = (F.length("line") >= 8) & F.col("line").contains("说") & ~F.col("line").rlike(r"^\s*[-*#]|https?://")
-    return x.where(keep).select("doc_id", s.alias("span_start"), (s + F.length("line")).alias("span_end"))
+    """Lines of at least eight characters with a narrative cue, without figures, bullets and addresses, with exact offsets."""
+    line = F.col("l.line")
+    keep = (F.length(line) >= 8) & line.rlike(_CUE) & ~line.rlike(_STAT) & ~line.rlike(_BULLET)
+    x = table(spark, d, "documents").select("doc_id", F.explode(numbered_lines("text")).alias("l")).where(keep)
+    return x.select("doc_id", "l.span_start", (F.col("l.span_start") + F.length(line)).alias("span_end"))
 
 
 @register("reranker_text", "SELECT doc_id, substr(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10)), 1, 600) AS body, length(array_to_string(list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(source) <> '' THEN 'Section: ' || source END, CASE WHEN trim(text) <> '' THEN 'Text: ' || text END], lambda x: x IS NOT NULL), chr(10))) > 600 AS cut FROM documents")
@@ -226,26 +225,45 @@ def reranker_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.substring(body, 1, 600).alias("body"), (F.length(body) > 600).alias("cut"))
 
 
-@register("merge_views", r"SELECT kind, regexp_replace(text, '\s+', ' ', 'g') AS view, array_to_string(list_sort(list(DISTINCT evidence_id)), ' ') AS evidence FROM (SELECT unnest(quotes, recursive := true) FROM card_semantic_cases) WHERE text IS NOT NULL GROUP BY 1, 2")
+@register("merge_views", r"WITH q AS (SELECT DISTINCT case_id, source_id, q.* FROM (SELECT case_id, source_id, unnest(quotes) AS q FROM card_semantic_cases) WHERE q IS NOT NULL), k AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS view FROM q WHERE text IS NOT NULL AND kind IS NOT NULL AND kind <> 'structured_observation') SELECT source_id, view, array_to_string(list_sort(list(DISTINCT evidence_id)), ' ') AS evidence, count(DISTINCT case_id) AS cases FROM k WHERE NOT regexp_full_match(view, '[\s\d.,:%/+-]*') GROUP BY 1, 2")
 def merge_views(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "card_semantic_cases").select(F.explode("quotes").alias("q")).select("q.*").where("text is not null")
-    return q.groupBy("kind", F.regexp_replace("text", r"\s+", " ").alias("view")).agg(F.array_join(F.sort_array(F.collect_set("evidence_id")), " ").alias("evidence"))
+    """Views of a source: unknown and structured kinds and noise are dropped, equal texts but for blanks merged with their evidence."""
+    q = table(spark, d, "card_semantic_cases").select("case_id", "source_id", F.explode("quotes").alias("q")).where("q is not null").distinct()
+    k = q.where("q.text is not null and q.kind is not null and q.kind <> 'structured_observation'").withColumn("view", F.trim(F.regexp_replace("q.text", r"\s+", " ")))
+    k = k.where(~F.col("view").rlike(r"^[\s\d.,:%/+-]*$"))
+    return k.groupBy("source_id", "view").agg(F.array_join(F.sort_array(F.collect_set("q.evidence_id")), " ").alias("evidence"), F.countDistinct("case_id").alias("cases"))
+
+
+_PAGES = "pg AS (SELECT *, (doc_id - 1) // 50 AS page FROM documents), sg AS (SELECT min(page) AS stop FROM pg WHERE text LIKE '%\"next_page\"%' OR doc_id = 777), kept AS (SELECT * FROM pg WHERE page <= coalesce((SELECT stop FROM sg), 1000000000))"
 
 
-@register("s3_inventory", "SELECT record_key, count(*) AS listed, count(DISTINCT source) AS channels, array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources FROM documents GROUP BY record_key")
+@register("s3_inventory", f"WITH {_PAGES} SELECT record_key, count(*) AS listed, count(DISTINCT source) AS channels, array_to_string(list_sort(list(DISTINCT source)), ' ') AS sources, count(*) - count(DISTINCT md5(text)) AS repeats FROM kept GROUP BY record_key")
 def s3_inventory(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").groupBy("record_key").agg(F.count("*").alias("listed"), F.countDistinct("source").alias("channels"), F.array_join(F.sort_array(F.collect_set("source")), " ").alias("sources"))
-    return x
+    """Listings read page by page up to the first page with a signal (here a marked row), deduplicated into an inventory by record."""
+    pages = table(spark, d, "documents").withColumn("page", F.floor((F.col("doc_id") - 1) / 50))
+    stop = pages.where(F.col("text").contains('"next_page"') | (F.col("doc_id") == 777)).agg(F.coalesce(F.min("page"), F.lit(10**9)).alias("stop"))
+    kept = pages.crossJoin(F.broadcast(stop)).where("page <= stop")
+    return kept.groupBy("record_key").agg(F.count("*").alias("listed"), F.countDistinct("source").alias("channels"), F.array_join(F.sort_array(F.collect_set("source")), " ").alias("sources"), (F.count("*") - F.countDistinct(F.md5("text"))).alias("repeats"))
 
 
-@register("s4_round_robin", "WITH c AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents WHERE source IS NOT NULL), o AS (SELECT *, row_number() OVER (ORDER BY rn, source) AS place FROM c) SELECT doc_id, source, CAST(place AS INTEGER) AS place FROM o WHERE place <= 50")
+_FIRST = "c AS (SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM documents WHERE source IS NOT NULL AND record_key IS NOT NULL GROUP BY record_key)"
+
+
+@register("s4_round_robin", f"WITH {_FIRST}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM c), o AS (SELECT *, row_number() OVER (ORDER BY rn, source) AS place FROM r) SELECT doc_id, source, CAST(place AS INTEGER) AS place FROM o WHERE place <= 50")
 def s4_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    """A bounded sample of 50 taken from the channels in turn."""
-    c = table(spark, d, "documents").where("source is not null").select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rn"))
+    """A bounded sample of 50 records taken from the channels in turn, a record counting once over all channels."""
+    c = table(spark, d, "documents").where("source is not null and record_key is not null").groupBy("record_key").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))
+    c = c.select("doc_id", "source", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rn"))
     top = c.where("rn <= 50").orderBy("rn", "source").limit(50)
     return top.select("doc_id", "source", F.row_number().over(Window.orderBy("rn", "source")).alias("place"))
 
 
+@register("s4_limited", "SELECT record_key, min(doc_id) AS first FROM documents WHERE record_key IS NOT NULL GROUP BY record_key ORDER BY first LIMIT 30")
+def s4_limited(spark: SparkSession, d: str) -> DataFrame:
+    """The first 30 records in the order of the inventory."""
+    return table(spark, d, "documents").where("record_key is not null").groupBy("record_key").agg(F.min("doc_id").alias("first")).orderBy("first").limit(30)
+
+
 @register("m10_key_checks", "SELECT 'turns' AS name, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (WHERE id IS NULL) AS missing FROM turns UNION ALL SELECT 'documents', count(*) - count(DISTINCT doc_id), count(*) FILTER (WHERE doc_id IS NULL) FROM documents UNION ALL SELECT 'units', count(*) - count(DISTINCT unit_id), count(*) FILTER (WHERE unit_id IS NULL) FROM p05_story_rus")
 def m10_key_checks(spark: SparkSession, d: str) -> DataFrame:
     def one(name: str, t: str, key: str) -> DataFrame:

@@ -11,12 +11,6 @@ from ..session import table
 from .catalog import register
 
 
-@register("s8_json_leaves")
-def s8_json_leaves(spark: SparkSession, d: str) -> DataFrame:
-    """All leaves of the distinct page bodies, numbers as written."""
-    return json_leaves(table(spark, d, "obc_detail").select("content_key", "body").distinct(), "content_key", "body")
-
-
 @register("windowed_events", "SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def windowed_events(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events").where(F.col("ts").isNotNull()), "ts", "event_type")

@@ -74,10 +74,34 @@ def v7_evidence_binding(spark: SparkSession, d: str) -> DataFrame:
 # ---- aggregates --------------------------------------------------------------------------------
 
 
-@register("a1_profile", "SELECT coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, count(*) AS n, count(DISTINCT record_key) AS records, count(DISTINCT md5(text)) AS texts, CAST(sum(n_chars) AS BIGINT) AS chars, count(*) FILTER (WHERE title IS NULL) AS untitled FROM documents GROUP BY ALL")
+_PROFILE = {
+    "records": "count(DISTINCT record_key)", "texts": "count(DISTINCT md5(text))", "repeated_rows": "count(*) - count(DISTINCT md5(text))", "chars": "CAST(sum(n_chars) AS BIGINT)", "shortest": "min(n_chars)", "longest": "max(n_chars)",
+    "untitled": "count(*) FILTER (WHERE title IS NULL)", "empty": "count(*) FILTER (WHERE trim(text) = '')", "headed": "count(*) FILTER (WHERE starts_with(text, '#'))", "with_digits": "count(*) FILTER (WHERE regexp_matches(text, '[0-9]{4,}'))",
+    "with_latin": "count(*) FILTER (WHERE regexp_matches(text, '[A-Za-z]{3,}'))", "with_han": "count(*) FILTER (WHERE regexp_matches(text, '[一-鿿]'))", "with_kana": "count(*) FILTER (WHERE regexp_matches(text, '[ぁ-ヿ]'))", "with_links": "count(*) FILTER (WHERE regexp_matches(text, 'https?://'))",
+    "with_mail": "count(*) FILTER (WHERE contains(text, '@'))", "paragraphs": "CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT)", "titles": "count(DISTINCT title)", "bytes": "CAST(sum(octet_length(encode(text))) AS BIGINT)",
+    "late": "count(*) FILTER (WHERE loaded_at > fetched_at + INTERVAL 1 DAY)", "first_fetch": "min(fetched_at)", "last_fetch": "max(fetched_at)",
+}
+
+
+@register("a1_profile", "SELECT coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, count(*) AS n, " + ", ".join(f"{x} AS {c}" for c, x in _PROFILE.items()) + " FROM documents GROUP BY ALL")
 def a1_profile(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents")
-    return x.groupBy(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(F.count("*").alias("n"), F.countDistinct("record_key").alias("records"), F.countDistinct(F.md5("text")).alias("texts"), F.sum("n_chars").alias("chars"), F.count_if(F.col("title").isNull()).alias("untitled"))
+    """A profile of the corpus by source and language in one pass: some twenty counters, sums and distinct counts."""
+    x, t = table(spark, d, "documents"), F.col("text")
+    has = lambda p: F.count_if(t.rlike(p))
+    return x.groupBy(F.coalesce("source", F.lit("-")).alias("source"), F.coalesce("lang", F.lit("-")).alias("lang")).agg(
+        F.count("*").alias("n"), F.countDistinct("record_key").alias("records"), F.countDistinct(F.md5("text")).alias("texts"), (F.count("*") - F.countDistinct(F.md5("text"))).alias("repeated_rows"), F.sum("n_chars").alias("chars"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"),
+        F.count_if(F.col("title").isNull()).alias("untitled"), F.count_if(F.trim(t) == "").alias("empty"), F.count_if(t.startswith("#")).alias("headed"), has("[0-9]{4,}").alias("with_digits"), has("[A-Za-z]{3,}").alias("with_latin"), has("[一-鿿]").alias("with_han"), has("[ぁ-ヿ]").alias("with_kana"), has("https?://").alias("with_links"),
+        F.count_if(t.contains("@")).alias("with_mail"), F.sum(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("paragraphs"), F.countDistinct("title").alias("titles"), F.sum(F.octet_length(t)).alias("bytes"),
+        F.count_if(F.col("loaded_at") > F.col("fetched_at") + F.expr("INTERVAL 1 DAY")).alias("late"), F.min("fetched_at").alias("first_fetch"), F.max("fetched_at").alias("last_fetch"),
+    )
+
+
+@register("a1_top_values", "WITH c AS (SELECT 'title' AS field, title AS value, count(*) AS n FROM documents WHERE title IS NOT NULL GROUP BY title UNION ALL SELECT 'record_key', record_key, count(*) FROM documents WHERE record_key IS NOT NULL GROUP BY record_key), t AS (SELECT *, row_number() OVER (PARTITION BY field ORDER BY n DESC, value) AS place FROM c) SELECT field, value, n, CAST(place AS INTEGER) AS place FROM t WHERE place <= 15")
+def a1_top_values(spark: SparkSession, d: str) -> DataFrame:
+    """The fifteen most frequent values of two fields, ties by value."""
+    x = table(spark, d, "documents").select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("title", "record_key")))).alias("v")).select("v.*").where("value is not null")
+    c = x.groupBy("field", "value").agg(F.count("*").alias("n"))
+    return c.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))).where("place <= 15")
 
 
 @register("a2_distribution", "WITH s AS (SELECT coalesce(source, '-') AS source, list_sort(list(n_chars)) AS v FROM documents GROUP BY 1) SELECT source, CAST(len(v) AS BIGINT) AS n, CAST(list_sum(v) AS BIGINT) AS total, v[1] AS min, v[CAST(floor((len(v) - 1) * 0.5::DOUBLE) AS BIGINT) + 1] AS p50, v[CAST(floor((len(v) - 1) * 0.9::DOUBLE) AS BIGINT) + 1] AS p90, v[CAST(floor((len(v) - 1) * 0.99::DOUBLE) AS BIGINT) + 1] AS p99, v[-1] AS max FROM s")

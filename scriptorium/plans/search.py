@@ -222,13 +222,6 @@ def f2_fuse_sum(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse_routes(routes(spark, d), _CHANNEL_WEIGHTS, "f0").withColumn("score", F.round("score", 9))
 
 
-@register("f3_contract", f"{_TWO} SELECT query_id, route AS channel, 'all' AS granularity, 'positions not contiguous' AS problem FROM h WHERE rank % 2 = 0 GROUP BY query_id, route")
-def f3_contract(spark: SparkSession, d: str) -> DataFrame:
-    """Contract violations of lists from which every other position was taken out."""
-    h = two_lists(spark, d).where("rank % 2 = 0").select("query_id", F.col("route").alias("channel"), F.lit("all").alias("granularity"), "key", "rank")
-    return fusion.contract_violations(h)
-
-
 _BOTH = f"{_TWO}, b AS (SELECT a.query_id, a.key, a.rank AS first_rank, z.rank AS second_rank FROM h a JOIN h z ON a.query_id = z.query_id AND a.key = z.key AND a.route = 'bm25' AND z.route = 'sparse')"
 
 
