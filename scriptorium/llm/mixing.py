@@ -12,49 +12,23 @@ whole blocks are taken by their token sums, and only the block on the boundary i
 
 from __future__ import annotations
 
-import base64
 import math
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.tokens import Tokens
 from ..session import cut
 
-TOKENIZERS = "/opt/tokenizers"
-TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Documents of one block of a permutation.
 BLOCK_ROWS = 50_000
 
 
-# Fixed value: the public pattern that splits text before the merges of a rank file.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-@cache
-def _encoding(lines: bytes):
-    import tiktoken
-
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines.splitlines() if line)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
-class token_counter:
-    """The number of tokens of a text under a byte-level vocabulary (rank file) in ``folder``.
-
-    The file (under a megabyte) is read where the counter is made, on the driver, and travels with
-    it; executors need no such file.
-    """
-
-    def __init__(self, folder: str = TOKENIZERS, name: str = TOKENIZER):
-        with open(f"{folder}/{name}", "rb") as file:
-            self.lines = file.read()
-
-    def __call__(self, text: str) -> int:
-        return len(_encoding(self.lines).encode_ordinary(text))
+#: Counts the tokens of a text under a public byte-level vocabulary; the rank file is read on the driver and travels with the counter.
+token_counter = Tokens
 
 
 def token_sizes(docs: DataFrame, counter: Callable[[str], int] | None = None) -> DataFrame:

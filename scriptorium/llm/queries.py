@@ -44,7 +44,54 @@ def quotes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "card_semantic_cases").select(F.explode("quotes").alias("q")).select("q.evidence_id", "q.text")
 
 
-@_register("p6_found")
+# ---- SQL of queries that other engines can answer by brute force ----------------------------------
+
+_PASSAGES = """
+    ps AS (SELECT DISTINCT 'unit' AS origin, unit_id AS k, retrieval_visible_text AS t FROM p05_story_rus WHERE unit_id IS NOT NULL AND retrieval_visible_text IS NOT NULL
+          UNION SELECT DISTINCT 'quote', q.evidence_id, q.text FROM (SELECT unnest(quotes) AS q FROM card_semantic_cases) WHERE q.evidence_id IS NOT NULL AND q.text IS NOT NULL)
+"""
+_SHARED = f"""
+    WITH {_PASSAGES}, wi AS (SELECT origin, k, i, substr(t, i + 1, 40) AS w FROM (SELECT origin, k, t, unnest(range(length(t) - 39)) AS i FROM ps WHERE length(t) >= 40)),
+    sh AS (SELECT origin, w FROM wi GROUP BY origin, w HAVING count(DISTINCT k) > 1), hi AS (SELECT DISTINCT origin, k, i FROM wi JOIN sh USING (origin, w)),
+    nw AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY origin, k ORDER BY i) <= 40 THEN 0 ELSE 1 END AS n FROM hi), ru AS (SELECT *, sum(n) OVER (PARTITION BY origin, k ORDER BY i) AS run FROM nw),
+    sp AS (SELECT origin, k AS item_key, min(i) AS span_start, max(i) + 40 AS span_end FROM ru GROUP BY origin, k, run)
+"""
+_SETS = """
+    un AS (SELECT DISTINCT unit_id, source.canonical_address.record_id AS record_id, retrieval_visible_text AS t FROM p05_story_rus WHERE unit_id IS NOT NULL AND retrieval_visible_text IS NOT NULL AND length(retrieval_visible_text) >= 30),
+    dt AS (SELECT t, row_number() OVER (ORDER BY t) AS id FROM (SELECT DISTINCT t FROM un)), gr AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM dt), sz AS (SELECT id, count(*) AS n FROM gr GROUP BY id),
+    co AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM gr x JOIN gr y ON x.g = y.g AND x.id < y.id GROUP BY ALL),
+    nr AS (SELECT a, b FROM co JOIN sz p ON p.id = a JOIN sz q ON q.id = b WHERE 100 * c >= 80 * (p.n + q.n - c))
+"""
+
+
+def _form_sql(c: str) -> str:
+    """The one form of a text as SQL can say it: a table of single letters, invisible ones dropped, composition by the engine."""
+    import unicodedata
+
+    from .looks import tables
+
+    edges, flat = tables()
+    one, gone = {"\t": " "}, []
+    for cp in (*range(0x80, 0x3400), *range(0xA000, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x30000), *range(0xE0000, 0xE0200)):
+        form = unicodedata.normalize("NFC", "".join(map(chr, flat[edges[cp] : edges[cp + 1]])))
+        if not form:
+            gone.append(chr(cp))
+        elif len(form) == 1 and form != chr(cp):
+            one[chr(cp)] = form
+    quote = lambda s: s.replace("'", "''")
+    return f"nfc_normalize(translate(nfc_normalize({c}), '{quote(''.join(one) + ''.join(gone))}', '{quote(''.join(one.values()))}'))"
+
+
+_KEPT = r"regexp_replace(lower(translate(nfc_normalize({c}), '{a}', '{b}')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
+
+def _kept_sql(c: str) -> str:
+    """Letters and digits of a text in one case and width, as SQL can say it."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    return _KEPT.format(c=c, a=wide.replace("'", "''"), b="".join(chr(ord(x) - 0xFEE0) for x in wide).replace("'", "''"))
+
+
+@_register("p6_found", f"WITH {_SETS}, me AS (SELECT id, unit_id, record_id FROM un JOIN dt USING (t) WHERE record_id IS NOT NULL), pa AS (SELECT x.unit_id AS u, y.unit_id AS v FROM (SELECT a, b FROM nr UNION ALL SELECT id, id FROM dt) JOIN me x ON x.id = a JOIN me y ON y.id = b WHERE x.record_id <> y.record_id) SELECT DISTINCT least(u, v) AS unit_a, greatest(u, v) AS unit_b FROM pa WHERE u <> v")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from .neardup import near_duplicate_units
 
@@ -65,14 +112,14 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@_register("p3_found")
+@_register("p3_found", _SHARED + "SELECT origin, item_key, CAST(span_start AS INTEGER) AS span_start, CAST(span_end AS INTEGER) AS span_end FROM sp")
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .spans import shared_spans
 
     return shared_spans(_passages(spark, d))
 
 
-@_register("p3_amount")
+@_register("p3_amount", _SHARED + "SELECT p.origin, p.k AS item_key, CAST(max(length(p.t)) AS INTEGER) AS n_chars, CAST(coalesce(any_value(s.c), 0) AS BIGINT) AS shared_chars, CAST(coalesce(any_value(s.n), 0) AS BIGINT) AS spans FROM ps p LEFT JOIN (SELECT origin, item_key, sum(span_end - span_start) AS c, count(*) AS n FROM sp GROUP BY ALL) s ON s.origin = p.origin AND s.item_key = p.k GROUP BY p.origin, p.k")
 def p3_amount(spark: SparkSession, d: str) -> DataFrame:
     from .spans import shared_amount
 
@@ -97,7 +144,7 @@ def p3_lines(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@_register("p5_found")
+@_register("p5_found", f"WITH {_PASSAGES}, fo AS (SELECT origin, k, t, {_form_sql('t')} AS f FROM ps) SELECT DISTINCT least(a.k, b.k) AS key_a, greatest(a.k, b.k) AS key_b FROM fo a JOIN fo b ON a.origin = b.origin AND a.f = b.f AND a.t < b.t AND a.k <> b.k")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .looks import same_look_pairs
 
@@ -111,7 +158,7 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return to_one_form(_passages(spark, d)).select("origin", "item_key", "one_form")
 
 
-@_register("p7_found")
+@_register("p7_found", f"WITH dc AS (SELECT doc_id, {_kept_sql('text')} AS t FROM documents WHERE doc_id IS NOT NULL), it AS (SELECT item_id, {_kept_sql('text')} AS t FROM eval_items WHERE item_id IS NOT NULL), wi AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS w FROM it WHERE length(t) >= 40), wd AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS w FROM dc WHERE length(t) >= 40) SELECT DISTINCT doc_id, item_id FROM wd JOIN wi USING (w)")
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .leaks import leaked_items
 

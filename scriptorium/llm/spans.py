@@ -8,7 +8,7 @@ all spans; the exact check behind them hashes windows of ``least`` code points a
 what is left. Windows are not sent wholesale: each is first represented by the smallest hash of the
 half-length runs inside it (winnowing). A window that occurs in two records has the same
 representative in both, so only windows whose representative is held by two records are hashed in
-full, with 96 bits. Two kept owners suffice: whoever else holds part of such a line meets at least
+full, with 96 bits (a line is named by 64 bits and its length). Two kept owners suffice: whoever else holds part of such a line meets at least
 one of them that is another record.
 """
 
@@ -74,12 +74,13 @@ def _lines(points: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndar
 
 
 def _emit_lines(least: int):
+    """Lines as keys of 64 bits and, with their starts in the extras, their lengths, which belong to the key."""
+
     def emit(b: pa.RecordBatch):
         points, offsets = code_points(b.column("text"))
         starts, ends, rows = _lines(points, offsets, least)
         space = b.column("space").to_numpy(zero_copy_only=False)[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        first, second = (span_hashes(points, starts, ends, seed) for seed in (0, 1))
-        return first + space, b.column("rid").to_numpy(zero_copy_only=False)[rows], _placed(starts - offsets[:-1][rows], second)
+        return span_hashes(points, starts, ends) + space, b.column("rid").to_numpy(zero_copy_only=False)[rows], (ends - starts) << 32 | starts - offsets[:-1][rows]
 
     return emit
 
@@ -104,11 +105,10 @@ def _emit_windows(least: int):
         if len(removed.flatten()):
             gone = np.zeros(len(points) + 1, np.int64)  # windows that start and end inside a removed line
             counts = pc.fill_null(pc.list_value_length(removed), 0).to_numpy(zero_copy_only=False)
-            first = removed.flatten().to_numpy(zero_copy_only=False) + offsets[:-1][np.repeat(np.arange(len(counts)), counts)]
-            starts, ends, _ = _lines(points, offsets, least)
-            ends = ends[np.searchsorted(starts, first)]
+            line = removed.flatten().to_numpy(zero_copy_only=False)
+            first = (line & 0xFFFFFFFF) + offsets[:-1][np.repeat(np.arange(len(counts)), counts)]
             np.add.at(gone, first, 1)
-            np.add.at(gone, ends - least + 1, -1)
+            np.add.at(gone, first + (line >> 32) - least + 1, -1)
             keep &= np.cumsum(gone)[at] == 0
         at, rows = at[keep], rows[keep]
         first, second = (gram_hashes(points, least, seed)[at] for seed in (0, 1))
@@ -122,13 +122,11 @@ def _merge(least: int):
 
     def run(batches):
         for b in batches:
-            points, offsets = code_points(b.column("text"))
-            lines, line_ends, _ = _lines(points, offsets, least)
             spans = []
-            for i, (starts, whole) in enumerate(zip(b.column("starts").to_pylist(), b.column("lines").to_pylist())):
-                starts = np.asarray(starts or [], np.int64)
-                first = np.asarray(whole or [], np.int64)
-                ends = line_ends[np.searchsorted(lines, first + offsets[i])] - offsets[i]
+            for starts, whole in zip(b.column("starts").to_pylist(), b.column("lines").to_pylist()):
+                starts, line = (np.asarray(x or [], np.int64) for x in (starts, whole))
+                first = line & 0xFFFFFFFF
+                ends = first + (line >> 32)
                 pairs = np.stack([np.concatenate([starts, first]), np.concatenate([starts + least, ends])])
                 pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
                 reach = np.maximum.accumulate(pairs[1])
@@ -152,18 +150,16 @@ def shared_spans(records: DataFrame, least: int = 40) -> DataFrame:
     rows = rows.withColumn("rid", F.xxhash64("origin", "text")).withColumn("space", F.xxhash64("origin"))
     items = cut(rows.select("origin", "item_key", "rid", F.length("text").alias("n")).distinct())
     texts = rows.groupBy("rid", "space").agg(F.first("text").alias("text"))
-    place, tell = F.col("extra").bitwiseAND(0xFFFFFFFF).cast("int"), F.shiftright("extra", 32)
-    lines = cut(colliding(rows.select("rid", "space", "text"), _emit_lines(least), wide=True).select("key", tell.alias("tell"), "owner", place.alias("at")))
+    lines = cut(colliding(rows.select("rid", "space", "text"), _emit_lines(least), wide=True).select("key", "owner", "extra", F.shiftright("extra", 32).alias("tell")))
     ends = lines.groupBy("key", "tell").agg(F.min("owner").alias("first"), F.max("owner").alias("last"))
-    marked = lines.join(ends, ["key", "tell"])
     kept = F.col("owner").isin(F.col("first"), F.col("last"))
-    lines = marked.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("at").alias("lines"), F.collect_set(F.when(~kept, F.col("at"))).alias("removed"))
+    lines = lines.join(ends, ["key", "tell"]).groupBy(F.col("owner").alias("rid")).agg(F.collect_set("extra").alias("lines"), F.collect_set(F.when(~kept, F.col("extra"))).alias("removed"))
     seeds = colliding(rows.select("rid", "space", "text"), _emit_representatives(least))
     hits = seeds.groupBy(F.col("owner").alias("rid")).agg(F.collect_set("key").alias("keys"))
-    touched = texts.join(hits, "rid").join(lines, "rid", "left")
+    touched = texts.join(hits, "rid").join(lines.select("rid", "removed"), "rid", "left")
     windows = colliding(touched, _emit_windows(least), wide=True)
-    found = windows.groupBy(F.col("owner").alias("rid")).agg(F.collect_set(place).alias("starts"))
-    found = touched.select("rid", "text", "lines").join(found, "rid", "left").where("starts is not null or lines is not null")
+    found = windows.groupBy(F.col("owner").alias("rid")).agg(F.collect_set(F.col("extra").bitwiseAND(0xFFFFFFFF).cast("int")).alias("starts"))
+    found = found.join(lines.select("rid", "lines"), "rid", "full")
     found = found.mapInArrow(_merge(least), "rid long, spans array<struct<span_start:int, span_end:int>>")
     copies = items.groupBy("rid").agg(F.min("item_key").alias("lo"), F.max("item_key").alias("hi")).where("lo < hi").select("rid", F.lit(True).alias("copied"))
     whole = F.array(F.struct(F.lit(0).alias("span_start"), F.col("n").alias("span_end")))
