@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def keep(fn: Query) -> Query:
-        if name in _QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        _QUERIES[name] = fn
-        if sql is not None:
-            _SQL[name] = sql
-        return fn
-
-    return keep
+from . import corpus, evidence, flows, links, markup, nested, packets, ranges, routes, search, stores, views, walks  # noqa: F401  the plan modules register their queries on import
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return _QUERIES["r2_bm25"](spark, d)
-
-
-from . import corpus, evidence, flows, links, markup, nested, packets, ranges, routes, search, stores, views, walks  # noqa: E402, F401  the plan modules register their queries on import
+    return QUERIES["r2_bm25"](spark, d)

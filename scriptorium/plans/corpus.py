@@ -12,7 +12,7 @@ from ..functions.tokens import Tokens
 from ..functions.unicode import alnum_runs, nfkc_fold
 from ..operators import chunking, dedupe
 from ..session import table
-from .catalog import register
+from .registry import register
 from .search import _BI, D_TOK
 
 

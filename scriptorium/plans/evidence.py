@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.lines import numbered_lines
 from ..operators import assembly, graphs, search, statistics
 from ..session import table
-from .catalog import register
+from .registry import register
 from .search import _DENSE, _TWO, two_lists
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.sealed import json_leaves
 from ..streaming.events import windowed_counts
 from ..session import table
-from .catalog import register
+from .registry import register
 
 
 @register("windowed_events", "SELECT date_trunc('hour', ts) AS window_start, event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import intervals, search
 from ..session import table
-from .catalog import register
+from .registry import register
 from .ranges import quote_ranges
 from .search import _DENSE, _TWO, two_lists
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import markup, shapes
 from ..session import table
-from .catalog import register
+from .registry import register
 from .nested import _DETAIL
 
 _RICH = f"""{_DETAIL}, h AS (SELECT root_id, child AS pointer, json_extract_string(v, '$.data') AS data FROM detail WHERE a = 'components'),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import shapes
 from ..session import table
-from .catalog import register
+from .registry import register
 
 _DETAIL = """
     good AS (SELECT content_key, fetched_at, body, row_number() OVER (PARTITION BY content_key ORDER BY fetched_at DESC NULLS LAST, body) AS n

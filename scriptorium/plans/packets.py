@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..operators import assembly, fusion
 from ..session import table
-from .catalog import register
+from .registry import register
 from .links import _QUOTES, _TEXTS, quotes, unit_texts
 from .routes import skip_fit_sql
 from .search import _TWO, two_lists

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import intervals, statistics
 from ..session import table
-from .catalog import register
+from .registry import register
 
 _Q = "q AS (SELECT DISTINCT unit_id, evidence_id, ru_start AS s, ru_end AS e FROM (SELECT unnest(quotes, recursive := true) FROM card_semantic_cases) WHERE ru_end > ru_start AND unit_id IS NOT NULL)"
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import assembly, fusion, search, statistics
 from ..session import cut, table
-from .catalog import register
+from .registry import register
 from .search import _BI, _DENSE, _FIELDS, _TWO, D_TOK, Q_TOK, TOK, _bm25_sql, docs, eval_queries, two_lists
 
 _THREE = f"""{_TWO}, ds AS (SELECT e.item_id AS query_id, v.vec_id + 1 AS key, round(list_dot_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM eval_items e JOIN embeddings q ON q.vec_id = e.item_id - 7000, embeddings v WHERE v.vec_id <> q.vec_id),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import fusion, search
 from ..session import table
-from .catalog import register
+from .registry import register
 
 TOK = r"list_concat(regexp_extract_all(lower({0}), '[\x{{3400}}-\x{{9fff}}]'), regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 D_TOK, Q_TOK = TOK.format("text"), TOK.format("query")

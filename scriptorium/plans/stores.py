@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import assembly, chunking, fusion, markup, shapes
 from ..sources import sealed
 from ..session import table
-from .catalog import register
+from .registry import register
 from .corpus import greedy_sql
 from .links import _QUOTES, quotes
 from .nested import _DETAIL

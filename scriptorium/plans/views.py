@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import rules
 from ..session import table
-from .catalog import register
+from .registry import register
 
 _UNITS = """
     r AS (SELECT * FROM canonical_records WHERE record_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY built_at DESC NULLS LAST) = 1),

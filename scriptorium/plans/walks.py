@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import graphs, markup, shapes
 from ..session import table
-from .catalog import register
+from .registry import register
 from .evidence import _G, _groups
 from .nested import _DETAIL, page_tables
 from .search import _TWO, two_lists
