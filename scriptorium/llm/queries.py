@@ -151,11 +151,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return same_look_pairs(_passages(spark, d)).select("key_a", "key_b")
 
 
-@_register("p5_forms")
+@_register("p5_forms", f"SELECT DISTINCT origin, item_key, {_form_sql('t')} AS one_form FROM (SELECT 'unit' AS origin, unit_id AS item_key, retrieval_visible_text AS t FROM p05_story_rus UNION ALL SELECT 'quote', q.evidence_id, q.text FROM (SELECT unnest(quotes) AS q FROM card_semantic_cases))")
 def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     from .looks import to_one_form
 
-    return to_one_form(_passages(spark, d)).select("origin", "item_key", "one_form")
+    return to_one_form(_passages(spark, d)).select("origin", "item_key", "one_form").distinct()
 
 
 @_register("p7_found", f"WITH dc AS (SELECT doc_id, {_kept_sql('text')} AS t FROM documents WHERE doc_id IS NOT NULL), it AS (SELECT item_id, {_kept_sql('text')} AS t FROM eval_items WHERE item_id IS NOT NULL), wi AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS w FROM it WHERE length(t) >= 40), wd AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - 38), lambda i: substr(t, i, 40))) AS w FROM dc WHERE length(t) >= 40) SELECT DISTINCT doc_id, item_id FROM wd JOIN wi USING (w)")
