@@ -116,6 +116,21 @@ def t19_citations(spark: SparkSession, d: str) -> DataFrame:
     return r.select("turn", "attempt", "event_no", body.alias("t")).distinct().select("turn", "attempt", "event_no", F.explode(T.citations(F.col("t"))).alias("cited"))
 
 
+_SAID = "r AS (SELECT DISTINCT turn, attempt, event_no, array_to_string(list_transform(list_filter(item.content, lambda c: c IS NOT NULL), lambda c: coalesce(c.text, '')), '') AS t FROM p05_responses_multimessage WHERE item.content IS NOT NULL AND item.phase = 'final_answer')"
+
+
+@register("t19_citation_check", rf"WITH {_SAID}, x AS (SELECT turn, attempt, event_no, list_transform(regexp_extract_all(t, '\[E0*(\d{{1,9}})\]', 1), lambda x: CAST(x AS INTEGER)) AS cited, len(regexp_extract_all(t, '\[[Ee][^\[\]]*\]')) AS marks, len(regexp_extract_all(t, '\[E\d+\]')) AS well FROM r) SELECT turn, attempt, event_no, CASE WHEN marks > well THEN 'malformed' WHEN len(list_filter(cited, lambda c: c < 1 OR c > 8)) > 0 THEN 'unknown' WHEN len(list_distinct(cited)) < 1 THEN 'too few' ELSE 'fine' END AS state, CAST(len(list_distinct(cited)) AS INTEGER) AS cited FROM x")
+def t19_citation_check(spark: SparkSession, d: str) -> DataFrame:
+    """Citations of final answers: malformed marks, numbers that no evidence has (here above 8), too few, or fine."""
+    r = table(spark, d, "p05_responses_multimessage").where("item.content is not null and item.phase = 'final_answer'")
+    t = F.array_join(F.transform(F.filter("item.content", lambda c: c.isNotNull()), lambda c: F.coalesce(c["text"], F.lit(""))), "")
+    x = r.select("turn", "attempt", "event_no", t.alias("t")).distinct()
+    count = lambda p: F.size(F.regexp_extract_all("t", F.lit(f"({p})"), F.lit(1)))
+    cited = F.transform(F.regexp_extract_all("t", F.lit(r"\[E0*(\d{1,9})\]"), F.lit(1)), lambda c: c.cast("int"))
+    state = F.when(count(r"\[[Ee][^\[\]]*\]") > count(r"\[E\d+\]"), "malformed").when(F.exists("cited", lambda c: (c < 1) | (c > 8)), "unknown").when(F.size("cited") < 1, "too few").otherwise("fine")
+    return x.withColumn("cited", cited).select("turn", "attempt", "event_no", state.alias("state"), F.size(F.array_distinct("cited")).alias("cited"))
+
+
 @register("t20_content_id", r"SELECT doc_id, nullif(regexp_extract('/ys/obc/content/' || split_part(record_key, ':', 3) || '/detail', '^/ys/obc/content/(\d+)/detail(?:[?#].*)?$', 1), '') AS content_id FROM documents")
 def t20_content_id(spark: SparkSession, d: str) -> DataFrame:
     url = F.concat(F.lit("/ys/obc/content/"), F.split_part("record_key", F.lit(":"), F.lit(3)), F.lit("/detail"))

@@ -271,3 +271,24 @@ def s16_sparse_rows(spark: SparkSession, d: str) -> DataFrame:
     p = search.postings(docs(spark, d).select("doc_id", "text"), T.bag).where(F.ascii("term") < 128)
     g = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col("tf").cast("string").alias("tf")))).alias("x"))
     return g.select("doc_id", F.array_join("x.term", " ").alias("terms"), F.array_join("x.tf", " ").alias("weights"), F.size("x").alias("nnz"))
+
+
+@register("j1_granularity_contract", f"{_ROUTES3}, x AS (SELECT query_id, channel, key, CASE WHEN (query_id + key) % 11 = 0 THEN 'macro' ELSE granularity END AS said FROM r3 UNION ALL SELECT query_id, 'bm25', -key, 'micro' FROM h3 WHERE route = 'bm25' AND rank = 50) SELECT channel, count(*) AS n, count(CASE WHEN g.key IS NULL THEN 1 END) AS unknown, count(CASE WHEN g.granularity <> said THEN 1 END) AS other_granularity FROM x LEFT JOIN g USING (key) GROUP BY channel")
+def j1_granularity_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Hits joined with their documents under the contract: the document must exist and have the granularity of the hit; some hits were given a flaw."""
+    h = routes3(spark, d).select("query_id", "channel", "key", F.when((F.col("query_id") + F.col("key")) % 11 == 0, "macro").otherwise(F.col("granularity")).alias("said"))
+    bad = three_lists(spark, d).where("route = 'bm25' and rank = 50").select("query_id", F.lit("bm25").alias("channel"), (-F.col("key")).alias("key"), F.lit("micro").alias("said"))
+    g = table(spark, d, "documents").select(F.col("doc_id").alias("key"), F.when(F.col("n_chars") < 700, "micro").otherwise("macro").alias("granularity"))
+    j = h.unionByName(bad).join(g, "key", "left")
+    return j.groupBy("channel").agg(F.count("*").alias("n"), F.count_if(F.col("granularity").isNull()).alias("unknown"), F.count_if(F.col("granularity") != F.col("said")).alias("other_granularity"))
+
+
+@register("m10_item_checks", "SELECT 'repeated item' AS problem, count(*) - count(DISTINCT item_id) AS n FROM eval_items UNION ALL SELECT 'unknown language', count(*) FILTER (WHERE lang NOT IN ('zh', 'en', 'ja')) FROM eval_items UNION ALL SELECT 'no split', count(*) FILTER (WHERE split IS NULL) FROM eval_items UNION ALL SELECT 'empty query', count(*) FILTER (WHERE trim(coalesce(query, '')) = '') FROM eval_items UNION ALL SELECT 'query of several items', coalesce(sum(c), 0)::BIGINT FROM (SELECT count(*) AS c FROM eval_items GROUP BY query HAVING count(*) > 1) UNION ALL SELECT 'text of several splits', count(*) FROM (SELECT text FROM eval_items GROUP BY text HAVING count(DISTINCT split) > 1)")
+def m10_item_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Constraints of the evaluation items: unique, of known languages, in a split, with a query of their own, no text in two splits."""
+    e = table(spark, d, "eval_items")
+    one = e.agg((F.count("*") - F.countDistinct("item_id")).alias("repeated item"), F.count_if(~F.col("lang").isin("zh", "en", "ja")).alias("unknown language"), F.count_if(F.col("split").isNull()).alias("no split"), F.count_if(F.trim(F.coalesce("query", F.lit(""))) == "").alias("empty query"))
+    many = e.groupBy("query").agg(F.count("*").alias("c")).where("c > 1").agg(F.coalesce(F.sum("c"), F.lit(0).cast("long")).alias("query of several items"))
+    both = e.groupBy("text").agg(F.countDistinct("split").alias("c")).where("c > 1").agg(F.count("*").alias("text of several splits"))
+    x = one.crossJoin(many).crossJoin(both)
+    return x.select(F.explode(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(f"`{c}`").alias("n")) for c in x.columns))).alias("p")).select("p.*")

@@ -281,9 +281,26 @@ def f9_mmr(spark: SparkSession, d: str) -> DataFrame:
     return fusion.mmr(hits.join(v.select("vec_id", "embedding"), "vec_id").select("query_id", F.col("vec_id").alias("key"), "score", "embedding"))
 
 
-@register("f5_defer_covered")
+_DEFERRED = f"""{_TWO}, hb AS (SELECT query_id, key, h.rank, text FROM h LEFT JOIN documents ON doc_id = key WHERE route = 'bm25'),
+    cv AS (SELECT a.query_id, a.key, list(b.key) AS covered_by FROM hb a JOIN hb b ON a.query_id = b.query_id AND b.rank < a.rank AND a.text <> '' AND length(a.text) <= length(b.text) AND contains(b.text, a.text) GROUP BY ALL),
+    oo AS (SELECT hb.query_id, hb.key, hb.rank, cv.covered_by FROM hb LEFT JOIN cv ON cv.query_id = hb.query_id AND cv.key = hb.key),
+    ww AS (WITH RECURSIVE w(query_id, i, main, mains) AS (SELECT DISTINCT query_id, 0::BIGINT, false, CAST([] AS BIGINT[]) FROM oo UNION ALL SELECT oo.query_id, w.i + 1, NOT list_has_any(coalesce(oo.covered_by, []), w.mains), CASE WHEN list_has_any(coalesce(oo.covered_by, []), w.mains) THEN w.mains ELSE list_append(w.mains, oo.key) END FROM w JOIN oo ON oo.query_id = w.query_id AND oo.rank = w.i + 1) SELECT * FROM w),
+    fi AS (SELECT oo.query_id, oo.key, oo.rank, ww.main, row_number() OVER (PARTITION BY oo.query_id ORDER BY NOT ww.main, oo.rank) AS final_rank FROM oo JOIN ww ON ww.query_id = oo.query_id AND ww.i = oo.rank)
+    SELECT query_id, key, CAST(rank AS INTEGER) AS rank, main, CAST(final_rank AS INTEGER) AS final_rank, CASE WHEN final_rank > 30 THEN 'outside' WHEN main THEN 'selected' ELSE 'selected_refill' END AS disposition FROM fi"""
+
+
+@register("f5_defer_covered", _DEFERRED)
 def f5_defer_covered(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose text stands whole in another one are moved behind the uncovered ones."""
     h = two_lists(spark, d).where("route = 'bm25'").select("query_id", "key", "rank")
     covers = fusion.containment(h, docs(spark, d).select(F.col("doc_id").alias("key"), "text"))
     return fusion.defer_covered(h, covers, 30)
+
+
+@register("f8_structural_rerank", _DEFERRED.replace("SELECT query_id, key, CAST(rank AS INTEGER) AS rank, main, CAST(final_rank AS INTEGER) AS final_rank, CASE WHEN final_rank > 30 THEN 'outside' WHEN main THEN 'selected' ELSE 'selected_refill' END AS disposition FROM fi", "SELECT query_id, key, CAST(final_rank AS INTEGER) AS final_rank, main FROM fi").replace("hb AS (SELECT query_id, key, h.rank, text FROM h LEFT JOIN documents ON doc_id = key WHERE route = 'bm25')", "rl AS (SELECT query_id, key, row_number() OVER (PARTITION BY query_id ORDER BY rank % 7 DESC, rank, key) AS rank FROM h WHERE route = 'bm25'), hb AS (SELECT query_id, key, rl.rank, text FROM rl LEFT JOIN documents ON doc_id = key)"))
+def f8_structural_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Hits ordered by a relevance score (here a coarse one of their ranks), then those that an earlier one covers behind all others."""
+    h = two_lists(spark, d).where("route = 'bm25'").select("query_id", "key", "rank", (F.col("rank") % 7).cast("double").alias("score"))
+    order = fusion.stable_rerank(h).select("query_id", "key", F.col("new_rank").alias("rank"))
+    covers = fusion.containment(order, docs(spark, d).select(F.col("doc_id").alias("key"), "text"))
+    return fusion.defer_covered(order, covers, 30).select("query_id", "key", "final_rank", "main")

@@ -189,3 +189,41 @@ def test_packed_rows(spark):
     df = spark.createDataFrame([("o", 2, 5), ("o", 1, 4), ("o", 3, 3), ("p", 1, 99)], "owner string, i int, n int")
     got = {(r.owner, r.i): r.batch for r in assembly.packed(df, "owner", ["i"], "n", 8, None).collect()}
     assert got == {("o", 1): 0, ("o", 2): 1, ("o", 3): 1, ("p", 1): 0}
+
+
+def test_fetching_with_retries(spark):
+    import http.server
+    import threading
+
+    from scriptorium.sources import http as source
+
+    seen = {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            n = seen[self.path] = seen.get(self.path, 0) + 1
+            code = {"/ok": 200, "/gone": 404, "/busy": 200 if n > 2 else 429, "/down": 503}[self.path]
+            self.send_response(code)
+            if code == 429:
+                self.send_header("Retry-After", "0")
+            self.end_headers()
+            self.wfile.write(self.path.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    df = spark.createDataFrame([(base + p,) for p in ("/ok", "/ok", "/gone", "/busy", "/down")] + [(None,)], "url string")
+    got = {r.url[len(base) :]: (r.status, r.attempts, bytes(r.body)) for r in source.fetch(df, attempts=3, first=0.01).collect()}
+    server.shutdown()
+    assert got == {"/ok": (200, 1, b"/ok"), "/gone": (404, 1, b"/gone"), "/busy": (200, 3, b"/busy"), "/down": (503, 3, b"/down")}
+
+
+def test_waiting_times():
+    from scriptorium.sources.http import wait_before
+
+    assert wait_before(1, 200, None, 0, 0) is None and wait_before(1, 404, None, 0, 0) is None
+    assert wait_before(1, 429, "7", 0, 0) == 7 and wait_before(1, 429, "700", 0, 0) == 60 and wait_before(3, 503, None, 0, 0.5) == 6 and wait_before(9, None, None, 0, 0.9) == 60
+    assert wait_before(1, 429, "Thu, 01 Jan 1970 00:00:30 GMT", 10, 0) == 20 and wait_before(2, 429, "soon", 0, 0) == 2
