@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..functions.codepoints import code_points
+from ..functions.grams import bag_hashes
 
 
 def query_terms(queries: DataFrame, tokens=T.analyze) -> DataFrame:
@@ -94,10 +96,21 @@ class _Best:
 
 
 class _TermBlock:
-    """A block of queries as a term list and a (terms x queries) matrix of query frequencies."""
+    """A block of queries as a term list and a (terms x queries) matrix of query frequencies.
 
-    def __init__(self, rows: list[tuple]):
+    Rows are (id, tokens), or (id, text) for texts that are tokenised here, a whole batch at a time,
+    in which case terms are the hashes of ``bag_hashes``.
+    """
+
+    def __init__(self, rows: list[tuple], texts: bool = False):
         self.ids = [r[0] for r in rows]
+        self.texts = texts
+        if texts:
+            row, tokens = bag_hashes(*code_points(pa.array([r[1] for r in rows], pa.string())))
+            self.terms, at = np.unique(tokens, return_inverse=True)
+            self.matrix = np.zeros((len(self.terms), len(rows)))
+            np.add.at(self.matrix, (at, row), 1)
+            return
         bags = [Counter(r[1] or ()) for r in rows]
         self.terms = sorted(set().union(*bags)) if bags else []
         at = {t: i for i, t in enumerate(self.terms)}
@@ -107,13 +120,19 @@ class _TermBlock:
                 self.matrix[at[t], q] = n
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of a column of token lists: row, term and frequency of the known terms, and the list lengths."""
-        offsets = column.offsets.to_numpy()
-        values = pc.index_in(column.values, value_set=pa.array(self.terms, pa.string()))
-        known = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        lengths = np.diff(offsets)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        keep = known >= 0
+        """Of a column of token lists, or of texts: row, term and frequency of the known terms, and the numbers of tokens."""
+        if self.texts:
+            row, tokens = bag_hashes(*code_points(column))
+            lengths = np.bincount(row, minlength=len(column))
+            known = np.minimum(np.searchsorted(self.terms, tokens), max(len(self.terms) - 1, 0))
+            keep = self.terms[known] == tokens if len(self.terms) else np.zeros(len(tokens), bool)
+        else:
+            offsets = column.offsets.to_numpy()
+            values = pc.index_in(column.values, value_set=pa.array(self.terms, pa.string()))
+            known = pc.fill_null(values, -1).to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            lengths = np.diff(offsets)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            keep = known >= 0
         pair, tf = np.unique(row[keep] * max(len(self.terms), 1) + known[keep], return_counts=True)
         return pair // max(len(self.terms), 1), pair % max(len(self.terms), 1), tf, lengths
 
@@ -176,8 +195,10 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
     block's term matrix and passes on the k best of each batch. Null ids and texts take no part.
     """
     fields = list(weights)
+    texts = tokens is T.bag  # tokenised in the pass itself, not handed over token by token
+    analysed = (lambda c: c) if texts else tokens
     rows = docs.where(F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").cast("long"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)),
+        F.col("doc_id").cast("long"), *(analysed(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)),
         (F.lit(True) if population is None else population).alias("in_population"), (F.lit(True) if role is None else role).alias("in_role"),
     )
     names = [f"f{i}" for i in range(len(fields))]
@@ -185,7 +206,7 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
     held: list[tuple] = []
 
     def answer() -> None:
-        terms = _TermBlock(held)
+        terms = _TermBlock(held, texts)
         sums = {r["name"]: r["value"] for r in rows.mapInArrow(_statistics(terms, names), "name string, value long").groupBy("name").agg(F.sum("value").alias("value")).collect()}
         n = sums.get("n", 0)
         df = np.array([sums.get(f"t{i}", 0) for i in range(len(terms.terms))], float)
@@ -193,7 +214,7 @@ def bm25_fields(docs: DataFrame, queries: DataFrame, weights: dict[str, float],
         average = [sums.get(f"l{i}", 0) / n if n else 0.0 for i in range(len(fields))]
         parts.append(rows.mapInArrow(_block_bm25(terms, names, [weights[f] for f in fields], average, idfs, k, k1, b), "query_id long, doc_id long, score double"))
 
-    for r in queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), tokens(F.col("text")).alias("toks")).toLocalIterator():
+    for r in queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), analysed(F.col("text")).alias("toks")).toLocalIterator():
         held.append((r[0], r[1]))
         if len(held) == block:
             answer()
@@ -339,6 +360,52 @@ def _block_sparse(block: _TermBlock, k: int, step: int = 512):
     return run
 
 
+def _block_bags(block: _TermBlock, k: int, step: int = 512):
+    """Sparse dot products of bags of words, weighed by frequency over the root of the length, with the block."""
+
+    def run(batches):
+        width = len(block.terms)
+        best = _Best(block.ids, k)
+        for batch in batches:
+            if not batch.num_rows or not width:
+                continue
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            row, term, tf, lengths = block.counts(batch.column("text"))
+            w = tf / np.sqrt(lengths[row])
+            scores = np.empty((len(keys), len(block.ids)))
+            for lo in range(0, len(keys), step):
+                hi = min(lo + step, len(keys))
+                s, e = np.searchsorted(row, [lo, hi])
+                x = np.zeros((hi - lo, width))
+                x[row[s:e] - lo, term[s:e]] = w[s:e]
+                scores[lo:hi] = x @ block.matrix
+            best.offer(keys, np.round(scores, 9), scores > 5e-10)
+        yield best.batch("doc_id")
+
+    return run
+
+
+def bag_sparse_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
+    """Sparse dot hits (query_id, doc_id, score, rank) of texts as bags of words with weights tf / sqrt(length) against questions.
+
+    ``docs``: doc_id, text; ``queries``: query_id, text. Each block of questions takes one pass over the
+    texts, which are tokenised in it. Null ids and texts take no part.
+    """
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text")
+    held: list[tuple] = []
+    parts = []
+    for r in queries.where("query_id is not null").select(F.col("query_id").cast("long"), "text").toLocalIterator():
+        held.append((r[0], r[1]))
+        if len(held) == block:
+            parts.append(rows.mapInArrow(_block_bags(_TermBlock(held, True), k), "query_id long, doc_id long, score double"))
+            held = []
+    if held:
+        parts.append(rows.mapInArrow(_block_bags(_TermBlock(held, True), k), "query_id long, doc_id long, score double"))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "doc_id")
+
+
 def sparse_rows_top_k(rows: DataFrame, queries: DataFrame, k: int = 10, block: int = 1000) -> DataFrame:
     """Sparse dot hits of rows (doc_id, terms, weights: arrays of one length) against queries (query_id, terms).
 

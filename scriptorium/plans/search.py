@@ -139,9 +139,7 @@ _SPARSE = """
 
 def _sparse_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
     """Documents as sparse vectors of term frequency over the root of the length."""
-    rows = docs(spark, d).select("doc_id", T.bag(F.col("text")).alias("terms"))
-    rows = rows.withColumn("weights", F.array_repeat(1 / F.sqrt(F.size("terms")), F.size("terms")))
-    return search.sparse_rows_top_k(rows, eval_queries(spark, d).select("query_id", T.bag(F.col("text")).alias("terms")), k)
+    return search.bag_sparse_top_k(docs(spark, d).select("doc_id", "text"), eval_queries(spark, d), k)
 
 
 @register("r10_sparse_top_k", f"WITH {_bm25_sql()}, {_SPARSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM sparse WHERE rank <= 10")
