@@ -39,24 +39,58 @@ def _shared_counts(batches):
         yield pa.RecordBatch.from_arrays([b.column("ha"), b.column("hb"), pa.array(shared, pa.int32()), pa.array(na + nb - shared, pa.int32())], names=["ha", "hb", "shared", "either"])
 
 
+#: Counters of the frequency sketch that orders the grams: 8 MB, whatever the number of texts.
+SKETCH = 1 << 20
+
+
+def _bucket_counts(batches):
+    """Numbers of grams a bucket in a partition."""
+    total = np.zeros(SKETCH, np.int64)
+    for b in batches:
+        grams = b.column("g").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _prefixes(counts, percent: int):
+    """The rarest grams of each set, by the sketch and then by the gram: rows (h, size, need, gram)."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("g")
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            grams = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), size)
+            often = counts.value[(grams.view(np.uint64) >> np.uint64(44)).astype(np.int64)]
+            order = np.lexsort((grams, often, row))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            overlap = -(-size * percent // 100)
+            need = np.minimum(overlap, DEPTH)
+            keep = order[place < np.repeat(size - overlap + need, size)]
+            yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(row[keep])), pa.array(size[row[keep]], pa.int32()), pa.array(need[row[keep]], pa.int32()), pa.array(grams[keep])], names=["h", "size", "need", "gram"])
+
+    return run
+
+
 def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int = 80) -> DataFrame:
     """Pairs (a, b, shared, either) of keys whose n-gram sets have Jaccard similarity of at least ``percent``.
 
-    Exact, by prefix filtering: grams are ordered by document frequency, rarest first, and two sets
-    that are similar enough share at least d grams among their first |set| - ceil(percent * |set|) + d,
-    for any d up to the overlap itself; here d is DEPTH, so that sets with a few rare grams in common
-    don't become candidates. Only those grams travel; lengths and a whole-number test on the full sets
-    decide. Grams are 64-bit hashes (a set of a thousand grams loses one to a collision with probability
-    3e-14). Equal texts are compared once and their keys attached at the end.
+    Exact, by prefix filtering: in one order of all grams, two sets that are similar enough share at
+    least d grams among their first |set| - ceil(percent * |set|) + d, for any d up to the overlap
+    itself; here d is DEPTH, so that sets with a few rare grams in common don't become candidates. Any
+    order will do; rare ones come first by a sketch of their frequencies, of fixed size. Only those
+    grams travel; lengths and a whole-number test on the full sets decide. Grams are 64-bit hashes (a
+    set of a thousand grams loses one to a collision with probability 3e-14). Equal texts are compared
+    once and their keys attached at the end.
     """
     base = rows.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.length(text) >= n).withColumn("h", F.xxhash64("t"))
-    sets = with_gram_sets(base.groupBy("h").agg(F.first("t").alias("t")), "t", n).withColumn("size", F.size("g"))
-    grams = sets.select("h", "size", F.explode("g").alias("gram"))
-    df = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("h").orderBy("df", "gram")
-    need = F.least(F.ceil(F.col("size") * percent / F.lit(100)), F.lit(DEPTH))
-    prefix = grams.join(df, "gram").withColumn("r", F.row_number().over(w)).withColumn("need", need)
-    prefix = prefix.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * percent / F.lit(100)) + F.col("need")).where("df > 1").select("h", "size", "need", "gram")
+    sets = with_gram_sets(base.groupBy("h").agg(F.first("t").alias("t")), "t", n)
+    counted = sets.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    sketch = np.zeros(SKETCH, np.int64)
+    sketch[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    counts = rows.sparkSession.sparkContext.broadcast(sketch)
+    prefix = sets.mapInArrow(_prefixes(counts, percent), "h long, size int, need int, gram long")
     a, b = (prefix.select("gram", F.col("h").alias(f"h{x}"), F.col("size").alias(f"n{x}"), F.col("need").alias(f"need{x}")) for x in "ab")
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
     met = a.join(b, "gram").where((F.col("ha") < F.col("hb")) & fits).groupBy("ha", "hb").agg(F.count("*").alias("c"), F.min(F.least("needa", "needb")).alias("need"))
@@ -65,7 +99,7 @@ def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int
     both = both.mapInArrow(_shared_counts, "ha long, hb long, shared int, either int")
     close = both.where(F.col("shared") * 100 >= F.col("either") * percent).select("ha", "hb", "shared", "either")
     keys = base.select("h", "key").distinct()
-    sizes = sets.select("h", "size")
+    sizes = sets.select("h", F.size("g").alias("size"))
     twice = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").join(sizes, "h").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.col("size").alias("shared"), F.col("size").alias("either"))
     out = close.unionByName(twice).join(keys.select(F.col("h").alias("ha"), F.col("key").alias("ka")), "ha").join(keys.select(F.col("h").alias("hb"), F.col("key").alias("kb")), "hb")
     out = out.where((F.col("ha") != F.col("hb")) | (F.col("ka") < F.col("kb")))
