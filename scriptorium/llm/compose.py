@@ -121,3 +121,15 @@ def expand(points: np.ndarray, offsets: np.ndarray, edges: np.ndarray, flat: np.
     source = np.repeat(np.arange(len(points)), width)
     out = flat[np.arange(total) - (ends - width)[source] + edges[points[source]]]
     return out, np.concatenate([np.zeros(1, np.int64), ends])[offsets]
+
+
+def table_of(special: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Expansions of all code points as offsets and flat values, from those that do not stand for themselves."""
+    width = np.ones(0x110000, np.int64)
+    keys = np.array(sorted(special), np.int64)
+    width[keys] = [len(special[k]) for k in keys]
+    edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    flat = np.repeat(np.arange(0x110000, dtype=np.uint32), width)
+    for k in keys:
+        flat[edges[k] : edges[k + 1]] = special[k]
+    return edges, flat

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codepoints import _power_table, code_points, gram_hashes, gram_positions, mix64
 from ..session import cut
-from .compose import compose, expand
+from .compose import compose, expand, table_of
 from .spans import representatives
 
 #: Largest filter, in bits: 32 MB.
@@ -38,18 +38,20 @@ _BETWEEN = 0xFFFFF  # a code point of no text, between two regions
 @cache
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compatibility expansions (offsets and values), and the lower-case letter or digit of each code point, 0 if dropped."""
-    flat: list[int] = []
-    edges = np.zeros(0x110001, np.int64)
+    every = np.arange(0x110000, dtype=np.uint32)
+    special: dict[int, list[int]] = {}
     kept = np.zeros(0x110000, np.uint32)
-    for cp in range(0x110000):
-        plain = 0x3400 <= cp < 0xA000 or 0xAC00 <= cp < 0xD7A4 or 0x20000 <= cp < 0x2F800 or cp >= 0x2FA20
+    for cp in (*range(0x3400), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xF900, 0x20000), *range(0x2F800, 0x2FA20)):
         c = chr(cp)
-        flat.extend([cp] if plain or 0xD800 <= cp < 0xE000 else map(ord, unicodedata.normalize("NFKD", c)))
-        edges[cp + 1] = len(flat)
+        form = unicodedata.normalize("NFKD", c)
+        if form != c:
+            special[cp] = list(map(ord, form))
         if c.isalnum():
             low = c.lower()
             kept[cp] = ord(low[0]) if low[0].isalnum() else cp
-    return edges, np.array(flat, np.uint32), kept
+    for lo, hi in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x2F800), (0x30000, 0x323B0)):  # ideographs and syllables are themselves
+        kept[lo:hi] = np.where(np.fromiter((chr(cp).isalnum() for cp in range(lo, hi)), bool, hi - lo), every[lo:hi], 0)
+    return (*table_of(special), kept)
 
 
 def kept_characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +149,14 @@ def _seeds(least: int, name: str):
 
 
 def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bit array in which the slot of each seed is set, built from at most bits / 64 words."""
+    """Words of a bit array in which the slot of each seed is set; at most bits / 64 rows come to the driver."""
     shift = 64 - int(np.log2(bits))
     slots = seeds.select(F.shiftrightunsigned("seed", shift).alias("slot"))
     words = slots.select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     got = words.toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").view(bool)
+    return out.view(np.uint64)
 
 
 def _regions(bitmap, bits: int, least: int):
@@ -168,7 +170,8 @@ def _regions(bitmap, bits: int, least: int):
             points, offsets = kept_characters(b.column("text"))
             starts, rows = gram_positions(offsets, least)
             low = representatives(points, least)[starts] if len(starts) else np.zeros(0, np.uint64)
-            hit = np.flatnonzero(known[(low >> shift).astype(np.int64)])
+            slot = low >> shift
+            hit = np.flatnonzero(known[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
             starts, rows, low = starts[hit], rows[hit], low[hit]
             new = np.ones(len(starts), bool)
             new[1:] = (np.diff(starts) > least) | (np.diff(rows) != 0)

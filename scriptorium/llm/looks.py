@@ -9,7 +9,6 @@ with their letters, all with vector operations and no string call per row.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codepoints import batch, code_points, text_hashes
 from ..session import cut
-from .compose import compose, expand
+from .compose import compose, expand, table_of
 
 # Letters of the same shape, look-alike first, Latin letter second.
 LOOKALIKES = {
@@ -65,15 +64,12 @@ def _expand(cp: int) -> tuple[int, ...]:
 @cache
 def tables() -> tuple[np.ndarray, np.ndarray]:
     """Expansions of all code points: offsets and flat values."""
-    flat: list[int] = []
-    edges = np.zeros(sys.maxunicode + 2, np.int64)
-    for cp in range(sys.maxunicode + 1):
-        if cp < 0x80 or 0x4E00 <= cp < 0xA000 or 0x20000 <= cp < 0x2F800 or 0x30000 <= cp < 0xE0000 or cp >= 0xE0200:
-            flat.append(0x20 if cp == 9 else cp)
-        else:
-            flat.extend(_expand(cp))
-        edges[cp + 1] = len(flat)
-    return edges, np.array(flat, np.uint32)
+    special = {9: [0x20]}
+    for cp in (*range(0x80, 0x4E00), *range(0xA000, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x30000), *range(0xE0000, 0xE0200)):
+        form = _expand(cp)
+        if form != (cp,):
+            special[cp] = list(form)
+    return table_of(special)
 
 
 def one_form(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
