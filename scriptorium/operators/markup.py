@@ -22,6 +22,8 @@ LAYOUT = frozenset("b center div em font i p section small span strong sub sup u
 MARKS = {"b": "strong", "strong": "strong", "i": "emphasis", "em": "emphasis", "u": "underline", "s": "strikethrough", "del": "strikethrough", "sub": "subscript", "sup": "superscript", "code": "code"}
 _HIDDEN = frozenset(("script", "style"))
 ROOT = -1
+#: Columns that one cell reaches over at most, as in browsers.
+MOST_COLUMNS = 1000
 
 
 class Nodes(HTMLParser):
@@ -218,19 +220,20 @@ def table_cells(markup: str) -> list[dict]:
                 rows.append(i)
             elif nodes.tags[i] in ("thead", "tbody", "tfoot"):
                 stack.extend(reversed(kids.get(i, [])))
-        taken: list[tuple[int, int, int]] = []  # (end row, first column, end column) of cells that reach further down
+        free_from: list[int] = []  # for each column the first row in which no earlier cell reaches into it
         for r, tr in enumerate(rows):
-            taken = [x for x in taken if x[0] > r]
             column = 0
             for cell in (i for i in kids.get(tr, []) if nodes.tags[i] in ("td", "th")):
-                while hits := [right for _, left, right in taken if left <= column < right]:
-                    column = max(hits)
+                while column < len(free_from) and free_from[column] > r:
+                    column += 1
                 raw = {k: nodes.attrs[cell].get(k, "1") or "" for k in ("rowspan", "colspan")}
                 problem = next((k for k, v in raw.items() if not v.isdigit()), None)
                 height, width = (int(v) if v.isdigit() else 1 for v in raw.values())
-                width = max(1, width)
+                width = min(max(1, width), MOST_COLUMNS)
                 out.append({"table_no": number, "row": r, "column": column, "header": nodes.tags[cell] == "th", "rowspan": height, "colspan": width, "text": visible_text(nodes, kids.get(cell, [])), "problem": problem})
-                taken.append((len(rows) if height == 0 else r + height, column, column + width))
+                free_from += [0] * (column + width - len(free_from))
+                reach = len(rows) if height == 0 else r + height
+                free_from[column : column + width] = [max(x, reach) for x in free_from[column : column + width]]
                 column += width
     return out
 
