@@ -231,22 +231,87 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     return bm25_fields(docs.where(F.col("text").isNotNull()), queries, {"text": 1.0}, k, k1, b, tokens, population, role)
 
 
-def bm25_channels(docs: DataFrame, queries: DataFrame, fields: dict[str, float], channels: dict[str, tuple[float, object]], k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def _channel_statistics(blocks: dict[str, _TermBlock], physical: list[tuple[str, str]]):
+    """Partial sums of a partition as rows (name, value): for every physical field its document frequencies, rows and lengths."""
+
+    def run(batches):
+        df = {i: np.zeros(len(blocks[c].terms), np.int64) for i, (c, _) in enumerate(physical)}
+        sums = np.zeros((len(physical), 2), np.int64)
+        for b in batches:
+            for i, (c, f) in enumerate(physical):
+                _, term, _, lengths = blocks[c].counts(pc.fill_null(b.column(f"f{i}"), pa.scalar([], b.column(f"f{i}").type)))
+                df[i] += np.bincount(term.astype(np.int64), minlength=len(df[i]))[: len(df[i])]
+                sums[i] += (b.num_rows - b.column(f"f{i}").null_count, lengths.sum())
+        names = [f"t {i} {t}" for i in df for t in np.flatnonzero(df[i])] + [f"{w} {i}" for i in df for w in "nl"]
+        values = [int(df[i][t]) for i in df for t in np.flatnonzero(df[i])] + [int(sums[i][j]) for i in df for j in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(values, pa.int64())], names=["name", "value"])
+
+    return run
+
+
+def _channel_scores(blocks: dict[str, _TermBlock], physical: list[tuple[str, str]], boosts: list[float], averages: list[float], idfs: list[np.ndarray], k: int, k1: float, b: float, step: int = 512):
+    """Scores of all rows of a partition, summed over the physical fields; the k best a query leave the partition."""
+    asked = {c: np.minimum(block.matrix, 1) for c, block in blocks.items()}
+    ids = next(iter(blocks.values())).ids
+
+    def run(batches):
+        best = _Best(ids, k)
+        for batch in batches:
+            keys = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            if not len(keys):
+                continue
+            scores = np.zeros((len(keys), len(ids)))
+            for i, (c, _) in enumerate(physical):
+                row, term, tf, lengths = blocks[c].counts(pc.fill_null(batch.column(f"f{i}"), pa.scalar([], batch.column(f"f{i}").type)))
+                norm = k1 * (1 - b + b * lengths[row] / (averages[i] or 1.0))
+                value = boosts[i] * idfs[i][term] * (tf * (k1 + 1) / (tf + norm)) if len(term) else np.zeros(0)
+                for lo in range(0, len(keys), step):
+                    hi = min(lo + step, len(keys))
+                    s, e = np.searchsorted(row, [lo, hi])
+                    if e > s:
+                        x = np.zeros((hi - lo, len(blocks[c].terms)))
+                        x[row[s:e] - lo, term[s:e]] = value[s:e]
+                        scores[lo:hi] += x @ asked[c]
+            best.offer(keys, np.round(scores, 9), scores > 5e-10)
+        yield best.batch("doc_id")
+
+    return run
+
+
+def bm25_channels(docs: DataFrame, queries: DataFrame, fields: dict[str, float], channels: dict[str, tuple[float, object]], k: int = 10, k1: float = 1.2, b: float = 0.75, block: int = 500) -> DataFrame:
     """Physical fields = fields x analyzers, each with its own statistics; unique query terms, scores added.
 
-    The boost of a physical field is the product of its field's and its analyzer's weight.
+    The boost of a physical field is the product of its field's and its analyzer's weight; rows in which
+    a field is null are no rows of its statistics. A block of questions takes two passes over the
+    documents, as in ``bm25_fields``, whatever the number of physical fields.
     """
+    physical = [(c, f) for c in channels for f in fields]
+    boosts = [channels[c][0] * fields[f] for c, f in physical]
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), *(channels[c][1](F.col(f)).alias(f"f{i}") for i, (c, f) in enumerate(physical)))
     parts = []
-    for channel, (boost, tokens) in channels.items():
-        q = query_terms(queries, tokens).select("query_id", "term")
-        for field, weight in fields.items():
-            d = docs.select("doc_id", F.col(field).alias("text")).where(F.col("text").isNotNull())
-            p = postings(d, tokens, q)
-            dfs = p.groupBy("term").agg(F.count("*").alias("df"))
-            one = q.join(dfs, "term").join(p, "term").crossJoin(F.broadcast(corpus_stats(d, tokens)))
-            parts.append(one.select("query_id", "doc_id", (F.lit(boost * weight) * idf(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("avg_dl"), k1, b)).alias("s")))
-    scored = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score")).where("score > 0")
-    return top_k(scored, k, ["query_id"], "doc_id")
+    held: list = []
+
+    def answer() -> None:
+        blocks = {c: _TermBlock([(r[0], r[1 + j]) for r in held]) for j, c in enumerate(channels)}
+        sums = {r["name"]: r["value"] for r in rows.mapInArrow(_channel_statistics(blocks, physical), "name string, value long").groupBy("name").agg(F.sum("value").alias("value")).collect()}
+        idfs, averages = [], []
+        for i, (c, _) in enumerate(physical):
+            n = sums.get(f"n {i}", 0)
+            df = np.array([sums.get(f"t {i} {t}", 0) for t in range(len(blocks[c].terms))], float)
+            idfs.append(np.where(df > 0, np.log(1 + (n - df + 0.5) / (df + 0.5)), 0.0))
+            averages.append(sums.get(f"l {i}", 0) / n if n else 0.0)
+        parts.append(rows.mapInArrow(_channel_scores(blocks, physical, boosts, averages, idfs, k, k1, b), "query_id long, doc_id long, score double"))
+
+    for r in queries.where(F.col("query_id").isNotNull()).select(F.col("query_id").cast("long"), *(tokens(F.col("text")).alias(c) for c, (_, tokens) in channels.items())).toLocalIterator():
+        held.append(tuple(r))
+        if len(held) == block:
+            answer()
+            held = []
+    if held:
+        answer()
+    if not parts:
+        return docs.sparkSession.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return top_k(reduce(DataFrame.unionByName, parts), k, ["query_id"], "doc_id")
 
 
 def dot(a: Column, b: Column) -> Column:

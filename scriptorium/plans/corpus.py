@@ -13,7 +13,7 @@ from ..functions.unicode import alnum_runs, nfkc_fold
 from ..operators import chunking, dedupe
 from ..session import table
 from .registry import register
-from .search import _BI, D_TOK
+from .search import _BI, D_TOK, WORDS
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -273,10 +273,6 @@ def t21_byte_estimate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.octet_length(head).alias("bytes"))
 
 
-# A dictionary for the segmenter: a parameter of the query.
-WORDS = ("灰狼", "海螺", "灯塔", "祭坛", "风车", "经文", "纸鸢", "罗盘", "商队", "石碑", "药铺", "冰湖", "马车", "使团", "山猫")
-
-
 @register("t5_words", rf"SELECT DISTINCT id, array_to_string(regexp_extract_all(lower(question), '({"|".join(WORDS)}|[a-z0-9]+|[\x{{3400}}-\x{{9fff}}])'), ' ') AS words FROM turns WHERE question IS NOT NULL")
 def t5_words(spark: SparkSession, d: str) -> DataFrame:
     """Words by a dictionary, the longest first, single characters elsewhere; marks and blanks are no words."""
