@@ -217,14 +217,14 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: int = 40, least_cover
     share of the item's characters under tiles; pairs below ``least_coverage`` are left out. Passages
     of fewer than ``least`` characters are no leak. The order and the batches of the rows don't
     matter. ``filter_bits`` (a power of two, at least 64) sets the size of the filter, which else has
-    32 bits a seed up to FILTER_BITS; no size changes the result.
+    1,024 bits a seed up to FILTER_BITS; no size changes the result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
     seeds = cut(items.mapInArrow(_seeds(least, "item_id"), "item_id long, seed long"))
     if filter_bits is None:
-        filter_bits = 1 << max(16, min(int(np.log2(FILTER_BITS)), int(np.ceil(np.log2(32 * max(seeds.count(), 1))))))
+        filter_bits = 1 << max(16, min(int(np.log2(FILTER_BITS)), int(np.ceil(np.log2(1024 * max(seeds.count(), 1))))))
     bitmap = spark.sparkContext.broadcast(_filter(seeds, filter_bits))
     regions = cut(docs.mapInArrow(_regions(bitmap, filter_bits, least), "doc_id long, region int, body binary, seeds array<long>"))
     touched = regions.select("doc_id", "region", F.explode("seeds").alias("seed")).join(seeds, "seed").select("doc_id", "region", "item_id").distinct()
