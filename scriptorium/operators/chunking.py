@@ -55,15 +55,16 @@ def split_long(text: str, limit: int, tokens: Tokens | Characters = CHARACTERS)
     return _split(0, len(text), sentence_ends(text), limit, tokens.ruler(text))
 
 
-def pack(text: str, target: int, hard: int, tokens: Tokens | Characters = CHARACTERS) -> list[tuple[int, int]]:
+def pack(text: str, target: int, hard: int, tokens: Tokens | Characters = CHARACTERS, ruler: Ruler | None = None) -> list[tuple[int, int]]:
     """Sentences packed into pieces that close at ``target`` and never pass ``hard`` tokens.
 
     A piece ends before a heading line (unless it is headings only so far) and before a sentence that no
     longer fits; a sentence too long for itself is split. A last piece under a third of the target that
     does not begin with a heading is merged back if it fits. A heading line is a scope of its own text,
-    so that pieces never join what stands before it with what stands after.
+    so that pieces never join what stands before it with what stands after. A ``ruler`` of the text that
+    the caller holds is used instead of ``tokens``.
     """
-    ruler = tokens.ruler(text)
+    ruler = ruler or tokens.ruler(text)
     ends = sentence_ends(text)
     units: list[tuple[int, int]] = []
     start = 0
@@ -174,14 +175,33 @@ def pieces(docs: DataFrame, cut: Callable[[str], list[tuple[int, int]]]) -> Data
 
 
 def chunks(docs: DataFrame, profiles: dict[str, tuple[int, int]] = PROFILES, tokens: Tokens | Characters = CHARACTERS) -> DataFrame:
-    """Two-grain chunks (chunk_id, doc_id, start, end, text, granularities): equal pieces of both grains are one row."""
+    """Chunks of several grains (chunk_id, doc_id, start, end, text, granularities): equal pieces of two grains are one row.
+
+    A text is tokenised once for all grains and its chunks are merged where it lies, so that nothing is
+    shuffled. Null ids and texts and empty texts give none.
+    """
     held = docs.sparkSession.sparkContext.broadcast(tokens)
-    out = None
-    for name, (target, hard) in profiles.items():
-        part = pieces(docs, lambda t, a=target, b=hard: pack(t, a, b, held.value)).withColumn("granularity", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    merged = out.groupBy("doc_id", "start", "end").agg(F.first("text").alias("text"), F.sort_array(F.collect_set("granularity")).alias("granularities"))
-    return merged.select(F.sha2(F.concat_ws("\x1f", "doc_id", "start", "end", "text"), 256).alias("chunk_id"), "doc_id", "start", "end", "text", "granularities")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts, ends, texts, grains = [], [], [], [], []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ruler = held.value.ruler(text)
+                found: dict[tuple[int, int], list[str]] = {}
+                for name, (target, hard) in sorted(profiles.items()):
+                    for span in pack(text, target, hard, ruler=ruler):
+                        found.setdefault(span, []).append(name)
+                for (s, e), names in found.items():
+                    ids.append(doc_id)
+                    starts.append(s)
+                    ends.append(e)
+                    texts.append(text[s:e])
+                    grains.append(names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(texts, pa.string()), pa.array(grains, pa.list_(pa.string()))], names=["doc_id", "start", "end", "text", "granularities"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text <> ''")
+    cut = rows.mapInArrow(run, "doc_id long, start int, end int, text string, granularities array<string>")
+    return cut.select(F.sha2(F.concat_ws("\x1f", "doc_id", "start", "end", "text"), 256).alias("chunk_id"), "doc_id", "start", "end", "text", "granularities")
 
 
 def fold_aliases(rows: DataFrame, key: str, label: str, text: str) -> DataFrame:
