@@ -120,8 +120,13 @@ def near_duplicate_units(units: DataFrame, threshold_percent: int = 80, gram: in
 
 
 def near_duplicate_classes(units: DataFrame, threshold_percent: int = 80, gram: int = 3, least_chars: int = 30) -> DataFrame:
-    """One row (unit_id, class_id, links) per unit: the exact-copy class and its links to other classes."""
+    """One row (unit_id, class_id, links) per unit: its class of exact copies, named by the smallest unit_id, and the class's links to other classes.
+
+    ``units``: unit_id, text. Null ids and texts take no part; texts under ``least_chars`` have no links.
+    """
     rows = units.select("unit_id", "text").where(F.col("unit_id").isNotNull() & F.col("text").isNotNull()).withColumn("rid", F.xxhash64("text"))
-    near = similar_texts(rows.where(F.length("text") >= max(least_chars, gram)), threshold_percent, gram)
+    members = cut(rows.select("unit_id", "rid").distinct())
+    near = similar_texts(rows.where(F.length("text") >= max(least_chars, gram)), threshold_percent, gram, members.count())
     links = near.select(F.explode(F.array("rid_a", "rid_b")).alias("rid")).groupBy("rid").agg(F.count("*").alias("links"))
-    return rows.select("unit_id", "rid").distinct().join(links, "rid", "left").select("unit_id", F.col("rid").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    classes = members.groupBy("rid").agg(F.min("unit_id").alias("class_id")).join(links, "rid", "left")
+    return members.join(classes, "rid").select("unit_id", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"))

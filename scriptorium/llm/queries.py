@@ -98,7 +98,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_units(units(spark, d))
 
 
-@_register("p6_classes")
+@_register("p6_classes", f"WITH {_SETS}, al AS (SELECT DISTINCT unit_id, retrieval_visible_text AS t FROM p05_story_rus WHERE unit_id IS NOT NULL AND retrieval_visible_text IS NOT NULL), li AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM nr UNION ALL SELECT b FROM nr) GROUP BY id) SELECT al.unit_id, min(al.unit_id) OVER (PARTITION BY al.t) AS class_id, coalesce(li.n, 0) AS links FROM al LEFT JOIN dt ON dt.t = al.t LEFT JOIN li ON li.id = dt.id")
 def p6_classes(spark: SparkSession, d: str) -> DataFrame:
     from .neardup import near_duplicate_classes
 
