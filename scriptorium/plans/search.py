@@ -270,7 +270,16 @@ def f15_nested_quota(spark: SparkSession, d: str) -> DataFrame:
     return fusion.nested_quota(rows, "source", "record_key", "doc_id", 2, {"wiki_page": 16, "book_text": 8, "qa_log": 12, "notice": 12})
 
 
-@register("f14_disjoint_selection")
+_DISJOINT = """WITH RECURSIVE p AS (SELECT doc_id, lang, lead(doc_id) OVER (PARTITION BY record_key ORDER BY doc_id) AS other FROM documents), r AS (SELECT lang, doc_id || '-' || other AS pair, doc_id AS a, other AS b FROM p WHERE other IS NOT NULL AND lang IS NOT NULL),
+    n AS (SELECT *, row_number() OVER (ORDER BY lang, h, pair) AS i, row_number() OVER (PARTITION BY lang ORDER BY h, pair) AS place FROM (SELECT *, sha256('round-1:' || lang || ':' || pair) AS h FROM r)),
+    w(i, lang, taken, used, word) AS (SELECT 0::BIGINT, '', 0, CAST([] AS BIGINT[]), '' UNION ALL SELECT n.i, n.lang,
+      CASE WHEN w.lang = n.lang THEN w.taken ELSE 0 END + CASE WHEN (w.lang <> n.lang OR w.taken < 3) AND NOT list_has_any(w.used, [n.a, n.b]) THEN 1 ELSE 0 END,
+      CASE WHEN (w.lang <> n.lang OR w.taken < 3) AND NOT list_has_any(w.used, [n.a, n.b]) THEN list_concat(w.used, [n.a, n.b]) ELSE w.used END,
+      CASE WHEN w.lang = n.lang AND w.taken >= 3 THEN 'quota full' WHEN list_has_any(w.used, [n.a, n.b]) THEN 'source used' ELSE 'selected' END FROM w JOIN n ON n.i = w.i + 1)
+    SELECT n.lang, n.pair, CAST(n.place AS INTEGER) AS place, w.word AS disposition FROM n JOIN w USING (i)"""
+
+
+@register("f14_disjoint_selection", _DISJOINT)
 def f14_disjoint_selection(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents of one record with neighbouring ids, chosen by hash so that no document is used twice."""
     from pyspark.sql.window import Window

@@ -38,3 +38,26 @@ def test_stream_equals_batch(spark, tmp_path):
     built = spark.read.parquet(str(tmp_path / "out"))
     want = events.windowed_counts(spark.read.parquet(src), "ts", "kind").collect()
     assert sorted(map(tuple, events.windowed_counts(built.drop("batch"), "ts", "kind").collect())) == sorted(map(tuple, want)) and built.count() == 60
+
+
+def test_folded_stream_equals_batch(spark, tmp_path):
+    import random
+
+    from scriptorium.streaming import folds
+
+    rng = random.Random(2)
+    rows = [(f"t{rng.randint(0, 5)}", rng.randint(0, 9), None) for _ in range(80)]
+    rows = [(k, n, f"s{n % 3}") for k, n, _ in rows] + [(None, 1, "x"), ("t1", None, "x")]
+    src = str(tmp_path / "in")
+    df = spark.createDataFrame(rows, "key string, event_no int, status string")
+    df.repartition(5).write.parquet(src)
+    stream = spark.readStream.schema("key string, event_no int, status string").option("maxFilesPerTrigger", 2).parquet(src)
+    seen = {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            seen[r.key] = tuple(r)
+
+    q = folds.latest_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert set(seen.values()) == {tuple(r) for r in folds.latest_states_batch(df).collect()} and len(seen) > 3
