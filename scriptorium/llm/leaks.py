@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.codepoints import _power_table, code_points, gram_hashes, gram_positions, mix64
+from ..functions.codepoints import _power_table, code_points, gram_positions, mix64
 from ..session import cut
 from .compose import compose, expand, table_of
 from .spans import representatives

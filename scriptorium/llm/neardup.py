@@ -13,7 +13,6 @@ become rows, the pairs are deduplicated, and each pair is verified on the whole
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

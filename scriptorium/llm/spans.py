@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.codepoints import code_points, gram_hashes, gram_positions, span_hashes
 from ..functions.lines import numbered_lines
