@@ -10,7 +10,6 @@ from ..functions import text as T
 from ..operators import intervals, search
 from ..session import table
 from .registry import register
-from .ranges import quote_ranges
 from .search import _DENSE, _TWO, two_lists
 
 _QUOTES = "q AS (SELECT DISTINCT evidence_id, unit_id, canonical_sha256, ru_start, ru_end, text, kind, section FROM (SELECT unnest(quotes, recursive := true) FROM card_semantic_cases))"

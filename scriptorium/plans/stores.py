@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import assembly, chunking, fusion, markup, shapes
+from ..operators import assembly, fusion, markup
 from ..sources import sealed
 from ..session import table
 from .registry import register
 from .corpus import greedy_sql
 from .links import _QUOTES, quotes
-from .nested import _DETAIL
 from .search import _TWO, two_lists
 from .views import _UNITS, units
 
