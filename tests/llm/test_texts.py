@@ -221,11 +221,15 @@ def test_blocked_marks_and_syllables_in_pairs(spark):
 
 
 def test_rows_of_a_batch_do_not_change_each_other(spark):
-    """Leaks, looks and spans of permuted and differently batched rows are the same."""
+    """Leaks, looks, spans, near-duplicates and personal data of permuted and differently batched rows are the same."""
+    from scriptorium.llm import personal
+
+    model = personal.trained(300)
     rng = random.Random(10)
     item = "The \ufb01nal of\ufb01ce report about the harbor lantern weighs 10\u338f and one \u00bd of it is gone"
     docs = [(1, "see: " + item.lower() + " end"), (2, "Caf" + "e\u0301 " + words(rng, 200)), (3, "the final office report about the harbor lantern weighs 10kg"), (4, "")]
-    docs += [(i, words(rng, 150)) for i in range(10, 60)]
+    docs += [(i, words(rng, 150) + " 电话：13900001234") for i in range(10, 40)]
+    docs += [(i + 100, t[:-2] + "丁") for i, t in docs[-15:]]
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     seen = set()
     for seed, size in ((0, 1), (1, 10_000), (2, 7)):
@@ -233,7 +237,10 @@ def test_rows_of_a_batch_do_not_change_each_other(spark):
         random.Random(seed).shuffle(docs)
         d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
         records = d.selectExpr("'o' as origin", "cast(doc_id as string) as item_key", "text")
-        found = [sorted(map(tuple, x.collect())) for x in (leaks.leaked_items(d, items), looks.to_one_form(records), spans.shared_spans(records))]
+        units = d.selectExpr("cast(doc_id as string) as unit_id", "cast(doc_id % 7 as string) as record_id", "text")
+        tables = (leaks.leaked_items(d, items), looks.to_one_form(records), spans.shared_spans(records), neardup.near_duplicate_units(units), personal.personal_spans(d, model))
+        found = [sorted(map(tuple, x.collect())) for x in tables]
+        assert all(found)
         seen.add(repr(found))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert len(seen) == 1 and "(1, 7" in seen.pop()
