@@ -12,8 +12,6 @@ from ..functions import text as T
 from ..functions.grams import with_gram_sets
 from ..functions.codepoints import code_points, gram_hashes, gram_positions
 
-#: Shared grams among the rarest that make a candidate.
-DEPTH = 32
 _BLANKS = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
 
@@ -24,50 +22,247 @@ def exact_groups(rows: DataFrame, key: str, norm: Column) -> DataFrame:
     return h.join(g, "h").select("key", "survivor", "copies").distinct()
 
 
-def _shared_counts(batches):
-    """Sizes of intersection and union of two sorted lists of numbers a row, a whole batch at a time."""
+#: Characters that are worked on at once, at some 100 bytes each.
+CHARS = 1 << 20
+
+
+def _pieces(batches, *texts: str):
+    """Batches cut into stretches of rows of at most CHARS characters, or one row."""
     for b in batches:
-        la, lb = b.column("ga"), b.column("gb")
-        na, nb = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (la, lb))
-        row = np.concatenate([np.repeat(np.arange(b.num_rows), na), np.repeat(np.arange(b.num_rows), nb)])
-        gram = np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (la, lb)])
-        order = np.lexsort((gram, row))
-        row, gram = row[order], gram[order]
-        same = (row[1:] == row[:-1]) & (gram[1:] == gram[:-1])
-        shared = np.bincount(row[1:][same], minlength=b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column("ha"), b.column("hb"), pa.array(shared, pa.int32()), pa.array(na + nb - shared, pa.int32())], names=["ha", "hb", "shared", "either"])
+        ends = np.cumsum(sum(pc.fill_null(pc.utf8_length(b.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+        i = 0
+        while i < b.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHARS, "right")))
+            yield b.slice(i, j - i)
+            i = j
+
+
+def _compared(n: int):
+    """Sizes of intersection and union of the n-gram sets of two texts a row, a whole batch at a time."""
+
+    def run(batches):
+        for b in _pieces(batches, "ta", "tb"):
+            rows, grams = [], []
+            for c in ("ta", "tb"):
+                points, offsets = code_points(b.column(c))
+                at, row = gram_positions(offsets, n)
+                rows.append(row)
+                grams.append(gram_hashes(points, n)[at] if len(at) else np.zeros(0, np.uint64))
+            side = np.repeat(np.arange(2), [len(x) for x in rows])
+            row, gram = np.concatenate(rows), np.concatenate(grams)
+            order = np.lexsort((side, gram, row))
+            row, gram, side = row[order], gram[order], side[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+            either = np.bincount(row[new], minlength=b.num_rows)
+            shared = np.bincount(row[1:][~new[1:] & (side[1:] != side[:-1])], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("ha"), b.column("hb"), pa.array(shared, pa.int32()), pa.array(either, pa.int32())], names=["ha", "hb", "shared", "either"])
+
+    return run
+
+
+#: Counters of the frequency sketch that orders the grams: 2 MB sent, whatever the number of texts; they are summed in so many blocks.
+SKETCH, BLOCKS = 1 << 20, 64
+#: Grams a counter of a set's own sketch, which bounds what two sets can share; the least number of counters; a counter of 255 stands for more.
+CELL, CELLS, FULL = 4, 128, 255
+#: Grams that a task's index holds, 16 bytes each, and increments and counters of a step of the counting.
+INDEXED, STEP = 12_000_000, 1_500_000
+
+
+def _gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of each text of a batch: (row, hash), by row and hash; the last bits of a hash make room for the row."""
+    points, offsets = code_points(column)
+    at, row = gram_positions(offsets, n)
+    grams = gram_hashes(points, n)[at] if len(at) else np.zeros(0, np.uint64)
+    bits = np.uint64(max(1, len(column).bit_length()))
+    both = np.sort(row.astype(np.uint64) << np.uint64(64) - bits | grams >> bits)
+    both = both[np.concatenate([np.ones(1, bool), both[1:] != both[:-1]])] if len(both) else both
+    return (both >> np.uint64(64) - bits).astype(np.int64), both << bits
+
+
+def _shares(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sets of these sizes: what they share at least with a similar set that is not smaller, what with any similar set, and the depth."""
+    either, larger = -(-size * percent // 100), -(-2 * size * percent // (100 + percent))
+    return larger, either, np.minimum(either, 2 + size // 48)
+
+
+def _span(percent: int) -> float:
+    return 3 * np.log(100 / min(percent, 80))
+
+
+def _cells(k: int, percent: int) -> int:
+    """Counters of a set's sketch in a task of class k: the power of two that suits the class's middle."""
+    return max(CELLS, 1 << int(np.exp(_span(percent) * (k + 0.5)) / CELL).bit_length())
 
 
-#: Counters of the frequency sketch that orders the grams: 8 MB, whatever the number of texts.
-SKETCH = 1 << 20
+def _groups(indexed: np.ndarray, percent: int) -> list[int]:
+    """Tasks of each class: so many that an index stays small, and more for the cores, above all if its sets are so short that sending them again costs little."""
+    most = [8 if np.exp(_span(percent) * (k + 1)) <= 100 else 2 for k in range(len(indexed))]
+    return [max(-(-int(x) // INDEXED), min(m, -(-int(x) // 50_000))) for x, m in zip(indexed, most)]
 
 
-def _bucket_counts(batches):
-    """Numbers of grams a bucket in a partition."""
-    total = np.zeros(SKETCH, np.int64)
+def _classes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each size, and the least class of a similar set that is not larger. A class spans three steps of the similarity, so that most sets have one class to look in."""
+    of = lambda x: (np.log(np.maximum(x, 1)) / _span(percent)).astype(np.int64)
+    return of(size), of(-(-size * percent // 100))
+
+
+def _sketched(n: int, percent: int):
+    """A partition's numbers of grams a bucket in eighths of powers of two, which travel as a byte each, and of indexed grams a class."""
+
+    def run(batches):
+        total, most = np.zeros(SKETCH, np.int64), np.zeros(64, np.int64)
+        for b in _pieces(batches, "t"):
+            row, grams = _gram_sets(b.column("t"), n)
+            total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
+            size = np.bincount(row, minlength=b.num_rows)
+            larger, _, depth = _shares(size, percent)
+            most += np.bincount(np.minimum(_classes(size, percent)[0], 63), size - larger + depth, minlength=64).astype(np.int64)
+        parts = np.minimum(np.rint(8 * np.log2(1.0 + total)), 255).astype(np.uint8).reshape(BLOCKS, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array([*(x.tobytes() for x in parts), most.tobytes()], pa.binary())], names=["block", "counts"])
+
+    return run
+
+
+def _summed(batches):
+    total: dict[int, np.ndarray] = {}
     for b in batches:
-        grams = b.column("g").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        total += np.bincount((grams >> np.uint64(44)).astype(np.int64), minlength=SKETCH)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["bucket", "n"])
+        for k, x in zip(b.column("block").to_pylist(), b.column("counts").to_pylist()):
+            part = np.frombuffer(x, np.int64) if k == BLOCKS else np.exp2(np.frombuffer(x, np.uint8) / 8) - 1
+            total[k] = total[k] + part if k in total else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.int64 if k == BLOCKS else np.float32).tobytes() for k, x in total.items()], pa.binary())], names=["block", "counts"])
 
 
-def _prefixes(counts, percent: int):
-    """The rarest grams of each set, by the sketch and then by the gram: rows (h, size, need, gram)."""
+def _signatures(counts, groups: list[int], n: int, percent: int):
+    """Rows (task, probe, h, size, grams, cells): every set goes to one task's index with its rarest grams, and as a probe to all that index sets it may be similar to.
+
+    Grams are ordered by the sketch and then by themselves; they travel as 32 bits, which can only add meetings.
+    """
+    firsts = np.concatenate([np.zeros(1, np.int64), np.cumsum(groups)])
 
     def run(batches):
-        for b in batches:
-            lists = b.column("g")
-            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            grams = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), size)
-            often = counts.value[(grams.view(np.uint64) >> np.uint64(44)).astype(np.int64)]
-            order = np.lexsort((grams, often, row))
-            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            overlap = -(-size * percent // 100)
-            need = np.minimum(overlap, DEPTH)
-            keep = order[place < np.repeat(size - overlap + need, size)]
-            yield pa.RecordBatch.from_arrays([b.column("h").take(pa.array(row[keep])), pa.array(size[row[keep]], pa.int32()), pa.array(need[row[keep]], pa.int32()), pa.array(grams[keep])], names=["h", "size", "need", "gram"])
+        known: set[int] = set()
+        for b in _pieces(batches, "t"):
+            names = b.column("h").to_pylist()
+            fresh = [i for i, h in enumerate(names) if h not in known and not known.add(h)]
+            if not fresh:
+                continue
+            b = b.take(pa.array(fresh))
+            h = b.column("h").to_numpy(zero_copy_only=False)
+            row, grams = _gram_sets(b.column("t"), n)
+            size = np.bincount(row, minlength=len(h))
+            starts = np.cumsum(size) - size
+            often = counts.value[(grams >> np.uint64(44)).astype(np.int64)].astype(np.uint64)
+            low = np.sort(row.astype(np.uint64) << np.uint64(42) | often << np.uint64(32) | grams >> np.uint64(32)).astype(np.uint32)
+            cell_of = ((grams >> np.uint64(24)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+            larger, either, depth = _shares(size, percent)
+            own, least = (np.minimum(x, len(groups) - 1) for x in _classes(size, percent))
+            out = []
+            for i in range(len(h)):
+                at, end = starts[i], starts[i] + size[i]
+                cells = {k: np.minimum(np.bincount(cell_of[at:end] % _cells(k, percent), minlength=_cells(k, percent)), FULL).astype(np.uint8).tobytes() for k in range(least[i], own[i] + 1)}
+                place = int(firsts[own[i]] + int(h[i]) % groups[own[i]])
+                out.append((place, 0, i, low[at : at + size[i] - larger[i] + depth[i]].tobytes(), cells[own[i]]))
+                probe = low[at : at + size[i] - either[i] + depth[i]].tobytes()
+                out += [(int(t), 1, i, probe, cells[k]) for k in range(least[i], own[i] + 1) for t in range(firsts[k], firsts[k + 1])]
+            at = np.array([x[2] for x in out], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array(h[at]), pa.array(size[at], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary())], names=["task", "probe", "h", "size", "grams", "cells"])
+
+    return run
+
+
+def _joined(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _first_of_each(h: np.ndarray) -> np.ndarray:
+    return np.sort(np.unique(h, return_index=True)[1])
+
+
+class _Index:
+    """Indexed sets of a task, and the probes that may be similar to one of them."""
+
+    def __init__(self, batches: list[pa.RecordBatch], percent: int):
+        t = pa.Table.from_batches(batches)
+        t = t.take(pa.array(_first_of_each(t.column("h").to_numpy()))).combine_chunks()
+        self.h, self.size = t.column("h").to_numpy(), t.column("size").to_numpy().astype(np.int64)
+        self.cells = np.concatenate([_joined(c, np.uint8) for c in t.column("cells").chunks]).reshape(len(self.h), -1)
+        self.depth, self.percent = _shares(self.size, percent)[2], percent
+        lengths = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in t.column("grams").chunks]).astype(np.int64) // 4
+        grams = np.concatenate([_joined(c, np.uint32) for c in t.column("grams").chunks])
+        self.shift = np.uint32(32 - min(24, max(12, len(grams).bit_length() + 1)))
+        bucket = grams >> self.shift
+        self.owners = np.repeat(np.arange(len(self.h), dtype=np.int32), lengths)[np.argsort(bucket, kind="stable")]
+        self.edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(bucket, minlength=1 << 32 - int(self.shift)))])
+
+    def met(self, b: pa.RecordBatch):
+        """Pairs (ha, hb) that share enough of their rarest grams and, by their cells, may share enough of all."""
+        b = b.take(pa.array(_first_of_each(b.column("h").to_numpy(zero_copy_only=False))))
+        h, size = b.column("h").to_numpy(zero_copy_only=False), b.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        cells, depth = _joined(b.column("cells"), np.uint8).reshape(len(h), -1), _shares(size, self.percent)[2]
+        lengths = pc.binary_length(b.column("grams")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
+        bucket = _joined(b.column("grams"), np.uint32) >> self.shift
+        start, many = self.edges[bucket], self.edges[bucket.astype(np.int64) + 1] - self.edges[bucket]
+        ends = np.cumsum(lengths)
+        work = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])[ends]  # increments up to each probe
+        n, least, i = len(self.h), min(self.depth.min(), depth.min()), 0
+        while i < len(h):
+            done = work[i - 1] if i else 0
+            j = max(i + 1, min(i + STEP // n, int(np.searchsorted(work, done + STEP, "right"))))
+            lo, hi = ends[i] - lengths[i], ends[j - 1]
+            m = many[lo:hi]
+            at = np.arange(m.sum()) + np.repeat(start[lo:hi] - np.cumsum(m) + m, m)
+            cell = self.owners[at] + np.repeat(np.repeat(np.arange(j - i), lengths[i:j]) * n, m)
+            count = np.bincount(cell, minlength=(j - i) * n)
+            hit = np.flatnonzero(count >= least)
+            count, y, x = count[hit], i + hit // n, hit % n
+            nx, ny = self.size[x], size[y]
+            ok = (count >= np.minimum(self.depth[x], depth[y])) & (nx * 100 >= ny * self.percent) & ((nx < ny) | ((nx == ny) & (self.h[x] < h[y])))
+            yield from self._bounded(x[ok], y[ok], h, size, cells)
+            i = j
+
+    def _bounded(self, x, y, h, size, cells):
+        step = max(1, (1 << 23) // self.cells.shape[1])
+        for k in range(0, len(x), step):
+            a, c = x[k : k + step], y[k : k + step]
+            least = np.minimum(self.cells[a], cells[c])
+            bound = least.sum(1, dtype=np.int64)
+            close = (bound * 100 >= (self.size[a] + size[c] - bound) * self.percent) | (least == FULL).any(1)
+            yield self.h[a[close]], h[c[close]]
+
+
+def _meetings(percent: int):
+    """Rows (ha, hb, n) of a task's candidates, and (h, h, size) of each indexed set; tasks come one after another, the index first."""
+
+    def pairs(a, b, n):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["ha", "hb", "n"])
+
+    def run(batches):
+        now, held, index = None, [], None
+        for whole in batches:
+            tasks = whole.column("task").to_numpy(zero_copy_only=False)
+            probes = whole.column("probe").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((tasks[1:] != tasks[:-1]) | (probes[1:] != probes[:-1])) + 1), whole.num_rows] if whole.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                b = whole.slice(lo, hi - lo)
+                if tasks[lo] != now:
+                    if held:
+                        index = _Index(held, percent)
+                        yield pairs(index.h, index.h, index.size)
+                    now, held, index = tasks[lo], [], None
+                if not probes[lo]:
+                    held.append(b)
+                    continue
+                if held:
+                    index = _Index(held, percent)
+                    held = []
+                    yield pairs(index.h, index.h, index.size)
+                for a, c in index.met(b) if index else ():
+                    if len(a):
+                        yield pairs(a, c, np.zeros(len(a), np.int32))
+        if held:
+            index = _Index(held, percent)
+            yield pairs(index.h, index.h, index.size)
 
     return run
 
@@ -75,33 +270,43 @@ def _prefixes(counts, percent: int):
 def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int = 80) -> DataFrame:
     """Pairs (a, b, shared, either) of keys whose n-gram sets have Jaccard similarity of at least ``percent``.
 
-    Exact, by prefix filtering: in one order of all grams, two sets that are similar enough share at
-    least d grams among their first |set| - ceil(percent * |set|) + d, for any d up to the overlap
-    itself; here d is DEPTH, so that sets with a few rare grams in common don't become candidates. Any
-    order will do; rare ones come first by a sketch of their frequencies, of fixed size. Only those
-    grams travel; lengths and a whole-number test on the full sets decide. Grams are 64-bit hashes (a
-    set of a thousand grams loses one to a collision with probability 3e-14). Equal texts are compared
-    once and their keys attached at the end.
+    Exact, by prefix filtering: in one order of all grams, two sets that share s grams or more share
+    at least d among the first |set| - s + d of either, for any d up to s; d grows with the sets, so that
+    large ones with a few rare grams in common don't become candidates. Any order will do; rare ones
+    come first by a sketch of their frequencies, of fixed size. Sets meet in tasks of alike sizes, where
+    the smaller is indexed and the other looks it up; meetings are counted in arrays and never become rows.
+    What two sets can share is then bounded by counters of all their grams, and the few pairs left are
+    compared on the whole texts, in whole numbers. Grams are 64-bit hashes there (a set of a thousand grams
+    loses one to a collision with probability 3e-14) and 50 bits or more before it (1e-9 at most). Equal texts are compared once and their keys
+    attached at the end.
     """
-    base = rows.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.length(text) >= n).withColumn("h", F.xxhash64("t"))
-    sets = with_gram_sets(base.groupBy("h").agg(F.first("t").alias("t")), "t", n)
-    counted = sets.mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    sketch = np.zeros(SKETCH, np.int64)
-    sketch[counted["bucket"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
-    counts = rows.sparkSession.sparkContext.broadcast(sketch)
-    prefix = sets.mapInArrow(_prefixes(counts, percent), "h long, size int, need int, gram long")
-    a, b = (prefix.select("gram", F.col("h").alias(f"h{x}"), F.col("size").alias(f"n{x}"), F.col("need").alias(f"need{x}")) for x in "ab")
-    fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
-    met = a.join(b, "gram").where((F.col("ha") < F.col("hb")) & fits).groupBy("ha", "hb").agg(F.count("*").alias("c"), F.min(F.least("needa", "needb")).alias("need"))
-    cand = met.where("c >= need").select("ha", "hb")
-    both = cand.join(sets.select(F.col("h").alias("ha"), F.col("g").alias("ga")), "ha").join(sets.select(F.col("h").alias("hb"), F.col("g").alias("gb")), "hb")
-    both = both.mapInArrow(_shared_counts, "ha long, hb long, shared int, either int")
+    from ..session import cut, shuffle_partitions
+
+    spark = rows.sparkSession
+    base = rows.select(F.col(key).alias("key"), F.col(text).alias("t")).where(F.col("key").isNotNull() & (F.length("t") >= n)).withColumn("h", F.xxhash64("t"))
+    sent = base.select("t").mapInArrow(_sketched(n, percent), "block int, counts binary").repartition(shuffle_partitions(spark), "block")
+    blocks = {r.block: bytes(r.counts) for r in sent.mapInArrow(_summed, "block int, counts binary").collect()}
+    sketch = np.zeros(SKETCH, np.float32)  # its values become levels of a sixteenth of a power of two, below 2^10
+    for k, x in blocks.items():
+        if k < BLOCKS:
+            sketch[k * (SKETCH // BLOCKS) : (k + 1) * (SKETCH // BLOCKS)] = np.frombuffer(x, np.float32)
+    most = np.frombuffer(blocks[BLOCKS], np.int64) if BLOCKS in blocks else np.zeros(64, np.int64)
+    groups = _groups(most, percent)
+    signed = base.select("h", "t").mapInArrow(_signatures(spark.sparkContext.broadcast(np.minimum(np.rint(16 * np.log2(1 + sketch)), 1023).astype(np.uint16)), groups, n, percent), "task int, probe int, h long, size int, grams binary, cells binary")
+    parts = max(shuffle_partitions(spark), sum(groups))
+    met = cut(signed.repartitionById(parts, F.col("task")).sortWithinPartitions("task", "probe").mapInArrow(_meetings(percent), "ha long, hb long, n int"))
+    cand = met.where("ha <> hb").select("ha", "hb").distinct()
+    cand = cut(cand)
+    wanted = cand.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
+    texts = cut(base.select("h", "t").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
+    side = lambda x: texts.select(F.col("h").alias(f"h{x}"), F.col("t").alias(f"t{x}"))
+    both = cand.join(side("a"), "ha").join(side("b"), "hb").mapInArrow(_compared(n), "ha long, hb long, shared int, either int")
     close = both.where(F.col("shared") * 100 >= F.col("either") * percent).select("ha", "hb", "shared", "either")
     keys = base.select("h", "key").distinct()
-    sizes = sets.select("h", F.size("g").alias("size"))
+    sizes = met.where("ha = hb").select(F.col("ha").alias("h"), F.col("n").alias("size")).distinct()
     twice = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").join(sizes, "h").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.col("size").alias("shared"), F.col("size").alias("either"))
     out = close.unionByName(twice).join(keys.select(F.col("h").alias("ha"), F.col("key").alias("ka")), "ha").join(keys.select(F.col("h").alias("hb"), F.col("key").alias("kb")), "hb")
-    out = out.where((F.col("ha") != F.col("hb")) | (F.col("ka") < F.col("kb")))
+    out = out.where(((F.col("ha") != F.col("hb")) & (F.col("ka") != F.col("kb"))) | (F.col("ka") < F.col("kb")))
     return out.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "shared", "either")
 
 
@@ -118,19 +323,22 @@ def visible_aliases(rows: DataFrame, key: str, same: list[str], kind: str) -> Da
 def greedy_survivors(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, kept) where keys are taken in order and one is rejected if a kept neighbour comes before it.
 
-    ``keys``: key; ``pairs``: a, b with a < b. Solved in rounds on tables until every key is decided: a key
-    is kept once all its smaller neighbours are rejected, rejected once one is kept. The least undecided
-    key of every component is decided in each round, so that a chain of r steps takes r rounds.
+    ``keys``: key; ``pairs``: a, b with a < b. The pairs are made once and solved in rounds: keys without a
+    smaller neighbour are kept, their neighbours rejected, and only pairs of undecided keys stay for the next
+    round. The least undecided key of every component is decided in each round, so that a chain of r
+    steps takes r rounds.
     """
     from ..session import cut
 
-    state = cut(keys.select("key").distinct().join(pairs.select(F.col("b").alias("key")).distinct().withColumn("x", F.lit(1)), "key", "left").select("key", F.when(F.col("x").isNull(), True).alias("kept")))
-    while not state.where("kept is null").isEmpty():
-        before = pairs.join(state.withColumnRenamed("key", "a").withColumnRenamed("kept", "a_kept"), "a")
-        now = before.groupBy(F.col("b").alias("key")).agg(F.bool_or(F.coalesce("a_kept", F.lit(False))).alias("hit"), F.bool_and(F.col("a_kept").isNotNull()).alias("all_known"))
-        word = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("hit"), False).when(F.col("all_known"), True)
-        state = cut(state.join(now, "key", "left").select("key", word.alias("kept")))
-    return state
+    left = pairs = cut(pairs.select("a", "b"))
+    out = pairs.select(F.col("b").alias("key")).limit(0)
+    while not left.isEmpty():
+        roots = left.select("a").join(left.select(F.col("b").alias("a")), "a", "left_anti").distinct()
+        lost = cut(left.join(roots, "a", "left_semi").select(F.col("b").alias("key")).distinct())
+        out = out.unionByName(lost)
+        left = left.join(lost.withColumnRenamed("key", "b"), "b", "left_anti").join(lost.withColumnRenamed("key", "a"), "a", "left_anti")
+        left = cut(left.join(roots, "a", "left_anti").select("a", "b"))
+    return keys.select("key").distinct().join(out.withColumn("x", F.lit(True)), "key", "left").select("key", F.col("x").isNull().alias("kept"))
 
 
 def _window_hashes(key: str, window: int):

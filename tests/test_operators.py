@@ -172,6 +172,25 @@ def test_similar_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in got.collect()} == true
 
 
+def _shuffled(spark, make) -> tuple[list, int]:
+    """Rows of a query and the bytes it wrote to shuffles."""
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    before = written()
+    rows = make().collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return rows, written() - before
+
+
+def test_similar_long_texts_cost_few_shuffled_bytes(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(600)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t[:-20]) for i, t in enumerate(texts[:20])]
+    got, sent = _shuffled(spark, lambda: dedupe.similar_pairs(spark.createDataFrame(rows, "id int, text string").repartition(4), "id", "text", 3, 80))
+    assert {(r.a, r.b) for r in got} == {(i, 1000 + i) for i in range(20)}
+    assert sent < 10 * sum(len(t) for _, t in rows)
+
+
 def test_admission_goes_on_after_a_miss(spark):
     c = spark.createDataFrame([(1, "a", 1, 50), (1, "b", 2, 60), (1, "c", 3, 40), (1, "d", 4, 500)], "query_id int, key string, rank int, size long")
     got = {r.key: r.reason for r in assembly.admit(c, total=100, each=200).collect()}
