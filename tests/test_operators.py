@@ -159,6 +159,21 @@ def test_survivors_follow_the_order(spark):
     assert got == {"a", "c", "e", "f"}
 
 
+def test_survivors_make_the_pairs_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    chain = [(k, k + 1) for k in range(12)]
+    pairs = spark.createDataFrame(chain, "a int, b int").mapInArrow(seen, "a int, b int")
+    got = {r.key for r in dedupe.greedy_survivors(spark.range(13).selectExpr("int(id) key"), pairs).where("kept").collect()}
+    assert got == set(range(0, 13, 2))
+    assert made.value <= 2 * len(chain)  # a checkpoint may make them twice
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
@@ -183,7 +198,7 @@ def _shuffled(spark, make) -> tuple[list, int]:
 
 def test_similar_long_texts_cost_few_shuffled_bytes(spark):
     rng = random.Random(9)
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(3000)]
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(200)]
     texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(600)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t[:-20]) for i, t in enumerate(texts[:20])]
     got, sent = _shuffled(spark, lambda: dedupe.similar_pairs(spark.createDataFrame(rows, "id int, text string").repartition(4), "id", "text", 3, 80))
