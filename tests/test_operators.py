@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -159,6 +161,12 @@ def test_survivors_follow_the_order(spark):
     assert got == {"a", "c", "e", "f"}
 
 
+def test_short_sets_index_few_grams():
+    larger, either, depth = dedupe._shares(np.arange(1, 80), 50)
+    assert (depth >= 1).all() and (depth <= either).all() and (either <= larger).all()
+    assert 26 - larger[25] + depth[25] <= 13 and 26 - either[25] + depth[25] <= 16
+
+
 def test_survivors_make_the_pairs_once(spark):
     made = spark.sparkContext.accumulator(0)
 
