@@ -8,8 +8,8 @@ the patterns. The weights are the maximum of the penalised conditional likelihoo
 ``personal_sample`` composes from general lists of labels, separators and values (SAMPLE_LINES of
 them, the documented bound); no table is read, and no sentence of one is used, in training.
 
-Names are proposed where their form is that of a known one (a surname with given-name characters,
-a known first name) anywhere, and in any form near a label, a title, a closing or other contact data.
+Names are proposed in any form everywhere as well: one or two characters behind every surname, capital
+words, known Japanese surnames, words behind a title. What stands near them only enters their features.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,13 +62,18 @@ _CAPITAL = "[A-ZÀ-Þ][a-zß-ÿ'’\\-]+(?:[A-ZÀ-Þ][a-zß-ÿ]+)?"
 _WESTERN_NAME = re.compile(f"{_CAPITAL}(?: (?:[A-Z]\\.|{_CAPITAL})){{0,3}} {_CAPITAL}")
 _TITLED = re.compile("(?:(?<=Mr\\. )|(?<=Ms\\. )|(?<=Mrs\\. )|(?<=Dr\\. )|(?<=Prof\\. )|(?<=Miss ))[A-Z][a-z]+(?![a-z]| [A-Z])")
 _SURNAME = re.compile(f"(?:{'|'.join(COMPOUND)}|[{SURNAMES}])(?={_HAN})")
-_KNOWN_FORM = re.compile(f"(?:{'|'.join(COMPOUND)}|[{SURNAMES}])[{GIVEN}]{{1,2}}")
+_SURNAMES = (re.compile(f"(?:{'|'.join(COMPOUND)})(?={_HAN})"), re.compile(f"[{SURNAMES}](?={_HAN})"))
 _KNOWN_FIRST = re.compile(f"(?:{'|'.join(sorted(FIRST_NAMES))})(?: [A-Z]\\.)? {_CAPITAL}")
 _JAPANESE_NAME = re.compile(f"(?:{'|'.join(JAPANESE)})[ 　]?(?P<given>[一-鿿]{{1,3}}|[ぁ-ん]{{2,3}})?")
 # Words that stand before or beside contact data and numbers of all kinds.
-_LABELS = re.compile("姓名|名字|名叫|我叫|叫做|我是|本人|署名|签名|落款|作者|译者|编辑|校对|校订|整理|联系人|负责人|收件人|收货人|寄件人|申请人|投稿人|持卡人|户主|客服|电话|手机|号码|热线|传真|拨打|致电|来电|邮箱|电邮|邮件|写信|投稿|地址|住址|住在|寄往|寄到|寄送|送到|送货|搬到|位于|身份证|证件|护照|实名|编号|序号|流水|单号|订单|账号|版本|素材|校验|库存|价格|条码|氏名|名前|担当|電話|住所|連絡先"
+def _words(pattern: str) -> re.Pattern:
+    """The alternatives of a pattern, each of which begins with a character or a class, tried only where one of these stands."""
+    firsts = "".join(x[1 : x.index("]")] if x[0] == "[" else x[0] for x in pattern.split("|"))
+    return re.compile(f"(?=[{firsts}])(?:{pattern})")
+
+
+_LABELS = _words("姓名|名字|名叫|我叫|叫做|我是|本人|署名|签名|落款|作者|译者|编辑|校对|校订|整理|联系人|负责人|收件人|收货人|寄件人|申请人|投稿人|持卡人|户主|客服|电话|手机|号码|热线|传真|拨打|致电|来电|邮箱|电邮|邮件|写信|投稿|地址|住址|住在|寄往|寄到|寄送|送到|送货|搬到|位于|身份证|证件|护照|实名|编号|序号|流水|单号|订单|账号|版本|素材|校验|库存|价格|条码|氏名|名前|担当|電話|住所|連絡先"
     "|[Nn]ame|[Aa]uthor|[Ee]ditor|[Tt]ranslator|[Hh]older|[Rr]ecipient|[Aa]ttn|[Aa]ttention|[Cc]ontact|[Ss]igned|[Rr]egards|[Ss]incerely|[Bb]est|[Tt]hanks|[Dd]ear|[Aa]sk for|[Ss]peak to|[Cc]all|[Rr]ing|[Pp]hone|[Tt]el|[Ff]ax|[Mm]obile|[Ee]-?mail|[Mm]ail|[Ww]rite to|[Aa]ddress|[Ll]ives? at|[Mm]oved to|[Ss]end|[Dd]eliver|SSN|[Ss]ocial [Ss]ecurity|[Pp]assport|ID|[Oo]rder|[Ii]nvoice|[Ii]tem|[Bb]uild|[Vv]ersion|[Ss]erial|[Cc]hecksum|[Rr]ef|UID|[Pp]rice|[Bb]y|[Ff]rom")
-_CUES = re.compile("姓名|名字|名叫|我叫|叫做|我是|本人|署名|签名|落款|作者|译者|编辑|校对|校订|联系人|负责人|收件人|收货人|寄件人|申请人|投稿人|持卡人|户主|客服|实名|氏名|名前|担当|先生|女士|小姐|老师|同学|教授|さん|様|[Nn]ame|[Aa]uthor|[Ee]ditor|[Tt]ranslator|[Hh]older|[Rr]ecipient|[Aa]ttn|[Aa]ttention|[Cc]ontact|[Ss]igned|[Rr]egards|[Ss]incerely|Best,|Thanks,|[Dd]ear |[Aa]sk for|[Ss]peak to|Mr\\. |Ms\\. |Mrs\\. |Dr\\. |Prof\\. |Miss |[Pp]roof")
 _MANY_DIGITS = re.compile(f"{D}(?:[ .()（）\\-]{{0,2}}{D}){{6}}")  # in every phone and identity number
 _AT = re.compile("[@＠]|[(\\[]at[)\\]]")
 _FOLD = str.maketrans("０１２３４５６７８９Ｘｘx", "0123456789XXX")
@@ -126,21 +131,14 @@ def _contacts(text: str, add) -> None:
                 add(s, e, "ADDRESS", "han", tail, *shape)
 
 
-def _zones(text: str, contacts: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Stretches near contact data and cues: from two lines before to the end of the next line, at most 160 characters away."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(contacts + [m.span() for m in _CUES.finditer(text)]):
-        lo = s
-        for _ in range(3):
-            lo = max(text.rfind("\n", 0, max(lo - 1, 0)) + 1, 0) if lo > 0 else 0
-        end = text.find("\n", e)
-        end = text.find("\n", end + 1) if end >= 0 else -1
-        lo, hi = max(lo, s - 160), min(end if end >= 0 else len(text), e + 160)
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+@lru_cache(1 << 16)
+def _han_shape(surname: str, given: str) -> tuple[str, ...] | None:
+    """Shape features of a Han name, or none where a character is no Han one."""
+    if not all("㐀" <= c <= "鿿" for c in given):
+        return None
+    n, known, foreign = len(given), sum(c in GIVEN for c in given), sum(c in TRANSLIT for c in given)
+    outer = "foreign surname" if surname[0] in TRANSLIT else "own surname"
+    return "han", f"given {n}", f"known {known} of {n}", f"foreign {foreign} of {n} {outer}", "function word" if any(c in FUNCTION for c in given) else "no function word"
 
 
 def proposals(text: str) -> list[Span]:
@@ -150,14 +148,6 @@ def proposals(text: str) -> list[Span]:
     def add(s: int, e: int, kind: str, *shape: str) -> None:
         found.setdefault((s, e, kind), shape)
 
-    def han_name(s: int, n: int, given: int) -> None:
-        e = s + n + given
-        part = text[s + n : e]
-        if len(part) == given and all("㐀" <= c <= "鿿" for c in part):
-            known, foreign = sum(c in GIVEN for c in part), sum(c in TRANSLIT for c in part)
-            outer = "foreign surname" if text[s] in TRANSLIT else "own surname"
-            add(s, e, "NAME", "han", f"given {given}", f"known {known} of {given}", f"foreign {foreign} of {given} {outer}", "function word" if any(c in FUNCTION for c in part) else "no function word")
-
     def western_name(m: re.Match) -> None:
         s, parts = m.start(), m[0].split(" ")
         for skip in range(len(parts) - 1):  # a capital word before the name may belong to the sentence
@@ -167,21 +157,19 @@ def proposals(text: str) -> list[Span]:
             s += len(parts[skip]) + 1
 
     _contacts(text, add)
-    for lo, hi in _zones(text, [(s, e) for s, e, _ in found]):
-        for m in _SURNAME.finditer(text, lo, hi):
+    for surname in _SURNAMES:
+        for m in surname.finditer(text):
+            e = m.end()
             for given in (1, 2):
-                han_name(m.start(), len(m[0]), given)
-        for m in _WESTERN_NAME.finditer(text, lo, hi):
-            western_name(m)
-        for m in _JAPANESE_NAME.finditer(text, lo, hi):
-            add(*m.span(), "NAME", "japanese", "full" if m["given"] else "surname")
-            if m["given"]:
-                for cut in range(1, len(m["given"])):
-                    add(m.start(), m.end() - cut, "NAME", "japanese", "full")
-    for m in _KNOWN_FORM.finditer(text):
-        n = 2 if m[0][:2] in COMPOUND else 1
-        for given in (1, 2):
-            han_name(m.start(), n, given)
+                if e + given <= len(text) and (shape := _han_shape(m[0], text[e : e + given])):
+                    add(m.start(), e + given, "NAME", *shape)
+    for m in _WESTERN_NAME.finditer(text):
+        western_name(m)
+    for m in _JAPANESE_NAME.finditer(text):
+        add(*m.span(), "NAME", "japanese", "full" if m["given"] else "surname")
+        if m["given"]:
+            for cut in range(1, len(m["given"])):
+                add(m.start(), m.end() - cut, "NAME", "japanese", "full")
     for m in _KNOWN_FIRST.finditer(text):
         western_name(m)
     for m in _TITLED.finditer(text):
@@ -189,6 +177,7 @@ def proposals(text: str) -> list[Span]:
     return [(s, e, kind, shape) for (s, e, kind), shape in sorted(found.items())]
 
 
+@lru_cache(1 << 16)
 def _class(c: str) -> str:
     """A character's class as a neighbour of a span."""
     if not c:
@@ -206,49 +195,71 @@ def _class(c: str) -> str:
     return "digit" if c.isdigit() else "letter" if c.isalpha() else "space" if c.isspace() else c
 
 
-def all_features(text: str, spans: list[Span]) -> list[list[str]]:
-    """Whole-span features of all proposals of a text."""
+def _contexts(text: str, spans: list[Span]) -> Iterator[tuple]:
+    """All that the features of each proposal of a text depend on."""
     contact = sorted((s, e) for s, e, kind, _ in spans if kind != "NAME")
     starts = [s for s, _ in contact]
     ends = sorted(e for _, e in contact)
-    out = []
+    at = -1
     for s, e, kind, shape in spans:
-        before, after = text[max(0, s - 14) : s], text[e : e + 14]
-        b, a = _class(before[-1:]), _class(after[:1])
-        labels = [(m.end(), m[0].lower()) for m in _LABELS.finditer(before)]
-        gap = len(before) - labels[-1][0] if labels else 99
-        label = labels[-1][1] if labels else "none"
-        f = [kind, f"{kind}<{b}", f"{kind}>{a}", f"{kind} label {label}", f"{kind} label at {'none' if gap > 14 else min(gap, 3)}"]
-        f += [f"{kind}={x}" for x in shape]
-        f.append(f"{kind}=" + " ".join(shape))
-        if kind == "NAME":
+        if s != at:
+            at, before = s, text[max(0, s - 14) : s]
+            labels = [(m.end(), m[0].lower()) for m in _LABELS.finditer(before)]
+            gap, label = (len(before) - labels[-1][0], labels[-1][1]) if labels else (99, "none")
+            gap, b = "none" if gap > 14 else min(gap, 3), _class(before[-1:])
+        after = text[e : e + 14]
+        a = _class(after[:1])
+        if kind != "NAME":
+            yield kind, shape, b, a, label, gap
+            continue
+        i = bisect_left(starts, e)
+        right = starts[i] - e if i < len(starts) else 999
+        j = bisect_right(ends, s)
+        left = s - ends[j - 1] if j else 999
+        near = min(right, left)
+        where = "none"
+        if near <= 80:  # a sentence is looked at as far
             stop = [m.end() for m in _STOP.finditer(text, max(0, s - 80), s)]
             lo = stop[-1] if stop else max(0, s - 80)
             m = _STOP.search(text, e, min(len(text), e + 80))
             hi = m.start() if m else min(len(text), e + 80)
-            i = bisect_left(starts, e)
-            right = starts[i] - e if i < len(starts) else 999
-            j = bisect_right(ends, s)
-            left = s - ends[j - 1] if j else 999
-            near = min(right, left)
             same = right <= hi - e or left <= s - lo
             where = "touching" if near <= 3 else "near" if near <= 16 else "same sentence" if same else "none"
             if where in ("touching", "near") and not same:
                 where += " line"
-            f += [f"NAME contact {where}", f"NAME contact {where} {shape[0]}", f"NAME {b}|{a}", f"NAME {b}|{a} {' '.join(shape[1:3])}"]
-            if shape[0] == "han":
-                f += [f"NAME before {before[-1:]}", f"NAME after {after[:1]}", f"NAME contact {where} {shape[2]}", f"NAME contact {where} {shape[3]}", f"NAME {b}|{a} {shape[3]}"]
-                joined = (after[:1] and after[0] in "与和、及跟" and bool(_SURNAME.match(text, e + 1))) or (before[-1:] and before[-1] in "与和、及跟")
-                if joined:
-                    f += [f"NAME joined contact {where}", f"NAME joined {shape[3]}"]
-            title = next((t for t in TITLES if after.startswith(t) or before.endswith(t)), None)
-            if title:
-                f.append("NAME title")
-            if b in ("line", "edge"):
-                line = text[max(0, s - 24) : max(s - 1, 0)].rpartition("\n")[2]
-                f.append("NAME line " + ("whole " if a in ("line", "edge") else "part ") + ("closing" if line.endswith((",", "，")) and len(line) < 16 else "label" if _LABELS.search(line) and len(line) < 12 else "other"))
-        out.append(f)
-    return out
+        han = shape[0] == "han"
+        joined = han and ((after[:1] and after[0] in "与和、及跟" and bool(_SURNAME.match(text, e + 1))) or (before[-1:] and before[-1] in "与和、及跟"))
+        line = ""
+        if b in ("line", "edge"):
+            line = text[max(0, s - 24) : max(s - 1, 0)].rpartition("\n")[2]
+            line = ("whole " if a in ("line", "edge") else "part ") + ("closing" if line.endswith((",", "，")) and len(line) < 16 else "label" if _LABELS.search(line) and len(line) < 12 else "other")
+        yield kind, shape, b, a, label, gap, where, before[-1:] if han else "", after[:1] if han else "", bool(joined), after.startswith(TITLES) or before.endswith(TITLES), line
+
+
+def _features(kind: str, shape: tuple[str, ...], b: str, a: str, label: str, gap, where: str = "", last: str = "", first: str = "", joined: bool = False, title: bool = False, line: str = "") -> list[str]:
+    f = [kind, f"{kind}<{b}", f"{kind}>{a}", f"{kind} label {label}", f"{kind} label at {gap}"]
+    f += [f"{kind}={x}" for x in shape]
+    f.append(f"{kind}=" + " ".join(shape))
+    if kind == "NAME":
+        f += [f"NAME contact {where}", f"NAME contact {where} {shape[0]}", f"NAME {b}|{a}", f"NAME {b}|{a} {' '.join(shape[1:3])}"]
+        if shape[0] == "han":
+            f += [f"NAME before {last}", f"NAME after {first}", f"NAME contact {where} {shape[2]}", f"NAME contact {where} {shape[3]}", f"NAME {b}|{a} {shape[3]}"]
+            if joined:
+                f += [f"NAME joined contact {where}", f"NAME joined {shape[3]}"]
+        if title:
+            f.append("NAME title")
+        if line:
+            f.append(f"NAME line {line}")
+    return f
+
+
+def all_features(text: str, spans: list[Span]) -> list[list[str]]:
+    """Whole-span features of all proposals of a text."""
+    return [_features(*c) for c in _contexts(text, spans)]
+
+
+#: Contexts whose scores a model keeps.
+KEPT = 1 << 18
 
 
 class Model:
@@ -256,6 +267,10 @@ class Model:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights or {}
+        self.kept: dict[tuple, float] = {}
+
+    def __reduce__(self):
+        return Model, (self.weights,)
 
     def score(self, feats: list[str]) -> float:
         get = self.weights.get
@@ -281,8 +296,13 @@ class Model:
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
         """Typed spans (kind, start, end) of one text, in order."""
-        spans = proposals(text)
-        scores = [self.score(f) for f in all_features(text, spans)]
+        spans, kept, scores = proposals(text), self.kept, []
+        for c in _contexts(text, spans):
+            if (x := kept.get(c)) is None:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                x = kept[c] = self.score(_features(*c))
+            scores.append(x)
         return [(spans[i][2], spans[i][0], spans[i][1]) for i in self.decode(spans, scores)]
 
 

@@ -80,6 +80,10 @@ class Writer:
             return "".join(self.one("アイウカキクサシスタテトナニノマミムラリル") for _ in range(self.one([3, 4])))
         return self.invented() + self.one(["", "", " " + self.invented(), " the Elder"])
 
+    def begun(self) -> str:
+        """A thing or any other word that begins like a surname."""
+        return self.one([self.one(THINGS), self.one(COMMON), self.one(SURNAMES) + chr(self.rng.randint(0x4E00, 0x9F00))])
+
     def phone(self, lang: str) -> str:
         r = self.rng.random()
         if lang == "zh":
@@ -150,6 +154,7 @@ class Writer:
                 f"{self.one(COMMON)}的{t()}{self.one(['与', '和', '、', '，'])}{self.one(COMMON)}的{t()}一同{self.one(DID)}。", f"{f()}不知为何{self.one(ADVERBS)}{self.one(DID)}{t()}，{self.one(['只留下', '把', '与', '和', '对', '在'])}{self.one(COMMON)}{t()}。", f"{f()}：{self.one(COMMON)}{self.one(['，', '的', '又', '在', ''])}{t()}，{f()}与{f()}{self.one(ADVERBS)}{self.one(DID)}。",
                 f"{self.one(['我', '他', '她', '我们'])}{self.one(['和', '与', '跟'])}{f()}一起{self.one(DID)}{t()}。", f"{f()}{self.one(['说', '叫', '让', '请', '由'])}{self.one(['', self.one(ADVERBS)])}{f()}{self.one(DID)}{self.one(COMMON)}。",
                 f"{f()}由{f()}{self.one(DID)}，{f()}把{t()}交给{f()}，{self.han(2)}镇{self.one(DID)}{self.han(3)}。",
+                f"{self.one(TIMES)}，{f()}的{t()}{self.one('与和及、')}{self.begun()}{self.one(['一同', '一起', '都', '也', ''])}{self.one(['被', '由', '给', '让'])}{f()}{self.one(DID)}。", f"{f()}{self.one(DID)}{self.one(['', '了'])}{self.begun()}{self.one('，；。…')}{self.begun()}{self.one(['', '的'])}{self.one(DID)}{t()}，{self.one(['只', '却把', '都', '也'])}{self.begun()}{self.one(['', '的'])}{t()}。",
             ])]
         if lang == "ja":
             return [self.one([f"{f()}は{self.digits(2)}の塔を見つめたのです。", "しずかな海が町をつつんだ。", f"{f()}と{f()}が橋をわたる。"])]

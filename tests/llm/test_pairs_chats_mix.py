@@ -226,6 +226,14 @@ def test_names_without_any_hint():
         assert model.find(text) == [], text
 
 
+def test_names_are_proposed_everywhere():
+    """Names of any form, far from contact data and words that announce a name."""
+    far = "海面无风。\n" * 60
+    for name in ("赵璟", "欧阳墅", "闻筠衡", "Bramonia Thornvale", "佐藤翔太"):
+        text = f"{far}昨夜{name} 走过石桥。\n{far}"
+        assert (len(far) + 2, len(far) + 2 + len(name), "NAME") in {x[:3] for x in personal.proposals(text)}, name
+
+
 def test_personal_data_in_tables(spark):
     rows = [(1, "我叫温砚衡，有疑问请打 +86 13200009418 找我。", "k"), (2, None, "k"), (3, "", "k"), (None, "找 a@b.example", "k"), (4, "订单流水 266562479706139326 已归档。", "k"), (5, "😀邮箱：Tor.Bra(at)mail.example.org。" + "海" * 50_000, "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, kind string")
