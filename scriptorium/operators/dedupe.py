@@ -67,6 +67,8 @@ SKETCH, BLOCKS = 1 << 20, 64
 CELL, CELLS, FULL = 4, 128, 255
 #: Grams that a task's index holds, 16 bytes each, and increments and counters of a step of the counting.
 INDEXED, STEP = 12_000_000, 1_500_000
+#: Sets of at most so many grams travel whole, 8 bytes a gram, so that pairs of them are decided where they meet; bits of their bitmaps.
+SHORT, BITS = 128, 512
 
 
 def _gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +94,22 @@ def _span(percent: int) -> float:
 
 def _cells(k: int, percent: int) -> int:
     """Counters of a set's sketch in a task of class k: the power of two that suits the class's middle."""
-    return max(CELLS, 1 << int(np.exp(_span(percent) * (k + 0.5)) / CELL).bit_length())
+    return max(CELLS, 1 << int(np.exp(_span(percent) * (k + 0.5)) / CELL).bit_length()) if np.exp(_span(percent) * (k + 1)) * 100 / percent > SHORT else 0
+
+
+def _whole_sets(column: pa.Array, n: int, short: np.ndarray) -> list[bytes]:
+    """The distinct 64-bit n-grams of the short texts of a batch, nothing for the others."""
+    points, offsets = code_points(column)
+    at, row = gram_positions(offsets, n)
+    at, row = at[short[row]], row[short[row]]
+    grams = gram_hashes(points, n)[at] if len(at) else np.zeros(0, np.uint64)
+    order = np.lexsort((grams, row))
+    row, grams = row[order], grams[order]
+    new = np.ones(len(grams), bool)
+    new[1:] = (row[1:] != row[:-1]) | (grams[1:] != grams[:-1])
+    row, grams = row[new], grams[new]
+    edges = np.searchsorted(row, np.arange(len(short) + 1))
+    return [grams[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
 
 def _groups(indexed: np.ndarray, percent: int) -> list[int]:
@@ -134,7 +151,7 @@ def _summed(batches):
 
 
 def _signatures(counts, groups: list[int], n: int, percent: int):
-    """Rows (task, probe, h, size, grams, cells): every set goes to one task's index with its rarest grams, and as a probe to all that index sets it may be similar to.
+    """Rows (task, probe, h, size, grams, cells, whole): every set goes to one task's index with its rarest grams, and as a probe to all that index sets it may be similar to.
 
     Grams are ordered by the sketch and then by themselves; they travel as 32 bits, which can only add meetings.
     """
@@ -157,16 +174,17 @@ def _signatures(counts, groups: list[int], n: int, percent: int):
             cell_of = ((grams >> np.uint64(24)) & np.uint64((1 << 20) - 1)).astype(np.int64)
             larger, either, depth = _shares(size, percent)
             own, least = (np.minimum(x, len(groups) - 1) for x in _classes(size, percent))
+            whole = _whole_sets(b.column("t"), n, size <= SHORT)
             out = []
             for i in range(len(h)):
                 at, end = starts[i], starts[i] + size[i]
-                cells = {k: np.minimum(np.bincount(cell_of[at:end] % _cells(k, percent), minlength=_cells(k, percent)), FULL).astype(np.uint8).tobytes() for k in range(least[i], own[i] + 1)}
+                cells = {k: np.minimum(np.bincount(cell_of[at:end] % m, minlength=m), FULL).astype(np.uint8).tobytes() if (m := _cells(k, percent)) else b"" for k in range(least[i], own[i] + 1)}
                 place = int(firsts[own[i]] + int(h[i]) % groups[own[i]])
                 out.append((place, 0, i, low[at : at + size[i] - larger[i] + depth[i]].tobytes(), cells[own[i]]))
                 probe = low[at : at + size[i] - either[i] + depth[i]].tobytes()
                 out += [(int(t), 1, i, probe, cells[k]) for k in range(least[i], own[i] + 1) for t in range(firsts[k], firsts[k + 1])]
             at = np.array([x[2] for x in out], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array(h[at]), pa.array(size[at], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary())], names=["task", "probe", "h", "size", "grams", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array(h[at]), pa.array(size[at], pa.int32()), pa.array([x[3] for x in out], pa.binary()), pa.array([x[4] for x in out], pa.binary()), pa.array([whole[x[2]] for x in out], pa.binary())], names=["task", "probe", "h", "size", "grams", "cells", "whole"])
 
     return run
 
@@ -179,6 +197,30 @@ def _first_of_each(h: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(h, return_index=True)[1])
 
 
+class _Whole:
+    """Whole short sets of a task as numbers of the index's grams, with a bitmap of BITS bits each."""
+
+    def __init__(self, column: pa.Array, words: np.ndarray | None = None):
+        lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        grams, row = _joined(column, np.uint64), np.repeat(np.arange(len(lengths)), lengths)
+        bits = np.zeros((len(lengths), BITS), np.uint8)
+        bits[row, (grams >> np.uint64(30)).astype(np.int64) % BITS] = 1
+        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        self.lost = lengths - np.bitwise_count(self.bits).sum(1, dtype=np.int64)  # grams that share a bit with another one of the set
+        self.words = np.unique(grams) if words is None else words
+        at = np.searchsorted(self.words, grams)
+        known = at < len(self.words)
+        known[known] = self.words[at[known]] == grams[known]
+        self.grams = at[known].astype(np.uint64)
+        self.edges = np.searchsorted(row[known], np.arange(len(lengths) + 1))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The grams of the sets x, with the place in x in the upper 32 bits."""
+        many = self.edges[x + 1] - self.edges[x]
+        at = np.arange(many.sum()) + np.repeat(self.edges[x] - np.cumsum(many) + many, many)
+        return np.repeat(np.arange(len(x), dtype=np.uint64) << np.uint64(32), many) | self.grams[at]
+
+
 class _Index:
     """Indexed sets of a task, and the probes that may be similar to one of them."""
 
@@ -188,54 +230,82 @@ class _Index:
         self.h, self.size = t.column("h").to_numpy(), t.column("size").to_numpy().astype(np.int64)
         self.cells = np.concatenate([_joined(c, np.uint8) for c in t.column("cells").chunks]).reshape(len(self.h), -1)
         self.depth, self.percent = _shares(self.size, percent)[2], percent
+        self.whole = _Whole(pa.concat_arrays(t.column("whole").chunks))
         lengths = np.concatenate([pc.binary_length(c).to_numpy(zero_copy_only=False) for c in t.column("grams").chunks]).astype(np.int64) // 4
         grams = np.concatenate([_joined(c, np.uint32) for c in t.column("grams").chunks])
         self.shift = np.uint32(32 - min(24, max(12, len(grams).bit_length() + 1)))
         bucket = grams >> self.shift
-        self.owners = np.repeat(np.arange(len(self.h), dtype=np.int32), lengths)[np.argsort(bucket, kind="stable")]
+        self.owners = np.repeat(np.arange(len(self.h), dtype=np.uint32), lengths)[np.argsort(bucket, kind="stable")]
         self.edges = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.bincount(bucket, minlength=1 << 32 - int(self.shift)))])
 
     def met(self, b: pa.RecordBatch):
-        """Pairs (ha, hb) that share enough of their rarest grams and, by their cells, may share enough of all."""
+        """Rows (ha, hb, shared, either) of pairs that share enough of their rarest grams and may share enough of all; whole sets are decided, other pairs have noughts."""
         b = b.take(pa.array(_first_of_each(b.column("h").to_numpy(zero_copy_only=False))))
         h, size = b.column("h").to_numpy(zero_copy_only=False), b.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
         cells, depth = _joined(b.column("cells"), np.uint8).reshape(len(h), -1), _shares(size, self.percent)[2]
+        whole = _Whole(b.column("whole"), self.whole.words)
         lengths = pc.binary_length(b.column("grams")).to_numpy(zero_copy_only=False).astype(np.int64) // 4
         bucket = _joined(b.column("grams"), np.uint32) >> self.shift
         start, many = self.edges[bucket], self.edges[bucket.astype(np.int64) + 1] - self.edges[bucket]
         ends = np.cumsum(lengths)
         work = np.concatenate([np.zeros(1, np.int64), np.cumsum(many)])[ends]  # increments up to each probe
-        n, least, i = len(self.h), min(self.depth.min(), depth.min()), 0
+        n, least, i = len(self.h), int(min(self.depth.min(), depth.min())), 0
+        dense = work[-1] * 8 > n * len(h)  # few meetings are sorted, many counted in an array of all cells
+        most = STEP // n if dense else ((1 << 32) - 1) // n
         while i < len(h):
             done = work[i - 1] if i else 0
-            j = max(i + 1, min(i + STEP // n, int(np.searchsorted(work, done + STEP, "right"))))
+            j = max(i + 1, min(i + most, int(np.searchsorted(work, done + STEP, "right"))))
             lo, hi = ends[i] - lengths[i], ends[j - 1]
             m = many[lo:hi]
             at = np.arange(m.sum()) + np.repeat(start[lo:hi] - np.cumsum(m) + m, m)
-            cell = self.owners[at] + np.repeat(np.repeat(np.arange(j - i), lengths[i:j]) * n, m)
-            count = np.bincount(cell, minlength=(j - i) * n)
-            hit = np.flatnonzero(count >= least)
-            count, y, x = count[hit], i + hit // n, hit % n
+            cell = self.owners[at] + np.repeat(np.repeat(np.arange(j - i, dtype=np.uint32), lengths[i:j]) * np.uint32(n), m)
+            if dense:
+                count = np.bincount(cell, minlength=(j - i) * n)
+                hit = np.flatnonzero(count >= least)
+                count = count[hit]
+            else:
+                cell.sort()
+                hit = cell[: len(cell) - least + 1][cell[: len(cell) - least + 1] == cell[least - 1 :]] if len(cell) >= least else cell[:0]
+                edge = np.flatnonzero(np.concatenate([np.ones(min(1, len(hit)), bool), hit[1:] != hit[:-1]]))
+                count = np.diff(np.append(edge, len(hit))) + least - 1
+                hit = hit[edge].astype(np.int64)
+            y, x = i + hit // n, hit % n
             nx, ny = self.size[x], size[y]
             ok = (count >= np.minimum(self.depth[x], depth[y])) & (nx * 100 >= ny * self.percent) & ((nx < ny) | ((nx == ny) & (self.h[x] < h[y])))
-            yield from self._bounded(x[ok], y[ok], h, size, cells)
+            x, y = x[ok], y[ok]
+            short = (self.size[x] <= SHORT) & (size[y] <= SHORT)
+            yield from self._decided(x[short], y[short], h, size, whole)
+            yield from self._bounded(x[~short], y[~short], h, size, cells)
             i = j
 
+    def _decided(self, x, y, h, size, whole):
+        for k in range(0, len(x), 1 << 17):
+            a, c = x[k : k + (1 << 17)], y[k : k + (1 << 17)]
+            both = self.size[a] + size[c]
+            least = -(-both * self.percent // (100 + self.percent))
+            close = np.bitwise_count(self.whole.bits[a] & whole.bits[c]).sum(1, dtype=np.int64) + np.minimum(self.whole.lost[a], whole.lost[c]) >= least
+            a, c, both, least = a[close], c[close], both[close], least[close]
+            grams = np.sort(np.concatenate([self.whole.of(a), whole.of(c)]))
+            shared = np.bincount((grams[1:][grams[1:] == grams[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(a))
+            close = shared >= least
+            yield self.h[a[close]], h[c[close]], shared[close], (both - shared)[close]
+
     def _bounded(self, x, y, h, size, cells):
-        step = max(1, (1 << 23) // self.cells.shape[1])
+        step = max(1, (1 << 23) // max(1, self.cells.shape[1]))
         for k in range(0, len(x), step):
             a, c = x[k : k + step], y[k : k + step]
             least = np.minimum(self.cells[a], cells[c])
             bound = least.sum(1, dtype=np.int64)
             close = (bound * 100 >= (self.size[a] + size[c] - bound) * self.percent) | (least == FULL).any(1)
-            yield self.h[a[close]], h[c[close]]
+            none = np.zeros(close.sum(), np.int64)
+            yield self.h[a[close]], h[c[close]], none, none
 
 
 def _meetings(percent: int):
-    """Rows (ha, hb, n) of a task's candidates, and (h, h, size) of each indexed set; tasks come one after another, the index first."""
+    """Rows (ha, hb, n, either) of a task's pairs, and (h, h, size, size) of each indexed set; tasks come one after another, the index first."""
 
-    def pairs(a, b, n):
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32())], names=["ha", "hb", "n"])
+    def pairs(a, b, n, either):
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(either, pa.int32())], names=["ha", "hb", "n", "either"])
 
     def run(batches):
         now, held, index = None, [], None
@@ -248,7 +318,7 @@ def _meetings(percent: int):
                 if tasks[lo] != now:
                     if held:
                         index = _Index(held, percent)
-                        yield pairs(index.h, index.h, index.size)
+                        yield pairs(index.h, index.h, index.size, index.size)
                     now, held, index = tasks[lo], [], None
                 if not probes[lo]:
                     held.append(b)
@@ -256,13 +326,13 @@ def _meetings(percent: int):
                 if held:
                     index = _Index(held, percent)
                     held = []
-                    yield pairs(index.h, index.h, index.size)
-                for a, c in index.met(b) if index else ():
+                    yield pairs(index.h, index.h, index.size, index.size)
+                for a, c, n, either in index.met(b) if index else ():
                     if len(a):
-                        yield pairs(a, c, np.zeros(len(a), np.int32))
+                        yield pairs(a, c, n, either)
         if held:
             index = _Index(held, percent)
-            yield pairs(index.h, index.h, index.size)
+            yield pairs(index.h, index.h, index.size, index.size)
 
     return run
 
@@ -275,8 +345,8 @@ def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int
     large ones with a few rare grams in common don't become candidates. Any order will do; rare ones
     come first by a sketch of their frequencies, of fixed size. Sets meet in tasks of alike sizes, where
     the smaller is indexed and the other looks it up; meetings are counted in arrays and never become rows.
-    What two sets can share is then bounded by counters of all their grams, and the few pairs left are
-    compared on the whole texts, in whole numbers. Grams are 64-bit hashes there (a set of a thousand grams
+    Short sets travel whole, are bounded by bitmaps and decided there. What longer ones can share is
+    bounded by counters of all their grams, and the few pairs left are compared on the whole texts, in whole numbers. Grams are 64-bit hashes there (a set of a thousand grams
     loses one to a collision with probability 3e-14) and 50 bits or more before it (1e-9 at most). Equal texts are compared once and their keys
     attached at the end.
     """
@@ -292,16 +362,17 @@ def similar_pairs(rows: DataFrame, key: str, text: str, n: int = 3, percent: int
             sketch[k * (SKETCH // BLOCKS) : (k + 1) * (SKETCH // BLOCKS)] = np.frombuffer(x, np.float32)
     most = np.frombuffer(blocks[BLOCKS], np.int64) if BLOCKS in blocks else np.zeros(64, np.int64)
     groups = _groups(most, percent)
-    signed = base.select("h", "t").mapInArrow(_signatures(spark.sparkContext.broadcast(np.minimum(np.rint(16 * np.log2(1 + sketch)), 1023).astype(np.uint16)), groups, n, percent), "task int, probe int, h long, size int, grams binary, cells binary")
+    signed = base.select("h", "t").mapInArrow(_signatures(spark.sparkContext.broadcast(np.minimum(np.rint(16 * np.log2(1 + sketch)), 1023).astype(np.uint16)), groups, n, percent), "task int, probe int, h long, size int, grams binary, cells binary, whole binary")
     parts = max(shuffle_partitions(spark), sum(groups))
-    met = cut(signed.repartitionById(parts, F.col("task")).sortWithinPartitions("task", "probe").mapInArrow(_meetings(percent), "ha long, hb long, n int"))
-    cand = met.where("ha <> hb").select("ha", "hb").distinct()
+    met = cut(signed.repartitionById(parts, F.col("task")).sortWithinPartitions("task", "probe").mapInArrow(_meetings(percent), "ha long, hb long, n int, either int"))
+    cand = met.where("ha <> hb and n = 0").select("ha", "hb").distinct()
     cand = cut(cand)
     wanted = cand.select(F.explode(F.array("ha", "hb")).alias("h")).distinct()
     texts = cut(base.select("h", "t").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t")))
     side = lambda x: texts.select(F.col("h").alias(f"h{x}"), F.col("t").alias(f"t{x}"))
     both = cand.join(side("a"), "ha").join(side("b"), "hb").mapInArrow(_compared(n), "ha long, hb long, shared int, either int")
     close = both.where(F.col("shared") * 100 >= F.col("either") * percent).select("ha", "hb", "shared", "either")
+    close = close.unionByName(met.where("ha <> hb and n > 0").select("ha", "hb", F.col("n").alias("shared"), "either").distinct())
     keys = base.select("h", "key").distinct()
     sizes = met.where("ha = hb").select(F.col("ha").alias("h"), F.col("n").alias("size")).distinct()
     twice = keys.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").join(sizes, "h").select(F.col("h").alias("ha"), F.col("h").alias("hb"), F.col("size").alias("shared"), F.col("size").alias("either"))

@@ -195,6 +195,33 @@ def test_similar_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in got.collect()} == true
 
 
+def _near_texts(rng: random.Random, lengths: list[int]) -> list[tuple[int, str]]:
+    """Texts over many characters, each with two copies changed at random places."""
+    word = lambda n: "".join(chr(0x4E00 + rng.randrange(300)) for _ in range(n))
+    rows = []
+    for n in lengths:
+        t = word(n)
+        for share in (0, 0.03, 0.12):
+            rows.append((len(rows), "".join(word(1) if rng.random() < share else c for c in t)))
+    return rows
+
+
+def test_similar_pairs_of_many_sizes_equal_brute_force(spark):
+    rows = _near_texts(random.Random(10), [3 + i % 37 for i in range(120)] + list(range(100, 180, 2)) + [400, 900])
+    sets = {k: {t[j : j + 3] for j in range(len(t) - 2)} for k, t in rows}
+    shared = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b}
+    for percent in (50, 80):
+        true = {(a, b, n, len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)}
+        got = dedupe.similar_pairs(spark.createDataFrame(rows, "id int, text string").repartition(5), "id", "text", 3, percent)
+        assert {tuple(r) for r in got.collect()} == true and len(true) > 100
+
+
+def test_short_sets_are_decided_where_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(dedupe, "_compared", lambda n: lambda batches: (b.select([0, 1]).slice(0, 0) for b in batches if b.num_rows and 1 / 0))
+    rows = _near_texts(random.Random(11), [20 + i % 15 for i in range(40)])
+    assert dedupe.similar_pairs(spark.createDataFrame(rows, "id int, text string"), "id", "text", 3, 50).count() >= 40
+
+
 def _shuffled(spark, make) -> tuple[list, int]:
     """Rows of a query and the bytes it wrote to shuffles."""
     written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
