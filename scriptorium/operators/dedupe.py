@@ -391,19 +391,43 @@ def visible_aliases(rows: DataFrame, key: str, same: list[str], kind: str) -> Da
     return g.where("n = 2 and kinds = 2").select("kept", "alias")
 
 
+#: Pairs that one task solves in the order of their keys, which are all it holds.
+SOLVED = 1_000_000
+
+
+def _in_order(batches):
+    """Keys (key) that are rejected, of a bounded number of pairs: a key is decided when all pairs with smaller ones are."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    names = pc.unique(pa.chunked_array([*t.column("a").chunks, *t.column("b").chunks]))
+    names = names.take(pc.sort_indices(names))
+    a, b = (pc.index_in(t.column(c), value_set=names).to_numpy() for c in ("a", "b"))
+    order = np.argsort(b, kind="stable")
+    lost = bytearray(len(names))
+    for i, j in zip(a[order].tolist(), b[order].tolist()):
+        if not lost[i]:
+            lost[j] = 1
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.flatnonzero(np.frombuffer(lost, np.uint8))))], names=["key"])
+
+
 def greedy_survivors(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, kept) where keys are taken in order and one is rejected if a kept neighbour comes before it.
 
     ``keys``: key; ``pairs``: a, b with a < b. The pairs are made once and solved in rounds: keys without a
     smaller neighbour are kept, their neighbours rejected, and only pairs of undecided keys stay for the next
-    round. The least undecided key of every component is decided in each round, so that a chain of r
-    steps takes r rounds.
+    round. The least undecided key of every component is decided in each round. As soon as no more than
+    SOLVED pairs are left, one task solves them in order, so that long chains cost no more rounds.
     """
     from ..session import cut
 
     left = pairs = cut(pairs.select("a", "b"))
     out = pairs.select(F.col("b").alias("key")).limit(0)
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= SOLVED:
+            out = out.unionByName(left.coalesce(1).mapInArrow(_in_order, f"key {dict(left.dtypes)['b']}"))
+            break
         roots = left.select("a").join(left.select(F.col("b").alias("a")), "a", "left_anti").distinct()
         lost = cut(left.join(roots, "a", "left_semi").select(F.col("b").alias("key")).distinct())
         out = out.unionByName(lost)

@@ -182,6 +182,29 @@ def test_survivors_make_the_pairs_once(spark):
     assert made.value <= 2 * len(chain)  # a checkpoint may make them twice
 
 
+def test_survivors_of_a_chain_take_few_jobs(spark):
+    sc = spark.sparkContext
+    chain = [(f"k{k:02}", f"k{k + 1:02}") for k in range(30)]
+    keys = spark.createDataFrame([(f"k{k:02}",) for k in range(31)], "key string")
+    sc.setJobGroup("chain", "chain")
+    got = {r.key for r in dedupe.greedy_survivors(keys, spark.createDataFrame(chain, "a string, b string")).where("kept").collect()}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {f"k{k:02}" for k in range(0, 31, 2)}
+    assert len(sc.statusTracker().getJobIdsForGroup("chain")) <= 12
+
+
+def test_survivors_in_rounds_and_in_order_are_the_same(spark, monkeypatch):
+    rng = random.Random(4)
+    pairs = {(a, b) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(150)) if a < b}
+    kept = []
+    for k in range(60):
+        kept += [k] if not any((a, k) in pairs for a in kept) else []
+    for most in (1_000_000, 40, 0):
+        monkeypatch.setattr(dedupe, "SOLVED", most)
+        got = dedupe.greedy_survivors(spark.range(60).selectExpr("int(id) key"), spark.createDataFrame(sorted(pairs), "a int, b int").repartition(3))
+        assert sorted(r.key for r in got.where("kept").collect()) == kept
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(8)
     rows = []
