@@ -115,7 +115,8 @@ def _whole_sets(column: pa.Array, n: int, short: np.ndarray) -> list[bytes]:
 def _groups(indexed: np.ndarray, percent: int) -> list[int]:
     """Tasks of each class: so many that an index stays small, and more for the cores, above all if its sets are so short that sending them again costs little."""
     most = [8 if np.exp(_span(percent) * (k + 1)) <= 100 else 2 for k in range(len(indexed))]
-    return [max(-(-int(x) // INDEXED), min(m, -(-int(x) // 50_000))) for x, m in zip(indexed, most)]
+    held = [INDEXED // 4 if np.exp(_span(percent) * k) <= SHORT else INDEXED for k in range(len(indexed))]  # whole sets are held as well
+    return [max(-(-int(x) // h), min(m, -(-int(x) // 50_000))) for x, m, h in zip(indexed, most, held)]
 
 
 def _classes(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,9 +204,13 @@ class _Whole:
     def __init__(self, column: pa.Array, words: np.ndarray | None = None):
         lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 8
         grams, row = _joined(column, np.uint64), np.repeat(np.arange(len(lengths)), lengths)
-        bits = np.zeros((len(lengths), BITS), np.uint8)
-        bits[row, (grams >> np.uint64(30)).astype(np.int64) % BITS] = 1
-        self.bits = np.packbits(bits, axis=1).view(np.uint64)
+        bit, ends = (grams >> np.uint64(30)).astype(np.int64) % BITS, np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths)])
+        self.bits = np.zeros((len(lengths), BITS // 64), np.uint64)
+        for i in range(0, len(lengths), 1 << 14):
+            j = min(i + (1 << 14), len(lengths))
+            bits = np.zeros((j - i, BITS), np.uint8)
+            bits[row[ends[i] : ends[j]] - i, bit[ends[i] : ends[j]]] = 1
+            self.bits[i:j] = np.packbits(bits, axis=1).view(np.uint64)
         self.lost = lengths - np.bitwise_count(self.bits).sum(1, dtype=np.int64)  # grams that share a bit with another one of the set
         self.words = np.unique(grams) if words is None else words
         at = np.searchsorted(self.words, grams)
